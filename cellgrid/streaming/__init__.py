@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The command-line tool this package re-expresses loads a whole dataset, runs
+the requested steps and saves it; it has no stream, watermark or stateful
+operator.  None is invented here.  Paired FASTQ input (``sources.fastq``) is a
+batch source with one partition per file pair.
+"""
