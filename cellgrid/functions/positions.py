@@ -1,14 +1,18 @@
 """Global order without a single-partition window.
 
 ``dense_positions`` numbers rows 0..n-1 in a total order; ``running_sums``
-adds inclusive running sums.  Both range-partition the rows into an explicit
-number of partitions, count/sum per partition (one row per partition), turn
-those into offsets with a tiny window, broadcast the offsets back (their size
-is the partition count, not the data size) and finish inside each partition.
-
-The partition count is fixed (``repartitionByRange(n, ...)``) so adaptive
-execution cannot coalesce the two consumers of the shared exchange
-differently; the exchange is reused by both branches of one plan.
+adds inclusive running sums.  Both range-partition the rows, tag every row
+with (partition, row inside partition), and write that frame once with a
+reliable ``checkpoint()`` into the folder named by ``spark.checkpoint.dir``.
+Counts/sums per partition (one row per partition) become offsets through a
+tiny window; the offsets are broadcast back (their size is the partition
+count, not the data size) and each partition finishes on its own.
+
+Why the checkpoint: the counting branch and the numbering branch prune
+different columns, so their range exchanges are not reused and Spark would
+sample range bounds twice; the two branches could then disagree on which
+row sits in which partition.  Reading one stored frame removes that, and a
+lost executor re-reads the checkpoint instead of re-sampling.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgrid.session import ensure_checkpoint_dir
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -25,18 +31,22 @@ def _n_parts(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _tagged(df: DataFrame, order: list, n: int) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    return s.checkpoint(eager=True)
+
+
 def dense_positions(df: DataFrame, order: list, name: str = "pos", start: int = 0,
                     n_parts: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based (or ``start``-based) position of each row in
     ``order``.  ``order`` should be a total order (append a unique key)."""
-    n = _n_parts(df, n_parts)
-    s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    s = s.withColumn("_part", F.shiftright("_mid", 33))
+    s = _tagged(df, order, _n_parts(df, n_parts)).withColumn("_part", F.shiftright("_mid", 33))
     counts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = s.join(F.broadcast(offsets), "_part")
+    out = s.join(F.broadcast(offsets), "_part")  # one row per partition
     out = out.withColumn(name, (F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW33)) + F.lit(start))
                          .cast("bigint"))
     return out.drop("_mid", "_part", "_off")
@@ -45,16 +55,16 @@ def dense_positions(df: DataFrame, order: list, name: str = "pos", start: int =
 def running_sums(df: DataFrame, order: list, sums: dict[str, Column],
                  n_parts: int | None = None) -> DataFrame:
     """Add inclusive running sums ``{name: column}`` in ``order``."""
-    n = _n_parts(df, n_parts)
-    s = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
     for k, c in sums.items():
-        s = s.withColumn(f"_v_{k}", c)
+        df = df.withColumn(f"_v_{k}", c)
+    s = _tagged(df, order, _n_parts(df, n_parts)).withColumn("_part", F.shiftright("_mid", 33))
     parts = s.groupBy("_part").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("_part", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}")
                                       for k in sums])
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = s.join(F.broadcast(offsets), "_part")
+    # inside a partition the stored _mid is the row order
+    inside = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    out = s.join(F.broadcast(offsets), "_part")  # one row per partition
     for k in sums:
         out = out.withColumn(k, F.col(f"_o_{k}") + F.sum(f"_v_{k}").over(inside))
-    return out.drop("_part", *[f"_v_{k}" for k in sums], *[f"_o_{k}" for k in sums])
+    return out.drop("_mid", "_part", *[f"_v_{k}" for k in sums], *[f"_o_{k}" for k in sums])

@@ -76,3 +76,128 @@ def a07(spark, sf_dir) -> DataFrame:
 @query("s10_make_unique")
 def s10(spark, sf_dir) -> DataFrame:
     return fx.m1_genes(spark, sf_dir).select("gene_idx", "gene_id")
+
+
+# ------------------------------------------------------- F: select expressions
+def _f_data(spark, sf_dir):
+    """M1 with total_umis and the M2 cell annotations (batch, score) added."""
+    from cellgrid.operators.annotate import annotate
+    cd = _m1_totals(spark, sf_dir)
+    return annotate(cd, "cell", fx.m2_cell_annotations(spark, sf_dir), ["batch", "score"], [1, 2],
+                    check_unique=False)
+
+
+def _f_cells(expr: str, lists=None, anchor: str = "full"):
+    def run(spark, sf_dir) -> DataFrame:
+        from cellgrid.functions.predicate import apply_predicate
+        cd = _f_data(spark, sf_dir)
+        lst = {k: v(spark, sf_dir) for k, v in (lists or {}).items()}
+        return apply_predicate(cd.cells, expr, "cell", lst, anchor).select("cell_id")
+    return run
+
+
+def _f_genes(expr: str, lists=None):
+    def run(spark, sf_dir) -> DataFrame:
+        from cellgrid.functions.predicate import apply_predicate
+        cd = fx.m1(spark, sf_dir)
+        lst = {k: v(spark, sf_dir) for k, v in (lists or {}).items()}
+        return apply_predicate(cd.genes, expr, "gene", lst).select("gene_idx", "gene_id")
+    return run
+
+
+F_CELL_EXPRS = {
+    "f03_eq": "batch == 'B1'",
+    "f04_ne": "batch != 'B1'",
+    "f05_lt": "score < 100",
+    "f06_le": "score <= 100.5",
+    "f07_gt": "score > 200",
+    "f08_ge": "score >= 200",
+    "f09_is_regex": 'batch is "B[12]"',
+    "f10_is_not_regex": 'batch is not "B[12]"',
+    "f13_and": "score > 100 and batch == 'B0' and urgent == True",
+    "f14_or": "score > 300 or batch == B3 or total_umis < 10",
+    "f15_not": "not (score > 100)",
+    "f16_negative": "score > -1 and not (score >= -0.5e3)",
+    "f18_quoted_name": "'total_umis' > 150 and status == F",
+    "f19_bool_number": "urgent == 1 or (urgent == 0.5 and score < 10)",
+    "f19b_bool_text": "urgent == 'TRUE' and not (urgent == 'no')",
+    "f20_category_literal": "status != 1",
+    "f21_nested": "(batch == 'B0' or batch == 'B1') and not (score < 50 or status == 'P')",
+}
+for _name, _expr in F_CELL_EXPRS.items():
+    QUERIES[_name] = _f_cells(_expr)
+
+QUERIES["f01_select_cells"] = _f_cells("total_umis > 100 and status == 'F'")
+QUERIES["f09b_regex_prefix"] = _f_cells('batch is "B"', anchor="start")
+QUERIES["f11_in_list"] = _f_cells('status in "statuses"', {"statuses": fx.m2_status_list})
+QUERIES["f12_not_in_list"] = _f_cells('status not in "statuses" or score > 400',
+                                      {"statuses": fx.m2_status_list})
+QUERIES["f02_select_genes"] = _f_genes("retail > 1500 and brand != 'Brand#13'")
+QUERIES["f17_gene_name"] = _f_genes('gene is "(red|hot) .*" and not (gene is ".*-[0-9]+")')
+QUERIES["f11b_in_list_genes"] = _f_genes('brand in "small_brands" and size > 20',
+                                         {"small_brands": fx.m2_small_brands})
+
+
+@query("f01b_matrix_follows")
+def f01b(spark, sf_dir) -> DataFrame:
+    """The matrix after a cell and a gene selection (one semi-join pair)."""
+    from cellgrid.operators.select import select_cells, select_genes
+    cd = _m1_totals(spark, sf_dir)
+    cd = select_cells(cd, "total_umis > 100 and urgent == False", record=False)
+    cd = select_genes(cd, "size >= 25", record=False)
+    return cd.x.groupBy("gene_idx").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("value").alias("umis"))
+
+
+@query("f22_removed_count")
+def f22(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.select import removed_count
+    return removed_count(_f_data(spark, sf_dir).cells, "score > 150 or batch == 'B2'")
+
+
+# ------------------------------------------------------- J: annotation edits
+@query("j01_annotate_cells")
+def j01(spark, sf_dir) -> DataFrame:
+    return _f_data(spark, sf_dir).cells.select("cell_id", "status", "total_umis", "batch", "score")
+
+
+@query("j02_annotate_genes")
+def j02(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.annotate import annotate
+    cd = annotate(fx.m1(spark, sf_dir), "gene", fx.m2_gene_annotations(spark, sf_dir),
+                  "double_size,kind", "1,2")
+    return cd.genes.select("gene_id", "brand", "double_size", "kind")
+
+
+@query("j03_id_column_last")
+def j03(spark, sf_dir) -> DataFrame:
+    """Id column after the value columns; columns picked by file position."""
+    from cellgrid.operators.annotate import annotate
+    ann = fx.m2_cell_annotations(spark, sf_dir).select("score", "batch", "cell_id")
+    cd = annotate(_m1_totals(spark, sf_dir), "cell", ann, ["grp", "value"], [1, 0], id_column=2)
+    return cd.cells.select("cell_id", "grp", "value")
+
+
+@query("j04_replace_cells")
+def j04(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.annotate import replace
+    o = fx.table(spark, sf_dir, "orders")
+    new = o.select(F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("new_id"),
+                   F.col("o_orderpriority").alias("priority"),
+                   (-F.col("o_orderkey")).alias("line_no"))
+    cd = replace(fx.m1(spark, sf_dir), "cell", new)
+    return cd.cells.select("cell_idx", "cell_id", "priority")
+
+
+@query("j05_drop_annotation")
+def j05(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.annotate import drop
+    cd = drop(drop(_f_data(spark, sf_dir), "cell", "score"), "cell", "no_such_column")
+    return cd.cells.drop("ordered_at")
+
+
+@query("j07_promote")
+def j07(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.annotate import promote
+    cd = promote(promote(fx.m1(spark, sf_dir), "price"), "urgent")
+    new = cd.genes.where(F.col("gene_id").isin("price", "urgent")).select("gene_idx", "gene_id")
+    return cd.x.join(new, "gene_idx").select("cell_idx", "gene_idx", "gene_id", "value")

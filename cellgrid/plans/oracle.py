@@ -76,3 +76,98 @@ SELECT (SELECT count(*) FROM m1_cells) AS n_cells, (SELECT count(*) FROM m1_gene
        count(*) AS nnz, sum(value) AS sum_value FROM m1_x"""
 
 ORACLE["s10_make_unique"] = BASE + "\nSELECT gene_idx, gene_id FROM m1_genes"
+
+# ----------------------------------------------------------------- F / J
+M2 = """,
+m2 AS (
+  SELECT 'C' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || '-1' AS cell_id,
+         'B' || CAST(o_custkey % 4 AS VARCHAR) AS batch,
+         CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice / 1000 END AS score
+  FROM orders WHERE o_orderkey % 3 <> 0
+  UNION ALL SELECT 'X' || CAST(i AS VARCHAR), 'BX', 1.0 FROM range(10) t(i)),
+fcells AS (SELECT t.*, m2.batch, m2.score FROM m1_totals t LEFT JOIN m2 USING (cell_id))"""
+
+FBASE = BASE + M2
+
+
+def _c(pred: str) -> str:
+    return f"coalesce({pred}, false)"
+
+
+F_SQL = {
+    "f01_select_cells": "total_umis > 100 AND status = 'F'",
+    "f03_eq": _c("batch = 'B1'"),
+    "f04_ne": "NOT " + _c("batch = 'B1'"),
+    "f05_lt": "score < 100",
+    "f06_le": "score <= 100.5",
+    "f07_gt": "score > 200",
+    "f08_ge": "score >= 200",
+    "f09_is_regex": _c("regexp_full_match(batch, 'B[12]')"),
+    "f09b_regex_prefix": _c("regexp_matches(batch, '^B')"),
+    "f10_is_not_regex": "NOT " + _c("regexp_full_match(batch, 'B[12]')"),
+    "f13_and": "score > 100 AND batch = 'B0' AND urgent = true",
+    "f14_or": f"{_c('score > 300')} OR {_c(chr(98) + 'atch = ' + chr(39) + 'B3' + chr(39))} OR {_c('total_umis < 10')}",
+    "f15_not": "NOT " + _c("score > 100"),
+    "f16_negative": "score > -1 AND NOT " + _c("score >= -500"),
+    "f18_quoted_name": "total_umis > 150 AND status = 'F'",
+    "f19_bool_number": f"{_c('urgent = true')} OR ({_c('urgent = false')} AND {_c('score < 10')})",
+    "f19b_bool_text": "urgent = true AND NOT " + _c("urgent = false"),
+    "f20_category_literal": "NOT " + _c("status = '1'"),
+    "f21_nested": (f"({_c(chr(98) + 'atch = ' + chr(39) + 'B0' + chr(39))} OR {_c('batch = ' + chr(39) + 'B1' + chr(39))})"
+                   f" AND NOT ({_c('score < 50')} OR {_c('status = ' + chr(39) + 'P' + chr(39))})"),
+    "f11_in_list": _c("status IN (SELECT DISTINCT o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O'))"),
+    "f12_not_in_list": ("NOT " + _c("status IN (SELECT DISTINCT o_orderstatus FROM orders "
+                                    "WHERE o_orderstatus IN ('F', 'O'))") + " OR " + _c("score > 400")),
+}
+for _k, _p in F_SQL.items():
+    ORACLE[_k] = FBASE + f"\nSELECT cell_id FROM fcells WHERE {_p}"
+
+ORACLE["f02_select_genes"] = BASE + """
+SELECT gene_idx, gene_id FROM m1_genes WHERE retail > 1500 AND NOT coalesce(brand = 'Brand#13', false)"""
+
+ORACLE["f17_gene_name"] = BASE + """
+SELECT gene_idx, gene_id FROM m1_genes
+WHERE regexp_full_match(gene_id, '(red|hot) .*') AND NOT coalesce(regexp_full_match(gene_id, '.*-[0-9]+'), false)"""
+
+ORACLE["f11b_in_list_genes"] = BASE + """
+SELECT gene_idx, gene_id FROM m1_genes
+WHERE brand IN (SELECT p_brand FROM part WHERE p_size <= 2) AND size > 20"""
+
+ORACLE["f01b_matrix_follows"] = BASE + """
+SELECT x.gene_idx, count(*) AS n_cells, sum(x.value) AS umis
+FROM m1_x x
+JOIN m1_totals c ON c.cell_idx = x.cell_idx AND c.total_umis > 100 AND c.urgent = false
+JOIN m1_genes g ON g.gene_idx = x.gene_idx AND g.size >= 25
+GROUP BY x.gene_idx"""
+
+ORACLE["f22_removed_count"] = FBASE + """
+SELECT count(*) AS n_before,
+       count(*) FILTER (WHERE coalesce(score > 150, false) OR coalesce(batch = 'B2', false)) AS n_kept,
+       count(*) FILTER (WHERE NOT (coalesce(score > 150, false) OR coalesce(batch = 'B2', false))) AS n_removed
+FROM fcells"""
+
+ORACLE["j01_annotate_cells"] = FBASE + "\nSELECT cell_id, status, total_umis, batch, score FROM fcells"
+
+ORACLE["j02_annotate_genes"] = BASE + """
+SELECT g.gene_id, g.brand, a.double_size, a.kind
+FROM m1_genes g LEFT JOIN (SELECT gene_id, size * 2 AS double_size, type AS kind FROM m1_genes WHERE size < 25) a
+USING (gene_id)"""
+
+ORACLE["j03_id_column_last"] = FBASE + """
+SELECT t.cell_id, m2.batch AS grp, m2.score AS value FROM m1_totals t LEFT JOIN m2 USING (cell_id)"""
+
+ORACLE["j04_replace_cells"] = """
+WITH c AS (SELECT o_orderkey AS cell_idx, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders),
+     r AS (SELECT 'R' || CAST(o_orderkey AS VARCHAR) AS cell_id, o_orderpriority AS priority,
+                  row_number() OVER (ORDER BY o_orderkey DESC) AS pos FROM orders)
+SELECT c.cell_idx, r.cell_id, r.priority FROM c JOIN r USING (pos)"""
+
+ORACLE["j05_drop_annotation"] = FBASE + """
+SELECT cell_idx, cell_id, status, price, urgent, total_umis, batch FROM fcells"""
+
+ORACLE["j07_promote"] = """
+WITH m AS (SELECT max(p_partkey) AS mx FROM part)
+SELECT o_orderkey AS cell_idx, (SELECT mx FROM m) + 1 AS gene_idx, 'price' AS gene_id, o_totalprice AS value
+FROM orders WHERE o_totalprice <> 0
+UNION ALL
+SELECT o_orderkey, (SELECT mx FROM m) + 2, 'urgent', 1.0 FROM orders WHERE o_orderpriority = '1-URGENT'"""
