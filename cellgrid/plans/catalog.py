@@ -201,3 +201,92 @@ def j07(spark, sf_dir) -> DataFrame:
     cd = promote(promote(fx.m1(spark, sf_dir), "price"), "urgent")
     new = cd.genes.where(F.col("gene_id").isin("price", "urgent")).select("gene_idx", "gene_id")
     return cd.x.join(new, "gene_idx").select("cell_idx", "gene_idx", "gene_id", "value")
+
+
+# ------------------------------------------------------- W: ranks and knee
+@query("w01_barcode_ranks")
+def w01(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.ranks import barcode_ranks
+    return barcode_ranks(fx.m1(spark, sf_dir)).select("cell_id", "total", "rank")
+
+
+@query("w02_knee_inflection")
+def w02(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.ranks import knee_inflection_frame, rank_histogram
+    hist = rank_histogram(totals.cell_totals(fx.m1(spark, sf_dir)))
+    return knee_inflection_frame(hist, lower=100).select("knee", "inflection", "left_total", "n_points")
+
+
+@query("w03_knee_low_lower")
+def w03(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.ranks import knee_inflection_frame, rank_histogram
+    hist = rank_histogram(totals.cell_totals(fx.m1(spark, sf_dir)))
+    return knee_inflection_frame(hist, lower=20, exclude_from=10).select("knee", "inflection", "left_total",
+                                                                         "n_points")
+
+
+@query("w05_rank_plot_classic")
+def w05(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.ranks import rank_plot_table
+    cd = totals.filter_classic(fx.m1(spark, sf_dir), keep_all=True)
+    return rank_plot_table(cd)
+
+
+@query("w06_rank_plot_unfiltered")
+def w06(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.ranks import rank_plot_table
+    return rank_plot_table(fx.m1(spark, sf_dir))
+
+
+@query("w08_rank_plot_summary")
+def w08(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.ranks import rank_plot_summary
+    cd = totals.filter_classic(fx.m1(spark, sf_dir), keep_all=True)
+    return rank_plot_summary(cd)
+
+
+# ------------------------------------------------------- P: describe
+@query("p01_brief")
+def p01(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.describe import brief
+    return brief(_f_data(spark, sf_dir))
+
+
+@query("p02_numeric_summary")
+def p02(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.describe import numeric_summary
+    cells = _f_data(spark, sf_dir).cells.drop("cell_idx", "cell_id")
+    return numeric_summary(cells)
+
+
+@query("p03_categorical_summary")
+def p03(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.describe import categorical_summary
+    cells = _f_data(spark, sf_dir).cells.drop("cell_idx", "cell_id")
+    return categorical_summary(cells)
+
+
+@query("p03b_events_summary")
+def p03b(spark, sf_dir) -> DataFrame:
+    """Second describe target: category, number and time columns of events."""
+    from cellgrid.operators.describe import categorical_summary
+    ev = fx.table(spark, sf_dir, "events").select("event_type", "ts")
+    return categorical_summary(ev)
+
+
+@query("p04_name_sample")
+def p04(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.describe import name_sample
+    return name_sample(fx.m1(spark, sf_dir).genes, "gene_idx", "gene_id")
+
+
+@query("p05_array_summary")
+def p05(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.describe import array_summary
+    return array_summary(fx.table(spark, sf_dir, "embeddings"))
+
+
+@query("p06_matrix_line")
+def p06(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.describe import matrix_line
+    return matrix_line(fx.m1(spark, sf_dir))

@@ -171,3 +171,114 @@ SELECT o_orderkey AS cell_idx, (SELECT mx FROM m) + 1 AS gene_idx, 'price' AS ge
 FROM orders WHERE o_totalprice <> 0
 UNION ALL
 SELECT o_orderkey, (SELECT mx FROM m) + 2, 'urgent', 1.0 FROM orders WHERE o_orderpriority = '1-URGENT'"""
+
+# ----------------------------------------------------------------- W
+XT = """,
+xt AS (SELECT cell_idx, sum(value) AS total FROM m1_x GROUP BY cell_idx)"""
+
+ORACLE["w01_barcode_ranks"] = BASE + XT + """
+SELECT c.cell_id, xt.total,
+       rank() OVER (ORDER BY xt.total DESC) + (count(*) OVER (PARTITION BY xt.total) - 1) / 2.0 AS rank
+FROM xt JOIN m1_cells c USING (cell_idx) WHERE xt.total > 0"""
+
+
+def _knee_ctes(lower: float, exclude_from: float) -> str:
+    return XT + f""",
+h AS (SELECT total, count(*) AS n FROM xt WHERE total > 0 GROUP BY total),
+r AS (SELECT total, sum(n) OVER (ORDER BY total DESC) - (n - 1) / 2.0 AS rank,
+             row_number() OVER (ORDER BY total DESC) AS i FROM h),
+p AS (SELECT i, total, log10(rank) AS x, log10(total) AS y FROM r WHERE total > {lower}),
+mk AS (SELECT count(*) AS m, count(*) FILTER (WHERE x <= log10({exclude_from})) AS k FROM p),
+d AS (SELECT a.i, (b.y - a.y) / (b.x - a.x) AS d FROM p a JOIN p b ON b.i = a.i + 1
+      WHERE a.i > (SELECT least(m - 2, k) FROM mk)),
+re AS (SELECT i FROM d ORDER BY d, i LIMIT 1),
+le AS (SELECT i FROM d WHERE i <= (SELECT i FROM re) ORDER BY d DESC, i LIMIT 1),
+pl AS (SELECT * FROM p WHERE i = (SELECT i FROM le)),
+pr AS (SELECT * FROM p WHERE i = (SELECT i FROM re)),
+inner_pts AS (
+  SELECT p.i, p.total,
+         p.y - (pl.y + (pr.y - pl.y) * (p.x - pl.x) / (pr.x - pl.x)) AS dist
+  FROM p, pl, pr WHERE p.i > pl.i AND p.i < pr.i),
+kn AS (SELECT total FROM inner_pts ORDER BY dist DESC, i LIMIT 1),
+kv AS (SELECT coalesce((SELECT total FROM kn), (SELECT total FROM pl)) AS knee, (SELECT total FROM pr) AS infl)"""
+
+
+def _knee_sql(lower: float, exclude_from: float) -> str:
+    return BASE + _knee_ctes(lower, exclude_from) + """
+SELECT (SELECT knee FROM kv) AS knee, (SELECT infl FROM kv) AS inflection,
+       (SELECT total FROM pl) AS left_total, (SELECT m FROM mk) AS n_points"""
+
+
+ORACLE["w02_knee_inflection"] = _knee_sql(100, 50)
+ORACLE["w03_knee_low_lower"] = _knee_sql(20, 10)
+
+CLASSIC_THR = "(SELECT total_umis FROM sorted WHERE pos = 30) * 0.1"
+
+ORACLE["w05_rank_plot_classic"] = BASE + SORTED + XT + f""",
+rk AS (SELECT c.cell_id, xt.total,
+              rank() OVER (ORDER BY xt.total DESC) + (count(*) OVER (PARTITION BY xt.total) - 1) / 2.0 AS rank
+       FROM xt JOIN m1_cells c USING (cell_idx) WHERE xt.total > 0)
+SELECT cell_id, total, rank, 'retained' AS segment FROM rk WHERE total >= {CLASSIC_THR}
+UNION ALL
+SELECT cell_id, total, rank, 'discarded' AS segment FROM rk WHERE total <= {CLASSIC_THR}"""
+
+ORACLE["w06_rank_plot_unfiltered"] = BASE + XT + """
+SELECT c.cell_id, xt.total,
+       rank() OVER (ORDER BY xt.total DESC) + (count(*) OVER (PARTITION BY xt.total) - 1) / 2.0 AS rank,
+       'all' AS segment
+FROM xt JOIN m1_cells c USING (cell_idx) WHERE xt.total > 0"""
+
+ORACLE["w08_rank_plot_summary"] = BASE + SORTED + _knee_ctes(50, 50) + f"""
+SELECT 'classic' AS algorithm,
+       (SELECT count(*) FROM m1_totals WHERE total_umis >= {CLASSIC_THR}) AS passing,
+       (SELECT knee FROM kv) AS knee, (SELECT infl FROM kv) AS inflection,
+       (SELECT max(rank) FROM r WHERE total >= (SELECT knee FROM kv)) AS knee_rank,
+       (SELECT min(total) FROM r WHERE total >= (SELECT knee FROM kv)) AS knee_total,
+       (SELECT max(rank) FROM r WHERE total >= (SELECT infl FROM kv)) AS inflection_rank,
+       (SELECT min(total) FROM r WHERE total >= (SELECT infl FROM kv)) AS inflection_total"""
+
+# ----------------------------------------------------------------- P
+ORACLE["p01_brief"] = """
+SELECT 'count' AS section, 'cells' AS name, CAST(count(*) AS VARCHAR) AS value FROM orders
+UNION ALL SELECT 'count', 'genes', CAST(count(*) AS VARCHAR) FROM part
+UNION ALL SELECT * FROM (VALUES ('cell annotation', 'status', 'string'), ('cell annotation', 'price', 'double'),
+  ('cell annotation', 'ordered_at', 'timestamp_ntz'), ('cell annotation', 'urgent', 'boolean'),
+  ('cell annotation', 'total_umis', 'double'), ('cell annotation', 'batch', 'string'),
+  ('cell annotation', 'score', 'double'), ('gene annotation', 'gene_ids', 'string'),
+  ('gene annotation', 'brand', 'string'), ('gene annotation', 'type', 'string'),
+  ('gene annotation', 'size', 'bigint'), ('gene annotation', 'retail', 'double')) v(section, name, value)"""
+
+
+def _num(col: str) -> str:
+    return (f"SELECT '{col}' AS annotation, count({col}) AS count, min({col}) AS min, max({col}) AS max, "
+            f"avg({col}) AS mean, stddev_samp({col}) AS sd, quantile_cont({col}, 0.5) AS median, "
+            f"quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.75) AS q3 FROM fcells")
+
+
+ORACLE["p02_numeric_summary"] = FBASE + "\n" + "\nUNION ALL ".join(
+    _num(c) for c in ("price", "total_umis", "score"))
+
+
+def _cat(cols: list[str], src: str) -> str:
+    unp = "\nUNION ALL ".join(f"SELECT '{c}' AS annotation, CAST({c} AS VARCHAR) AS value FROM {src}" for c in cols)
+    return f""",
+lng AS ({unp}),
+cnt AS (SELECT annotation, value, count(*) AS count FROM lng WHERE value IS NOT NULL GROUP BY annotation, value),
+pc AS (SELECT annotation, sum(count) AS non_null, count(*) AS distinct FROM cnt GROUP BY annotation),
+rk AS (SELECT *, row_number() OVER (PARTITION BY annotation ORDER BY count DESC, value) AS rank FROM cnt)
+SELECT rk.annotation, pc.non_null, pc.distinct, rk.rank, rk.value, rk.count
+FROM rk JOIN pc USING (annotation) WHERE rank <= 5"""
+
+
+ORACLE["p03_categorical_summary"] = FBASE + _cat(["status", "ordered_at", "urgent", "batch"], "fcells")
+ORACLE["p03b_events_summary"] = "WITH dummy AS (SELECT 1)" + _cat(["event_type", "ts"], "events")
+
+ORACLE["p04_name_sample"] = BASE + "\nSELECT gene_idx, gene_id FROM m1_genes ORDER BY gene_idx LIMIT 5"
+
+ORACLE["p05_array_summary"] = """
+SELECT 'embedding' AS name, 'float' AS element_type, count(*) AS n_rows, max(len(embedding)) AS width
+FROM embeddings"""
+
+ORACLE["p06_matrix_line"] = BASE + """
+SELECT (SELECT count(*) FROM m1_cells) AS n_cells, (SELECT count(*) FROM m1_genes) AS n_genes,
+       'double' AS dtype, true AS sparse, count(*) AS nnz FROM m1_x"""
