@@ -290,3 +290,98 @@ def p05(spark, sf_dir) -> DataFrame:
 def p06(spark, sf_dir) -> DataFrame:
     from cellgrid.operators.describe import matrix_line
     return matrix_line(fx.m1(spark, sf_dir))
+
+
+# ------------------------------------------------------- T: tag lineage
+def _reads(spark, sf_dir):
+    return fx.r1_reads(spark, sf_dir)
+
+
+@query("t01_parse_r1")
+def t01(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.tags import parse_r1
+    return parse_r1(_reads(spark, sf_dir)).select("read_no", "cell", "umi")
+
+
+@query("t02_parse_r2")
+def t02(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.tags import parse_r2
+    return parse_r2(_reads(spark, sf_dir)).select("read_no", "bc14", "bc30")
+
+
+@query("t03_pair_filter")
+def t03(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.tags import parse_pairs
+    return parse_pairs(_reads(spark, sf_dir)).select("read_no", "cell", "umi", "bc14", "bc30")
+
+
+@query("j08_whitelist")
+def j08(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.tags import parse_pairs, whitelist
+    cells = fx.r1_cells(spark, sf_dir).cells
+    # keep only even users so the semi-join has something to remove
+    cells = cells.where(F.col("cell_idx") % 2 == 0)
+    return parse_pairs(_reads(spark, sf_dir)).join(whitelist(cells), "cell", "left_semi").select("read_no", "cell")
+
+
+def _observed(spark, sf_dir, col):
+    from cellgrid.operators.tags import parse_pairs
+    return parse_pairs(_reads(spark, sf_dir)).select(F.col(col).alias("seq"))
+
+
+@query("t04_exact_match")
+def t04(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.tags import match_tags
+    m = match_tags(_observed(spark, sf_dir, "bc14"), fx.r1_lib14(spark, sf_dir))
+    return m.where("exact").select("seq", "tag_id")
+
+
+@query("t05_corrected_match")
+def t05(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.tags import match_tags
+    m14 = match_tags(_observed(spark, sf_dir, "bc14"), fx.r1_lib14(spark, sf_dir))
+    m30 = match_tags(_observed(spark, sf_dir, "bc30"), fx.r1_lib30(spark, sf_dir))
+    return (m14.select("seq", "tag_id", "exact", F.lit(14).alias("lib"))
+            .unionByName(m30.select("seq", "tag_id", "exact", F.lit(30).alias("lib"))))
+
+
+@query("t06_kmer_nearest")
+def t06(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.tags import kmer_nearest
+    r = kmer_nearest(_observed(spark, sf_dir, "bc30"), fx.r1_lib30(spark, sf_dir))
+    return r.select("seq", "tag_id", F.round("distance", 9).alias("distance"))
+
+
+def _calls(spark, sf_dir):
+    from cellgrid.operators.tags import tag_calls
+    cd = fx.r1_cells(spark, sf_dir)
+    return tag_calls(cd.cells, _reads(spark, sf_dir), fx.r1_lib14(spark, sf_dir), fx.r1_lib30(spark, sf_dir))
+
+
+@query("t07_tag_counts")
+def t07(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.tags import parse_pairs, tag_counts, whitelist
+    cells = fx.r1_cells(spark, sf_dir).cells
+    pairs = parse_pairs(_reads(spark, sf_dir)).join(whitelist(cells), "cell", "left_semi")
+    return tag_counts(pairs, fx.r1_lib14(spark, sf_dir), fx.r1_lib30(spark, sf_dir))
+
+
+@query("t08_confident")
+def t08(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.tags import confident
+    return confident(t07(spark, sf_dir))
+
+
+@query("t09_assign")
+def t09(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.tags import annotate_tags
+    cd = fx.r1_cells(spark, sf_dir)
+    cd = annotate_tags(cd, _reads(spark, sf_dir), fx.r1_lib14(spark, sf_dir), fx.r1_lib30(spark, sf_dir),
+                       id_suffix="-1", log_summary=False)
+    return cd.cells.select("cell_id", "doublet", "tags")
+
+
+@query("t10_tag_summary")
+def t10(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.tags import tag_summary
+    return tag_summary(_calls(spark, sf_dir))

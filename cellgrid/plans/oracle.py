@@ -282,3 +282,81 @@ FROM embeddings"""
 ORACLE["p06_matrix_line"] = BASE + """
 SELECT (SELECT count(*) FROM m1_cells) AS n_cells, (SELECT count(*) FROM m1_genes) AS n_genes,
        'double' AS dtype, true AS sparse, count(*) AS nnz FROM m1_x"""
+
+# ----------------------------------------------------------------- T
+def _dna(s: str, n: int) -> str:
+    return (f"substr(translate(md5({s}) || md5({s} || '*'), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, {n})")
+
+
+def _mut(s: str, ks: list[int]) -> str:
+    for k in ks:
+        s = f"(substr({s}, 1, {k - 1}) || translate(substr({s}, {k}, 1), 'ACGT', 'CGTA') || substr({s}, {k + 1}))"
+    return s
+
+
+R1 = f"""
+WITH lib14 AS (SELECT CAST(n_nationkey AS BIGINT) AS pos, 'a' || CAST(n_nationkey AS VARCHAR) AS tag_id,
+                      {_dna("'a' || CAST(n_nationkey AS VARCHAR)", 14)} AS seq FROM nation WHERE n_nationkey < 5),
+lib30 AS (SELECT CAST(n_nationkey AS BIGINT) AS pos, 'b' || CAST(n_nationkey AS VARCHAR) AS tag_id,
+                 {_dna("'b' || CAST(n_nationkey AS VARCHAR)", 30)} AS seq FROM nation),
+ev AS (SELECT event_id, user_id, user_id % 5 AS p14,
+              CASE WHEN user_id % 4 = 0 AND event_id % 10 = 1 THEN (user_id + 1) % 25 ELSE user_id % 25 END AS p30
+       FROM events),
+reads AS (
+  SELECT ev.event_id AS read_no,
+         {_dna("'cell' || CAST(ev.user_id AS VARCHAR)", 16)} || {_dna("'umi' || CAST(ev.event_id AS VARCHAR)", 10)}
+           || CASE WHEN ev.event_id % 13 = 0 THEN 'TTGTTTTTTT' ELSE 'TTTTTTTTTT' END AS r1,
+         CASE WHEN ev.event_id % 7 = 0 THEN {_mut("l14.seq", [3])} ELSE l14.seq END
+           || CASE WHEN ev.event_id % 17 = 0 THEN 'TCGT' ELSE 'TGGT' END
+           || CASE WHEN ev.event_id % 11 = 0 THEN {_mut("l30.seq", [2, 9, 20])}
+                   WHEN ev.event_id % 5 = 0 THEN {_mut("l30.seq", [4, 17])} ELSE l30.seq END AS r2
+  FROM ev JOIN lib14 l14 ON l14.pos = ev.p14 JOIN lib30 l30 ON l30.pos = ev.p30),
+cells AS (SELECT DISTINCT user_id AS cell_idx, {_dna("'cell' || CAST(user_id AS VARCHAR)", 16)} || '-1' AS cell_id
+          FROM events),
+p1 AS (SELECT read_no, substr(r1, 1, 16) AS cell, substr(r1, 17, 10) AS umi, r2 FROM reads
+       WHERE substr(r1, 27, 4) = 'TTTT'),
+pairs AS (SELECT read_no, cell, umi, substr(r2, 1, 14) AS bc14, substr(r2, 19, 30) AS bc30 FROM p1
+          WHERE substr(r2, 15, 4) = 'TGGT'),
+wl AS (SELECT DISTINCT regexp_replace(cell_id, '-[^-]*$', '') AS cell FROM cells),
+wpairs AS (SELECT * FROM pairs WHERE cell IN (SELECT cell FROM wl)),
+m14 AS (SELECT s.seq, (SELECT l.tag_id FROM lib14 l WHERE length(l.seq) = length(s.seq)
+                        AND hamming(l.seq, s.seq) < 3 ORDER BY hamming(l.seq, s.seq) > 0, l.pos LIMIT 1) AS tag_id
+        FROM (SELECT DISTINCT bc14 AS seq FROM pairs) s),
+m30 AS (SELECT s.seq, (SELECT l.tag_id FROM lib30 l WHERE length(l.seq) = length(s.seq)
+                        AND hamming(l.seq, s.seq) < 3 ORDER BY hamming(l.seq, s.seq) > 0, l.pos LIMIT 1) AS tag_id
+        FROM (SELECT DISTINCT bc30 AS seq FROM pairs) s),
+counts AS (SELECT w.cell, m14.tag_id || ':' || m30.tag_id AS tag, count(*) AS n_reads
+           FROM wpairs w JOIN m14 ON m14.seq = w.bc14 JOIN m30 ON m30.seq = w.bc30
+           WHERE m14.tag_id IS NOT NULL AND m30.tag_id IS NOT NULL GROUP BY ALL),
+calls AS (SELECT cell, count(*) AS n_tags, max(tag) AS tag FROM counts WHERE n_reads > 1 GROUP BY cell)"""
+
+ORACLE["t01_parse_r1"] = R1 + "\nSELECT read_no, substr(r1, 1, 16) AS cell, substr(r1, 17, 10) AS umi FROM reads WHERE substr(r1, 27, 4) = 'TTTT'"
+ORACLE["t02_parse_r2"] = R1 + "\nSELECT read_no, substr(r2, 1, 14) AS bc14, substr(r2, 19, 30) AS bc30 FROM reads WHERE substr(r2, 15, 4) = 'TGGT'"
+ORACLE["t03_pair_filter"] = R1 + "\nSELECT read_no, cell, umi, bc14, bc30 FROM pairs"
+ORACLE["j08_whitelist"] = R1 + """
+SELECT read_no, cell FROM pairs
+WHERE cell IN (SELECT regexp_replace(cell_id, '-[^-]*$', '') FROM cells WHERE cell_idx % 2 = 0)"""
+ORACLE["t04_exact_match"] = R1 + "\nSELECT DISTINCT p.bc14 AS seq, l.tag_id FROM pairs p JOIN lib14 l ON l.seq = p.bc14"
+ORACLE["t05_corrected_match"] = R1 + """
+SELECT seq, tag_id, seq IN (SELECT seq FROM lib14) AS exact, 14 AS lib FROM m14 WHERE tag_id IS NOT NULL
+UNION ALL
+SELECT seq, tag_id, seq IN (SELECT seq FROM lib30) AS exact, 30 AS lib FROM m30 WHERE tag_id IS NOT NULL"""
+ORACLE["t06_kmer_nearest"] = R1 + """,
+obs AS (SELECT DISTINCT bc30 AS seq FROM pairs),
+ko AS (SELECT seq, substr(seq, i, 3) AS kmer, count(*) AS c FROM obs, range(1, 29) t(i)
+       WHERE regexp_full_match(substr(seq, i, 3), '[ACGT]{3}') GROUP BY ALL),
+kl AS (SELECT pos, tag_id, substr(seq, i, 3) AS kmer, count(*) AS c FROM lib30, range(1, 29) t(i)
+       WHERE regexp_full_match(substr(seq, i, 3), '[ACGT]{3}') GROUP BY ALL),
+no AS (SELECT seq, sqrt(sum(c * c)) AS n FROM ko GROUP BY seq),
+nl AS (SELECT pos, sqrt(sum(c * c)) AS n FROM kl GROUP BY pos),
+sims AS (SELECT ko.seq, kl.pos, kl.tag_id, 1 - sum(ko.c * kl.c) / (min(no.n) * min(nl.n)) AS distance
+         FROM ko JOIN kl USING (kmer) JOIN no ON no.seq = ko.seq JOIN nl ON nl.pos = kl.pos GROUP BY ko.seq, kl.pos, kl.tag_id)
+SELECT seq, arg_min(tag_id, (distance, pos)) AS tag_id, round(min(distance), 9) AS distance FROM sims GROUP BY seq"""
+ORACLE["t07_tag_counts"] = R1 + "\nSELECT cell, tag, n_reads FROM counts"
+ORACLE["t08_confident"] = R1 + "\nSELECT cell, tag, n_reads FROM counts WHERE n_reads > 1"
+ORACLE["t09_assign"] = R1 + """
+SELECT c.cell_id, coalesce(k.n_tags > 1, false) AS doublet,
+       coalesce(CASE WHEN k.n_tags = 1 THEN k.tag END, '') AS tags
+FROM cells c LEFT JOIN calls k ON k.cell || '-1' = c.cell_id"""
+ORACLE["t10_tag_summary"] = R1 + """
+SELECT count(*) FILTER (WHERE n_tags = 1) AS assigned, count(*) FILTER (WHERE n_tags > 1) AS doublets FROM calls"""
