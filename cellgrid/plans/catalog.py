@@ -385,3 +385,88 @@ def t09(spark, sf_dir) -> DataFrame:
 def t10(spark, sf_dir) -> DataFrame:
     from cellgrid.operators.tags import tag_summary
     return tag_summary(_calls(spark, sf_dir))
+
+
+# ------------------------------------------------------- E: emptyDrops
+@query("e01_ambient_set")
+def e01(spark, sf_dir) -> DataFrame:
+    cd = fx.m1(spark, sf_dir)
+    tot = totals.cell_totals(cd).where(F.col("total") <= 100)
+    return tot.join(cd.cells, "cell_idx").select("cell_id", "total")
+
+
+@query("e02_ambient_profile")
+def e02(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.emptydrops import ambient_profile
+    return ambient_profile(fx.m1(spark, sf_dir), lower=50)
+
+
+@query("e03_good_turing")
+def e03(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.emptydrops import ambient_proportions
+    p = ambient_proportions(fx.m1(spark, sf_dir), lower=50)
+    return p.select("gene_idx", "count", F.round(F.col("prop") * 1e6, 6).alias("prop_ppm"))
+
+
+def _loglik(alpha):
+    def run(spark, sf_dir) -> DataFrame:
+        from cellgrid.operators.emptydrops import ambient_proportions, log_likelihoods
+        cd = fx.m1(spark, sf_dir)
+        props = ambient_proportions(cd, lower=50)
+        tested = totals.cell_totals(cd).where(F.col("total") > 50)
+        ll = log_likelihoods(cd, props, alpha, tested)
+        return ll.select("cell_idx", "total", F.round("loglik", 4).alias("loglik"))
+    return run
+
+
+QUERIES["e05_loglik_multinomial"] = _loglik(float("inf"))
+QUERIES["e05b_loglik_dirichlet"] = _loglik(25.0)
+
+
+@query("e08_bh_adjust")
+def e08(spark, sf_dir) -> DataFrame:
+    from cellgrid.functions.stats import bh_adjust
+    o = fx.table(spark, sf_dir, "orders")
+    mx = o.agg(F.max("o_totalprice")).scalar()
+    p = o.select(F.col("o_orderkey").alias("cell_idx"),
+                 F.when(F.col("o_orderstatus") == "P", F.lit(None))
+                 .otherwise(F.round(F.col("o_totalprice") / mx, 3)).alias("pvalue"))
+    return bh_adjust(p, "pvalue", "fdr").select("cell_idx", "pvalue", F.round("fdr", 9).alias("fdr"))
+
+
+@query("e04_alpha_mle")
+def e04(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.emptydrops import ambient_proportions, estimate_alpha
+    cd = fx.m1(spark, sf_dir)
+    props = ambient_proportions(cd, lower=50)
+    a = estimate_alpha(cd, props, lower=50)
+    return props.agg(F.count(F.lit(1)).alias("n_genes")).select("n_genes", F.lit(a).alias("alpha"))
+
+
+@query("e06_monte_carlo_pvalues")
+def e06(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.emptydrops import ambient_proportions, monte_carlo_pvalues
+    cd = fx.m1(spark, sf_dir)
+    props = ambient_proportions(cd, lower=50)
+    tested = totals.cell_totals(cd).where(F.col("total") > 50)
+    return monte_carlo_pvalues(cd, props, float("inf"), tested, iters=1000, seed=1)
+
+
+@query("e09_emptydrops")
+def e09(spark, sf_dir) -> DataFrame:
+    cd = fx.m1(spark, sf_dir)
+    cd = cd.filter_emptydrops(lower=50, iters=1000, alpha=float("inf"), seed=1)
+    return cd.cells.select("cell_id", "emptydrops_fdr")
+
+
+@query("e10_cellranger")
+def e10(spark, sf_dir) -> DataFrame:
+    cd = fx.m1(spark, sf_dir)
+    cd = cd.filter_emptydrops(cellranger=True, iters=1000, seed=1, keep_all=True)
+    return cd.cells.select("cell_id", "emptydrops_fdr")
+
+
+@query("e12_ambient_pvalues")
+def e12(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.emptydrops import ambient_pvalues
+    return ambient_pvalues(fx.m1(spark, sf_dir), lower=50, alpha=float("inf"), iters=1000, seed=1)

@@ -360,3 +360,64 @@ SELECT c.cell_id, coalesce(k.n_tags > 1, false) AS doublet,
 FROM cells c LEFT JOIN calls k ON k.cell || '-1' = c.cell_id"""
 ORACLE["t10_tag_summary"] = R1 + """
 SELECT count(*) FILTER (WHERE n_tags = 1) AS assigned, count(*) FILTER (WHERE n_tags > 1) AS doublets FROM calls"""
+
+# ----------------------------------------------------------------- E
+AMB = XT + """,
+amb AS (SELECT x.gene_idx, sum(x.value) AS s FROM m1_x x JOIN xt USING (cell_idx) WHERE xt.total <= 50 GROUP BY 1),
+prof AS (SELECT g.gene_idx, coalesce(a.s, 0.0) AS count FROM (SELECT DISTINCT gene_idx FROM m1_x) g
+         LEFT JOIN amb a USING (gene_idx))"""
+
+ORACLE["e01_ambient_set"] = BASE + XT + "\nSELECT c.cell_id, xt.total FROM xt JOIN m1_cells c USING (cell_idx) WHERE xt.total <= 100"
+ORACLE["e02_ambient_profile"] = BASE + AMB + "\nSELECT gene_idx, count FROM prof"
+
+GT = AMB + """,
+ff AS (SELECT count AS r, count(*)::DOUBLE AS n FROM prof WHERE count > 0 GROUP BY 1),
+ffo AS (SELECT r, n, row_number() OVER (ORDER BY r) AS i,
+               coalesce(lag(r) OVER (ORDER BY r), 0) AS q, lead(r) OVER (ORDER BY r) AS t,
+               lead(n) OVER (ORDER BY r) AS n_next FROM ff),
+z AS (SELECT *, ln(2 * n / (coalesce(t, 2 * r - q) - q)) AS lz, ln(r) AS lr FROM ffo),
+fit AS (SELECT regr_slope(lz, lr) AS b FROM z),
+est AS (SELECT i, r, n, (r + 1) * pow((r + 1) / r, (SELECT b FROM fit)) AS y,
+               CASE WHEN t = r + 1 THEN (r + 1) * n_next / n END AS x,
+               CASE WHEN t = r + 1 THEN sqrt(pow(r + 1, 2) * n_next / pow(n, 2) * (1 + n_next / n)) END AS sd
+        FROM z),
+sw AS (SELECT min(i) AS s FROM est WHERE x IS NULL OR abs(x - y) <= 1.96 * sd),
+rs AS (SELECT r, n, CASE WHEN i < coalesce((SELECT s FROM sw), 1e18) THEN x ELSE y END AS rstar FROM est),
+cst AS (SELECT (SELECT sum(r * n) FROM ff) AS big_n, coalesce((SELECT n FROM ff WHERE r = 1), 0) AS n1,
+               (SELECT sum(n * rstar) FROM rs) AS norm, (SELECT count(*) FROM prof WHERE count = 0) AS n0),
+gt AS (SELECT p.gene_idx, p.count,
+              CASE WHEN p.count = 0 THEN (cst.n1 / cst.big_n) / cst.n0
+                   ELSE (1 - cst.n1 / cst.big_n) * rs.rstar / cst.norm END AS prop
+       FROM prof p CROSS JOIN cst LEFT JOIN rs ON rs.r = p.count)"""
+
+ORACLE["e03_good_turing"] = BASE + GT + "\nSELECT gene_idx, count, round(prop * 1e6, 6) AS prop_ppm FROM gt"
+
+
+def _ll_sql(alpha: str) -> str:
+    if alpha == "inf":
+        term, const = "x.value * ln(gt.prop) - lgamma(x.value + 1)", "lgamma(total + 1)"
+    else:
+        a = alpha
+        term = f"lgamma(x.value + {a} * gt.prop) - lgamma(x.value + 1) - lgamma({a} * gt.prop)"
+        const = f"lgamma(total + 1) + lgamma({a}) - lgamma(total + {a})"
+    return BASE + GT + f""",
+pc AS (SELECT x.cell_idx, sum({term}) AS s, sum(x.value) AS total
+       FROM m1_x x JOIN gt USING (gene_idx) WHERE x.cell_idx IN (SELECT cell_idx FROM xt WHERE total > 50)
+       GROUP BY x.cell_idx)
+SELECT cell_idx, total, round({const} + s, 4) AS loglik FROM pc"""
+
+
+ORACLE["e05_loglik_multinomial"] = _ll_sql("inf")
+ORACLE["e05b_loglik_dirichlet"] = _ll_sql("25.0")
+
+ORACLE["e08_bh_adjust"] = """
+WITH p AS (SELECT o_orderkey AS cell_idx,
+                  CASE WHEN o_orderstatus = 'P' THEN NULL
+                       ELSE round(o_totalprice / (SELECT max(o_totalprice) FROM orders), 3) END AS pvalue
+           FROM orders),
+m AS (SELECT count(*) AS m FROM p WHERE pvalue IS NOT NULL),
+rk AS (SELECT pvalue, count(*) OVER (ORDER BY pvalue RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r
+       FROM p WHERE pvalue IS NOT NULL),
+d AS (SELECT DISTINCT pvalue, r FROM rk),
+q AS (SELECT pvalue, least(1.0, min(pvalue * (SELECT m FROM m) / r) OVER (ORDER BY pvalue DESC)) AS fdr FROM d)
+SELECT p.cell_idx, p.pvalue, round(q.fdr, 9) AS fdr FROM p LEFT JOIN q USING (pvalue)"""
