@@ -470,3 +470,48 @@ def e10(spark, sf_dir) -> DataFrame:
 def e12(spark, sf_dir) -> DataFrame:
     from cellgrid.operators.emptydrops import ambient_pvalues
     return ambient_pvalues(fx.m1(spark, sf_dir), lower=50, alpha=float("inf"), iters=1000, seed=1)
+
+
+# ------------------------------------------------------- D: dispersion test
+def _price_pvalues(spark, sf_dir):
+    """Deterministic p-like values from the data (price / max price)."""
+    o = fx.table(spark, sf_dir, "orders")
+    mx = o.agg(F.max("o_totalprice")).scalar()
+    return o.select(F.col("o_orderkey").alias("cell_idx"), fx.cell_id_of(F.col("o_orderkey")).alias("cell_id"),
+                    (F.col("o_totalprice") / mx).alias("pvalue"))
+
+
+@query("d01_sample")
+def d01(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.dispersion import sample_pvalues
+    return sample_pvalues(_price_pvalues(spark, sf_dir), 100, seed=7).select("cell_id", "pvalue")
+
+
+@query("d02_ks_uniform")
+def d02(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.dispersion import ks_uniform, sample_pvalues
+    s = sample_pvalues(_price_pvalues(spark, sf_dir), 100, seed=7)
+    r = ks_uniform(s)
+    return r.select("n", F.round("d", 9).alias("d"), F.round("ks_pvalue", 9).alias("ks_pvalue"), "suitable")
+
+
+@query("d04_probplot")
+def d04(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.dispersion import probplot_table
+    _, fit = probplot_table(_price_pvalues(spark, sf_dir))
+    return fit.select(F.round("slope", 9).alias("slope"), F.round("intercept", 9).alias("intercept"),
+                      F.round("r", 9).alias("r"))
+
+
+@query("d04b_probplot_points")
+def d04b(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.dispersion import probplot_table
+    table, _ = probplot_table(_price_pvalues(spark, sf_dir))
+    return table.select("i", F.round("theoretical", 12).alias("theoretical"), "ordered")
+
+
+@query("d05_dispersion_test")
+def d05(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.dispersion import dispersion_test
+    summary, _, _ = dispersion_test(fx.m1(spark, sf_dir), alpha="non-dirichlet", lower=50, iters=500, seed=3)
+    return summary

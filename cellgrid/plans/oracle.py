@@ -421,3 +421,29 @@ rk AS (SELECT pvalue, count(*) OVER (ORDER BY pvalue RANGE BETWEEN UNBOUNDED PRE
 d AS (SELECT DISTINCT pvalue, r FROM rk),
 q AS (SELECT pvalue, least(1.0, min(pvalue * (SELECT m FROM m) / r) OVER (ORDER BY pvalue DESC)) AS fdr FROM d)
 SELECT p.cell_idx, p.pvalue, round(q.fdr, 9) AS fdr FROM p LEFT JOIN q USING (pvalue)"""
+
+# ----------------------------------------------------------------- D
+PP = """
+WITH pp AS (SELECT o_orderkey AS cell_idx, 'C' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || '-1' AS cell_id,
+                   o_totalprice / (SELECT max(o_totalprice) FROM orders) AS pvalue FROM orders),
+smp AS (SELECT cell_id, pvalue FROM pp ORDER BY md5('7' || cell_id), cell_id LIMIT 100)"""
+
+ORACLE["d01_sample"] = PP + "\nSELECT cell_id, pvalue FROM smp"
+ORACLE["d02_ks_uniform"] = PP + """,
+o AS (SELECT pvalue, row_number() OVER (ORDER BY pvalue, md5(CAST(pvalue AS VARCHAR))) AS i FROM smp),
+d AS (SELECT max(greatest(i / 100.0 - pvalue, pvalue - (i - 1) / 100.0)) AS d FROM o),
+lam AS (SELECT (sqrt(100) + 0.12 + 0.11 / sqrt(100)) * d AS l, d FROM d),
+ks AS (SELECT least(1.0, greatest(0.0, 2 * sum(CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * j * j * l * l))))
+         AS p FROM lam, range(1, 101) t(j))
+SELECT 100 AS n, round((SELECT d FROM d), 9) AS d, round(p, 9) AS ks_pvalue, p >= 0.05 AS suitable FROM ks"""
+
+PPALL = PP + """,
+n AS (SELECT count(*) AS n FROM pp),
+t AS (SELECT row_number() OVER (ORDER BY pvalue, cell_idx) AS i, pvalue AS ordered FROM pp),
+t2 AS (SELECT i, CASE WHEN i = 1 THEN 1 - pow(0.5, 1.0 / (SELECT n FROM n))
+                      WHEN i = (SELECT n FROM n) THEN pow(0.5, 1.0 / (SELECT n FROM n))
+                      ELSE (i - 0.3175) / ((SELECT n FROM n) + 0.365) END AS theoretical, ordered FROM t)"""
+ORACLE["d04_probplot"] = PPALL + """
+SELECT round(regr_slope(ordered, theoretical), 9) AS slope, round(regr_intercept(ordered, theoretical), 9) AS intercept,
+       round(corr(ordered, theoretical), 9) AS r FROM t2"""
+ORACLE["d04b_probplot_points"] = PPALL + "\nSELECT i, round(theoretical, 12) AS theoretical, ordered FROM t2"
