@@ -200,21 +200,21 @@ class CellData:
         from cellgrid.sources import native
         return native.save(self, path, compress=compress, write=write, force=force)
 
-    def export_mex(self, path: str, overwrite: bool = False) -> None:
+    def export_mex(self, path: str, overwrite: bool = False, single_file: bool = False) -> None:
         from cellgrid.sinks import text
-        text.export_mex(self, path, overwrite=overwrite)
+        text.export_mex(self, path, overwrite=overwrite, single_file=single_file)
 
-    def export_cells(self, path: str, overwrite: bool = False) -> None:
+    def export_cells(self, path: str, overwrite: bool = False, single_file: bool = False) -> None:
         from cellgrid.sinks import text
-        text.export_table(self, "cell", path, overwrite=overwrite)
+        text.export_table(self, "cell", path, overwrite=overwrite, single_file=single_file)
 
-    def export_genes(self, path: str, overwrite: bool = False) -> None:
+    def export_genes(self, path: str, overwrite: bool = False, single_file: bool = False) -> None:
         from cellgrid.sinks import text
-        text.export_table(self, "gene", path, overwrite=overwrite)
+        text.export_table(self, "gene", path, overwrite=overwrite, single_file=single_file)
 
-    def export_textmatrix(self, path: str, overwrite: bool = False) -> None:
+    def export_textmatrix(self, path: str, overwrite: bool = False, single_file: bool = False) -> None:
         from cellgrid.sinks import text
-        text.export_textmatrix(self, path, overwrite=overwrite)
+        text.export_textmatrix(self, path, overwrite=overwrite, single_file=single_file)
 
     def to_wide(self, **kw) -> DataFrame:
         from cellgrid.sinks import text

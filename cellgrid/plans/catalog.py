@@ -515,3 +515,82 @@ def d05(spark, sf_dir) -> DataFrame:
     from cellgrid.operators.dispersion import dispersion_test
     summary, _, _ = dispersion_test(fx.m1(spark, sf_dir), alpha="non-dirichlet", lower=50, iters=500, seed=3)
     return summary
+
+
+# ------------------------------------------------------- S/K: sources and sinks (round trips)
+def _scratch(spark, name):
+    from cellgrid.session import scratch_path
+    return scratch_path(spark, name)
+
+
+@query("k02_mex_roundtrip_cells")
+def k02(spark, sf_dir) -> DataFrame:
+    """M1 exported as a MEX folder (ordered part files), read back as 10x."""
+    from cellgrid.sources.mtx import read_10x_mtx
+    path = _scratch(spark, "mex")
+    fx.m1(spark, sf_dir).export_mex(path)
+    cd = read_10x_mtx(spark, path)
+    return cd.x.groupBy("cell_idx").agg(F.sum("value").alias("total")).join(cd.cells, "cell_idx") \
+        .select("cell_id", "total")
+
+
+@query("k02b_mex_roundtrip_genes")
+def k02b(spark, sf_dir) -> DataFrame:
+    from cellgrid.sources.mtx import read_10x_mtx
+    path = _scratch(spark, "mex")
+    fx.m1(spark, sf_dir).export_mex(path, single_file=True)
+    cd = read_10x_mtx(spark, path)
+    per = cd.x.groupBy("gene_idx").agg(F.sum("value").alias("umis"))
+    return cd.genes.join(per, "gene_idx", "left").select("gene_id", "gene_ids", "feature_types", "umis")
+
+
+@query("k03_cell_table_roundtrip")
+def k03(spark, sf_dir) -> DataFrame:
+    """Cell metadata exported as TSV, read back as an annotation table."""
+    from cellgrid.sources.tables import read_annotations
+    path = _scratch(spark, "cells") + ".tsv.gz"
+    cd = _f_data(spark, sf_dir)
+    cd = cd.replace(cells=cd.cells.drop("ordered_at"))
+    cd.export_cells(path)
+    return read_annotations(spark, path).select("barcode", "status", "urgent", "total_umis", "batch", "score")
+
+
+@query("k04_gene_table")
+def k04(spark, sf_dir) -> DataFrame:
+    from cellgrid.sinks.text import metadata_frame
+    return metadata_frame(fx.m1(spark, sf_dir), "gene").drop("gene_idx")
+
+
+@query("k05_wide_matrix")
+def k05(spark, sf_dir) -> DataFrame:
+    """Dense pivot of the 25-brand matrix (M1b); cells without counts included."""
+    from cellgrid.sinks.text import to_wide
+    return to_wide(fx.m1_brands(spark, sf_dir)).drop("cell_idx")
+
+
+@query("s04_native_roundtrip")
+def s04(spark, sf_dir) -> DataFrame:
+    from cellgrid.sources.native import load
+    path = _scratch(spark, "native")
+    cd = _f_data(spark, sf_dir)
+    cd.save(path, force=True)
+    back = load(spark, path)
+    return back.cells.select("cell_id", "status", "urgent", "total_umis", "batch", "score")
+
+
+@query("s01_mtx_read")
+def s01(spark, sf_dir) -> DataFrame:
+    """Matrix Market body written from M1 (cells x genes), read with ``read_mtx``."""
+    from cellgrid.sources.mtx import read_mtx
+    path = _scratch(spark, "mtx") + ".mtx"
+    cd = fx.m1(spark, sf_dir)
+    x = cd.x
+    n_rows = cd.cells.agg(F.max("cell_idx")).first()[0] + 1
+    n_cols = cd.genes.agg(F.max("gene_idx")).first()[0] + 1
+    head = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general",), ("% derived from lineitem",),
+                                  (f"{n_rows} {n_cols} {x.count()}",)], "value string").coalesce(1)
+    body = x.select(F.format_string("%d %d %s", F.col("cell_idx") + 1, F.col("gene_idx") + 1,
+                                    F.col("value").cast("string")).alias("value"))
+    head.union(body).write.text(path)
+    back = read_mtx(spark, path)
+    return back.x.groupBy("cell_idx").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("nnz"))

@@ -447,3 +447,23 @@ ORACLE["d04_probplot"] = PPALL + """
 SELECT round(regr_slope(ordered, theoretical), 9) AS slope, round(regr_intercept(ordered, theoretical), 9) AS intercept,
        round(corr(ordered, theoretical), 9) AS r FROM t2"""
 ORACLE["d04b_probplot_points"] = PPALL + "\nSELECT i, round(theoretical, 12) AS theoretical, ordered FROM t2"
+
+# ----------------------------------------------------------------- S / K
+ORACLE["k02_mex_roundtrip_cells"] = BASE + XT + "\nSELECT c.cell_id, xt.total FROM xt JOIN m1_cells c USING (cell_idx)"
+ORACLE["k02b_mex_roundtrip_genes"] = BASE + """
+SELECT g.gene_id, g.gene_ids, 'Gene Expression' AS feature_types, t.umis
+FROM m1_genes g LEFT JOIN (SELECT gene_idx, sum(value) AS umis FROM m1_x GROUP BY gene_idx) t USING (gene_idx)"""
+ORACLE["k03_cell_table_roundtrip"] = FBASE + """
+SELECT cell_id AS barcode, status, urgent, total_umis, batch, score FROM fcells"""
+ORACLE["k04_gene_table"] = BASE + "\nSELECT gene_id AS gene, gene_ids, brand, type, size, retail FROM m1_genes"
+ORACLE["s04_native_roundtrip"] = FBASE + "\nSELECT cell_id, status, urgent, total_umis, batch, score FROM fcells"
+ORACLE["s01_mtx_read"] = BASE + """
+SELECT cell_idx, sum(value) AS total, count(*) AS nnz FROM m1_x GROUP BY cell_idx"""
+
+ORACLE["k05_wide_matrix"] = BASE + """,
+b AS (SELECT DISTINCT p_brand AS brand FROM part),
+v AS (SELECT l.l_orderkey AS cell_idx, p.p_brand AS brand, sum(l.l_quantity) AS value
+      FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY ALL),
+full_grid AS (SELECT c.cell_idx, c.cell_id AS barcode, b.brand, coalesce(v.value, 0.0) AS value
+              FROM m1_cells c CROSS JOIN b LEFT JOIN v ON v.cell_idx = c.cell_idx AND v.brand = b.brand)
+SELECT * EXCLUDE (cell_idx) FROM (PIVOT full_grid ON brand USING sum(value) GROUP BY cell_idx, barcode)"""

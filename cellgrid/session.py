@@ -42,3 +42,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="cellgrid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never machine-local
+    on a cluster)."""
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cellgrid-io/{name}-{uuid.uuid4().hex}"

@@ -13,11 +13,44 @@ from cellgrid.sources.paths import require_exists
 def read_annotations(spark: SparkSession, path: str, header: bool = True,
                      schema=None) -> DataFrame:
     """Tab-separated table, columns kept in file order (``_c0``, ``_c1``...
-    without a header); types inferred unless ``schema`` is given; NaN -> null."""
+    without a header); NaN -> null.
+
+    A folder of ordered part files (what the exporters write) reads like the
+    single concatenated file: the header is the first line of the first part
+    only, found by position and removed by identity.  Column types are
+    inferred in one aggregation (bigint, then double, then boolean, else
+    string); ``schema`` (a list of Spark SQL type names) skips that pass.
+    """
     require_exists(spark, path)
-    reader = spark.read.option("sep", "\t").option("header", header).option("mode", "PERMISSIVE")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return nan_to_null(reader.csv(path))
+    raw = (spark.read.option("sep", "\t").option("header", False).option("inferSchema", False)
+           .option("mode", "PERMISSIVE").csv(path))
+    cols = raw.columns
+    raw = raw.select(*cols, F.col("_metadata.file_path").alias("_f"),
+                     F.col("_metadata.file_block_start").alias("_b"),
+                     F.monotonically_increasing_id().alias("_r"))
+    names = list(cols)
+    if header:
+        first = raw.agg(F.min(F.struct("_f", "_b", "_r", *cols)).alias("h")).first()["h"]
+        if first is None:
+            raise ValueError(f"{path} is empty")
+        names = [first[c] if first[c] is not None else f"_c{i}" for i, c in enumerate(cols)]
+        raw = raw.where(~((F.col("_f") == first["_f"]) & (F.col("_b") == first["_b"])
+                          & (F.col("_r") == first["_r"])))
+    data = raw.select(*[F.col(c).alias(n) for c, n in zip(cols, names)])
+    if schema is not None:
+        types = list(schema)
+    else:
+        checks = []
+        for n in names:
+            v = F.col(f"`{n}`")
+            for t in ("bigint", "double", "boolean"):
+                checks.append(F.count_if(v.isNotNull() & v.try_cast(t).isNull()).alias(f"{n}\x00{t}"))
+        bad = data.agg(*checks).first().asDict()
+        types = []
+        for n in names:
+            types.append(next((t for t in ("bigint", "double", "boolean") if bad[f"{n}\x00{t}"] == 0), "string"))
+    return nan_to_null(data.select(*[F.col(f"`{n}`").try_cast(t).alias(n) if t != "string" else F.col(f"`{n}`")
+                                     for n, t in zip(names, types)]))
 
 
 def read_values(spark: SparkSession, path: str) -> DataFrame:
