@@ -34,16 +34,25 @@ def _guard(spark, path: str, overwrite: bool) -> None:
         delete(spark, path)
 
 
-def _write_lines(lines: DataFrame, path: str, compress: bool, single_file: bool) -> None:
-    """Write one string column as text, keeping partition order."""
+def _write_lines(header: DataFrame, body: DataFrame, order: list[str], path: str, compress: bool,
+                 single_file: bool) -> None:
+    """Write ``header`` lines, then ``body`` lines in ``order`` (both frames have
+    a ``value`` string column; ``body`` also carries the order columns)."""
     codec = "gzip" if compress else "none"
+    spark = body.sparkSession
     if not single_file:
-        lines.write.mode("errorifexists").option("compression", codec).text(path)
+        # a union keeps partition order: the header is part-00000, then the
+        # range-partitioned, sorted body
+        sorted_body = body.orderBy(*order) if order else body
+        header.select("value").union(sorted_body.select("value")) \
+            .write.mode("errorifexists").option("compression", codec).text(path)
         return
-    spark = lines.sparkSession
+    keyed = (header.select("value", F.lit(0).alias("_k"), *[F.lit(None).alias(c) for c in order])
+             .unionByName(body.select("value", F.lit(1).alias("_k"), *order)))
     tmp = path + ".parts"
     delete(spark, tmp)
-    lines.coalesce(1).write.option("compression", codec).text(tmp)
+    (keyed.repartition(1).sortWithinPartitions("_k", *order).select("value")
+     .write.option("compression", codec).text(tmp))
     fs, p = _fs_path(spark, tmp)
     part = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")][0]
     _, target = _fs_path(spark, path)
@@ -51,6 +60,10 @@ def _write_lines(lines: DataFrame, path: str, compress: bool, single_file: bool)
     fs.delete(p, True)
 
 
+def _lines(spark, lines: list[str]) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in lines], "value string")
+
+
 def _fmt(c: Column, dtype: T.DataType) -> Column:
     """Text form: booleans as True/False (as pandas writes them), null as ''."""
     if isinstance(dtype, T.BooleanType):
@@ -80,16 +93,14 @@ def export_mex(cd: CellData, path: str, overwrite: bool = False, single_file: bo
     entries = (cd.x.join(cells.select("cell_idx", F.col("_pos").alias("_c")), "cell_idx")
                .join(genes.select("gene_idx", F.col("_pos").alias("_g")), "gene_idx"))
     nnz = entries.count()
-    header = spark.createDataFrame(
-        [("%%MatrixMarket matrix coordinate real general",), (f"{n_genes} {n_cells} {nnz}",)], "value string"
-    ).coalesce(1)
+    header = _lines(spark, ["%%MatrixMarket matrix coordinate real general", f"{n_genes} {n_cells} {nnz}"])
     body = entries.select(F.format_string("%d %d %s", F.col("_g") + 1, F.col("_c") + 1,
                                           F.regexp_replace(F.col("value").cast("string"), r"\.0$", "")).alias("value"))
-    _write_lines(header.union(body), f"{path}/matrix.mtx.gz", True, single_file)
-    _write_lines(cells.orderBy("_pos").select(F.col("cell_id").alias("value")), f"{path}/barcodes.tsv.gz", True,
-                 single_file)
-    _write_lines(genes.orderBy("_pos").select(F.concat_ws("\t", "_id", "gene_id", "_type").alias("value")),
-                 f"{path}/features.tsv.gz", True, single_file)
+    _write_lines(header, body, [], f"{path}/matrix.mtx.gz", True, single_file)  # any entry order is valid
+    _write_lines(_lines(spark, []), cells.select(F.col("cell_id").alias("value"), "_pos"), ["_pos"],
+                 f"{path}/barcodes.tsv.gz", True, single_file)
+    _write_lines(_lines(spark, []), genes.select(F.concat_ws("\t", "_id", "gene_id", "_type").alias("value"), "_pos"),
+                 ["_pos"], f"{path}/features.tsv.gz", True, single_file)
 
 
 def metadata_frame(cd: CellData, axis: str) -> DataFrame:
@@ -107,10 +118,10 @@ def export_table(cd: CellData, axis: str, path: str, overwrite: bool = False, si
     frame = metadata_frame(cd, axis)
     idx = frame.columns[0]
     fields = [f for f in frame.schema.fields if f.name != idx]
-    header = spark.createDataFrame([("\t".join(f.name for f in fields),)], "value string").coalesce(1)
-    body = frame.orderBy(idx).select(F.concat_ws("\t", *[_fmt(F.col(f"`{f.name}`"), f.dataType)
-                                                       for f in fields]).alias("value"))
-    _write_lines(header.union(body), path, path.endswith(".gz"), single_file)
+    header = _lines(spark, ["\t".join(f.name for f in fields)])
+    body = frame.select(F.concat_ws("\t", *[_fmt(F.col(f"`{f.name}`"), f.dataType) for f in fields]).alias("value"),
+                        idx)
+    _write_lines(header, body, [idx], path, path.endswith(".gz"), single_file)
 
 
 def to_wide(cd: CellData, max_pivot: int = PIVOT_MAX_GENES) -> DataFrame:
@@ -148,12 +159,11 @@ def export_textmatrix(cd: CellData, path: str, overwrite: bool = False, single_f
     genes = cd.genes.select("gene_idx", "gene_id")
     glist = genes.agg(F.array_sort(F.collect_list(F.struct("gene_idx", "gene_id"))).alias("g"))  # one row
     header = glist.select(F.concat_ws("\t", F.lit("barcode"), F.transform("g", lambda s: s["gene_id"]))
-                          .alias("value")).coalesce(1)
+                          .alias("value"))
     per = cd.x.groupBy("cell_idx").agg(F.map_from_entries(F.collect_list(F.struct("gene_idx", "value"))).alias("m"))
     rows = (cd.cells.select("cell_idx", "cell_id").join(per, "cell_idx", "left")
             .withColumn("g", glist.select("g").scalar())  # scalar subquery: evaluated once
-            .orderBy("cell_idx")
             .select(F.concat_ws("\t", F.col("cell_id"), F.transform(
                 "g", lambda s: F.regexp_replace(F.coalesce(F.col("m")[s["gene_idx"]], F.lit(0.0)).cast("string"),
-                                                r"\.0$", ""))).alias("value")))
-    _write_lines(header.union(rows), path, path.endswith(".gz"), single_file)
+                                                r"\.0$", ""))).alias("value"), "cell_idx"))
+    _write_lines(header, rows, ["cell_idx"], path, path.endswith(".gz"), single_file)
