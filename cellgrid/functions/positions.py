@@ -1,7 +1,9 @@
 """Global order without a single-partition window.
 
 ``dense_positions`` numbers rows 0..n-1 in a total order; ``running_sums``
-adds inclusive running sums.  Both range-partition the rows, tag every row
+adds inclusive running sums.  Inputs with a bounded row count (histograms of
+distinct values, gene lists; at most ``SMALL_TABLE_ROWS``) use one ordered
+window.  Anything larger is range-partitioned: every row is tagged
 with (partition, row inside partition), and write that frame once with a
 reliable ``checkpoint()`` into the folder named by ``spark.checkpoint.dir``.
 Counts/sums per partition (one row per partition) become offsets through a
@@ -25,6 +27,24 @@ from cellgrid.session import ensure_checkpoint_dir
 _LOW33 = (1 << 33) - 1
 
 
+# Tables up to this many rows (gene/feature lists, histograms, libraries) may
+# be ordered by a single window: one task handles at most this many rows.
+SMALL_TABLE_ROWS = 5_000_000
+
+
+def is_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> bool:
+    """Bounded row-count check (stops counting after ``max_rows + 1``)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a derived table that several later jobs read (cell totals, gene
+    profiles, likelihoods) once, to the shared checkpoint folder, so the
+    matrix behind it is scanned once and lost executors re-read the files."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _n_parts(df: DataFrame, n: int | None) -> int:
     if n:
         return int(n)
@@ -39,9 +59,18 @@ def _tagged(df: DataFrame, order: list, n: int) -> DataFrame:
 
 
 def dense_positions(df: DataFrame, order: list, name: str = "pos", start: int = 0,
-                    n_parts: int | None = None) -> DataFrame:
+                    n_parts: int | None = None, small: bool | None = None) -> DataFrame:
     """Add ``name`` = 0-based (or ``start``-based) position of each row in
-    ``order``.  ``order`` should be a total order (append a unique key)."""
+    ``order``.  ``order`` should be a total order (append a unique key).
+
+    Inputs of at most ``SMALL_TABLE_ROWS`` rows (checked, unless ``small`` or
+    ``n_parts`` is given) use one ordered window, lazily; larger inputs the
+    checkpointed distributed method.
+    """
+    if small is None and n_parts is None:
+        small = is_small(df)
+    if small:
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("bigint"))
     s = _tagged(df, order, _n_parts(df, n_parts)).withColumn("_part", F.shiftright("_mid", 33))
     counts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,8 +82,16 @@ def dense_positions(df: DataFrame, order: list, name: str = "pos", start: int =
 
 
 def running_sums(df: DataFrame, order: list, sums: dict[str, Column],
-                 n_parts: int | None = None) -> DataFrame:
-    """Add inclusive running sums ``{name: column}`` in ``order``."""
+                 n_parts: int | None = None, small: bool | None = None) -> DataFrame:
+    """Add inclusive running sums ``{name: column}`` in ``order`` (small inputs:
+    one ordered window; larger: checkpointed distributed method)."""
+    if small is None and n_parts is None:
+        small = is_small(df)
+    if small:
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        for k, c in sums.items():
+            df = df.withColumn(k, F.sum(c).over(w))
+        return df
     for k, c in sums.items():
         df = df.withColumn(f"_v_{k}", c)
     s = _tagged(df, order, _n_parts(df, n_parts)).withColumn("_part", F.shiftright("_mid", 33))

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from cellgrid.data import CellData
 from cellgrid.functions.joins import small_or_none
+from cellgrid.functions.positions import materialize
 from cellgrid.functions.stats import bh_adjust, good_turing_proportions, lgamma
 from cellgrid.operators.totals import cell_totals
 
@@ -35,30 +36,32 @@ INF = float("inf")
 
 
 # ------------------------------------------------------------------ E1-E3
-def ambient_profile(cd: CellData, lower: float = 100) -> DataFrame:
+def ambient_profile(cd: CellData, lower: float = 100, totals: DataFrame | None = None) -> DataFrame:
     """E1+E2: ``(gene_idx, count)`` summed over barcodes with total <= lower,
-    for every gene with at least one count in the matrix (zeros kept)."""
-    x = cd.x
-    tot = cell_totals(cd)
-    amb_cells = tot.where(F.col("total") <= lower).select("cell_idx")
-    amb = (x.join(amb_cells, "cell_idx", "left_semi").groupBy("gene_idx")
-           .agg(F.sum("value").alias("count")))
-    present = x.select("gene_idx").distinct()
-    return present.join(amb, "gene_idx", "left").select(
-        "gene_idx", F.coalesce(F.col("count"), F.lit(0.0)).alias("count"))
-
-
-def ambient_proportions(cd: CellData, lower: float = 100, conf: float = 1.96) -> DataFrame:
-    """``(gene_idx, count, prop)``."""
-    prof = ambient_profile(cd, lower)
+    for every gene with at least one count in the matrix (zeros kept).
+
+    One pass over the matrix: entries are flagged ambient by a join with the
+    per-cell totals and summed per gene (genes seen only outside the ambient
+    set get 0)."""
+    tot = totals if totals is not None else cell_totals(cd)
+    flag = tot.select("cell_idx", (F.col("total") <= lower).alias("_amb"))
+    return (cd.x.join(flag, "cell_idx").groupBy("gene_idx")
+            .agg(F.sum(F.when(F.col("_amb"), F.col("value")).otherwise(F.lit(0.0))).alias("count")))
+
+
+def ambient_proportions(cd: CellData, lower: float = 100, conf: float = 1.96,
+                        totals: DataFrame | None = None) -> DataFrame:
+    """``(gene_idx, count, prop)`` (written once: genes-sized, read many times)."""
+    prof = materialize(ambient_profile(cd, lower, totals))
     if prof.where(F.col("count") > 0).limit(1).count() == 0:
         raise ValueError(f"no ambient counts: no barcode has a total <= {lower}")
-    return good_turing_proportions(prof, "gene_idx", "count", conf)
+    return materialize(good_turing_proportions(prof, "gene_idx", "count", conf))
 
 
 # ------------------------------------------------------------------ E4
 def estimate_alpha(cd: CellData, props: DataFrame, lower: float = 100,
-                   interval=(0.01, 10000.0), grid: int = 24, rounds: int = 4) -> float:
+                   totals: DataFrame | None = None, interval=(0.01, 10000.0), grid: int = 24,
+                   rounds: int = 4) -> float:
     """MLE of the Dirichlet-multinomial concentration over ambient barcodes.
 
     The data are compressed first to ``(gene, count, n_cells)`` and
@@ -66,11 +69,11 @@ def estimate_alpha(cd: CellData, props: DataFrame, lower: float = 100,
     one aggregation (array column, lgamma per element).  The grid is refined
     around the best point a few times on a log scale.
     """
-    tot = cell_totals(cd)
+    tot = totals if totals is not None else cell_totals(cd)
     amb_cells = tot.where(F.col("total") <= lower)
-    entries = (cd.x.join(amb_cells.select("cell_idx"), "cell_idx", "left_semi")
-               .groupBy("gene_idx", "value").agg(F.count(F.lit(1)).alias("n"))
-               .join(small_or_none(props.select("gene_idx", "prop")), "gene_idx"))
+    entries = materialize(cd.x.join(amb_cells.select("cell_idx"), "cell_idx", "left_semi")
+                          .groupBy("gene_idx", "value").agg(F.count(F.lit(1)).alias("n"))
+                          .join(small_or_none(props.select("gene_idx", "prop")), "gene_idx"))
     totals = amb_cells.groupBy("total").agg(F.count(F.lit(1)).alias("n"))
     n_cells = amb_cells.count()
     lo, hi = math.log(interval[0]), math.log(interval[1])
@@ -183,7 +186,7 @@ def monte_carlo_pvalues(cd: CellData, props: DataFrame, alpha: float, tested: Da
                         iters: int = 10000, seed: int = 0) -> DataFrame:
     """``(cell_idx, total, loglik, pvalue)`` for the barcodes in ``tested``."""
     spark = cd.spark
-    ll = log_likelihoods(cd, props, alpha, tested)
+    ll = materialize(log_likelihoods(cd, props, alpha, tested))
     prof = props.orderBy("gene_idx").select("prop").toPandas()["prop"].to_numpy()  # one value per gene
     totals = np.sort(ll.select("total").distinct().toPandas()["total"].to_numpy())  # distinct totals
     if totals.size == 0:
@@ -204,14 +207,15 @@ def emptydrops_table(cd: CellData, lower: float = 100, iters: int = 10000, retai
     frame and the resolved parameters (lower, alpha, retain)."""
     from cellgrid.operators.ranks import knee_inflection
 
-    props = ambient_proportions(cd, lower, conf)
+    tot = materialize(cell_totals(cd))  # cells-sized; the matrix is aggregated once
+    props = ambient_proportions(cd, lower, conf, tot)
     if alpha is None:
-        alpha = estimate_alpha(cd, props, lower)
-    tot = cell_totals(cd)
+        alpha = estimate_alpha(cd, props, lower, tot)
+
     if test_ambient:
         retain = INF
     elif retain is None:
-        retain, _ = knee_inflection(cd, lower=lower)
+        retain, _ = knee_inflection(cd, lower=lower, totals=tot)
     tested = tot.where(F.col("total") > 0) if test_ambient else tot.where(F.col("total") > lower)
     # p is forced to 0 at or above retain: no need to simulate up there
     to_sim = tested if test_ambient else tested.where(F.col("total") < retain)

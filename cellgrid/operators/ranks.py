@@ -73,8 +73,9 @@ def knee_inflection_frame(hist: DataFrame, lower: float = 100, exclude_from: flo
         left_total.alias("left_total"), right_total.alias("right_total"), "n_points")
 
 
-def knee_inflection(cd: CellData, lower: float = 100, exclude_from: float = 50) -> tuple[float, float]:
-    hist = rank_histogram(cell_totals(cd))
+def knee_inflection(cd: CellData, lower: float = 100, exclude_from: float = 50,
+                    totals: DataFrame | None = None) -> tuple[float, float]:
+    hist = rank_histogram(totals if totals is not None else cell_totals(cd))
     row = knee_inflection_frame(hist, lower, exclude_from).first()
     if row["n_points"] < 3:
         raise ValueError("insufficient unique points for computing knee/inflection points")

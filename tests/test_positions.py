@@ -22,10 +22,14 @@ def test_running_sums(spark):
     assert sorted(got.select("k", "cum").collect()) == sorted(want.select("k", "cum").collect())
 
 
-def test_make_unique_with_collisions(spark):
-    rows = [(0, "a"), (1, "a"), (2, "a-1"), (3, "b"), (4, "a"), (5, "b"), (6, "a-2"), (7, "a")]
+import pytest
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_make_unique_with_collisions(spark, small):
+    rows = [(0, "a"), (1, "a"), (2, "a-1"), (3, "b"), (4, "a"), (5, "b"), (6, "a-2"), (7, "a"), (8, "a-1")]
     df = spark.createDataFrame(rows, "idx bigint, name string")
-    got = {r["idx"]: r["name"] for r in make_unique(df, "name", "idx").collect()}
+    got = {r["idx"]: r["name"] for r in make_unique(df, "name", "idx", small=small).collect()}
     # python reference of the rule: i-th repeat gets the i-th free integer
     names = [n for _, n in rows]
     taken = set(names)
@@ -43,3 +47,14 @@ def test_make_unique_with_collisions(spark):
                 expect[i] = cand
                 break
     assert got == expect
+
+
+def test_small_paths_equal_distributed(spark):
+    df = spark.range(0, 800, 1, 3).select(F.col("id"), ((F.col("id") * 31) % 50).alias("k"))
+    a = dense_positions(df, [F.col("k"), F.col("id")], name="pos", small=True)
+    b = dense_positions(df, [F.col("k"), F.col("id")], name="pos", small=False)
+    assert sorted(a.collect()) == sorted(b.collect())
+    h = df.groupBy("k").agg(F.count("*").alias("n"))
+    c = running_sums(h, [F.col("k")], {"cum": F.col("n")}, small=True)
+    d = running_sums(h, [F.col("k")], {"cum": F.col("n")}, small=False)
+    assert sorted(c.collect()) == sorted(d.collect())
