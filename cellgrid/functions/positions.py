@@ -82,26 +82,33 @@ def dense_positions(df: DataFrame, order: list, name: str = "pos", start: int =
 
 
 def running_sums(df: DataFrame, order: list, sums: dict[str, Column],
-                 n_parts: int | None = None, small: bool | None = None) -> DataFrame:
-    """Add inclusive running sums ``{name: column}`` in ``order`` (small inputs:
-    one ordered window; larger: checkpointed distributed method)."""
+                 n_parts: int | None = None, small: bool | None = None, agg: str = "sum") -> DataFrame:
+    """Add inclusive running aggregates ``{name: column}`` in ``order``;
+    ``agg`` is ``sum`` or ``min`` (small inputs: one ordered window; larger:
+    checkpointed distributed method with per-partition offsets)."""
+    fn = {"sum": F.sum, "min": F.min}[agg]
     if small is None and n_parts is None:
         small = is_small(df)
     if small:
         w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         for k, c in sums.items():
-            df = df.withColumn(k, F.sum(c).over(w))
+            df = df.withColumn(k, fn(c).over(w))
         return df
     for k, c in sums.items():
         df = df.withColumn(f"_v_{k}", c)
     s = _tagged(df, order, _n_parts(df, n_parts)).withColumn("_part", F.shiftright("_mid", 33))
-    parts = s.groupBy("_part").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    parts = s.groupBy("_part").agg(*[fn(f"_v_{k}").alias(f"_t_{k}") for k in sums])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("_part", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}")
-                                      for k in sums])
+    offsets = parts.select("_part", *[fn(f"_t_{k}").over(before).alias(f"_o_{k}") for k in sums])
     # inside a partition the stored _mid is the row order
     inside = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
     out = s.join(F.broadcast(offsets), "_part")  # one row per partition
     for k in sums:
-        out = out.withColumn(k, F.col(f"_o_{k}") + F.sum(f"_v_{k}").over(inside))
+        here = fn(f"_v_{k}").over(inside)
+        off = F.col(f"_o_{k}")
+        if agg == "sum":
+            val = F.coalesce(off, F.lit(0)) + here
+        else:
+            val = F.when(off.isNull(), here).otherwise(F.least(off, here))
+        out = out.withColumn(k, val)
     return out.drop("_mid", "_part", *[f"_v_{k}" for k in sums], *[f"_o_{k}" for k in sums])

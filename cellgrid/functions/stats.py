@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.functions.positions import running_sums
+from cellgrid.functions.positions import materialize, running_sums
 
 _HALF_LOG_2PI = 0.5 * math.log(2 * math.pi)
 
@@ -44,7 +44,7 @@ def good_turing_proportions(counts: DataFrame, key: str = "gene_idx", count: str
     """
     seen = counts.where(F.col(count) > 0)
     ff = seen.groupBy(F.col(count).cast("double").alias("r")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    ff = running_sums(ff, [F.col("r")], {"i": F.lit(1)})
+    ff = materialize(running_sums(ff, [F.col("r")], {"i": F.lit(1)}))  # distinct counts, read many times
     prev = ff.select((F.col("i") + 1).alias("i"), F.col("r").alias("q"))
     nxt = ff.select((F.col("i") - 1).alias("i"), F.col("r").alias("t"), F.col("n").alias("n_next"))
     z = (ff.join(prev, "i", "left").join(nxt, "i", "left")
@@ -71,7 +71,7 @@ def good_turing_proportions(counts: DataFrame, key: str = "gene_idx", count: str
     p0 = n1 / n_tot
     props = rstar.select("r", ((1 - p0) * F.col("rstar") / norm).alias("p_seen"))
     n0 = counts.agg(F.count_if(F.col(count) == 0)).scalar()
-    out = counts.join(F.broadcast(props), F.col(count).cast("double") == F.col("r"), "left")  # distinct counts
+    out = counts.join(props, F.col(count).cast("double") == F.col("r"), "left")  # AQE broadcasts it
     return out.select(key, count, F.when(F.col(count) == 0, p0 / n0).otherwise(F.col("p_seen")).alias("prop"))
 
 
@@ -80,12 +80,15 @@ def bh_adjust(pvals: DataFrame, p: str = "pvalue", out: str = "fdr") -> DataFram
 
     Works on the histogram of distinct p-values (at most iterations + 2 rows
     for Monte-Carlo p-values): rank = cumulative count ascending, ``p*m/rank``,
-    reverse running minimum, capped at 1, joined back.
+    running minimum from the largest p down, capped at 1, joined back.  Both
+    running steps use the distributed ordering helpers, so any number of
+    distinct p-values works.
     """
     tested = pvals.where(F.col(p).isNotNull())
     hist = tested.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    hist = running_sums(hist, [F.col("_p")], {"_cum": F.col("_n")})
+    hist = materialize(running_sums(hist, [F.col("_p")], {"_cum": F.col("_n")}))
     m = hist.agg(F.sum("_n")).scalar()
-    w = Window.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    adj = hist.select("_p", F.least(F.lit(1.0), F.min(F.col("_p") * m / F.col("_cum")).over(w)).alias(out))
-    return pvals.join(F.broadcast(adj), pvals[p].eqNullSafe(adj["_p"]) & pvals[p].isNotNull(), "left").drop("_p")
+    raw = hist.select("_p", (F.col("_p") * m / F.col("_cum")).alias("_q"))
+    adj = running_sums(raw, [F.col("_p").desc()], {"_qmin": F.col("_q")}, agg="min")
+    adj = adj.select("_p", F.least(F.lit(1.0), F.col("_qmin")).alias(out))
+    return pvals.join(adj, pvals[p].eqNullSafe(adj["_p"]) & pvals[p].isNotNull(), "left").drop("_p")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellgrid.data import CellData
-from cellgrid.functions.positions import running_sums
+from cellgrid.functions.positions import materialize, running_sums
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -29,7 +29,7 @@ def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75)) -> DataFra
     """One row ``q0, q1, ...``: linear-interpolation quantiles (pandas style)."""
     h = (df.where(F.col(f"`{col}`").isNotNull()).groupBy(F.col(f"`{col}`").cast("double").alias("v"))
          .agg(F.count(F.lit(1)).alias("n")))
-    h = running_sums(h, [F.col("v")], {"cum": F.col("n")})
+    h = materialize(running_sums(h, [F.col("v")], {"cum": F.col("n")}))
     total = h.agg(F.sum("n")).scalar()
     cols, aggs = [], []
     for j, p in enumerate(probs):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cellgrid.data import CellData
 from cellgrid.functions.joins import small_or_none
-from cellgrid.functions.positions import running_sums
+from cellgrid.functions.positions import materialize, running_sums
 from cellgrid.operators.totals import cell_totals
 
 
@@ -29,7 +29,7 @@ def rank_histogram(totals: DataFrame) -> DataFrame:
 
 def barcode_ranks(cd: CellData) -> DataFrame:
     """``(cell_idx, cell_id, total, rank)`` for cells with counts."""
-    tot = cell_totals(cd)
+    tot = materialize(cell_totals(cd))  # used twice: histogram and join back
     hist = rank_histogram(tot)
     ranked = tot.join(small_or_none(hist.select("total", "rank")), "total")
     return ranked.join(cd.cells.select("cell_idx", "cell_id"), "cell_idx").select(
@@ -46,8 +46,9 @@ def knee_inflection_frame(hist: DataFrame, lower: float = 100, exclude_from: flo
     knee is the interior point between the edges highest above the chord
     joining them (the left edge if there is no interior point).
     """
-    p = hist.where(F.col("total") > lower).select(
-        "i", "total", F.log10("rank").alias("x"), F.log10("total").alias("y"))
+    # distinct totals only; written once because every scalar below reads it
+    p = materialize(hist.where(F.col("total") > lower).select(
+        "i", "total", F.log10("rank").alias("x"), F.log10("total").alias("y")))
     m = p.agg(F.count(F.lit(1))).scalar()
     k = p.agg(F.count_if(F.col("x") <= F.log10(F.lit(float(exclude_from))))).scalar()
     skip = F.least(m - 2, k)
@@ -123,7 +124,7 @@ def rank_plot_summary(cd: CellData, algorithm: str | None = None) -> DataFrame:
     """One row: algorithm, passing cells, knee/inflection and their label points."""
     algorithm = algorithm or _algorithm(cd)
     lower = float(cd.get_parameter("emptydrops", "lower")) if algorithm == "emptydrops" else 50.0
-    hist = rank_histogram(cell_totals(cd))
+    hist = materialize(rank_histogram(cell_totals(cd)))
     ki = knee_inflection_frame(hist, lower)
     knee, infl = ki.select("knee").scalar(), ki.select("inflection").scalar()
     kp, ip = label_point(hist, knee), label_point(hist, infl)

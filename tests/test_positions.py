@@ -58,3 +58,10 @@ def test_small_paths_equal_distributed(spark):
     c = running_sums(h, [F.col("k")], {"cum": F.col("n")}, small=True)
     d = running_sums(h, [F.col("k")], {"cum": F.col("n")}, small=False)
     assert sorted(c.collect()) == sorted(d.collect())
+
+
+def test_running_min_distributed(spark):
+    df = spark.range(0, 500, 1, 4).select(F.col("id"), ((F.col("id") * 37) % 101).cast("double").alias("v"))
+    a = running_sums(df, [F.col("id").desc()], {"m": F.col("v")}, agg="min", small=True)
+    b = running_sums(df, [F.col("id").desc()], {"m": F.col("v")}, agg="min", n_parts=5)
+    assert sorted(a.select("id", "m").collect()) == sorted(b.select("id", "m").collect())
