@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from cellgrid.data import CellData
 from cellgrid.functions.joins import small_or_none
+from cellgrid.functions.positions import materialize
 
 log = logging.getLogger("cellgrid")
 
@@ -133,14 +134,22 @@ def kmer_nearest(observed: DataFrame, lib: DataFrame) -> DataFrame:
 
 
 def tag_counts(pairs: DataFrame, bc14: DataFrame, bc30: DataFrame) -> DataFrame:
-    """``(cell, tag, n_reads)`` with ``tag = id14:id30``; both halves must match."""
-    m14 = match_tags(pairs.select(F.col("bc14").alias("seq")), bc14).select(
+    """``(cell, tag, n_reads)`` with ``tag = id14:id30``; both halves must match.
+
+    The reads are passed over once: they are first counted per distinct
+    ``(cell, bc14, bc30)`` (partial aggregation on the map side, so a cell
+    holding a large share of the reads is pre-reduced in every task).  That
+    much smaller table is written once and feeds both tag matchings and the
+    final count.
+    """
+    combos = materialize(pairs.groupBy("cell", "bc14", "bc30").agg(F.count(F.lit(1)).alias("n")))
+    m14 = match_tags(combos.select(F.col("bc14").alias("seq")), bc14).select(
         F.col("seq").alias("bc14"), F.col("tag_id").alias("id14"))
-    m30 = match_tags(pairs.select(F.col("bc30").alias("seq")), bc30).select(
+    m30 = match_tags(combos.select(F.col("bc30").alias("seq")), bc30).select(
         F.col("seq").alias("bc30"), F.col("tag_id").alias("id30"))
-    matched = pairs.join(m14, "bc14").join(m30, "bc30")
+    matched = combos.join(m14, "bc14").join(m30, "bc30")
     return (matched.groupBy("cell", F.concat_ws(":", "id14", "id30").alias("tag"))
-            .agg(F.count(F.lit(1)).alias("n_reads")))
+            .agg(F.sum("n").alias("n_reads")))
 
 
 def confident(counts: DataFrame) -> DataFrame:

@@ -108,8 +108,7 @@ def dna(s: Column, n: int) -> Column:
 def mutate(s: Column, positions: list[int]) -> Column:
     """Replace each 1-based position by the next base (A->C->G->T->A)."""
     for k in positions:
-        s = F.concat(F.substring(s, 1, k - 1), F.translate(F.substring(s, k, 1), "ACGT", "CGTA"),
-                     F.substring(s, k + 1, 1 << 20))
+        s = F.overlay(s, F.translate(F.substring(s, k, 1), "ACGT", "CGTA"), F.lit(k), F.lit(1))
     return s
 
 
