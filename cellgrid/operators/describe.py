@@ -77,6 +77,9 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None, top: in
     cols = columns if columns is not None else [
         f.name for f in df.schema.fields
         if not _is_numeric(f.dataType) and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    if not cols:
+        return df.sparkSession.createDataFrame(
+            [], "annotation string, non_null bigint, distinct bigint, rank int, value string, count bigint")
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("annotation"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols
     ])).alias("kv")).select("kv.annotation", "kv.value").where(F.col("value").isNotNull())

@@ -594,3 +594,15 @@ def s01(spark, sf_dir) -> DataFrame:
     head.union(body).write.text(path)
     back = read_mtx(spark, path)
     return back.x.groupBy("cell_idx").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("nnz"))
+
+
+@query("w04_rank_plot_emptydrops")
+def w04(spark, sf_dir) -> DataFrame:
+    """Segments of the emptyDrops rank plot: retained / middle / ambient, a point
+    on a threshold in both; retain = knee at lower 50 (what emptyDrops stores)."""
+    from cellgrid.operators.ranks import knee_inflection, rank_plot_table
+    cd = fx.m1(spark, sf_dir)
+    knee, _ = knee_inflection(cd, lower=50)
+    for k, v in (("lower", 50.0), ("alpha", float("inf")), ("retain", knee), ("fdr_cutoff", 0.001)):
+        cd = cd.set_parameter("emptydrops", k, v)
+    return rank_plot_table(cd)

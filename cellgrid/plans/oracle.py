@@ -467,3 +467,13 @@ v AS (SELECT l.l_orderkey AS cell_idx, p.p_brand AS brand, sum(l.l_quantity) AS
 full_grid AS (SELECT c.cell_idx, c.cell_id AS barcode, b.brand, coalesce(v.value, 0.0) AS value
               FROM m1_cells c CROSS JOIN b LEFT JOIN v ON v.cell_idx = c.cell_idx AND v.brand = b.brand)
 SELECT * EXCLUDE (cell_idx) FROM (PIVOT full_grid ON brand USING sum(value) GROUP BY cell_idx, barcode)"""
+
+ORACLE["w04_rank_plot_emptydrops"] = BASE + _knee_ctes(50, 50) + """,
+rk AS (SELECT c.cell_id, xt.total,
+              rank() OVER (ORDER BY xt.total DESC) + (count(*) OVER (PARTITION BY xt.total) - 1) / 2.0 AS rank
+       FROM xt JOIN m1_cells c USING (cell_idx) WHERE xt.total > 0)
+SELECT cell_id, total, rank, 'retained' AS segment FROM rk WHERE total >= (SELECT knee FROM kv)
+UNION ALL
+SELECT cell_id, total, rank, 'middle' FROM rk WHERE total <= (SELECT knee FROM kv) AND total >= 50
+UNION ALL
+SELECT cell_id, total, rank, 'ambient' FROM rk WHERE total <= 50"""
