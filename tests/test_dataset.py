@@ -93,7 +93,7 @@ def test_describe_all_parts(small):
     out = small.with_total_umis().describe()
     assert {"brief", "matrix", "cell_names", "cell_numeric", "cell_categorical", "gene_names"} <= set(out)
     num = {r.annotation: r for r in out["cell_numeric"].collect()}
-    assert num["n_genes"].count == 2 and num["n_genes"].median == 27.5
+    assert num["n_genes"]["count"] == 2 and num["n_genes"]["median"] == 27.5
     cat = {(r.annotation, r.value): r["count"] for r in out["cell_categorical"].collect()}
     assert cat[("flag", "true")] == 1
     assert out["matrix"].first().nnz == 3
