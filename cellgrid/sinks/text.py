@@ -61,7 +61,8 @@ def _write_lines(header: DataFrame, body: DataFrame, order: list[str], path: str
 
 
 def _lines(spark, lines: list[str]) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in lines], "value string")
+    """A few header lines in one partition (so they land in one part file)."""
+    return spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)
 
 
 def _fmt(c: Column, dtype: T.DataType) -> Column:
@@ -159,7 +160,7 @@ def export_textmatrix(cd: CellData, path: str, overwrite: bool = False, single_f
     genes = cd.genes.select("gene_idx", "gene_id")
     glist = genes.agg(F.array_sort(F.collect_list(F.struct("gene_idx", "gene_id"))).alias("g"))  # one row
     header = glist.select(F.concat_ws("\t", F.lit("barcode"), F.transform("g", lambda s: s["gene_id"]))
-                          .alias("value"))
+                          .alias("value")).coalesce(1)
     per = cd.x.groupBy("cell_idx").agg(F.map_from_entries(F.collect_list(F.struct("gene_idx", "value"))).alias("m"))
     rows = (cd.cells.select("cell_idx", "cell_id").join(per, "cell_idx", "left")
             .withColumn("g", glist.select("g").scalar())  # scalar subquery: evaluated once

@@ -3,8 +3,8 @@
 A Matrix Market file is read as text in parallel (gz files are one split
 each).  Comment lines start with ``%``; the first other line holds the
 dimensions.  A real triplet can look exactly like that line, so the line is
-found by position -- the smallest (file, block offset, row in block) -- and
-removed by that identity, never by value.  Repeated entries are summed.
+removed by its position (read from the file head on the driver), never by
+value, and without an extra pass over the matrix.  Repeated entries are summed.
 Names of rows/columns come from the side files, numbered by line with
 distributed positions.
 """
@@ -16,49 +16,66 @@ from pyspark.sql import functions as F
 
 from cellgrid.data import CellData
 from cellgrid.functions.names import make_unique
-from cellgrid.sources.paths import exists, first_existing, is_dir, require_exists
+from cellgrid.sources.paths import data_files, exists, first_existing, head_lines, is_dir, require_exists
+from cellgrid.sources.mtx_lines import drop_line
 from cellgrid.sources.tables import numbered_lines
 
 
-def _mtx_lines(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.text(path)
-            .select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("_f"),
-                    F.col("_metadata.file_block_start").alias("_b"),
-                    F.monotonically_increasing_id().alias("_r"))
-            .where((F.length("line") > 0) & ~F.col("line").startswith("%")))
-
-
 def read_mtx_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, int, int, int]:
-    """``(row, col, value)`` 0-based with repeats summed, and the dims line."""
+    """``(row, col, value)`` 0-based with repeats summed, and the dims line.
+
+    The header (``%`` lines, then the dimensions) is read on the driver from
+    the first file only; the dimensions line is then dropped by its line
+    number inside the first split, so a triplet that looks the same is kept
+    and the matrix is read exactly once.
+    """
     require_exists(spark, path)
-    lines = _mtx_lines(spark, path)
-    first = lines.agg(F.min(F.struct("_f", "_b", "_r", "line")).alias("h")).first()["h"]
-    if first is None:
+    files = data_files(spark, path)
+    found = None
+    for k, f in enumerate(files):  # part files holding only comments are skipped
+        head = head_lines(spark, f, stop=lambda ln: bool(ln.strip()) and not ln.lstrip().startswith("%"))
+        if head and head[-1].strip() and not head[-1].lstrip().startswith("%"):
+            found = (k, len(head) - 1, head[-1])
+            break
+    if found is None:
         raise ValueError(f"{path} holds no Matrix Market dimensions line")
-    dims = first["line"].split()
+    k, line_no, dims_line = found
+    dims = dims_line.split()
     if len(dims) != 3:
-        raise ValueError(f"{path}: dimensions line should be 'rows cols entries', got {first['line']!r}")
+        raise ValueError(f"{path}: dimensions line should be 'rows cols entries', got {dims_line!r}")
     n_rows, n_cols, n_entries = (int(d) for d in dims)
-    body = lines.where(~((F.col("_f") == first["_f"]) & (F.col("_b") == first["_b"]) & (F.col("_r") == first["_r"])))
+    text = drop_line(spark.read.text(files[k]), line_no)
+    others = files[:k] + files[k + 1:]
+    if others:
+        text = text.unionByName(spark.read.text(others))
+    body = text.select(F.trim("value").alias("line")).where(
+        (F.length("line") > 0) & ~F.col("line").startswith("%"))
     parts = F.split("line", r"\s+")
-    trip = body.select(F.get(parts, 0).try_cast("bigint").alias("row"),
-                       F.get(parts, 1).try_cast("bigint").alias("col"),
-                       F.when(F.size(parts) >= 3, F.get(parts, 2).try_cast("double"))
-                       .otherwise(F.lit(1.0)).alias("value"))  # 'pattern' files carry no value
-    trip = (trip.groupBy((F.col("row") - 1).alias("row"), (F.col("col") - 1).alias("col"))
-            .agg(F.sum("value").alias("value")))
+    row = F.get(parts, 0).try_cast("bigint")
+    col = F.get(parts, 1).try_cast("bigint")
+    outside = row.isNull() | col.isNull() | (row < 1) | (col < 1) | (row > n_rows) | (col > n_cols)
+    # checked while the entries are read (no separate pass): a bad entry fails the job
+    trip = body.select(
+        F.when(outside, F.raise_error(F.concat(F.lit(f"{path}: entry outside the declared "
+                                                     f"{n_rows} x {n_cols} matrix: "), F.col("line"))))
+        .otherwise(row - 1).alias("row"),
+        (col - 1).alias("col"),
+        F.when(F.size(parts) >= 3, F.get(parts, 2).try_cast("double"))
+        .otherwise(F.lit(1.0)).alias("value"))  # 'pattern' files carry no value
     return trip, n_rows, n_cols, n_entries
 
 
-def read_mtx(spark: SparkSession, path: str, transpose: bool = False, check: bool = True) -> CellData:
+def read_mtx(spark: SparkSession, path: str, transpose: bool = False, sum_repeats: bool = True) -> CellData:
     """Rows are cells as-is (``transpose=True`` for genes x cells files);
-    ids are the 0-based numbers as strings."""
+    ids are the 0-based numbers as strings.
+
+    Repeated coordinates are summed (one shuffle by coordinate); pass
+    ``sum_repeats=False`` for files known to list each entry once, which
+    saves that shuffle on very large matrices.
+    """
     trip, n_rows, n_cols, n_entries = read_mtx_triplets(spark, path)
-    if check:
-        bad = trip.where(F.col("row").isNull() | F.col("col").isNull() | (F.col("row") < 0) | (F.col("col") < 0)
-                         | (F.col("row") >= n_rows) | (F.col("col") >= n_cols)).limit(1).count()
-        if bad:
-            raise ValueError(f"{path}: an entry lies outside the declared {n_rows} x {n_cols} matrix")
+    if sum_repeats:
+        trip = trip.groupBy("row", "col").agg(F.sum("value").alias("value"))
     if transpose:
         n_rows, n_cols = n_cols, n_rows
         trip = trip.select(F.col("col").alias("row"), F.col("row").alias("col"), "value")

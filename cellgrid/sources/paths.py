@@ -45,3 +45,47 @@ def rename(spark: SparkSession, src: str, dst: str) -> None:
     _, q = _fs_path(spark, dst)
     if not fs.rename(p, q):
         raise OSError(f"could not move {src} to {dst}")
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files a read of ``path`` covers, in name order (a folder of
+    part files reads like their concatenation)."""
+    fs, p = _fs_path(spark, path)
+    if not fs.exists(p):
+        raise ValueError(f"input {path} does not exist")
+    if not fs.getFileStatus(p).isDirectory():
+        return [str(p.toString())]
+    names = []
+    for st in fs.listStatus(p):
+        n = st.getPath().getName()
+        if st.isFile() and not n.startswith("_") and not n.startswith("."):
+            names.append(str(st.getPath().toString()))
+    if not names:
+        raise ValueError(f"{path} holds no data files")
+    return sorted(names)
+
+
+def head_lines(spark: SparkSession, path: str, stop=None, max_lines: int = 10_000) -> list[str]:
+    """First lines of one file (decompressed by its codec), read on the driver
+    through the Hadoop file system until ``stop(line)`` is true.  Only header
+    lines pass through the driver."""
+    jvm = spark.sparkContext._jvm
+    fs, p = _fs_path(spark, path)
+    stream = fs.open(p)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(
+        spark.sparkContext._jsc.hadoopConfiguration()).getCodec(p)
+    if codec is not None:
+        stream = codec.createInputStream(stream)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    out = []
+    try:
+        while len(out) < max_lines:
+            line = reader.readLine()
+            if line is None:
+                break
+            out.append(line)
+            if stop is not None and stop(line):
+                break
+    finally:
+        reader.close()
+    return out

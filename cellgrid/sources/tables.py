@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cellgrid.data import nan_to_null
 from cellgrid.functions.positions import dense_positions
-from cellgrid.sources.paths import require_exists
+from cellgrid.sources.mtx_lines import drop_line as _drop_line
+from cellgrid.sources.paths import data_files, head_lines, require_exists
 
 
 def read_annotations(spark: SparkSession, path: str, header: bool = True,
@@ -17,25 +18,32 @@ def read_annotations(spark: SparkSession, path: str, header: bool = True,
 
     A folder of ordered part files (what the exporters write) reads like the
     single concatenated file: the header is the first line of the first part
-    only, found by position and removed by identity.  Column types are
+    only; it is read on the driver and dropped by position, with no extra
+    pass over the data.  Column types are
     inferred in one aggregation (bigint, then double, then boolean, else
     string); ``schema`` (a list of Spark SQL type names) skips that pass.
     """
     require_exists(spark, path)
-    raw = (spark.read.option("sep", "\t").option("header", False).option("inferSchema", False)
-           .option("mode", "PERMISSIVE").csv(path))
-    cols = raw.columns
-    raw = raw.select(*cols, F.col("_metadata.file_path").alias("_f"),
-                     F.col("_metadata.file_block_start").alias("_b"),
-                     F.monotonically_increasing_id().alias("_r"))
-    names = list(cols)
+    files = data_files(spark, path)
+
+    def reader():
+        return (spark.read.option("sep", "\t").option("header", False).option("inferSchema", False)
+                .option("mode", "PERMISSIVE"))
+
     if header:
-        first = raw.agg(F.min(F.struct("_f", "_b", "_r", *cols)).alias("h")).first()["h"]
-        if first is None:
+        first = head_lines(spark, files[0], max_lines=1)
+        if not first:
             raise ValueError(f"{path} is empty")
-        names = [first[c] if first[c] is not None else f"_c{i}" for i, c in enumerate(cols)]
-        raw = raw.where(~((F.col("_f") == first["_f"]) & (F.col("_b") == first["_b"])
-                          & (F.col("_r") == first["_r"])))
+        first_part = _drop_line(reader().csv(files[0]), 0)
+        raw = first_part if len(files) == 1 else first_part.unionByName(
+            reader().csv(files[1:]), allowMissingColumns=True)
+        cols = raw.columns
+        hdr = first[0].split("\t")
+        names = [hdr[i] if i < len(hdr) and hdr[i] != "" else f"_c{i}" for i in range(len(cols))]
+    else:
+        raw = reader().csv(files)
+        cols = raw.columns
+        names = list(cols)
     data = raw.select(*[F.col(c).alias(n) for c, n in zip(cols, names)])
     if schema is not None:
         types = list(schema)

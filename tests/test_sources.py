@@ -46,8 +46,8 @@ def test_mtx_dims_line_and_repeats(spark, tmpdir_path):
 def test_mtx_out_of_range(spark, tmpdir_path):
     p = f"{tmpdir_path}/bad.mtx"
     write(p, "%%MatrixMarket matrix coordinate real general\n2 2 1\n3 1 1.0\n")
-    with pytest.raises(ValueError):
-        read_mtx(spark, p)
+    with pytest.raises(Exception, match="outside the declared"):
+        read_mtx(spark, p).x.count()
 
 
 def _tenx(d):
@@ -185,3 +185,23 @@ def test_exports(spark, tmpdir_path):
     for line in lines[1:]:
         parts = line.split("\t")
         assert abs(sum(float(v) for v in parts[1:]) - totals[parts[0]]) < 1e-9
+
+
+def test_mtx_header_dropped_with_many_splits(spark, tmpdir_path):
+    """The file is cut into many splits; a triplet equal to the dimensions line
+    (in a later split and right after the header) must be kept."""
+    p = f"{tmpdir_path}/big.mtx"
+    lines = ["%%MatrixMarket matrix coordinate real general", "% c", "50 40 302", "50 40 302"]
+    lines += [f"{1 + i % 50} {1 + (i * 7) % 40} {i % 9 + 1}" for i in range(300)]
+    lines.append("50 40 302")
+    write(p, "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        cd = read_mtx(spark, p, sum_repeats=False)
+        assert spark.read.text(p).rdd.getNumPartitions() > 3
+        rows = cd.x.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 302
+    assert sum(r.value for r in rows) == 2 * 302 + sum(i % 9 + 1 for i in range(300))
