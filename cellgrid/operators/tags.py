@@ -106,13 +106,79 @@ def match_tags(observed: DataFrame, lib: DataFrame) -> DataFrame:
     return exact.unionByName(corrected)
 
 
-def kmer_nearest(observed: DataFrame, lib: DataFrame) -> DataFrame:
+KMER_LIBRARY_MAX = 200_000  # library entries held as a dense 64-column matrix per task
+
+
+def _kmer_counts(seqs) -> "np.ndarray":
+    """64-bin ACGT 3-mer counts for each sequence (other 3-mers ignored)."""
+    import numpy as np
+
+    code = np.full(256, -1, dtype=np.int64)
+    for i, b in enumerate(b"ACGT"):
+        code[b] = i
+    out = np.zeros((len(seqs), 64), dtype=np.float64)
+    for r, s in enumerate(seqs):
+        c = code[np.frombuffer(s.encode("ascii", "replace"), dtype=np.uint8)]
+        if c.size < 3:
+            continue
+        k = c[:-2] * 16 + c[1:-1] * 4 + c[2:]
+        ok = (c[:-2] >= 0) & (c[1:-1] >= 0) & (c[2:] >= 0)
+        out[r] = np.bincount(k[ok], minlength=64)
+    return out
+
+
+def kmer_nearest(observed: DataFrame, lib: DataFrame, max_library: int = KMER_LIBRARY_MAX) -> DataFrame:
     """Nearest library entry by cosine distance of ACGT 3-mer counts.
 
     Other 3-mers are ignored; ties go to file order; a sequence sharing no
-    3-mer with the library gets no row.
+    3-mer with the library gets no row.  With only 64 possible 3-mers almost
+    every pair shares one, so a join on shared 3-mers would approach all
+    pairs.  Instead the library (size checked, at most ``max_library``
+    entries) becomes one dense ``entries x 64`` matrix shipped to the tasks,
+    and each Arrow batch of distinct observed sequences is scored with a
+    matrix product in chunks.  Larger libraries use the join on shared 3-mers.
     """
+    import numpy as np
+    import pandas as pd
+
     lib = library(lib)
+    if lib.limit(max_library + 1).count() > max_library:
+        return _kmer_nearest_join(observed, lib)
+    rows = lib.orderBy("pos").select("tag_id", "seq").collect()  # at most max_library rows
+    ids = [r["tag_id"] for r in rows]
+    mat = _kmer_counts([r["seq"] for r in rows])
+    norms = np.linalg.norm(mat, axis=1)
+    sc = observed.sparkSession.sparkContext
+    b_lib = sc.broadcast((ids, mat, norms))
+
+    def score(batches):
+        lib_ids, lm, ln = b_lib.value
+        chunk = max(1, 5_000_000 // max(1, lm.shape[0]))
+        for pdf in batches:
+            seqs = pdf["seq"].tolist()
+            out_s, out_t, out_d = [], [], []
+            for a in range(0, len(seqs), chunk):
+                part = seqs[a:a + chunk]
+                om = _kmer_counts(part)
+                dots = om @ lm.T
+                on = np.linalg.norm(om, axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    dist = 1.0 - dots / (on[:, None] * ln[None, :])
+                dist[dots <= 0] = np.inf  # no shared 3-mer: not a candidate
+                best = np.argmin(dist, axis=1)  # first index = file order on ties
+                bd = dist[np.arange(len(part)), best]
+                keep = np.isfinite(bd)
+                out_s += [p for p, k in zip(part, keep) if k]
+                out_t += [lib_ids[j] for j, k in zip(best, keep) if k]
+                out_d += [float(d) for d, k in zip(bd, keep) if k]
+            yield pd.DataFrame({"seq": out_s, "tag_id": out_t, "distance": out_d})
+
+    seqs = observed.select("seq").where(F.col("seq").isNotNull()).distinct()
+    return seqs.mapInPandas(score, "seq string, tag_id string, distance double")
+
+
+def _kmer_nearest_join(observed: DataFrame, lib: DataFrame) -> DataFrame:
+    """T6 for very large libraries: equi-join on shared 3-mers."""
 
     def kmers(df: DataFrame, key: str) -> DataFrame:
         k = (df.select(key, F.explode(F.expr(f"transform(sequence(1, greatest(length({key}) - 2, 0)), "
@@ -124,10 +190,10 @@ def kmer_nearest(observed: DataFrame, lib: DataFrame) -> DataFrame:
     lk = kmers(lib.select(F.col("seq").alias("lib_seq")), "lib_seq")
     on = obs.groupBy("seq").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("no"))
     ln = lk.groupBy("lib_seq").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("nl"))
-    dots = (obs.join(small_or_none(lk.withColumnRenamed("c", "cl")), "kmer")
+    dots = (obs.join(lk.withColumnRenamed("c", "cl"), "kmer")
             .groupBy("seq", "lib_seq").agg(F.sum(F.col("c") * F.col("cl")).alias("dot")))
-    sims = (dots.join(on, "seq").join(small_or_none(ln), "lib_seq")
-            .join(small_or_none(lib.select(F.col("seq").alias("lib_seq"), "pos", "tag_id")), "lib_seq")
+    sims = (dots.join(on, "seq").join(ln, "lib_seq")
+            .join(lib.select(F.col("seq").alias("lib_seq"), "pos", "tag_id"), "lib_seq")
             .select("seq", "pos", "tag_id", (1 - F.col("dot") / (F.col("no") * F.col("nl"))).alias("distance")))
     best = sims.groupBy("seq").agg(F.min(F.struct("distance", "pos", "tag_id")).alias("b"))
     return best.select("seq", F.col("b.tag_id").alias("tag_id"), F.col("b.distance").alias("distance"))

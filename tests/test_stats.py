@@ -190,3 +190,15 @@ def test_alpha_mle_recovers_dirichlet(spark):
     props = ed.ambient_proportions(cd, lower=100)
     a = ed.estimate_alpha(cd, props, lower=100)
     assert 20 < a < 80, a
+
+
+def test_kmer_nearest_paths_agree(spark):
+    from cellgrid.operators.tags import kmer_nearest
+    rng = np.random.default_rng(5)
+    lib = ["".join(rng.choice(list("ACGT"), size=30)) for _ in range(30)]
+    obs = [_mutate(lib[rng.integers(30)], int(rng.integers(0, 8)), rng) for _ in range(200)] + ["NNNNN", "AC"]
+    lib_df = spark.createDataFrame([(i, f"t{i}", s) for i, s in enumerate(lib)], "pos bigint, tag_id string, seq string")
+    obs_df = spark.createDataFrame([(s,) for s in obs], "seq string")
+    a = {r.seq: (r.tag_id, round(r.distance, 9)) for r in kmer_nearest(obs_df, lib_df).collect()}
+    b = {r.seq: (r.tag_id, round(r.distance, 9)) for r in kmer_nearest(obs_df, lib_df, max_library=0).collect()}
+    assert a == b and "NNNNN" not in a and "AC" not in a
