@@ -33,6 +33,8 @@ def test_top5_is_limited_before_shuffle(spark):
 
 
 def test_parquet_scan_is_pruned(spark):
-    df = E.queries()["a01_total_umis"](spark, SF_SMALL)
+    from cellgrid.operators.totals import cell_totals
+    from cellgrid.plans.fixtures import m1
+    df = cell_totals(m1(spark, SF_SMALL))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>" in plan
