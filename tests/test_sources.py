@@ -205,3 +205,27 @@ def test_mtx_header_dropped_with_many_splits(spark, tmpdir_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert len(rows) == 302
     assert sum(r.value for r in rows) == 2 * 302 + sum(i % 9 + 1 for i in range(300))
+
+
+def test_fastq_lanes_to_tag_assignment(spark, tmpdir_path):
+    """R1 fixture reads written as two gzip lanes, read back with the data
+    source, give the same tag calls as the in-memory reads."""
+    from cellgrid.operators.tags import annotate_tags
+    from cellgrid.plans import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    reads = fx.r1_reads(spark, sf).orderBy("read_no").collect()
+    lanes = [reads[::2], reads[1::2]]
+    pairs = []
+    for k, lane in enumerate(lanes):
+        a, b = f"{tmpdir_path}/L{k}_R1.fastq.gz", f"{tmpdir_path}/L{k}_R2.fastq.gz"
+        _fq(a, [r.r1 for r in lane])
+        _fq(b, [r.r2 for r in lane])
+        pairs.append((a, b))
+    from_files = read_fastq_pairs(spark, pairs)
+    cd = fx.r1_cells(spark, sf)
+    l14, l30 = fx.r1_lib14(spark, sf), fx.r1_lib30(spark, sf)
+    got = annotate_tags(cd, from_files, l14, l30, id_suffix="-1", fastqs=tuple(pairs[0]), log_summary=False)
+    want = annotate_tags(cd, fx.r1_reads(spark, sf), l14, l30, id_suffix="-1", log_summary=False)
+    assert sorted(got.cells.collect()) == sorted(want.cells.collect())
+    assert got.history[0]["description"].startswith("Processed Cellecta tags from FASTQs")
