@@ -147,13 +147,13 @@ def simulate_paths(spark, props: np.ndarray, alpha: float, totals: np.ndarray, i
     """``(total, sims array<double>)`` sorted ascending, one row per distinct total.
 
     Iterations are spread over tasks with ``spark.range(iters)``; each task
-    emits, per total, the values of its own iterations; one shuffle by total
-    merges them (at most ``iters`` values per total, independent of data size).
+    emits ``(total, value)`` rows for its own iterations; one shuffle by total
+    gathers them (at most ``iters`` values per total, independent of data size).
     """
     sc = spark.sparkContext
     b_props = sc.broadcast(props.astype(np.float64))  # one value per gene
     b_totals = sc.broadcast(totals.astype(np.float64))  # one value per distinct tested total
-    n_parts = n_parts or max(1, min(iters, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))
+    n_parts = n_parts or max(1, min(iters, sc.defaultParallelism))
 
     def run(batches):
         p, t = b_props.value, b_totals.value
@@ -161,10 +161,10 @@ def simulate_paths(spark, props: np.ndarray, alpha: float, totals: np.ndarray, i
         if not its:
             return
         sims = np.stack([_simulate(p, alpha, t, seed, i) for i in its], axis=1)  # totals x its
-        yield pd.DataFrame({"total": t, "sims": list(sims)})
+        yield pd.DataFrame({"total": np.repeat(t, len(its)), "sim": sims.ravel()})
 
-    out = spark.range(0, iters, 1, n_parts).mapInPandas(run, "total double, sims array<double>")
-    return out.groupBy("total").agg(F.array_sort(F.flatten(F.collect_list("sims"))).alias("sims"))
+    out = spark.range(0, iters, 1, n_parts).mapInPandas(run, "total double, sim double")
+    return out.groupBy("total").agg(F.array_sort(F.collect_list("sim")).alias("sims"))
 
 
 def count_at_most(sorted_arr, value, max_len: int):
