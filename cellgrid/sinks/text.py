@@ -1,8 +1,8 @@
 """Text exports: MEX directory (K2), cell/gene tables (K3, K4), dense matrix (K5).
 
 Each output "file" is written by Spark as a folder of ordered, gzip-able part
-files (``part-00000`` first); concatenating the parts in name order gives the
-single file (gzip members concatenate into a valid gzip stream).  For small
+files; concatenating the parts in byte order of their names (``LC_ALL=C``)
+gives the single file (gzip members concatenate into a valid gzip stream).  For small
 outputs ``single_file=True`` writes one part and moves it to the exact name
 through the Hadoop file system (no data passes through the driver).
 Existing targets are refused unless ``overwrite`` (K6).
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ from cellgrid.sources.paths import _fs_path, delete, exists
 log = logging.getLogger("cellgrid")
 
 GENE_EXPRESSION = "Gene Expression"
+# sorts before Spark's part-00000-... names in byte order ('-' < '0')
+HEADER_PART = "part-0000-header.txt.gz"
 PIVOT_MAX_GENES = 1000
 
 
@@ -89,15 +91,31 @@ def export_mex(cd: CellData, path: str, overwrite: bool = False, single_file: bo
     gid = F.col("gene_ids") if "gene_ids" in gcols else F.col("gene_id")
     gtype = F.col("feature_types") if "feature_types" in gcols else F.lit(GENE_EXPRESSION)
     genes = _numbered(cd.genes.select("gene_idx", "gene_id", gid.alias("_id"), gtype.alias("_type")), "gene_idx")
-    n_cells = cells.count()
+    n_cells = cells.count()   # cells- and genes-sized tables
     n_genes = genes.count()
     entries = (cd.x.join(cells.select("cell_idx", F.col("_pos").alias("_c")), "cell_idx")
                .join(genes.select("gene_idx", F.col("_pos").alias("_g")), "gene_idx"))
-    nnz = entries.count()
-    header = _lines(spark, ["%%MatrixMarket matrix coordinate real general", f"{n_genes} {n_cells} {nnz}"])
     body = entries.select(F.format_string("%d %d %s", F.col("_g") + 1, F.col("_c") + 1,
                                           F.regexp_replace(F.col("value").cast("string"), r"\.0$", "")).alias("value"))
-    _write_lines(header, body, [], f"{path}/matrix.mtx.gz", True, single_file)  # any entry order is valid
+    target = f"{path}/matrix.mtx.gz"
+    if single_file:
+        nnz = entries.count()
+        header = _lines(spark, ["%%MatrixMarket matrix coordinate real general", f"{n_genes} {n_cells} {nnz}"])
+        _write_lines(header, body, [], target, True, single_file)  # any entry order is valid
+    else:
+        # entries are counted while they are written (no second pass); the
+        # header part is added afterwards under a name that sorts first
+        obs = Observation("mex")
+        body.observe(obs, F.count(F.lit(1)).alias("nnz")).write.option("compression", "gzip").text(target)
+        nnz = obs.get["nnz"]
+        header = _lines(spark, ["%%MatrixMarket matrix coordinate real general", f"{n_genes} {n_cells} {nnz}"])
+        tmp = target + ".header"
+        header.write.option("compression", "gzip").text(tmp)
+        fs, p = _fs_path(spark, tmp)
+        part = [st.getPath() for st in fs.listStatus(p) if st.getPath().getName().startswith("part-")][0]
+        _, dest = _fs_path(spark, f"{target}/{HEADER_PART}")
+        fs.rename(part, dest)
+        fs.delete(p, True)
     _write_lines(_lines(spark, []), cells.select(F.col("cell_id").alias("value"), "_pos"), ["_pos"],
                  f"{path}/barcodes.tsv.gz", True, single_file)
     _write_lines(_lines(spark, []), genes.select(F.concat_ws("\t", "_id", "gene_id", "_type").alias("value"), "_pos"),

@@ -166,6 +166,12 @@ def test_exports(spark, tmpdir_path):
     with pytest.raises(FileExistsError):
         cd.export_mex(mex)
     cd.export_mex(mex, overwrite=True)          # folder-of-parts form
+    folder = f"{mex}/matrix.mtx.gz"
+    blob = b"".join(open(f"{folder}/{n}", "rb").read() for n in sorted(os.listdir(folder))
+                    if n.startswith("part-") and not n.startswith("."))
+    text = gzip.decompress(blob).decode().splitlines()
+    assert text[0].startswith("%%MatrixMarket") and text[1] == f"{n_genes} {n_cells} {nnz}"
+    assert len(text) == nnz + 2
     back = read_10x_mtx(spark, mex)
     assert back.x.agg(F.sum("value")).first()[0] == cd.x.agg(F.sum("value")).first()[0]
     tsv = f"{tmpdir_path}/cells.tsv"
