@@ -606,3 +606,26 @@ def w04(spark, sf_dir) -> DataFrame:
     for k, v in (("lower", 50.0), ("alpha", float("inf")), ("retain", knee), ("fdr_cutoff", 0.001)):
         cd = cd.set_parameter("emptydrops", k, v)
     return rank_plot_table(cd)
+
+
+@query("s03_bustools_read")
+def s03(spark, sf_dir) -> DataFrame:
+    """M1 written in the bustools layout (cells x genes .mtx, .genes.txt,
+    .barcodes.txt with an extra annotation column), read with ``read_bustools``."""
+    from cellgrid.functions.positions import dense_positions
+    from cellgrid.sources.mtx import read_bustools
+    base = _scratch(spark, "bus")
+    cd = fx.m1(spark, sf_dir)
+    cells = dense_positions(cd.cells.select("cell_idx", "cell_id", "status"), [F.col("cell_idx")], name="r")
+    genes = dense_positions(cd.genes.select("gene_idx", "gene_id"), [F.col("gene_idx")], name="c")
+    x = (cd.x.join(cells.select("cell_idx", "r"), "cell_idx").join(genes.select("gene_idx", "c"), "gene_idx"))
+    head = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general",),
+                                  (f"{cells.count()} {genes.count()} {x.count()}",)], "value string").coalesce(1)
+    body = x.select(F.format_string("%d %d %s", F.col("r") + 1, F.col("c") + 1, F.col("value").cast("string"))
+                    .alias("value"))
+    head.union(body).write.text(f"{base}.mtx")
+    genes.orderBy("c").select(F.col("gene_id").alias("value")).write.text(f"{base}.genes.txt")
+    cells.orderBy("r").select(F.concat_ws("\t", "cell_id", "status").alias("value")).write.text(f"{base}.barcodes.txt")
+    back = read_bustools(spark, base)
+    per = back.x.groupBy("cell_idx").agg(F.sum("value").alias("total"))
+    return back.cells.join(per, "cell_idx").select("cell_id", F.col("_c1").alias("status"), "total")

@@ -477,3 +477,5 @@ UNION ALL
 SELECT cell_id, total, rank, 'middle' FROM rk WHERE total <= (SELECT knee FROM kv) AND total >= 50
 UNION ALL
 SELECT cell_id, total, rank, 'ambient' FROM rk WHERE total <= 50"""
+
+ORACLE["s03_bustools_read"] = BASE + XT + "\nSELECT c.cell_id, c.status, xt.total FROM xt JOIN m1_cells c USING (cell_idx)"
