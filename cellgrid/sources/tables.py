@@ -12,7 +12,7 @@ from cellgrid.sources.paths import data_files, head_lines, require_exists
 
 
 def read_annotations(spark: SparkSession, path: str, header: bool = True,
-                     schema=None) -> DataFrame:
+                     schema=None, line_numbers: bool = False) -> DataFrame:
     """Tab-separated table, columns kept in file order (``_c0``, ``_c1``...
     without a header); NaN -> null.
 
@@ -22,6 +22,8 @@ def read_annotations(spark: SparkSession, path: str, header: bool = True,
     pass over the data.  Column types are
     inferred in one aggregation (bigint, then double, then boolean, else
     string); ``schema`` (a list of Spark SQL type names) skips that pass.
+    ``line_numbers=True`` adds ``line_no`` (0-based data line in file order,
+    distributed positions), which positional replacement needs.
     """
     require_exists(spark, path)
     files = data_files(spark, path)
@@ -44,7 +46,14 @@ def read_annotations(spark: SparkSession, path: str, header: bool = True,
         raw = reader().csv(files)
         cols = raw.columns
         names = list(cols)
-    data = raw.select(*[F.col(c).alias(n) for c, n in zip(cols, names)])
+    extra = []
+    if line_numbers:
+        raw = raw.select(*cols, F.col("_metadata.file_path").alias("_f"),
+                         F.col("_metadata.file_block_start").alias("_b"),
+                         F.monotonically_increasing_id().alias("_r"))
+        raw = dense_positions(raw, [F.col("_f"), F.col("_b"), F.col("_r")], name="line_no")
+        extra = ["line_no"]
+    data = raw.select(*[F.col(c).alias(n) for c, n in zip(cols, names)], *extra)
     if schema is not None:
         types = list(schema)
     else:
@@ -58,7 +67,7 @@ def read_annotations(spark: SparkSession, path: str, header: bool = True,
         for n in names:
             types.append(next((t for t in ("bigint", "double", "boolean") if bad[f"{n}\x00{t}"] == 0), "string"))
     return nan_to_null(data.select(*[F.col(f"`{n}`").try_cast(t).alias(n) if t != "string" else F.col(f"`{n}`")
-                                     for n, t in zip(names, types)]))
+                                     for n, t in zip(names, types)], *extra))
 
 
 def read_values(spark: SparkSession, path: str) -> DataFrame:

@@ -235,3 +235,16 @@ def test_fastq_lanes_to_tag_assignment(spark, tmpdir_path):
     want = annotate_tags(cd, fx.r1_reads(spark, sf), l14, l30, id_suffix="-1", log_summary=False)
     assert sorted(got.cells.collect()) == sorted(want.cells.collect())
     assert got.history[0]["description"].startswith("Processed Cellecta tags from FASTQs")
+
+
+def test_replace_from_file_keeps_file_order(spark, tmpdir_path):
+    from cellgrid.data import CellData
+    p = f"{tmpdir_path}/new.tsv"
+    write(p, "id\tgroup\nz9\tg1\na1\tg2\nm5\tg3\n")
+    ann = read_annotations(spark, p, line_numbers=True)
+    cells = spark.createDataFrame([(10, "c10"), (20, "c20"), (30, "c30")], "cell_idx bigint, cell_id string")
+    genes = spark.createDataFrame([(0, "G")], "gene_idx bigint, gene_id string")
+    x = spark.createDataFrame([(10, 0, 1.0)], "cell_idx bigint, gene_idx bigint, value double")
+    cd = CellData(cells=cells, genes=genes, x_raw=x).replace_cells(ann)
+    got = sorted((r.cell_idx, r.cell_id, r.group) for r in cd.cells.collect())
+    assert got == [(10, "z9", "g1"), (20, "a1", "g2"), (30, "m5", "g3")]
