@@ -319,8 +319,13 @@ def t03(spark, sf_dir) -> DataFrame:
 def j08(spark, sf_dir) -> DataFrame:
     from cellgrid.operators.tags import parse_pairs, whitelist
     cells = fx.r1_cells(spark, sf_dir).cells
-    # keep only even users so the semi-join has something to remove
-    cells = cells.where(F.col("cell_idx") % 2 == 0)
+    # barcodes of users with more events than the average user: the semi-join
+    # then has reads to remove
+    ev = fx.table(spark, sf_dir, "events")
+    per_user = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    mean = ev.agg(F.count(F.lit(1)) / F.countDistinct("user_id")).scalar()
+    cells = cells.join(per_user.where(F.col("n") > mean).select(F.col("user_id").alias("cell_idx")), "cell_idx",
+                       "left_semi")
     return parse_pairs(_reads(spark, sf_dir)).join(whitelist(cells), "cell", "left_semi").select("read_no", "cell")
 
 

@@ -71,14 +71,17 @@ def m1_brands(spark: SparkSession, sf_dir: str) -> CellData:
 
 # ------------------------------------------------------------------------ M2
 def m2_cell_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(cell_id, batch, score)``: two thirds of the orders plus 10 foreign ids."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 != 0)
+    """``(cell_id, batch, score)`` for orders that are not pending (about two
+    thirds), score missing for low-priority orders, plus one foreign id per
+    nation (ids that match no cell)."""
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "P")
     known = o.select(cell_id_of(F.col("o_orderkey")).alias("cell_id"),
                      F.concat(F.lit("B"), (F.col("o_custkey") % 4).cast("string")).alias("batch"),
-                     F.when(F.col("o_orderkey") % 5 == 0, F.lit(None).cast("double"))
+                     F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None).cast("double"))
                      .otherwise(F.col("o_totalprice") / 1000).alias("score"))
-    foreign = spark.range(10).select(F.concat(F.lit("X"), F.col("id").cast("string")).alias("cell_id"),
-                                     F.lit("BX").alias("batch"), F.lit(1.0).alias("score"))
+    n = table(spark, sf_dir, "nation")
+    foreign = n.select(F.concat(F.lit("X"), F.col("n_name")).alias("cell_id"),
+                       F.lit("BX").alias("batch"), F.lit(1.0).alias("score"))
     return known.unionByName(foreign)
 
 

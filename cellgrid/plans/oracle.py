@@ -82,9 +82,9 @@ M2 = """,
 m2 AS (
   SELECT 'C' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || '-1' AS cell_id,
          'B' || CAST(o_custkey % 4 AS VARCHAR) AS batch,
-         CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice / 1000 END AS score
-  FROM orders WHERE o_orderkey % 3 <> 0
-  UNION ALL SELECT 'X' || CAST(i AS VARCHAR), 'BX', 1.0 FROM range(10) t(i)),
+         CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_totalprice / 1000 END AS score
+  FROM orders WHERE o_orderstatus <> 'P'
+  UNION ALL SELECT 'X' || n_name, 'BX', 1.0 FROM nation),
 fcells AS (SELECT t.*, m2.batch, m2.score FROM m1_totals t LEFT JOIN m2 USING (cell_id))"""
 
 FBASE = BASE + M2
@@ -333,9 +333,11 @@ calls AS (SELECT cell, count(*) AS n_tags, max(tag) AS tag FROM counts WHERE n_r
 ORACLE["t01_parse_r1"] = R1 + "\nSELECT read_no, substr(r1, 1, 16) AS cell, substr(r1, 17, 10) AS umi FROM reads WHERE substr(r1, 27, 4) = 'TTTT'"
 ORACLE["t02_parse_r2"] = R1 + "\nSELECT read_no, substr(r2, 1, 14) AS bc14, substr(r2, 19, 30) AS bc30 FROM reads WHERE substr(r2, 15, 4) = 'TGGT'"
 ORACLE["t03_pair_filter"] = R1 + "\nSELECT read_no, cell, umi, bc14, bc30 FROM pairs"
-ORACLE["j08_whitelist"] = R1 + """
+ORACLE["j08_whitelist"] = R1 + """,
+busy AS (SELECT user_id FROM events GROUP BY user_id
+         HAVING count(*) > (SELECT count(*) * 1.0 / count(DISTINCT user_id) FROM events))
 SELECT read_no, cell FROM pairs
-WHERE cell IN (SELECT regexp_replace(cell_id, '-[^-]*$', '') FROM cells WHERE cell_idx % 2 = 0)"""
+WHERE cell IN (SELECT regexp_replace(cell_id, '-[^-]*$', '') FROM cells WHERE cell_idx IN (SELECT user_id FROM busy))"""
 ORACLE["t04_exact_match"] = R1 + "\nSELECT DISTINCT p.bc14 AS seq, l.tag_id FROM pairs p JOIN lib14 l ON l.seq = p.bc14"
 ORACLE["t05_corrected_match"] = R1 + """
 SELECT seq, tag_id, seq IN (SELECT seq FROM lib14) AS exact, 14 AS lib FROM m14 WHERE tag_id IS NOT NULL
