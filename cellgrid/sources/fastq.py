@@ -25,9 +25,25 @@ BATCH_ROWS = 65536
 
 
 def _open(path: str):
-    with open(path, "rb") as fh:
-        magic = fh.read(2)
-    return gzip.open(path, "rt") if magic == b"\x1f\x8b" else open(path)
+    """Text stream of a FASTQ file, gzip or plain (detected by magic bytes).
+
+    Plain local paths use the local file system; URIs (``s3://``, ``hdfs://``,
+    ``gs://``, ``file://``) go through ``pyarrow.fs`` inside the task.
+    """
+    import io
+
+    if "://" in path:
+        from pyarrow import fs as pafs
+
+        filesystem, inner = pafs.FileSystem.from_uri(path)
+        raw = filesystem.open_input_stream(inner)
+    else:
+        raw = open(path, "rb")
+    buf = io.BufferedReader(raw) if not isinstance(raw, io.BufferedReader) else raw
+    magic = buf.peek(2)[:2]
+    if magic == b"\x1f\x8b":
+        return io.TextIOWrapper(gzip.GzipFile(fileobj=buf), encoding="ascii", errors="replace")
+    return io.TextIOWrapper(buf, encoding="ascii", errors="replace")
 
 
 def _sequences(fh):
