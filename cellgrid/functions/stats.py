@@ -40,7 +40,8 @@ def good_turing_proportions(counts: DataFrame, key: str = "gene_idx", count: str
     first failure on, the smoothed value is used.  Unseen genes share
     ``P0 = n_1 / N``; seen genes share ``1 - P0`` in proportion to ``r*``.
     Returns ``(key, count, prop)``.  The table of distinct counts is small;
-    its neighbours come from positions and equi-joins, not windows.
+    its neighbours come from positions and equi-joins, and its few scalars
+    (slope, totals, switch point, normaliser) are single-row aggregations.
     """
     seen = counts.where(F.col(count) > 0)
     ff = seen.groupBy(F.col(count).cast("double").alias("r")).agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -52,27 +53,30 @@ def good_turing_proportions(counts: DataFrame, key: str = "gene_idx", count: str
          .withColumn("t_", F.coalesce("t", 2 * F.col("r") - F.col("q")))
          .withColumn("lz", F.log(2 * F.col("n") / (F.col("t_") - F.col("q"))))
          .withColumn("lr", F.log("r")))
-    fit = z.agg(F.regr_slope("lz", "lr").alias("b"))
-    b = F.coalesce(fit.select("b").scalar(), F.lit(-1.0))  # one distinct count: Zipf-like default
-    n_tot = ff.agg(F.sum(F.col("r") * F.col("n"))).scalar()
-    n1 = ff.agg(F.coalesce(F.sum(F.when(F.col("r") == 1, F.col("n"))), F.lit(0.0))).scalar()
+    # scalars of the small frequency table: one single-row aggregation each step
+    row = z.agg(F.regr_slope("lz", "lr").alias("b"), F.sum(F.col("r") * F.col("n")).alias("n_tot"),
+                F.sum(F.when(F.col("r") == 1, F.col("n"))).alias("n1")).first()
+    b = row["b"] if row["b"] is not None else -1.0  # one distinct count: Zipf-like default
+    n_tot, n1 = float(row["n_tot"]), float(row["n1"] or 0.0)
     est = z.select(
         "i", "r", "n",
-        ((F.col("r") + 1) * F.pow((F.col("r") + 1) / F.col("r"), b)).alias("y"),
+        ((F.col("r") + 1) * F.pow((F.col("r") + 1) / F.col("r"), F.lit(b))).alias("y"),
         F.when(F.col("t") == F.col("r") + 1, (F.col("r") + 1) * F.col("n_next") / F.col("n")).alias("x"),
         F.when(F.col("t") == F.col("r") + 1,
                F.sqrt(F.pow(F.col("r") + 1, 2) * F.col("n_next") / F.pow(F.col("n"), 2)
                       * (1 + F.col("n_next") / F.col("n")))).alias("sd"))
     switch_at = est.agg(F.min(F.when(F.col("x").isNull() | (F.abs(F.col("x") - F.col("y")) <= F.lit(conf) * F.col("sd")),
-                                     F.col("i")))).scalar()
-    rstar = est.select("r", "n", F.when(F.col("i") < F.coalesce(switch_at, F.lit(1 << 62)), F.col("x"))
+                                     F.col("i")))).first()[0]
+    switch_at = (1 << 62) if switch_at is None else int(switch_at)
+    rstar = est.select("r", "n", F.when(F.col("i") < F.lit(switch_at), F.col("x"))
                        .otherwise(F.col("y")).alias("rstar"))
-    norm = rstar.agg(F.sum(F.col("n") * F.col("rstar"))).scalar()
+    norm = float(rstar.agg(F.sum(F.col("n") * F.col("rstar"))).first()[0])
     p0 = n1 / n_tot
     props = rstar.select("r", ((1 - p0) * F.col("rstar") / norm).alias("p_seen"))
-    n0 = counts.agg(F.count_if(F.col(count) == 0)).scalar()
+    n0 = counts.agg(F.count_if(F.col(count) == 0)).first()[0]
+    p_unseen = p0 / n0 if n0 else 0.0
     out = counts.join(props, F.col(count).cast("double") == F.col("r"), "left")  # AQE broadcasts it
-    return out.select(key, count, F.when(F.col(count) == 0, p0 / n0).otherwise(F.col("p_seen")).alias("prop"))
+    return out.select(key, count, F.when(F.col(count) == 0, F.lit(p_unseen)).otherwise(F.col("p_seen")).alias("prop"))
 
 
 def bh_adjust(pvals: DataFrame, p: str = "pvalue", out: str = "fdr") -> DataFrame:

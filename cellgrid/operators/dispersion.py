@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrid.data import CellData
-from cellgrid.functions.positions import dense_positions
+from cellgrid.functions.positions import dense_positions, materialize
 
 
 def sample_pvalues(pvals: DataFrame, n: int = 100, seed: int = 0, key: str = "cell_id",
@@ -84,7 +84,7 @@ def dispersion_test(cd: CellData, alpha=None, lower: float = 100, sample: int =
     from cellgrid.operators.emptydrops import ambient_pvalues
 
     pv = ambient_pvalues(cd, lower=lower, alpha=_alpha_choice(alpha), iters=iters, seed=seed)
-    pv = pv.join(cd.cells.select("cell_idx", "cell_id"), "cell_idx")
+    pv = materialize(pv.join(cd.cells.select("cell_idx", "cell_id"), "cell_idx"))  # read three times below
     n_amb = pv.count()
     if n_amb < sample:
         raise ValueError(f"only {n_amb} ambient barcodes, cannot sample {sample}")

@@ -49,36 +49,41 @@ def knee_inflection_frame(hist: DataFrame, lower: float = 100, exclude_from: flo
     # distinct totals only; written once because every scalar below reads it
     p = materialize(hist.where(F.col("total") > lower).select(
         "i", "total", F.log10("rank").alias("x"), F.log10("total").alias("y")))
-    m = p.agg(F.count(F.lit(1))).scalar()
-    k = p.agg(F.count_if(F.col("x") <= F.log10(F.lit(float(exclude_from))))).scalar()
-    skip = F.least(m - 2, k)
+    mk = p.agg(F.count(F.lit(1)).alias("m"),
+               F.count_if(F.col("x") <= F.log10(F.lit(float(exclude_from)))).alias("k")).first()
+    m, k = mk["m"], mk["k"]
+    if m < 3:
+        return p.agg(F.count(F.lit(1)).alias("n_points")).select(
+            F.lit(None).cast("double").alias("knee"), F.lit(None).cast("double").alias("inflection"),
+            F.lit(None).cast("double").alias("left_total"), F.lit(None).cast("double").alias("right_total"),
+            "n_points")
+    skip = min(m - 2, k)
     q = p.select((F.col("i") - 1).alias("i"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    slopes = (p.join(q, "i").select("i", ((F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x"))).alias("d"))
-              .where(F.col("i") > skip))
-    right = slopes.agg(F.min(F.struct("d", "i"))["i"]).scalar()
+    slopes = materialize(
+        p.join(q, "i").select("i", ((F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x"))).alias("d"))
+        .where(F.col("i") > skip))
+    right = slopes.agg(F.min(F.struct("d", "i"))["i"]).first()[0]
     left = -slopes.where(F.col("i") <= right).agg(
-        F.max(F.struct(F.col("d"), (-F.col("i")).alias("ni")))["ni"]).scalar()
-    pl = p.where(F.col("i") == left)
-    pr = p.where(F.col("i") == right)
-    xl, yl = pl.agg(F.max("x")).scalar(), pl.agg(F.max("y")).scalar()
-    xr, yr = pr.agg(F.max("x")).scalar(), pr.agg(F.max("y")).scalar()
+        F.max(F.struct(F.col("d"), (-F.col("i")).alias("ni")))["ni"]).first()[0]
+    edges = {r["i"]: r for r in p.where(F.col("i").isin(left, right)).collect()}  # two rows
+    pl, pr = edges[left], edges[right]
+    xl, yl, xr, yr = pl["x"], pl["y"], pr["x"], pr["y"]
     interior = p.where((F.col("i") > left) & (F.col("i") < right)).select(
-        "i", "total", (F.col("y") - (yl + (yr - yl) * (F.col("x") - xl) / (xr - xl))).alias("dist"))
+        "i", "total", (F.col("y") - (F.lit(yl) + F.lit(yr - yl) * (F.col("x") - F.lit(xl)) / F.lit(xr - xl)))
+        .alias("dist"))
     knee_interior = interior.agg(
-        F.max(F.struct(F.col("dist"), (-F.col("i")).alias("ni"), F.col("total")))["total"]).scalar()
-    left_total = pl.agg(F.max("total")).scalar()
-    right_total = pr.agg(F.max("total")).scalar()
+        F.max(F.struct(F.col("dist"), (-F.col("i")).alias("ni"), F.col("total")))["total"]).first()[0]
+    knee = knee_interior if knee_interior is not None else pl["total"]
     return p.agg(F.count(F.lit(1)).alias("n_points")).select(
-        F.coalesce(knee_interior, left_total).alias("knee"),
-        right_total.alias("inflection"),
-        left_total.alias("left_total"), right_total.alias("right_total"), "n_points")
+        F.lit(float(knee)).alias("knee"), F.lit(float(pr["total"])).alias("inflection"),
+        F.lit(float(pl["total"])).alias("left_total"), F.lit(float(pr["total"])).alias("right_total"), "n_points")
 
 
 def knee_inflection(cd: CellData, lower: float = 100, exclude_from: float = 50,
                     totals: DataFrame | None = None) -> tuple[float, float]:
     hist = rank_histogram(totals if totals is not None else cell_totals(cd))
     row = knee_inflection_frame(hist, lower, exclude_from).first()
-    if row["n_points"] < 3:
+    if row["n_points"] < 3 or row["knee"] is None:
         raise ValueError("insufficient unique points for computing knee/inflection points")
     return float(row["knee"]), float(row["inflection"])
 
@@ -126,7 +131,8 @@ def rank_plot_summary(cd: CellData, algorithm: str | None = None) -> DataFrame:
     lower = float(cd.get_parameter("emptydrops", "lower")) if algorithm == "emptydrops" else 50.0
     hist = materialize(rank_histogram(cell_totals(cd)))
     ki = knee_inflection_frame(hist, lower)
-    knee, infl = ki.select("knee").scalar(), ki.select("inflection").scalar()
+    kv = ki.first()
+    knee, infl = F.lit(kv["knee"]), F.lit(kv["inflection"])
     kp, ip = label_point(hist, knee), label_point(hist, infl)
     if algorithm == "emptydrops":
         cut = float(cd.get_parameter("emptydrops", "fdr_cutoff"))
