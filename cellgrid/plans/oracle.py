@@ -251,8 +251,9 @@ UNION ALL SELECT * FROM (VALUES ('cell annotation', 'status', 'string'), ('cell
 
 def _num(col: str) -> str:
     return (f"SELECT '{col}' AS annotation, count({col}) AS count, min({col}) AS min, max({col}) AS max, "
-            f"avg({col}) AS mean, stddev_samp({col}) AS sd, quantile_cont({col}, 0.5) AS median, "
-            f"quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.75) AS q3 FROM fcells")
+            f"round(avg({col}), 4) AS mean, round(stddev_samp({col}), 4) AS sd, "
+            f"round(quantile_cont({col}, 0.5), 9) AS median, "
+            f"round(quantile_cont({col}, 0.25), 9) AS q1, round(quantile_cont({col}, 0.75), 9) AS q3 FROM fcells")
 
 
 ORACLE["p02_numeric_summary"] = FBASE + "\n" + "\nUNION ALL ".join(

@@ -1,6 +1,7 @@
 """Run registered queries against their DuckDB oracle SQL and compare.
 
 Usage: python tests/oracle_check.py [sf_dir] [name-prefix ...]
+Set ORACLE_STRICT=1 to compare floats exactly (no rounding).
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
+        if os.environ.get("ORACLE_STRICT"):
+            return v + 0.0
         return round(v, 6) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
