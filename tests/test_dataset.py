@@ -97,3 +97,38 @@ def test_describe_all_parts(small):
     cat = {(r.annotation, r.value): r["count"] for r in out["cell_categorical"].collect()}
     assert cat[("flag", "true")] == 1
     assert out["matrix"].first().nnz == 3
+
+
+def test_empty_dataset_after_selection(small):
+    cd = small.select_cells("n_genes > 1000")
+    assert cd.shape() == (0, 2) and cd.x.count() == 0
+    assert "(0 cells x 2 genes)" in cd.history[0]["description"]
+    t = cd.with_total_umis()
+    assert t.cells.count() == 0
+    out = t.describe()
+    assert out["matrix"].first().nnz == 0
+
+
+def test_single_cell(spark):
+    cells = spark.createDataFrame([(0, "only-1")], "cell_idx bigint, cell_id string")
+    genes = spark.createDataFrame([(0, "G0"), (1, "G1")], "gene_idx bigint, gene_id string")
+    x = spark.createDataFrame([(0, 1, 4.0)], "cell_idx bigint, gene_idx bigint, value double")
+    cd = CellData(cells=cells, genes=genes, x_raw=x).with_total_umis()
+    assert cd.cells.first().total_umis == 4.0
+    with pytest.raises(ValueError):
+        cd.filter_classic(expect=3000)  # position 30 does not exist
+
+
+def test_all_ambient_emptydrops(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows = [(i, j, float(v)) for i in range(300) for j, v in enumerate(rng.poisson(0.2, size=20)) if v]
+    x = spark.createDataFrame(rows, "cell_idx bigint, gene_idx bigint, value double")
+    cells = spark.range(300).select(F.col("id").alias("cell_idx"), F.col("id").cast("string").alias("cell_id"))
+    genes = spark.range(20).select(F.col("id").alias("gene_idx"), F.col("id").cast("string").alias("gene_id"))
+    cd = CellData(cells=cells, genes=genes, x_raw=x)
+    out = cd.filter_emptydrops(lower=100, iters=50, retain=1000.0, alpha=float("inf"))
+    assert out.cells.count() == 0                  # nothing tested, null FDR -> removed
+    kept = cd.filter_emptydrops(lower=100, iters=50, retain=1000.0, alpha=float("inf"), keep_all=True)
+    assert kept.cells.where("emptydrops_fdr is not null").count() == 0
+    assert kept.get_parameter("emptydrops", "lower") == 100.0
