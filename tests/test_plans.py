@@ -38,3 +38,26 @@ def test_parquet_scan_is_pruned(spark):
     df = cell_totals(m1(spark, SF_SMALL))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>" in plan
+
+
+def test_cell_selection_prunes_matrix_with_bloom_filter(spark):
+    """Too many cells to broadcast: the runtime bloom filter built from the
+    selected cells prunes matrix entries before the semi-join shuffle.  The
+    scan-size threshold (10 GB by default, met at scale) is lowered here."""
+    keys = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1k",
+            "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        df = E.queries()["f01b_matrix_follows"](spark, SF_SMALL)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "might_contain" in plan
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
