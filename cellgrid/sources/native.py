@@ -56,6 +56,8 @@ def save(cd: CellData, path: str | None = None, compress: bool = True, write: bo
     if not cd.changed and not force:
         log.info("dataset unchanged, not saved")
         return False
+    if path is None:
+        path = source  # default target: the input
     if path is None:
         raise ValueError("no output path given")
     spark = cd.spark
@@ -90,4 +92,4 @@ def load(spark: SparkSession, path: str) -> CellData:
         genes=spark.read.parquet(f"{path}/genes"),
         x_raw=spark.read.parquet(f"{path}/x").select("cell_idx", "gene_idx", F.col("value").cast("double")),
         layers={n: spark.read.parquet(f"{path}/layers/{n}") for n in layers},
-        params=params, history=history)
+        params=params, history=history, source_path=path)
