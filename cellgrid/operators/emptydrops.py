@@ -150,6 +150,9 @@ def simulate_paths(spark, props: np.ndarray, alpha: float, totals: np.ndarray, i
     emits ``(total, value)`` rows for its own iterations; one shuffle by total
     gathers them (at most ``iters`` values per total, independent of data size).
     """
+    from cellgrid.session import ship_package
+
+    ship_package(spark)
     sc = spark.sparkContext
     b_props = sc.broadcast(props.astype(np.float64))  # one value per gene
     b_totals = sc.broadcast(totals.astype(np.float64))  # one value per distinct tested total

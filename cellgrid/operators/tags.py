@@ -148,6 +148,9 @@ def kmer_nearest(observed: DataFrame, lib: DataFrame, max_library: int = KMER_LI
     ids = [r["tag_id"] for r in rows]
     mat = _kmer_counts([r["seq"] for r in rows])
     norms = np.linalg.norm(mat, axis=1)
+    from cellgrid.session import ship_package
+
+    ship_package(observed.sparkSession)
     sc = observed.sparkSession.sparkContext
     b_lib = sc.broadcast((ids, mat, norms))
 

@@ -50,3 +50,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     on a cluster)."""
     import uuid
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cellgrid-io/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cellgrid`` importable in Python workers (``mapInPandas`` and the
+    FASTQ data source pickle functions by module reference).
+
+    The package is zipped once per application into the shared checkpoint
+    folder and added with ``addPyFile``, the same mechanism as ``--py-files``.
+    """
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import cellgrid
+
+    root = os.path.dirname(os.path.abspath(cellgrid.__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cellgrid-py/{sc.applicationId}/cellgrid.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)

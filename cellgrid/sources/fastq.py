@@ -120,9 +120,12 @@ class FastqPairDataSource(DataSource):
 
 def read_fastq_pairs(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
     """``(file_no, read_no, r1, r2)`` from one or more (R1, R2) file pairs."""
+    from cellgrid.session import ship_package
+
     for a, b in pairs:
         require_exists(spark, a)
         require_exists(spark, b)
+    ship_package(spark)
     spark.dataSource.register(FastqPairDataSource)
     return (spark.read.format("fastq_pair").option("pairs", ";".join(f"{a},{b}" for a, b in pairs)).load())
 
