@@ -79,7 +79,7 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None, top: in
         if not _is_numeric(f.dataType) and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     if not cols:
         return df.sparkSession.createDataFrame(
-            [], "annotation string, non_null bigint, distinct bigint, rank int, value string, count bigint")
+            [], "annotation string, non_null bigint, distinct bigint, rank bigint, value string, count bigint")
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("annotation"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols
     ])).alias("kv")).select("kv.annotation", "kv.value").where(F.col("value").isNotNull())
@@ -87,7 +87,7 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None, top: in
     per_col = counts.groupBy("annotation").agg(F.sum("count").alias("non_null"),
                                           F.count(F.lit(1)).alias("distinct"))
     w = Window.partitionBy("annotation").orderBy(F.col("count").desc(), F.col("value"))
-    topk = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    topk = counts.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top)
     return topk.join(per_col, "annotation").select("annotation", "non_null", "distinct", "rank", "value", "count")
 
 
@@ -100,9 +100,10 @@ def array_summary(df: DataFrame) -> DataFrame:
     """P5: ``(name, element_type, n_rows, width)`` for each array column."""
     arrays = [f for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     if not arrays:
-        return df.sparkSession.createDataFrame([], "name string, element_type string, n_rows bigint, width int")
+        return df.sparkSession.createDataFrame([], "name string, element_type string, n_rows bigint, width bigint")
     parts = [df.agg(F.lit(f.name).alias("name"), F.lit(f.dataType.elementType.simpleString()).alias("element_type"),
-                    F.count(F.lit(1)).alias("n_rows"), F.max(F.size(f"`{f.name}`")).alias("width"))
+                    F.count(F.lit(1)).alias("n_rows"),
+                    F.max(F.size(f"`{f.name}`")).cast("bigint").alias("width"))
              for f in arrays]
     out = parts[0]
     for p in parts[1:]:

@@ -47,9 +47,9 @@ ORACLE: dict[str, str] = {}
 ORACLE["a01_total_umis"] = BASE + "\nSELECT cell_id, total_umis FROM m1_totals"
 
 ORACLE["a02_totals_histogram"] = BASE + """
-SELECT total, n, cum, cum - n AS cum_before FROM (
+SELECT total, n, cum, CAST(cum - n AS BIGINT) AS cum_before FROM (
   SELECT total_umis AS total, count(*) AS n,
-         sum(count(*)) OVER (ORDER BY total_umis DESC) AS cum
+         CAST(sum(count(*)) OVER (ORDER BY total_umis DESC) AS BIGINT) AS cum
   FROM m1_totals GROUP BY total_umis)"""
 
 ORACLE["a03_kth_total"] = BASE + SORTED + """
@@ -265,7 +265,7 @@ def _cat(cols: list[str], src: str) -> str:
     return f""",
 lng AS ({unp}),
 cnt AS (SELECT annotation, value, count(*) AS count FROM lng WHERE value IS NOT NULL GROUP BY annotation, value),
-pc AS (SELECT annotation, sum(count) AS non_null, count(*) AS distinct FROM cnt GROUP BY annotation),
+pc AS (SELECT annotation, CAST(sum(count) AS BIGINT) AS non_null, count(*) AS distinct FROM cnt GROUP BY annotation),
 rk AS (SELECT *, row_number() OVER (PARTITION BY annotation ORDER BY count DESC, value) AS rank FROM cnt)
 SELECT rk.annotation, pc.non_null, pc.distinct, rk.rank, rk.value, rk.count
 FROM rk JOIN pc USING (annotation) WHERE rank <= 5"""
@@ -438,7 +438,7 @@ d AS (SELECT max(greatest(i / 100.0 - pvalue, pvalue - (i - 1) / 100.0)) AS d FR
 lam AS (SELECT (sqrt(100) + 0.12 + 0.11 / sqrt(100)) * d AS l, d FROM d),
 ks AS (SELECT least(1.0, greatest(0.0, 2 * sum(CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * j * j * l * l))))
          AS p FROM lam, range(1, 101) t(j))
-SELECT 100 AS n, round((SELECT d FROM d), 9) AS d, round(p, 9) AS ks_pvalue, p >= 0.05 AS suitable FROM ks"""
+SELECT CAST(100 AS BIGINT) AS n, round((SELECT d FROM d), 9) AS d, round(p, 9) AS ks_pvalue, p >= 0.05 AS suitable FROM ks"""
 
 PPALL = PP + """,
 n AS (SELECT count(*) AS n FROM pp),
