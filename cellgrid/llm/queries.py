@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import simhash, toxicity
+from cellgrid.llm import lines, mixing, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources to weights in proportion to the square root of their size, as many rows as before."""
+    return mixing.mix(_table(spark, sf_dir, "documents"), alpha=0.5, seed=7)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier one, exactly or nearly."""
+    return lines.dedup_lines(_table(spark, sf_dir, "documents"), min_words=5, max_bits=3, similarity=0.8,
+                             length_col="n_chars")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity by non-negative positive-unlabelled learning; held out: remainder 2 of 4."""
     docs = _table(spark, sf_dir, "documents")
@@ -29,5 +40,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op7_toxicity": op7_toxicity,
 }
