@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import lines, mixing, packing, simhash, toxicity
+from cellgrid.llm import lines, mixing, packing, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                              length_col="n_chars")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality by random-indexing vectors and a small network; held out: remainder 0 of 5."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), held_out=0, mod=5)
+    found = quality.score(docs, model)
+    return found.select("doc_id", F.coalesce(toxicity.fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
+                        "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity by non-negative positive-unlabelled learning; held out: remainder 2 of 4."""
     docs = _table(spark, sf_dir, "documents")
@@ -50,5 +59,6 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality": op5_quality,
     "op7_toxicity": op7_toxicity,
 }
