@@ -16,8 +16,11 @@ as small integers; scoring reads every whole text and needs tables of fixed size
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -25,15 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.llm.common import ref, with_workers
-from cellgrid.llm.toxicity import fold
+from cellgrid.llm.toxicity import fold, remembered
 
 SAMPLE = 4000        # labelled documents that the fit may see
 WORDS = 1 << 14      # hashed word forms with a context vector
 FORMS = 1 << 11      # hashed endings and shapes
 DIM = 48             # length of an index vector
 ONES = 6             # its entries that are not zero
-CACHE = 60_000       # tokens a worker remembers
-CHUNK = 1 << 15      # tokens pooled at a time
+CHUNK = 1 << 15      # vectors summed at a time
 
 
 def index_vectors(rows: int, seed: int) -> np.ndarray:
@@ -46,6 +48,9 @@ def index_vectors(rows: int, seed: int) -> np.ndarray:
 
 
 def _shape(token: str) -> str:
+    """Kinds of characters in order, runs as one (the last 40 characters)."""
+    if token.isalpha() and token.islower():
+        return "x"
     kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token[-40:])
     return "".join(c for i, c in enumerate(kinds) if not i or c != kinds[i - 1])
 
@@ -56,19 +61,35 @@ def numbers(token: str) -> tuple[int, int, int]:
     return crc(token.lower()) % WORDS, crc("e" + token[-3:]) % FORMS, crc("s" + _shape(token)) % FORMS
 
 
-def token_numbers(text: str | None) -> np.ndarray:
-    """One row of three numbers per token, ``n x 3``."""
+@dataclass
+class Tokens:
+    """What the model needs of a text: word forms in order, distinct tokens
+    (three numbers each) with their counts, and how many tokens repeat the one before."""
+
+    order: np.ndarray
+    kinds: np.ndarray
+    many: np.ndarray
+    again: int
+
+
+def tokens_of(text: str | None, of_token=numbers, in_order: bool = True) -> Tokens:
     tokens = (text or "").split()
-    known = {t: numbers(t) for t in set(tokens)}
-    return np.array([known[t] for t in tokens], dtype=np.uint16).reshape(-1, 3)
+    many = Counter(tokens)
+    nums = [of_token(t) for t in many]
+    order = np.empty(0, np.uint16)
+    if in_order:
+        form = dict(zip(many, (n[0] for n in nums)))
+        order = np.array([form[t] for t in tokens], dtype=np.uint16)
+    return Tokens(order, np.array(nums, dtype=np.uint16).reshape(-1, 3), np.array(list(many.values()), dtype=np.int32),
+                  sum(map(eq, tokens, islice(tokens, 1, None))))
 
 
 def contexts(samples: list[np.ndarray], window: int = 2) -> np.ndarray:
-    """Context vectors of the word forms, unit length (zero if never seen)."""
+    """Context vectors of the word forms (given in order), unit length; zero if never seen."""
     index, out = index_vectors(WORDS, 1), np.zeros((WORDS, DIM), dtype=np.float32)
     for s in samples:
         for at in range(0, len(s), CHUNK):
-            w = s[at:at + CHUNK, 0]
+            w = s[at:at + CHUNK]
             v = index[w]
             near = np.zeros_like(v)
             for k in range(1, window + 1):
@@ -93,16 +114,13 @@ def _document(total: np.ndarray, distinct: np.ndarray, n: int, kinds: int, again
 INPUTS = 6 * DIM + 4
 
 
-def pooled(nums: np.ndarray, context: np.ndarray, forms: np.ndarray) -> np.ndarray:
-    if not len(nums):
-        return _document(np.zeros(3 * DIM), np.zeros(3 * DIM), 0, 0, 0)
-    kinds, many = np.unique(nums, axis=0, return_counts=True)
-    total, distinct = np.zeros(3 * DIM), np.zeros(3 * DIM)
-    for at in range(0, len(kinds), CHUNK):
-        v = token_vectors(kinds[at:at + CHUNK], context, forms)
-        total += many[at:at + CHUNK] @ v
-        distinct += v.sum(axis=0, dtype=np.float64)
-    return _document(total, distinct, len(nums), len(kinds), int((nums[1:] == nums[:-1]).all(axis=1).sum()))
+def pooled(t: Tokens, context: np.ndarray, forms: np.ndarray) -> np.ndarray:
+    total, distinct = np.zeros(3 * DIM, np.float32), np.zeros(3 * DIM, np.float32)
+    for at in range(0, len(t.kinds), CHUNK):
+        v = token_vectors(t.kinds[at:at + CHUNK], context, forms)
+        total += t.many[at:at + CHUNK].astype(np.float32) @ v
+        distinct += v.sum(axis=0)
+    return _document(total, distinct, int(t.many.sum()), len(t.kinds), t.again)
 
 
 @dataclass
@@ -171,48 +189,18 @@ class Model:
     net: Network
 
     def scorer(self):
-        """``text -> score`` with a bounded memory of token vectors."""
-        table = np.zeros((CACHE, 3 * DIM), dtype=np.float32)
-        rows: dict[str, int] = {}
-
-        def places(tokens: list[str]) -> np.ndarray:
-            """Rows of ``table`` for at most CHUNK tokens."""
-            got = list(map(rows.get, tokens))
-            if None in got:
-                new = list({t for t, r in zip(tokens, got) if r is None})
-                if len(rows) + len(new) > CACHE:
-                    rows.clear()
-                    new = list(set(tokens))
-                at = np.arange(len(rows), len(rows) + len(new))
-                table[at] = token_vectors(np.array([numbers(t) for t in new], dtype=np.uint16), self.context, self.forms)
-                rows.update(zip(new, at.tolist()))
-                got = list(map(rows.__getitem__, tokens))
-            return np.array(got, dtype=np.int64)
+        """``text -> score`` of a whole text."""
+        of_token = remembered(numbers)
 
         def score(text: str | None) -> float:
-            tokens = (text or "").split()
-            total, distinct = np.zeros(3 * DIM), np.zeros(3 * DIM)
-            kinds = again = 0
-            for at in range(0, len(tokens), CHUNK):
-                part = places(tokens[at:at + CHUNK])
-                used, many = np.unique(part, return_counts=True)
-                v = table[used].astype(np.float64)
-                total += many @ v
-                again += int((part[1:] == part[:-1]).sum())
-                if len(tokens) <= CHUNK:
-                    distinct, kinds = v.sum(axis=0), len(used)
-            if len(tokens) > CHUNK:  # distinct over the whole text, not over its parts
-                whole = sorted(set(tokens))
-                kinds = len(whole)
-                for at in range(0, kinds, CHUNK):
-                    distinct += table[places(whole[at:at + CHUNK])].sum(axis=0, dtype=np.float64)
-            return float(self.net.probability(_document(total, distinct, len(tokens), kinds, again)[None, :])[0])
+            x = pooled(tokens_of(text, of_token, in_order=False), self.context, self.forms)
+            return float(self.net.probability(x[None, :])[0])
 
         return score
 
 
-def train_on(samples: list[np.ndarray], y: np.ndarray) -> Model:
-    context, forms = contexts(samples), index_vectors(FORMS, 2)
+def train_on(samples: list[Tokens], y: np.ndarray) -> Model:
+    context, forms = contexts([s.order for s in samples]), index_vectors(FORMS, 2)
     x = np.stack([pooled(s, context, forms) for s in samples]) if samples else np.zeros((0, INPUTS), np.float32)
     if not len(x):
         x, y = np.zeros((1, INPUTS), np.float32), np.zeros(1)
@@ -230,12 +218,16 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, mod: int = 5, i
     lab = lab.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of_token = remembered(numbers)
         for b in batches:
-            yield pd.DataFrame({"t": [token_numbers(t).tobytes() for t in b["text"]], "y": b["y"]})
+            t = [tokens_of(x, of_token) for x in b["text"]]
+            yield pd.DataFrame({"o": [x.order.tobytes() for x in t], "k": [x.kinds.tobytes() for x in t],
+                                "m": [x.many.tobytes() for x in t], "a": [x.again for x in t], "y": b["y"]})
 
     rows = d.join(F.broadcast(lab), "doc_id").select("text", "y").limit(sample)
-    got = rows.mapInPandas(run, "t binary, y int").toPandas()
-    samples = [np.frombuffer(t, np.uint16).reshape(-1, 3) for t in got["t"]]
+    got = rows.mapInPandas(run, "o binary, k binary, m binary, a bigint, y int").toPandas()
+    samples = [Tokens(np.frombuffer(o, np.uint16), np.frombuffer(k, np.uint16).reshape(-1, 3), np.frombuffer(m, np.int32), int(a))
+               for o, k, m, a in zip(got["o"], got["k"], got["m"], got["a"])]
     return train_on(samples, got["y"].to_numpy())
 
 
