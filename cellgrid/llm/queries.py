@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import lines, mixing, packing, quality, simhash, toxicity
+from cellgrid.llm import lines, mixing, packing, quality, simhash, tokenfile, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-BPE ids of every document written to token files and read back."""
+    docs = _table(spark, sf_dir, "documents")
+    files = tokenfile.write_tokens(docs, tokenfile.token_folder(spark), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokenfile.read_documents(files, docs.schema["doc_id"].dataType.simpleString())
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity by non-negative positive-unlabelled learning; held out: remainder 2 of 4."""
     docs = _table(spark, sf_dir, "documents")
@@ -60,5 +67,6 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality": op5_quality,
+    "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,
 }
