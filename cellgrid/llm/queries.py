@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import lines, mixing, packing, quality, simhash, tokenfile, toxicity
+from cellgrid.llm import lines, mixing, packing, quality, simhash, tokenfile, toxicity, warc
+from cellgrid.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record for every page, written to archives and read back by byte ranges."""
+    folder = scratch_path(spark, "warc")
+    files = warc.write_archives(_table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    if not files.limit(1).count():
+        return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    found = warc.read_records(spark, folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -69,4 +80,5 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,
+    "op8_warc": op8_warc,
 }
