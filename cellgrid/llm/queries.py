@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import lines, mixing, packing, quality, simhash, tokenfile, toxicity, warc
+from cellgrid.llm import ann, lines, mixing, packing, quality, simhash, tokenfile, toxicity, warc
 from cellgrid.session import scratch_path
 
 
@@ -72,6 +72,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every vector whose id is divisible by 20."""
+    return ann.search(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -81,4 +86,5 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
+    "op9_neighbours": op9_neighbours,
 }
