@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import ann, lines, mixing, packing, quality, simhash, tokenfile, toxicity, warc
+from cellgrid.llm import ann, covertree, lines, mixing, packing, quality, simhash, tokenfile, toxicity, warc
 from cellgrid.session import scratch_path
 
 
@@ -77,6 +77,11 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label linked at a cosine of 0.98 or more."""
+    return covertree.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -87,4 +92,5 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_neighbours": op9_neighbours,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
