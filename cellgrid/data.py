@@ -11,16 +11,18 @@ history newest-first list of history records (small, driver side)
 
 Operators return a new ``CellData``; nothing is mutated.  Cell and gene
 selections touch only ``cells``/``genes``; the matrix is restricted lazily,
-once, when ``x`` is read (two semi-joins, the gene side broadcast behind a
-size check).
+once, when ``x`` is read (two semi-joins; stored tables are broadcast where
+their measured size allows it).
 """
 
 from __future__ import annotations
 
 import dataclasses
 import datetime
-import getpass
+import json
+import os
 import platform
+import sys
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,28 +31,29 @@ from pyspark.sql import types as T
 
 VERSION = "0.1.0"
 
+# fixed values: the field names of the history format
 HISTORY_FIELDS = ("hostname", "user", "python", "operating_system", "timestamp", "version",
                   "parameters", "description")
 HISTORY_SCHEMA = T.StructType([T.StructField("seq", T.LongType(), False)]
                               + [T.StructField(f, T.StringType(), True) for f in HISTORY_FIELDS])
 
 
+def _who() -> str:
+    """Login name; containers without a user database have none."""
+    for name in ("USER", "LOGNAME", "USERNAME"):
+        if os.environ.get(name):
+            return os.environ[name]
+    return f"uid {os.getuid()}" if hasattr(os, "getuid") else "unknown"
+
+
 def history_record(parameters: Any, description: str) -> dict:
     """One history record: environment, parameters, description (all text)."""
-    try:
-        user = getpass.getuser()
-    except Exception:  # noqa: BLE001 - no user database in some containers
-        user = "[Unknown]"
-    return {
-        "hostname": platform.node(),
-        "user": user,
-        "python": platform.python_version(),
-        "operating_system": platform.platform(aliased=True, terse=True),
-        "timestamp": datetime.datetime.now().ctime(),
-        "version": VERSION,
-        "parameters": repr(parameters),
-        "description": description,
-    }
+    machine = platform.uname()
+    values = (machine.node, _who(), ".".join(map(str, sys.version_info[:3])),
+              f"{machine.system} {machine.release} {machine.machine}",
+              datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds"), VERSION,
+              json.dumps(parameters, default=str, sort_keys=True), description)
+    return dict(zip(HISTORY_FIELDS, values))
 
 
 @dataclasses.dataclass(frozen=True)
@@ -197,8 +200,9 @@ class CellData:
         return describe.describe(self)
 
     def save(self, path: str | None = None, compress: bool = True, write: bool = True,
-             force: bool = False) -> bool:
-        """K1: write the dataset; the default target is the folder it was loaded from."""
+             force: bool = False) -> CellData | None:
+        """K1: write the dataset; the default target is the folder it was loaded
+        from.  Returns the dataset at its new place (None: nothing to write)."""
         from cellgrid.sources import native
         return native.save(self, path, compress=compress, write=write, force=force, source=self.source_path)
 

@@ -1,26 +1,17 @@
 """Join helpers.
 
 Dimension-like sides (gene lists, value lists, tag libraries, per-total
-tables) are not hinted statically: adaptive execution measures the finished
-shuffle stage and turns the join into a broadcast join when that side is
-below ``spark.sql.adaptive.autoBroadcastJoinThreshold``, so the broadcast
-decision rests on the measured size.  ``small_or_none(df, check=True)`` adds
-an explicit hint after a bounded row count, for callers that want it.
+tables) are not hinted: a stored table has its true size, so Spark broadcasts
+it where its threshold allows, and adaptive execution measures the others'
+finished shuffle stages against
+``spark.sql.adaptive.autoBroadcastJoinThreshold``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
 
-
-def small_or_none(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, check: bool = False) -> DataFrame:
-    """``df`` as a join side.  With ``check``: ``broadcast(df)`` if it has at
-    most ``max_rows`` rows (bounded count), else ``df``.  Without: unchanged,
-    and adaptive execution decides from the measured size."""
-    if not check:
-        return df
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def small_or_none(df: DataFrame) -> DataFrame:
+    """``df`` as a join side that is broadcast only if its size allows it."""
+    return df

@@ -7,73 +7,49 @@ i-th repeat of ``b`` gets the i-th integer ``k >= 1`` with ``b-k`` unused.
 Generated names of different bases never collide (``b-k`` with an integer k
 determines ``b``), so only collisions with *original* names matter.  With
 ``t_1 < t_2 < ...`` the taken numbers of base ``b``, the i-th free integer is
-``i + #{j : t_j - j < i}``: one running count in a global order.  Large
-tables never use a per-name window (a single name may hold a third of all
-rows); small ones (bounded row count) do.
+``i + #{j : t_j - j < i}``: one running count in a global order.  There is no
+per-name window: a single name may hold a third of all rows.  Only names that
+repeat are numbered; a table without repeats is returned as it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.functions.positions import SMALL_TABLE_ROWS, dense_positions, is_small, running_sums
+from cellgrid.functions.positions import dense_positions, materialize, running_sums
 
 
-def make_unique(df: DataFrame, name: str, order: str, join: str = "-", small: bool | None = None) -> DataFrame:
-    """Replace column ``name`` by a unique version, numbering repeats by ``order``.
-
-    Name tables (genes, features) are small: up to ``SMALL_TABLE_ROWS`` rows the
-    occurrence number is a ``row_number`` window per name (one task holds at
-    most that many rows).  Larger tables use global positions, which split a
-    hot name over many tasks.
-    """
+def make_unique(df: DataFrame, name: str, order: str, join: str = "-") -> DataFrame:
+    """Replace column ``name`` by a unique version, numbering repeats by ``order``."""
     base = df.select(F.col(order).alias("_o"), F.col(name).alias("_b"))
-    if small is None:
-        small = is_small(base, SMALL_TABLE_ROWS)
-    if small:
-        occ = base.select("_o", "_b", (F.row_number().over(Window.partitionBy("_b").orderBy("_o")) - 1)
-                          .alias("_i"))
-    else:
-        # occurrence number i (0 = first) of each row inside its name, skew-proof:
-        pos = dense_positions(base, [F.col("_b"), F.col("_o")], name="_p", small=False)
-        first = pos.groupBy("_b").agg(F.min("_p").alias("_p0"))
-        occ = pos.join(first, "_b").select("_o", "_b", (F.col("_p") - F.col("_p0")).alias("_i"))
+    repeated = materialize(base.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+                           .where((F.col("_n") > 1) & F.col("_b").isNotNull()).select("_b"))
+    if repeated.isEmpty():
+        return df
+    # occurrence number i (0 = first) of each repeated row inside its name, skew-proof
+    pos = dense_positions(base.join(repeated, "_b", "left_semi"), [F.col("_b"), F.col("_o")], name="_p")
+    first = pos.groupBy("_b").agg(F.min("_p").alias("_p0"))
+    occ = pos.join(first, "_b").select("_o", "_b", (F.col("_p") - F.col("_p0")).alias("_i"))
 
     # original names of the form  <repeated base>-<int>  block that number
-    repeated = occ.where(F.col("_i") > 0).select("_b").distinct()
     parsed = (df.select(F.col(name).alias("_n")).distinct()
               .select(F.regexp_extract("_n", r"^(.*)" + join + r"(\d+)$", 1).alias("_b"),
                       F.regexp_extract("_n", join + r"(\d+)$", 1).alias("_k"))
               .where(F.col("_k") != "")
               .select("_b", F.expr("try_cast(_k as bigint)").alias("_t"))
               .where(F.col("_t") >= 1))
-    taken = parsed.join(repeated, "_b", "left_semi")
-    if small:
-        # j = rank of t inside its base; key u = t - j
-        u = taken.select("_b", (F.col("_t") - F.row_number().over(Window.partitionBy("_b").orderBy("_t")))
-                         .alias("_key"), F.lit(1).alias("_taken"), F.lit(None).cast("bigint").alias("_o"))
-    else:
-        tpos = dense_positions(taken, [F.col("_b"), F.col("_t")], name="_q", small=False)
-        tfirst = tpos.groupBy("_b").agg(F.min("_q").alias("_q0"))
-        u = tpos.join(tfirst, "_b").select("_b", (F.col("_t") - (F.col("_q") - F.col("_q0") + 1)).alias("_key"),
-                                           F.lit(1).alias("_taken"), F.lit(None).cast("bigint").alias("_o"))
+    tpos = dense_positions(parsed.join(repeated, "_b", "left_semi"), [F.col("_b"), F.col("_t")], name="_q")
+    tfirst = tpos.groupBy("_b").agg(F.min("_q").alias("_q0"))
+    # j = rank of t inside its base; key u = t - j
+    u = tpos.join(tfirst, "_b").select("_b", (F.col("_t") - (F.col("_q") - F.col("_q0") + 1)).alias("_key"),
+                                       F.lit(1).alias("_taken"), F.lit(None).cast("bigint").alias("_o"))
     dups = occ.where(F.col("_i") > 0).select("_b", F.col("_i").alias("_key"), F.lit(0).alias("_taken"), "_o")
-    both = dups.unionByName(u)
     # duplicates sort before taken rows at equal key, so only t_j - j < i is counted
     order_cols = [F.col("_b"), F.col("_key"), F.col("_taken"), F.col("_o")]
-    if small:
-        w = Window.partitionBy("_b").orderBy(*order_cols[1:]).rowsBetween(Window.unboundedPreceding, 0)
-        k = (both.withColumn("_c", F.sum("_taken").over(w)).where(F.col("_taken") == 0)
-             .select("_o", (F.col("_key") + F.col("_c")).alias("_k")))
-    else:
-        run = running_sums(both, order_cols, {"_c": F.col("_taken")}, small=False)
-        start = run.groupBy("_b").agg(F.min(F.col("_c") - F.col("_taken")).alias("_c0"))
-        k = (run.where(F.col("_taken") == 0).join(start, "_b")
-             .select("_o", (F.col("_key") + F.col("_c") - F.col("_c0")).alias("_k")))
-    names = (occ.join(k, "_o", "left")
-             .select("_o", F.when(F.col("_i") == 0, F.col("_b"))
-                     .otherwise(F.concat(F.col("_b"), F.lit(join), F.col("_k").cast("string")))
-                     .alias("_u")))
-    return (df.join(names, df[order] == names["_o"], "left")
-            .withColumn(name, F.col("_u")).drop("_o", "_u"))
+    run = running_sums(dups.unionByName(u), order_cols, {"_c": F.col("_taken")})
+    start = run.groupBy("_b").agg(F.min(F.col("_c") - F.col("_taken")).alias("_c0"))
+    k = (run.where(F.col("_taken") == 0).join(start, "_b")
+         .select("_o", F.concat(F.col("_b"), F.lit(join), (F.col("_key") + F.col("_c") - F.col("_c0")).cast("string")).alias("_u")))
+    out = df.join(k, df[order] == k["_o"], "left")
+    return out.withColumn(name, F.coalesce("_u", F.col(name))).drop("_o", "_u")

@@ -1,20 +1,18 @@
 """Global order without a single-partition window.
 
 ``dense_positions`` numbers rows 0..n-1 in a total order; ``running_sums``
-adds inclusive running sums.  Inputs with a bounded row count (histograms of
-distinct values, gene lists; at most ``SMALL_TABLE_ROWS``) use one ordered
-window.  Anything larger is range-partitioned: every row is tagged
-with (partition, row inside partition), and write that frame once with a
-reliable ``checkpoint()`` into the folder named by ``spark.checkpoint.dir``.
+adds inclusive running sums.  Rows are range-partitioned, tagged with
+(partition, row inside partition) and written once to the shared folder.
 Counts/sums per partition (one row per partition) become offsets through a
 tiny window; the offsets are broadcast back (their size is the partition
-count, not the data size) and each partition finishes on its own.
+count, not the data size) and each partition finishes on its own.  There is
+one method for every size, so what is tested is what runs on a large table.
 
-Why the checkpoint: the counting branch and the numbering branch prune
+Why the frame is stored: the counting branch and the numbering branch prune
 different columns, so their range exchanges are not reused and Spark would
 sample range bounds twice; the two branches could then disagree on which
 row sits in which partition.  Reading one stored frame removes that, and a
-lost executor re-reads the checkpoint instead of re-sampling.
+lost executor re-reads the files instead of re-sampling.
 """
 
 from __future__ import annotations
@@ -22,27 +20,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellgrid.session import ensure_checkpoint_dir
+from cellgrid.session import scratch_path
 
 _LOW33 = (1 << 33) - 1
 
 
-# Tables up to this many rows (gene/feature lists, histograms, libraries) may
-# be ordered by a single window: one task handles at most this many rows.
-SMALL_TABLE_ROWS = 5_000_000
-
-
-def is_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> bool:
-    """Bounded row-count check (stops counting after ``max_rows + 1``)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write a derived table that several later jobs read (cell totals, gene
-    profiles, likelihoods) once, to the shared checkpoint folder, so the
-    matrix behind it is scanned once and lost executors re-read the files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    profiles, likelihoods) once, as Parquet in the shared folder, and read it
+    back: the matrix behind it is scanned once, later reads are pruned and
+    filtered in the scan, Spark knows the table's true size when it picks join
+    sides, and lost executors re-read the files."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _n_parts(df: DataFrame, n: int | None) -> int:
@@ -52,25 +44,15 @@ def _n_parts(df: DataFrame, n: int | None) -> int:
 
 
 def _tagged(df: DataFrame, order: list, n: int) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
     s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
          .withColumn("_mid", F.monotonically_increasing_id()))
-    return s.checkpoint(eager=True)
+    return materialize(s)
 
 
 def dense_positions(df: DataFrame, order: list, name: str = "pos", start: int = 0,
-                    n_parts: int | None = None, small: bool | None = None) -> DataFrame:
+                    n_parts: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based (or ``start``-based) position of each row in
-    ``order``.  ``order`` should be a total order (append a unique key).
-
-    Inputs of at most ``SMALL_TABLE_ROWS`` rows (checked, unless ``small`` or
-    ``n_parts`` is given) use one ordered window, lazily; larger inputs the
-    checkpointed distributed method.
-    """
-    if small is None and n_parts is None:
-        small = is_small(df)
-    if small:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("bigint"))
+    ``order``.  ``order`` should be a total order (append a unique key)."""
     s = _tagged(df, order, _n_parts(df, n_parts)).withColumn("_part", F.shiftright("_mid", 33))
     counts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,18 +64,10 @@ def dense_positions(df: DataFrame, order: list, name: str = "pos", start: int =
 
 
 def running_sums(df: DataFrame, order: list, sums: dict[str, Column],
-                 n_parts: int | None = None, small: bool | None = None, agg: str = "sum") -> DataFrame:
+                 n_parts: int | None = None, agg: str = "sum") -> DataFrame:
     """Add inclusive running aggregates ``{name: column}`` in ``order``;
-    ``agg`` is ``sum`` or ``min`` (small inputs: one ordered window; larger:
-    checkpointed distributed method with per-partition offsets)."""
+    ``agg`` is ``sum`` or ``min``."""
     fn = {"sum": F.sum, "min": F.min}[agg]
-    if small is None and n_parts is None:
-        small = is_small(df)
-    if small:
-        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        for k, c in sums.items():
-            df = df.withColumn(k, fn(c).over(w))
-        return df
     for k, c in sums.items():
         df = df.withColumn(f"_v_{k}", c)
     s = _tagged(df, order, _n_parts(df, n_parts)).withColumn("_part", F.shiftright("_mid", 33))

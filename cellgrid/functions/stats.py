@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cellgrid.functions.positions import materialize, running_sums
 
+MIN_FREQUENCIES = 5  # distinct counts below which the regression is not fitted
 _HALF_LOG_2PI = 0.5 * math.log(2 * math.pi)
 
 
@@ -39,6 +40,11 @@ def good_turing_proportions(counts: DataFrame, key: str = "gene_idx", count: str
     ``(r+1) S(r+1)/S(r)`` by more than ``conf`` standard deviations; from the
     first failure on, the smoothed value is used.  Unseen genes share
     ``P0 = n_1 / N``; seen genes share ``1 - P0`` in proportion to ``r*``.
+
+    No proportion is zero (a zero would make a barcode with that gene
+    impossible): without singletons unseen genes share ``1 / N``, and a profile
+    with fewer than five distinct counts, too few for the regression, gets
+    add-one smoothing ``(count + 1) / (N + genes)`` instead.
     Returns ``(key, count, prop)``.  The table of distinct counts is small;
     its neighbours come from positions and equi-joins, and its few scalars
     (slope, totals, switch point, normaliser) are single-row aggregations.
@@ -53,6 +59,9 @@ def good_turing_proportions(counts: DataFrame, key: str = "gene_idx", count: str
          .withColumn("t_", F.coalesce("t", 2 * F.col("r") - F.col("q")))
          .withColumn("lz", F.log(2 * F.col("n") / (F.col("t_") - F.col("q"))))
          .withColumn("lr", F.log("r")))
+    n_rows, few = ff.count(), counts.agg(F.count(F.lit(1)), F.sum(F.col(count).cast("double"))).first()
+    if n_rows < MIN_FREQUENCIES:
+        return counts.select(key, count, ((F.col(count) + 1) / F.lit(float(few[1] or 0.0) + few[0])).alias("prop"))
     # scalars of the small frequency table: one single-row aggregation each step
     row = z.agg(F.regr_slope("lz", "lr").alias("b"), F.sum(F.col("r") * F.col("n")).alias("n_tot"),
                 F.sum(F.when(F.col("r") == 1, F.col("n"))).alias("n1")).first()
@@ -71,9 +80,9 @@ def good_turing_proportions(counts: DataFrame, key: str = "gene_idx", count: str
     rstar = est.select("r", "n", F.when(F.col("i") < F.lit(switch_at), F.col("x"))
                        .otherwise(F.col("y")).alias("rstar"))
     norm = float(rstar.agg(F.sum(F.col("n") * F.col("rstar"))).first()[0])
-    p0 = n1 / n_tot
-    props = rstar.select("r", ((1 - p0) * F.col("rstar") / norm).alias("p_seen"))
     n0 = counts.agg(F.count_if(F.col(count) == 0)).first()[0]
+    p0 = (n1 or (1.0 if n0 else 0.0)) / n_tot
+    props = rstar.select("r", ((1 - p0) * F.col("rstar") / norm).alias("p_seen"))
     p_unseen = p0 / n0 if n0 else 0.0
     out = counts.join(props, F.col(count).cast("double") == F.col("r"), "left")  # AQE broadcasts it
     return out.select(key, count, F.when(F.col(count) == 0, F.lit(p_unseen)).otherwise(F.col("p_seen")).alias("prop"))
@@ -95,4 +104,6 @@ def bh_adjust(pvals: DataFrame, p: str = "pvalue", out: str = "fdr") -> DataFram
     raw = hist.select("_p", (F.col("_p") * m / F.col("_cum")).alias("_q"))
     adj = running_sums(raw, [F.col("_p").desc()], {"_qmin": F.col("_q")}, agg="min")
     adj = adj.select("_p", F.least(F.lit(1.0), F.col("_qmin")).alias(out))
-    return pvals.join(adj, pvals[p].eqNullSafe(adj["_p"]) & pvals[p].isNotNull(), "left").drop("_p")
+    # only tested rows are joined: all others would meet in one null key
+    done = tested.join(adj, tested[p] == adj["_p"]).drop("_p")
+    return done.unionByName(pvals.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))

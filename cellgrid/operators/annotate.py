@@ -38,7 +38,7 @@ def annotation_frame(annots: DataFrame, names, columns, id_column=0, id_suffix:
     if not columns:
         columns = [i for i, c in enumerate(file_cols) if c != id_name]
     if len(names) != len(columns):
-        raise ValueError("Length of names must match the annotation columns")
+        raise ValueError("names and annotation columns differ in number")
     for c in columns:
         if c < 0 or c >= len(file_cols):
             raise ValueError(f"annotation column {c} is outside the file ({len(file_cols)} columns)")
@@ -61,7 +61,7 @@ def annotate(cd: CellData, axis: str, annots: DataFrame, names, columns=None, id
     kept = [c for c in table.columns if c not in names]
     out = table.select(*kept).join(small_or_none(frame), key, "left")
     out = out.select(*kept, *names)
-    desc = f"Added {axis} annotation(s) {names}" + (f" from file {source}" if source else "")
+    desc = f"New {axis} columns: {', '.join(map(str, names))}" + (f" (read from {source})" if source else "")
     cd = cd.replace(cells=out) if axis == "cell" else cd.replace(genes=out)
     return cd.add_history({"subcommand": f"{axis}s", "annotation": names, "file": source}, desc)
 
@@ -95,7 +95,7 @@ def replace(cd: CellData, axis: str, annots: DataFrame, id_column=0, id_suffix:
     out = left.join(right, "_pos").drop("_pos")
     cd = cd.replace(cells=out) if axis == "cell" else cd.replace(genes=out)
     return cd.add_history({"subcommand": f"{axis}s", "replace": True},
-                          f"Replaced {axis} annotations and ids")
+                          f"{axis.capitalize()} ids and annotations now come from another table, row by row")
 
 
 def drop(cd: CellData, axis: str, name: str) -> CellData:
@@ -103,11 +103,11 @@ def drop(cd: CellData, axis: str, name: str) -> CellData:
     table = cd.cells if axis == "cell" else cd.genes
     idx, key = _keys(axis)
     if name not in table.columns or name in (idx, key):
-        log.warning("Annotation '%s' not present in %s annotations, ignoring", name, axis)
+        log.warning("nothing to drop: no %s annotation is called %s", axis, name)
         return cd
     table = table.drop(name)
     cd = cd.replace(cells=table) if axis == "cell" else cd.replace(genes=table)
-    return cd.add_history({"subcommand": f"{axis}s", "drop": name}, f"Removed {axis} annotation {name}")
+    return cd.add_history({"subcommand": f"{axis}s", "drop": name}, f"Dropped '{name}' from the {axis} table")
 
 
 def promote(cd: CellData, name: str) -> CellData:
@@ -115,7 +115,7 @@ def promote(cd: CellData, name: str) -> CellData:
     the matrix (null -> 0, zeros not stored) and leaves ``cells``; the new gene
     gets null for every gene annotation.  Missing annotation -> unchanged."""
     if name not in cd.cells.columns or name in ("cell_idx", "cell_id"):
-        log.error("'%s' not in cell annotations, cannot promote", name)
+        log.error("nothing to promote: cells have no annotation called %s", name)
         return cd
     dtype = cd.cells.schema[name].dataType
     v = F.col(f"`{name}`")
@@ -133,4 +133,4 @@ def promote(cd: CellData, name: str) -> CellData:
     layers = {k: cd.layer(k) for k in cd.layers}
     out = cd.replace(cells=cd.cells.drop(name), genes=genes, x_raw=x_raw, layers=layers,
                      cells_filtered=False, genes_filtered=False)
-    return out.add_history({"annotation": name}, f"Promoted cell annotation '{name}' to a gene")
+    return out.add_history({"annotation": name}, f"'{name}' moved from the cell table into the matrix")

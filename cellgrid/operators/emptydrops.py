@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from cellgrid.data import CellData
 from cellgrid.functions.joins import small_or_none
-from cellgrid.functions.positions import materialize
+from cellgrid.functions.positions import materialize, running_sums
 from cellgrid.functions.stats import bh_adjust, good_turing_proportions, lgamma
 from cellgrid.operators.totals import cell_totals
 
@@ -100,7 +100,9 @@ def log_likelihoods(cd: CellData, props: DataFrame, alpha: float, cells: DataFra
     """E5: ``(cell_idx, total, loglik)`` for the barcodes in ``cells``."""
     entries = (cd.x.join(cells.select("cell_idx"), "cell_idx", "left_semi")
                .join(small_or_none(props.select("gene_idx", "prop")), "gene_idx"))
-    x, p = F.col("value"), F.col("prop")
+    x = F.col("value")
+    p = F.when(F.col("prop") > 0, F.col("prop")).otherwise(
+        F.raise_error(F.concat(F.lit("gene without a positive proportion: "), F.col("gene_idx").cast("string"))).cast("double"))
     if math.isinf(alpha):
         term = x * F.log(p) - lgamma(x + 1)
     else:
@@ -144,63 +146,63 @@ def _simulate(props: np.ndarray, alpha: float, totals: np.ndarray, seed: int, it
 
 def simulate_paths(spark, props: np.ndarray, alpha: float, totals: np.ndarray, iters: int,
                    seed: int = 0, n_parts: int | None = None) -> DataFrame:
-    """``(total, sims array<double>)`` sorted ascending, one row per distinct total.
+    """``(total, sim)``: ``iters`` simulated log-likelihoods per distinct total.
 
-    Iterations are spread over tasks with ``spark.range(iters)``; each task
-    emits ``(total, value)`` rows for its own iterations; one shuffle by total
-    gathers them (at most ``iters`` values per total, independent of data size).
-    """
+    Iterations are spread over tasks with ``spark.range(iters)``.  The two
+    vectors that every task needs hold a number per gene and one per distinct
+    total (whole counts, so at most as many as the largest tested total)."""
     from cellgrid.session import ship_package
 
     ship_package(spark)
     sc = spark.sparkContext
-    b_props = sc.broadcast(props.astype(np.float64))  # one value per gene
-    b_totals = sc.broadcast(totals.astype(np.float64))  # one value per distinct tested total
+    b_props = sc.broadcast(props.astype(np.float64))
+    b_totals = sc.broadcast(totals.astype(np.float64))
     n_parts = n_parts or max(1, min(iters, sc.defaultParallelism))
 
     def run(batches):
         p, t = b_props.value, b_totals.value
-        its = [int(i) for b in batches for i in b["id"].to_numpy()]
-        if not its:
-            return
-        sims = np.stack([_simulate(p, alpha, t, seed, i) for i in its], axis=1)  # totals x its
-        yield pd.DataFrame({"total": np.repeat(t, len(its)), "sim": sims.ravel()})
-
-    out = spark.range(0, iters, 1, n_parts).mapInPandas(run, "total double, sim double")
-    return out.groupBy("total").agg(F.array_sort(F.collect_list("sim")).alias("sims"))
+        for b in batches:
+            for i in b["id"].to_numpy():
+                yield pd.DataFrame({"total": t, "sim": _simulate(p, alpha, t, seed, int(i))})
 
+    return spark.range(0, iters, 1, n_parts).mapInPandas(run, "total double, sim double")
 
-def count_at_most(sorted_arr, value, max_len: int):
-    """Number of elements <= value in an ascending array (binary search in SQL)."""
-    steps = max(1, int(math.ceil(math.log2(max_len + 1))) + 1)
-    init = F.struct(F.lit(0).alias("lo"), F.size(sorted_arr).alias("hi"))
 
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        go_right = (lo < hi) & (F.get(sorted_arr, mid) <= value)
-        return F.struct(F.when(go_right, mid + 1).otherwise(lo).alias("lo"),
-                        F.when((lo < hi) & ~go_right, mid).otherwise(hi).alias("hi"))
+def count_at_most(observed: DataFrame, sims: DataFrame) -> DataFrame:
+    """``(total, loglik, below)``: for each observed pair the simulated values of
+    its total that are at most ``loglik``.
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+    One running count over both, ordered by (total, value), less the count
+    where the total begins: no array per total and no join on a hot total."""
+    both = (sims.select("total", F.col("sim").alias("v"), F.lit(1).alias("drawn"))
+            .unionByName(observed.select("total", F.col("loglik").alias("v"), F.lit(0).alias("drawn"))))
+    # at equal values draws come first, so they count
+    run = materialize(running_sums(both, [F.col("total"), F.col("v"), F.col("drawn").desc()], {"c": F.col("drawn")})
+                      .where("drawn = 0").select("total", "v", "c"))
+    # a total has as many draws as any other, so those of smaller totals are a multiple
+    per = sims.groupBy("total").agg(F.count(F.lit(1)).alias("n"))
+    before = running_sums(per, [F.col("total")], {"upto": F.col("n")}).select("total", (F.col("upto") - F.col("n")).alias("before"))
+    return run.join(before, "total").select("total", F.col("v").alias("loglik"), (F.col("c") - F.col("before")).alias("below"))
 
 
 def monte_carlo_pvalues(cd: CellData, props: DataFrame, alpha: float, tested: DataFrame,
                         iters: int = 10000, seed: int = 0) -> DataFrame:
-    """``(cell_idx, total, loglik, pvalue)`` for the barcodes in ``tested``."""
+    """``(cell_idx, total, loglik, pvalue)`` for the barcodes in ``tested``.
+    The model draws whole counts: fractional totals are refused."""
     spark = cd.spark
     ll = materialize(log_likelihoods(cd, props, alpha, tested))
     prof = props.orderBy("gene_idx").select("prop").toPandas()["prop"].to_numpy()  # one value per gene
     totals = np.sort(ll.select("total").distinct().toPandas()["total"].to_numpy())  # distinct totals
     if totals.size == 0:
         return ll.withColumn("pvalue", F.lit(None).cast("double"))
-    sims = simulate_paths(spark, prof, alpha, totals, iters, seed)
-    joined = ll.join(sims, "total")
-    below = count_at_most(F.col("sims"), F.col("loglik"), iters)
+    if (totals != np.floor(totals)).any() or totals[0] < 1:
+        raise ValueError("emptyDrops needs whole counts: a tested barcode has a fractional total")
+    observed = ll.select("total", "loglik").distinct()
+    below = count_at_most(observed, materialize(simulate_paths(spark, prof, alpha, totals, iters, seed)))
     # written once: BH, the filter and the dispersion test all read it, and the
     # simulation must not run again for each of them
-    return materialize(joined.select("cell_idx", "total", "loglik",
-                                     ((below + 1) / F.lit(iters + 1.0)).alias("pvalue")))
+    return materialize(ll.join(below, ["total", "loglik"]).select(
+        "cell_idx", "total", "loglik", ((F.col("below") + 1) / F.lit(iters + 1.0)).alias("pvalue")))
 
 
 # ------------------------------------------------------------------ E7-E9
@@ -221,12 +223,12 @@ def emptydrops_table(cd: CellData, lower: float = 100, iters: int = 10000, retai
         retain = INF
     elif retain is None:
         retain, _ = knee_inflection(cd, lower=lower, totals=tot)
-    tested = tot.where(F.col("total") > 0) if test_ambient else tot.where(F.col("total") > lower)
+    tested = tot.where((F.col("total") > 0) & (F.col("total") <= lower)) if test_ambient else tot.where(F.col("total") > lower)
     # p is forced to 0 at or above retain: no need to simulate up there
     to_sim = tested if test_ambient else tested.where(F.col("total") < retain)
     mc = monte_carlo_pvalues(cd, props, alpha, to_sim, iters, seed)
     out = (tot.join(mc.select("cell_idx", "loglik", "pvalue"), "cell_idx", "left")
-           .withColumn("tested", F.col("total") > (0 if test_ambient else lower))
+           .withColumn("tested", (F.col("total") > 0) & (F.col("total") <= lower) if test_ambient else F.col("total") > lower)
            .withColumn("pvalue", F.when(~F.col("tested"), F.lit(None).cast("double"))
                        .when((F.col("total") >= retain) & F.lit(not test_ambient), F.lit(0.0))
                        .otherwise(F.col("pvalue"))))
@@ -239,16 +241,18 @@ def filter_emptydrops(cd: CellData, lower: float = 100, iters: int = 10000, reta
                       keep_all: bool = False, alpha: float | None = None, seed: int = 0) -> CellData:
     """Annotate ``emptydrops_fdr``, save parameters, keep ``fdr <= cutoff``."""
     from cellgrid.operators.select import select_cells
-    from cellgrid.operators.totals import cr_thresholds
+    from cellgrid.operators.totals import cr_thresholds, with_total_umis
 
     if cellranger:
+        cd = with_total_umis(cd)  # stays with the result
         lower, retain = cr_thresholds(cd, expect_cells)
         alpha, fdr = INF, 0.01
     table, got = emptydrops_table(cd, lower=lower, iters=iters, retain=retain, alpha=alpha, seed=seed)
     cells = cd.cells.drop("emptydrops_fdr").join(
         table.select("cell_idx", F.col("fdr").alias("emptydrops_fdr")), "cell_idx", "left")
     out = cd.replace(cells=cells)
-    desc = f"Ran emptyDrops with lower={got['lower']}, alpha={got['alpha']}, retain={got['retain']}"
+    desc = (f"Called cells against the ambient profile of barcodes up to {got['lower']:g} counts "
+            f"(concentration {got['alpha']:g}, kept without a test from {got['retain']:g} counts)")
     out = out.add_history({"method": "emptydrops", "lower": lower, "iters": iters, "retain": retain,
                            "fdr": fdr, "cellranger": cellranger, "expect_cells": expect_cells,
                            "keep": keep_all, "alpha": alpha, "seed": seed}, desc)

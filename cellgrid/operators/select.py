@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import functions as F
 
 from cellgrid.data import CellData
 from cellgrid.functions.predicate import apply_predicate
 
+log = logging.getLogger("cellgrid")
+
 
 def _select(cd: CellData, axis: str, expr: str, lists: dict | None, anchor: str,
             record: bool) -> CellData:
@@ -17,8 +21,10 @@ def _select(cd: CellData, axis: str, expr: str, lists: dict | None, anchor: str,
     else:
         out = cd.replace(genes=kept, genes_filtered=True)
     if record:
-        n_cells, n_genes = out.shape()
-        description = (f"Kept {axis}s that satisfy '{expr}' ({n_cells} cells x {n_genes} genes)")
+        counts = removed_count(table, expr, axis, lists, anchor).first()
+        description = (f"Selection '{expr}' on {axis}s: {counts['n_kept']} of {counts['n_before']} stay, "
+                       f"{counts['n_removed']} go")
+        log.info(description)
         out = out.add_history({"subcommand": f"{axis}s", "expression": expr}, description)
     return out
 
@@ -35,11 +41,11 @@ def select_genes(cd: CellData, expr: str, lists: dict | None = None, anchor: str
     return _select(cd, "gene", expr, lists, anchor, record)
 
 
-def removed_count(table, expr: str, axis: str = "cell", lists: dict | None = None):
+def removed_count(table, expr: str, axis: str = "cell", lists: dict | None = None, anchor: str = "full"):
     """one row ``(n_before, n_kept, n_removed)`` from one aggregation."""
     from cellgrid.functions.predicate import predicate_flag
 
-    flagged = predicate_flag(table, expr, axis, lists, name="_keep")
+    flagged = predicate_flag(table, expr, axis, lists, anchor, name="_keep")
     return flagged.agg(F.count(F.lit(1)).alias("n_before"),
                        F.count_if(F.col("_keep")).alias("n_kept"),
                        F.count_if(~F.col("_keep")).alias("n_removed"))

@@ -37,11 +37,16 @@ R2_BC30 = (19, 30)
 MAX_DISTANCE = 2  # accept Hamming distance < 3
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Number of differing positions of two equal-length strings (null otherwise)."""
-    diff = F.aggregate(F.sequence(F.lit(1), F.length(a)), F.lit(0),
+def hamming(a: Column, b: Column, most: int = 30) -> Column:
+    """Number of differing positions of two equal-length strings (null otherwise).
+
+    The first ``most`` positions (the longest tag) are a plain sum of
+    comparisons, which stays in generated code; only longer strings walk the
+    rest position by position."""
+    same = sum((F.when(F.substring(a, i, 1) == F.substring(b, i, 1), 0).otherwise(1) for i in range(1, most + 1)), F.lit(0))
+    rest = F.aggregate(F.sequence(F.lit(most + 1), F.length(a)), F.lit(0),
                        lambda acc, i: acc + F.when(F.substring(a, i, 1) == F.substring(b, i, 1), 0).otherwise(1))
-    return F.when(F.length(a) == F.length(b), diff)
+    return F.when(F.length(a) == F.length(b), same + F.when(F.length(a) > most, rest).otherwise(0))
 
 
 def parse_r1(reads: DataFrame) -> DataFrame:
@@ -106,7 +111,7 @@ def match_tags(observed: DataFrame, lib: DataFrame) -> DataFrame:
     return exact.unionByName(corrected)
 
 
-KMER_LIBRARY_MAX = 200_000  # library entries held as a dense 64-column matrix per task
+KMER_BLOCK = 50_000  # library entries that are compared in one pass (25 MB as a dense matrix)
 
 
 def _kmer_counts(seqs) -> "np.ndarray":
@@ -127,78 +132,55 @@ def _kmer_counts(seqs) -> "np.ndarray":
     return out
 
 
-def kmer_nearest(observed: DataFrame, lib: DataFrame, max_library: int = KMER_LIBRARY_MAX) -> DataFrame:
+def kmer_nearest(observed: DataFrame, lib: DataFrame, block: int = KMER_BLOCK) -> DataFrame:
     """Nearest library entry by cosine distance of ACGT 3-mer counts.
 
     Other 3-mers are ignored; ties go to file order; a sequence sharing no
     3-mer with the library gets no row.  With only 64 possible 3-mers almost
-    every pair shares one, so a join on shared 3-mers would approach all
-    pairs.  Instead the library (size checked, at most ``max_library``
-    entries) becomes one dense ``entries x 64`` matrix shipped to the tasks,
-    and each Arrow batch of distinct observed sequences is scored with a
-    matrix product in chunks.  Larger libraries use the join on shared 3-mers.
+    every pair shares one, so there is nothing to look up: the library is the
+    query set, taken in blocks of ``block`` entries.  A block is one dense
+    ``entries x 64`` matrix (bounded, broadcast) that every batch of distinct
+    observed sequences is multiplied with; the best of all blocks remains.
     """
     import numpy as np
     import pandas as pd
 
-    lib = library(lib)
-    if lib.limit(max_library + 1).count() > max_library:
-        return _kmer_nearest_join(observed, lib)
-    rows = lib.orderBy("pos").select("tag_id", "seq").collect()  # at most max_library rows
-    ids = [r["tag_id"] for r in rows]
-    mat = _kmer_counts([r["seq"] for r in rows])
-    norms = np.linalg.norm(mat, axis=1)
+    from cellgrid.functions.positions import dense_positions
     from cellgrid.session import ship_package
 
-    ship_package(observed.sparkSession)
-    sc = observed.sparkSession.sparkContext
-    b_lib = sc.broadcast((ids, mat, norms))
-
-    def score(batches):
-        lib_ids, lm, ln = b_lib.value
-        chunk = max(1, 5_000_000 // max(1, lm.shape[0]))
-        for pdf in batches:
-            seqs = pdf["seq"].tolist()
-            out_s, out_t, out_d = [], [], []
-            for a in range(0, len(seqs), chunk):
-                part = seqs[a:a + chunk]
-                om = _kmer_counts(part)
-                dots = om @ lm.T
-                on = np.linalg.norm(om, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = 1.0 - dots / (on[:, None] * ln[None, :])
-                dist[dots <= 0] = np.inf  # no shared 3-mer: not a candidate
-                best = np.argmin(dist, axis=1)  # first index = file order on ties
-                bd = dist[np.arange(len(part)), best]
-                keep = np.isfinite(bd)
-                out_s += [p for p, k in zip(part, keep) if k]
-                out_t += [lib_ids[j] for j, k in zip(best, keep) if k]
-                out_d += [float(d) for d, k in zip(bd, keep) if k]
-            yield pd.DataFrame({"seq": out_s, "tag_id": out_t, "distance": out_d})
-
-    seqs = observed.select("seq").where(F.col("seq").isNotNull()).distinct()
-    return seqs.mapInPandas(score, "seq string, tag_id string, distance double")
-
-
-def _kmer_nearest_join(observed: DataFrame, lib: DataFrame) -> DataFrame:
-    """T6 for very large libraries: equi-join on shared 3-mers."""
-
-    def kmers(df: DataFrame, key: str) -> DataFrame:
-        k = (df.select(key, F.explode(F.expr(f"transform(sequence(1, greatest(length({key}) - 2, 0)), "
-                                              f"i -> substring({key}, i, 3))")).alias("kmer"))
-             .where(F.col("kmer").rlike("^[ACGT]{3}$")))
-        return k.groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("c"))
-
-    obs = kmers(observed.select("seq").distinct(), "seq")
-    lk = kmers(lib.select(F.col("seq").alias("lib_seq")), "lib_seq")
-    on = obs.groupBy("seq").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("no"))
-    ln = lk.groupBy("lib_seq").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("nl"))
-    dots = (obs.join(lk.withColumnRenamed("c", "cl"), "kmer")
-            .groupBy("seq", "lib_seq").agg(F.sum(F.col("c") * F.col("cl")).alias("dot")))
-    sims = (dots.join(on, "seq").join(ln, "lib_seq")
-            .join(lib.select(F.col("seq").alias("lib_seq"), "pos", "tag_id"), "lib_seq")
-            .select("seq", "pos", "tag_id", (1 - F.col("dot") / (F.col("no") * F.col("nl"))).alias("distance")))
-    best = sims.groupBy("seq").agg(F.min(F.struct("distance", "pos", "tag_id")).alias("b"))
+    spark = observed.sparkSession
+    ship_package(spark)
+    numbered = materialize(dense_positions(library(lib).select("tag_id", "seq", "pos"), [F.col("pos")], name="_n"))
+    seqs = materialize(observed.select("seq").where(F.col("seq").isNotNull()).distinct())
+    found = None
+    for start in range(0, numbered.count(), block):
+        rows = numbered.where((F.col("_n") >= start) & (F.col("_n") < start + block)).orderBy("_n").collect()
+        mat = _kmer_counts([r["seq"] for r in rows])
+        sent = spark.sparkContext.broadcast(([r["tag_id"] for r in rows], mat, np.linalg.norm(mat, axis=1)))
+
+        def score(batches, sent=sent, start=start):
+            ids, lm, ln = sent.value
+            chunk = max(1, 5_000_000 // max(1, lm.shape[0]))
+            for pdf in batches:
+                names = pdf["seq"].tolist()
+                for a in range(0, len(names), chunk):
+                    part = names[a:a + chunk]
+                    om = _kmer_counts(part)
+                    dots = om @ lm.T
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        dist = 1.0 - dots / (np.linalg.norm(om, axis=1)[:, None] * ln[None, :])
+                    dist[dots <= 0] = np.inf  # no shared 3-mer: not a candidate
+                    best = np.argmin(dist, axis=1)  # first index = file order on ties
+                    near = dist[np.arange(len(part)), best]
+                    keep = np.flatnonzero(np.isfinite(near))
+                    yield pd.DataFrame({"seq": [part[i] for i in keep], "distance": near[keep], "n": best[keep] + start,
+                                        "tag_id": [ids[best[i]] for i in keep]})
+
+        one = seqs.mapInPandas(score, "seq string, distance double, n bigint, tag_id string")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return spark.createDataFrame([], "seq string, tag_id string, distance double")
+    best = found.groupBy("seq").agg(F.min(F.struct("distance", "n", "tag_id")).alias("b"))
     return best.select("seq", F.col("b.tag_id").alias("tag_id"), F.col("b.distance").alias("distance"))
 
 
@@ -260,12 +242,11 @@ def annotate_tags(cd: CellData, reads: DataFrame, bc14: DataFrame, bc30: DataFra
     cells = assign(cd.cells, calls, id_suffix)
     if log_summary:
         s = tag_summary(calls).first()
-        log.info("Confidently assigned cells: %s", s["assigned"])
-        log.info("Putative doublets: %s", s["doublets"])
+        log.info("%s cells carry one tag, %s carry several", s["assigned"], s["doublets"])
         if not id_suffix:
             matched = calls.join(cd.cells.select(F.col("cell_id").alias("cell")), "cell", "left_semi").count()
             if matched == 0 and (s["assigned"] or s["doublets"]):
                 log.warning("no counted cell matches a barcode; is an id suffix such as '-1' missing?")
-    desc = "Processed Cellecta tags" + (f" from FASTQs {' and '.join(map(str, fastqs))}" if fastqs else "")
+    desc = "Lineage tags called" + (f" from read pairs in {', '.join(map(str, fastqs))}" if fastqs else "")
     return cd.replace(cells=cells).add_history({"subcommand": "cellecta", "fastqs": list(fastqs),
                                                 "id_suffix": id_suffix}, desc)

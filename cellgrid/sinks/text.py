@@ -10,6 +10,8 @@ Existing targets are refused unless ``overwrite`` (K6).
 
 from __future__ import annotations
 
+import csv
+import io
 import logging
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -25,7 +27,6 @@ log = logging.getLogger("cellgrid")
 GENE_EXPRESSION = "Gene Expression"
 # sorts before Spark's part-00000-... names in byte order ('-' < '0')
 HEADER_PART = "part-0000-header.txt.gz"
-PIVOT_MAX_GENES = 1000
 
 
 def _guard(spark, path: str, overwrite: bool) -> None:
@@ -67,8 +68,17 @@ def _lines(spark, lines: list[str]) -> DataFrame:
     return spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)
 
 
+def _quoted(c: Column) -> Column:
+    """A field as CSV writers quote it: only where it holds a tab, a quote or a
+    line break, with quotes doubled."""
+    return F.when(c.rlike('[\t"\r\n]'), F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))).otherwise(c)
+
+
 def _fmt(c: Column, dtype: T.DataType) -> Column:
-    """Text form: booleans as True/False (as pandas writes them), null as ''."""
+    """Text form: booleans as True/False (as pandas writes them), null as '',
+    strings quoted where they must be."""
+    if isinstance(dtype, T.StringType):
+        return F.coalesce(_quoted(c), F.lit(""))
     if isinstance(dtype, T.BooleanType):
         return F.when(c, F.lit("True")).when(~c, F.lit("False")).otherwise(F.lit(""))
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -87,10 +97,12 @@ def export_mex(cd: CellData, path: str, overwrite: bool = False, single_file: bo
     cells = _numbered(cd.cells.select("cell_idx", "cell_id"), "cell_idx")
     gcols = cd.genes.columns
     if "gene_ids" not in gcols:
-        log.warning("There is no 'gene_ids' annotation on genes - downstream programs might be confused")
+        log.warning("genes have no gene_ids column: their names are written as ids")
     gid = F.col("gene_ids") if "gene_ids" in gcols else F.col("gene_id")
     gtype = F.col("feature_types") if "feature_types" in gcols else F.lit(GENE_EXPRESSION)
-    genes = _numbered(cd.genes.select("gene_idx", "gene_id", gid.alias("_id"), gtype.alias("_type")), "gene_idx")
+    # every field is there: a gene without an id goes by its name, without a type it is expression
+    genes = _numbered(cd.genes.select("gene_idx", "gene_id", F.coalesce(gid.cast("string"), F.col("gene_id")).alias("_id"),
+                                      F.coalesce(gtype.cast("string"), F.lit(GENE_EXPRESSION)).alias("_type")), "gene_idx")
     n_cells = cells.count()   # cells- and genes-sized tables
     n_genes = genes.count()
     entries = (cd.x.join(cells.select("cell_idx", F.col("_pos").alias("_c")), "cell_idx")
@@ -137,52 +149,49 @@ def export_table(cd: CellData, axis: str, path: str, overwrite: bool = False, si
     frame = metadata_frame(cd, axis)
     idx = frame.columns[0]
     fields = [f for f in frame.schema.fields if f.name != idx]
-    header = _lines(spark, ["\t".join(f.name for f in fields)])
+    head = io.StringIO()
+    csv.writer(head, delimiter="\t", lineterminator="").writerow([f.name for f in fields])
+    header = _lines(spark, [head.getvalue()])
     body = frame.select(F.concat_ws("\t", *[_fmt(F.col(f"`{f.name}`"), f.dataType) for f in fields]).alias("value"),
                         idx)
     _write_lines(header, body, [idx], path, path.endswith(".gz"), single_file)
 
 
-def to_wide(cd: CellData, max_pivot: int = PIVOT_MAX_GENES) -> DataFrame:
+def _dense_rows(cd: CellData) -> DataFrame:
+    """``(cell_idx, barcode, v)``: every cell with its values of all genes in gene
+    order, zeros filled.  Entries are numbered by gene position, summed (repeated
+    coordinates), sorted within the cell and put in place: work in proportion to
+    the genes of a row, with no lookup."""
+    genes = dense_positions(cd.genes.select("gene_idx"), [F.col("gene_idx")], name="_pos")
+    n = genes.count()
+    entries = (cd.x.join(genes, "gene_idx").groupBy("cell_idx", "_pos").agg(F.sum("value").alias("value"))
+               .groupBy("cell_idx").agg(F.array_sort(F.collect_list(F.struct("_pos", "value"))).alias("e")))
+    rows = cd.cells.select("cell_idx", F.col("cell_id").alias("barcode")).join(entries, "cell_idx", "left")
+    e = F.coalesce(F.col("e"), F.array().cast("array<struct<_pos:bigint,value:double>>"))
+    # zeros before each entry, the entry, and the zeros after the last one
+    filled = F.transform(e, lambda s, i: F.concat(
+        F.array_repeat(F.lit(0.0), (s["_pos"] - F.when(i == 0, F.lit(-1)).otherwise(F.get(e, i - 1)["_pos"]) - 1).cast("int")),
+        F.array(s["value"])))
+    last = F.when(F.size(e) == 0, F.lit(-1)).otherwise(F.get(e, F.size(e) - 1)["_pos"])
+    tail = F.array_repeat(F.lit(0.0), (F.lit(n) - 1 - last).cast("int"))
+    return rows.select("cell_idx", "barcode", F.concat(F.flatten(filled), tail).alias("v"))
+
+
+def to_wide(cd: CellData) -> DataFrame:
     """K5 frame: one row per cell (cells without counts included), one column
-    per gene named by ``gene_id``, zeros filled.
-
-    Up to ``max_pivot`` genes: ``groupBy.pivot`` with the explicit gene list
-    (no extra pass to discover values).  Wider: one row per cell with a
-    ``map(gene_idx -> value)``, expanded by a fixed ordered gene list.
-    """
-    genes = cd.genes.select("gene_idx", "gene_id").orderBy("gene_idx").collect()  # the column list itself
-    ids = [g["gene_idx"] for g in genes]
-    names = [g["gene_id"] for g in genes]
-    cells = cd.cells.select("cell_idx", F.col("cell_id").alias("barcode"))
-    if len(ids) <= max_pivot:
-        piv = cd.x.groupBy("cell_idx").pivot("gene_idx", ids).agg(F.sum("value"))
-        out = cells.join(piv, "cell_idx", "left")
-        return out.select("cell_idx", "barcode", *[F.coalesce(F.col(f"`{i}`"), F.lit(0.0)).alias(n)
-                                                   for i, n in zip(ids, names)])
-    per = cd.x.groupBy("cell_idx").agg(F.map_from_entries(F.collect_list(F.struct("gene_idx", "value"))).alias("m"))
-    out = cells.join(per, "cell_idx", "left")
-    return out.select("cell_idx", "barcode", *[F.coalesce(F.col("m")[i], F.lit(0.0)).alias(n)
-                                               for i, n in zip(ids, names)])
+    per gene named by ``gene_id``, zeros filled.  The gene list is the column
+    list of the result, so it is read on the driver."""
+    names = [g["gene_id"] for g in cd.genes.select("gene_idx", "gene_id").orderBy("gene_idx").collect()]
+    return _dense_rows(cd).select("cell_idx", "barcode", *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def export_textmatrix(cd: CellData, path: str, overwrite: bool = False, single_file: bool = False) -> None:
-    """K5: dense cells x genes TSV, header = gene names, key column ``barcode``.
-
-    Rows are built as one string per cell from a ``map(gene_idx -> value)``
-    and the ordered gene array (a scalar subquery, computed once), so the
-    plan stays small for any number of genes.
-    """
+    """K5: dense cells x genes TSV, header = gene names, key column ``barcode``."""
     spark = cd.spark
     _guard(spark, path, overwrite)
-    genes = cd.genes.select("gene_idx", "gene_id")
-    glist = genes.agg(F.array_sort(F.collect_list(F.struct("gene_idx", "gene_id"))).alias("g"))  # one row
-    header = glist.select(F.concat_ws("\t", F.lit("barcode"), F.transform("g", lambda s: s["gene_id"]))
+    names = cd.genes.agg(F.array_sort(F.collect_list(F.struct("gene_idx", "gene_id"))).alias("g"))  # the header line
+    header = names.select(F.concat_ws("\t", F.lit("barcode"), F.transform("g", lambda s: _quoted(s["gene_id"])))
                           .alias("value")).coalesce(1)
-    per = cd.x.groupBy("cell_idx").agg(F.map_from_entries(F.collect_list(F.struct("gene_idx", "value"))).alias("m"))
-    rows = (cd.cells.select("cell_idx", "cell_id").join(per, "cell_idx", "left")
-            .withColumn("g", glist.select("g").scalar())  # scalar subquery: evaluated once
-            .select(F.concat_ws("\t", F.col("cell_id"), F.transform(
-                "g", lambda s: F.regexp_replace(F.coalesce(F.col("m")[s["gene_idx"]], F.lit(0.0)).cast("string"),
-                                                r"\.0$", ""))).alias("value"), "cell_idx"))
+    rows = _dense_rows(cd).select("cell_idx", F.concat_ws("\t", _quoted(F.col("barcode")), F.transform(
+        "v", lambda x: F.regexp_replace(x.cast("string"), r"\.0$", ""))).alias("value"))
     _write_lines(header, rows, ["cell_idx"], path, path.endswith(".gz"), single_file)

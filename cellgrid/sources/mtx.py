@@ -4,7 +4,7 @@ A Matrix Market file is read as text in parallel (gz files are one split
 each).  Comment lines start with ``%``; the first other line holds the
 dimensions.  A real triplet can look exactly like that line, so the line is
 removed by its position (read from the file head on the driver), never by
-value, and without an extra pass over the matrix.  Repeated entries are summed.
+value.  One pass over the file checks every entry and their declared number.  Repeated entries are summed.
 Names of rows/columns come from the side files, numbered by line with
 distributed positions.
 """
@@ -16,32 +16,43 @@ from pyspark.sql import functions as F
 
 from cellgrid.data import CellData
 from cellgrid.functions.names import make_unique
-from cellgrid.sources.paths import data_files, exists, first_existing, head_lines, is_dir, require_exists
+from cellgrid.sources.paths import data_files, exists, first_existing, head_line, is_dir, require_exists
 from cellgrid.sources.mtx_lines import drop_line
 from cellgrid.sources.tables import numbered_lines
 
 
 def read_mtx_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, int, int, int]:
-    """``(row, col, value)`` 0-based with repeats summed, and the dims line.
-
-    The header (``%`` lines, then the dimensions) is read on the driver from
-    the first file only; the dimensions line is then dropped by its line
-    number inside the first split, so a triplet that looks the same is kept
-    and the matrix is read exactly once.
+    """``(row, col, value)`` 0-based, and the dims line.
+
+    The header (``%`` lines, then the dimensions) is read on the driver, line by
+    line, through as many part files as hold only comments; the dimensions
+    line is then dropped by its line number inside the first split of its file,
+    so a triplet that looks the same is kept and the matrix is read exactly
+    once.  ``symmetric`` and ``skew-symmetric`` files store one triangle: the other
+    is added.  Entries that are unreadable, outside the declared dimensions,
+    or not numbers fail the read.
     """
     require_exists(spark, path)
     files = data_files(spark, path)
-    found = None
-    for k, f in enumerate(files):  # part files holding only comments are skipped
-        head = head_lines(spark, f, stop=lambda ln: bool(ln.strip()) and not ln.lstrip().startswith("%"))
-        if head and head[-1].strip() and not head[-1].lstrip().startswith("%"):
-            found = (k, len(head) - 1, head[-1])
+    banner, found = "", None
+    for k, f in enumerate(files):
+        if k == 0:
+            first, _, any_line = head_line(spark, f, lambda ln: True)
+            banner = first.lower() if any_line and first.startswith("%%") else ""
+        line, at, hit = head_line(spark, f, lambda ln: bool(ln.strip()) and not ln.lstrip().startswith("%"))
+        if hit:
+            found = (k, at, line)
             break
     if found is None:
         raise ValueError(f"{path} holds no Matrix Market dimensions line")
+    words = banner.split()
+    if "array" in words or "complex" in words or "hermitian" in words:
+        raise ValueError(f"{path}: only real, integer or pattern coordinate files can be read, not {banner.strip()!r}")
+    pattern = "pattern" in words
+    sign = -1.0 if "skew-symmetric" in words else 1.0 if "symmetric" in words else None
     k, line_no, dims_line = found
     dims = dims_line.split()
-    if len(dims) != 3:
+    if len(dims) != 3 or not all(d.isdigit() for d in dims):
         raise ValueError(f"{path}: dimensions line should be 'rows cols entries', got {dims_line!r}")
     n_rows, n_cols, n_entries = (int(d) for d in dims)
     text = drop_line(spark.read.text(files[k]), line_no)
@@ -53,15 +64,28 @@ def read_mtx_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, int, i
     parts = F.split("line", r"\s+")
     row = F.get(parts, 0).try_cast("bigint")
     col = F.get(parts, 1).try_cast("bigint")
+    # a line without a third field is an entry of a pattern file (value 1)
+    value = F.when(F.size(parts) == 2, F.lit(1.0)).otherwise(F.get(parts, 2).try_cast("double"))
+    if not pattern and words:
+        value = F.get(parts, 2).try_cast("double")
     outside = row.isNull() | col.isNull() | (row < 1) | (col < 1) | (row > n_rows) | (col > n_cols)
+    unreadable = value.isNull() | F.isnan(value)
     # checked while the entries are read (no separate pass): a bad entry fails the job
     trip = body.select(
         F.when(outside, F.raise_error(F.concat(F.lit(f"{path}: entry outside the declared "
                                                      f"{n_rows} x {n_cols} matrix: "), F.col("line"))))
         .otherwise(row - 1).alias("row"),
         (col - 1).alias("col"),
-        F.when(F.size(parts) >= 3, F.get(parts, 2).try_cast("double"))
-        .otherwise(F.lit(1.0)).alias("value"))  # 'pattern' files carry no value
+        F.when(unreadable, F.raise_error(F.concat(F.lit(f"{path}: no number in entry: "), F.col("line"))))
+        .otherwise(value).alias("value"))
+    # the declared number of entries is compared on the same rows, in one count
+    n = trip.select("row", "col", "value").agg(F.count("value")).first()[0]
+    if n != n_entries:
+        raise ValueError(f"{path}: the header declares {n_entries} entries, the file holds {n}")
+    if sign is not None:
+        other = trip.where(F.col("row") != F.col("col")).select(
+            F.col("col").alias("row"), F.col("row").alias("col"), (F.col("value") * F.lit(sign)).alias("value"))
+        trip = trip.unionByName(other)
     return trip, n_rows, n_cols, n_entries
 
 
@@ -88,6 +112,13 @@ def read_mtx(spark: SparkSession, path: str, transpose: bool = False, sum_repeat
                           f"Imported mtx data from {path} ({n_rows} cells x {n_cols} genes)")
 
 
+def _require_lines(table: DataFrame, want: int, path: str, what: str) -> None:
+    """A side file names every row (or column) of the matrix, no more, no less."""
+    n = table.count()
+    if n != want:
+        raise ValueError(f"{path} names {n} {what}, the matrix has {want}")
+
+
 def _tsv_numbered(spark: SparkSession, path: str, idx: str) -> DataFrame:
     """Tab-separated side file numbered by line: ``(idx, _c0, _c1, ...)``."""
     lines = numbered_lines(spark, path, name=idx)
@@ -113,6 +144,8 @@ def read_10x_mtx(spark: SparkSession, directory: str, gex_only: bool = True) ->
     cd = read_mtx(spark, mat, transpose=True)
     b = _tsv_numbered(spark, bcs, "cell_idx").select("cell_idx", F.col("_c0").alias("cell_id"))
     f = _tsv_numbered(spark, feats or legacy, "gene_idx")
+    _require_lines(b, cd.cells.count(), bcs, "cells")
+    _require_lines(f, cd.genes.count(), feats or legacy, "genes")
     cols = [F.col("_c0").alias("gene_ids"), F.col("_c1").alias("gene_id")]
     if feats and "_c2" in f.columns:
         cols.append(F.col("_c2").alias("feature_types"))
@@ -137,6 +170,8 @@ def read_bustools(spark: SparkSession, base: str) -> CellData:
     cd = read_mtx(spark, names[0])
     g = _tsv_numbered(spark, names[1], "gene_idx")
     c = _tsv_numbered(spark, names[2], "cell_idx")
+    _require_lines(g, cd.genes.count(), names[1], "genes")
+    _require_lines(c, cd.cells.count(), names[2], "cells")
     genes = g.select("gene_idx", F.col("_c0").alias("gene_id"),
                      *[F.col(k) for k in g.columns if k not in ("gene_idx", "_c0")])
     cells = c.select("cell_idx", F.col("_c0").alias("cell_id"),

@@ -8,9 +8,10 @@ Layout::
     <dir>/_SUCCESS_DATASET
 
 The matrix is written sorted by ``cell_idx`` within files so row-group
-statistics let later cell filters skip data.  Saving over the dataset that
-was loaded (lazily) from the same folder writes a sibling staging folder,
-checks it, then swaps it in.
+statistics let later cell filters skip data.  A save always writes a sibling
+staging folder, compares the rows of every slot with what was to be written
+and only then swaps it in, so whatever the target holds (the dataset being
+saved included, under any spelling of its path) stays readable until then.
 """
 
 from __future__ import annotations
@@ -18,25 +19,31 @@ from __future__ import annotations
 import json
 import logging
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.data import HISTORY_FIELDS, CellData
-from cellgrid.sources.paths import delete, exists, rename
+from cellgrid.data import HISTORY_FIELDS, CellData, nan_to_null
+from cellgrid.sources.paths import delete, exists, qualified, rename
 
 log = logging.getLogger("cellgrid")
 MARKER = "_SUCCESS_DATASET"
 
 
-def _write(cd: CellData, path: str, compress: bool) -> None:
+def _slot(df: DataFrame, path: str, codec: str) -> int:
+    """Write one slot; returns its rows, counted while they are written."""
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("compression", codec).parquet(path)
+    return rows.get["n"]
+
+
+def _write(cd: CellData, path: str, compress: bool) -> dict[str, int]:
+    """Write every slot; returns their row counts."""
     codec = "gzip" if compress else "none"
-    cd.cells.write.mode("overwrite").option("compression", codec).parquet(f"{path}/cells")
-    cd.genes.write.mode("overwrite").option("compression", codec).parquet(f"{path}/genes")
-    (cd.x.repartitionByRange("cell_idx").sortWithinPartitions("cell_idx", "gene_idx")
-     .write.mode("overwrite").option("compression", codec).parquet(f"{path}/x"))
+    by_cell = lambda m: m.repartitionByRange("cell_idx").sortWithinPartitions("cell_idx", "gene_idx")
+    rows = {"cells": _slot(cd.cells, f"{path}/cells", codec), "genes": _slot(cd.genes, f"{path}/genes", codec),
+            "x": _slot(by_cell(cd.x), f"{path}/x", codec)}
     for name in cd.layers:
-        (cd.layer(name).repartitionByRange("cell_idx").sortWithinPartitions("cell_idx", "gene_idx")
-         .write.mode("overwrite").option("compression", codec).parquet(f"{path}/layers/{name}"))
+        rows[f"layers/{name}"] = _slot(by_cell(cd.layer(name)), f"{path}/layers/{name}", codec)
     spark = cd.spark
     prm = [(a, k, json.dumps(v)) for a, kv in cd.params.items() for k, v in kv.items()]
     spark.createDataFrame(prm, "algorithm string, key string, value string").coalesce(1) \
@@ -44,35 +51,42 @@ def _write(cd: CellData, path: str, compress: bool) -> None:
     cd.history_frame().coalesce(1).write.mode("overwrite").parquet(f"{path}/history")
     spark.createDataFrame([(len(cd.layers), ",".join(cd.layers))], "n_layers int, layers string") \
         .coalesce(1).write.mode("overwrite").json(f"{path}/{MARKER}")
+    return rows
 
 
 def save(cd: CellData, path: str | None = None, compress: bool = True, write: bool = True,
-         force: bool = False, source: str | None = None) -> bool:
+         force: bool = False, source: str | None = None) -> CellData | None:
     """K1: write the dataset; skipped if nothing changed (unless ``force``) or
-    writing is disabled.  Returns whether something was written."""
+    writing is disabled.  Returns the dataset as read from its new place, which
+    is what to go on with (the old one may read files that are gone), or None
+    if nothing was written."""
     if not write:
         log.info("writing disabled, dataset not saved")
-        return False
+        return None
     if not cd.changed and not force:
         log.info("dataset unchanged, not saved")
-        return False
+        return None
     if path is None:
         path = source  # default target: the input
     if path is None:
         raise ValueError("no output path given")
     spark = cd.spark
-    if source is not None and source.rstrip("/") == path.rstrip("/"):
-        staging = path.rstrip("/") + ".staging"
-        old = path.rstrip("/") + ".old"
-        delete(spark, staging)
-        _write(cd, staging, compress)
-        load(spark, staging).cells.limit(1).count()  # readable before swapping
-        rename(spark, path, old)
-        rename(spark, staging, path)
-        delete(spark, old)
-    else:
-        _write(cd, path, compress)
-    return True
+    place = qualified(spark, path)
+    staging, old = place + ".staging", place + ".old"
+    if exists(spark, old):
+        raise ValueError(f"{old} is left over from a broken save; move it back to {place} or delete it")
+    delete(spark, staging)
+    want = _write(cd, staging, compress)
+    back = load(spark, staging)
+    got = {"cells": back.cells.count(), "genes": back.genes.count(), "x": back.x_raw.count(),
+           **{f"layers/{n}": back.layers[n].count() for n in back.layers}}
+    if got != want:
+        raise RuntimeError(f"{staging} does not hold what was written: {got} instead of {want}")
+    if exists(spark, place):
+        rename(spark, place, old)
+    rename(spark, staging, place)
+    delete(spark, old)
+    return load(spark, place)
 
 
 def load(spark: SparkSession, path: str) -> CellData:
@@ -88,8 +102,8 @@ def load(spark: SparkSession, path: str) -> CellData:
     hist = spark.read.parquet(f"{path}/history").orderBy("seq").collect()  # one row per command
     history = tuple({f: r[f] for f in HISTORY_FIELDS} for r in hist)
     return CellData(
-        cells=spark.read.parquet(f"{path}/cells"),
-        genes=spark.read.parquet(f"{path}/genes"),
+        cells=nan_to_null(spark.read.parquet(f"{path}/cells")),
+        genes=nan_to_null(spark.read.parquet(f"{path}/genes")),
         x_raw=spark.read.parquet(f"{path}/x").select("cell_idx", "gene_idx", F.col("value").cast("double")),
         layers={n: spark.read.parquet(f"{path}/layers/{n}") for n in layers},
         params=params, history=history, source_path=path)

@@ -65,10 +65,18 @@ def data_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(names)
 
 
-def head_lines(spark: SparkSession, path: str, stop=None, max_lines: int = 10_000) -> list[str]:
-    """First lines of one file (decompressed by its codec), read on the driver
-    through the Hadoop file system until ``stop(line)`` is true.  Only header
-    lines pass through the driver."""
+def qualified(spark: SparkSession, path: str) -> str:
+    """One spelling per place: scheme, authority and absolute path."""
+    fs, p = _fs_path(spark, path)
+    return str(fs.makeQualified(p).toString()).rstrip("/")
+
+
+def head_line(spark: SparkSession, path: str, stop) -> tuple[str, int, bool]:
+    """``(last line, number of lines before it, found)`` of one file, read on the
+    driver through the Hadoop file system (decompressed by its codec) until
+    ``stop(line)`` is true.  Lines pass one at a time and none but the last is
+    kept, so a header may be of any length; without a match the whole file has
+    been passed over."""
     jvm = spark.sparkContext._jvm
     fs, p = _fs_path(spark, path)
     stream = fs.open(p)
@@ -77,15 +85,12 @@ def head_lines(spark: SparkSession, path: str, stop=None, max_lines: int = 10_00
     if codec is not None:
         stream = codec.createInputStream(stream)
     reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    out = []
+    at, last = 0, ""
     try:
-        while len(out) < max_lines:
-            line = reader.readLine()
-            if line is None:
-                break
-            out.append(line)
-            if stop is not None and stop(line):
-                break
+        while (line := reader.readLine()) is not None:
+            if stop(line):
+                return line, at, True
+            at, last = at + 1, line
     finally:
         reader.close()
-    return out
+    return last, at, False

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrid.data import nan_to_null
 from cellgrid.functions.positions import dense_positions
 from cellgrid.sources.mtx_lines import drop_line as _drop_line
-from cellgrid.sources.paths import data_files, head_lines, require_exists
+from cellgrid.sources.paths import data_files, head_line, require_exists
 
 
 def read_annotations(spark: SparkSession, path: str, header: bool = True,
-                     schema=None, line_numbers: bool = False) -> DataFrame:
+                     schema=None, line_numbers: bool = False, multi_line: bool = False) -> DataFrame:
     """Tab-separated table, columns kept in file order (``_c0``, ``_c1``...
     without a header); NaN -> null.
 
@@ -24,23 +26,27 @@ def read_annotations(spark: SparkSession, path: str, header: bool = True,
     string); ``schema`` (a list of Spark SQL type names) skips that pass.
     ``line_numbers=True`` adds ``line_no`` (0-based data line in file order,
     distributed positions), which positional replacement needs.
+    ``multi_line=True`` reads quoted fields that hold line breaks (a file is then
+    one split).
     """
     require_exists(spark, path)
     files = data_files(spark, path)
 
     def reader():
+        # quoted fields as the exporter writes them: quotes doubled, any character inside
         return (spark.read.option("sep", "\t").option("header", False).option("inferSchema", False)
+                .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
                 .option("mode", "PERMISSIVE"))
 
     if header:
-        first = head_lines(spark, files[0], max_lines=1)
-        if not first:
+        first, _, any_line = head_line(spark, files[0], lambda ln: True)
+        if not any_line:
             raise ValueError(f"{path} is empty")
         first_part = _drop_line(reader().csv(files[0]), 0)
         raw = first_part if len(files) == 1 else first_part.unionByName(
             reader().csv(files[1:]), allowMissingColumns=True)
         cols = raw.columns
-        hdr = first[0].split("\t")
+        hdr = next(csv.reader([first], delimiter="\t"))  # the same quoting rules as the rows
         names = [hdr[i] if i < len(hdr) and hdr[i] != "" else f"_c{i}" for i in range(len(cols))]
     else:
         raw = reader().csv(files)

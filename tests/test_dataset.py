@@ -24,8 +24,8 @@ def test_history_newest_first_and_changed(small):
     cd = cd.drop_cell_annotation("flag")
     assert cd.changed
     lines = cd.show_history()
-    assert "Removed cell annotation flag" in lines[0] and "Kept cells that satisfy 'n_genes > 1'" in lines[1]
-    assert "(2 cells x 2 genes)" in lines[1]
+    assert "Dropped 'flag'" in lines[0] and "Selection 'n_genes > 1'" in lines[1]
+    assert "2 of 3 stay, 1 go" in lines[1]
     verbose = cd.show_history(verbose=True)
     assert any("parameters=" in v for v in verbose)
     frame = cd.history_frame()
@@ -102,7 +102,7 @@ def test_describe_all_parts(small):
 def test_empty_dataset_after_selection(small):
     cd = small.select_cells("n_genes > 1000")
     assert cd.shape() == (0, 2) and cd.x.count() == 0
-    assert "(0 cells x 2 genes)" in cd.history[0]["description"]
+    assert "0 of " in cd.history[0]["description"]
     t = cd.with_total_umis()
     assert t.cells.count() == 0
     out = t.describe()

@@ -22,14 +22,10 @@ def test_running_sums(spark):
     assert sorted(got.select("k", "cum").collect()) == sorted(want.select("k", "cum").collect())
 
 
-import pytest
-
-
-@pytest.mark.parametrize("small", [True, False])
-def test_make_unique_with_collisions(spark, small):
+def test_make_unique_with_collisions(spark):
     rows = [(0, "a"), (1, "a"), (2, "a-1"), (3, "b"), (4, "a"), (5, "b"), (6, "a-2"), (7, "a"), (8, "a-1")]
     df = spark.createDataFrame(rows, "idx bigint, name string")
-    got = {r["idx"]: r["name"] for r in make_unique(df, "name", "idx", small=small).collect()}
+    got = {r["idx"]: r["name"] for r in make_unique(df, "name", "idx").collect()}
     # python reference of the rule: i-th repeat gets the i-th free integer
     names = [n for _, n in rows]
     taken = set(names)
@@ -49,19 +45,19 @@ def test_make_unique_with_collisions(spark, small):
     assert got == expect
 
 
-def test_small_paths_equal_distributed(spark):
+def test_positions_equal_one_window(spark):
     df = spark.range(0, 800, 1, 3).select(F.col("id"), ((F.col("id") * 31) % 50).alias("k"))
-    a = dense_positions(df, [F.col("k"), F.col("id")], name="pos", small=True)
-    b = dense_positions(df, [F.col("k"), F.col("id")], name="pos", small=False)
+    a = df.withColumn("pos", (F.row_number().over(Window.orderBy("k", "id")) - 1).cast("bigint"))
+    b = dense_positions(df, [F.col("k"), F.col("id")], name="pos")
     assert sorted(a.collect()) == sorted(b.collect())
     h = df.groupBy("k").agg(F.count("*").alias("n"))
-    c = running_sums(h, [F.col("k")], {"cum": F.col("n")}, small=True)
-    d = running_sums(h, [F.col("k")], {"cum": F.col("n")}, small=False)
+    c = h.withColumn("cum", F.sum("n").over(Window.orderBy("k")))
+    d = running_sums(h, [F.col("k")], {"cum": F.col("n")})
     assert sorted(c.collect()) == sorted(d.collect())
 
 
 def test_running_min_distributed(spark):
     df = spark.range(0, 500, 1, 4).select(F.col("id"), ((F.col("id") * 37) % 101).cast("double").alias("v"))
-    a = running_sums(df, [F.col("id").desc()], {"m": F.col("v")}, agg="min", small=True)
+    a = df.withColumn("m", F.min("v").over(Window.orderBy(F.col("id").desc())))
     b = running_sums(df, [F.col("id").desc()], {"m": F.col("v")}, agg="min", n_parts=5)
     assert sorted(a.select("id", "m").collect()) == sorted(b.select("id", "m").collect())

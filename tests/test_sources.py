@@ -234,7 +234,7 @@ def test_fastq_lanes_to_tag_assignment(spark, tmpdir_path):
     got = annotate_tags(cd, from_files, l14, l30, id_suffix="-1", fastqs=tuple(pairs[0]), log_summary=False)
     want = annotate_tags(cd, fx.r1_reads(spark, sf), l14, l30, id_suffix="-1", log_summary=False)
     assert sorted(got.cells.collect()) == sorted(want.cells.collect())
-    assert got.history[0]["description"].startswith("Processed Cellecta tags from FASTQs")
+    assert got.history[0]["description"].startswith("Lineage tags called from read pairs")
 
 
 def test_replace_from_file_keeps_file_order(spark, tmpdir_path):
