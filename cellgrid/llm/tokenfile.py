@@ -197,7 +197,8 @@ def read_documents(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
                 yield pd.DataFrame({"doc_id": names.to_pandas(), "start": offsets[:-1] + base,
                                     "n_tokens": np.diff(offsets), "ids_crc32": np.array(crc, dtype=np.int64)})
 
-    files = manifest.select("path", "base").repartition(F.col("path"))
+    # a task per file: rows are few and short, so they would be merged into one task
+    files = manifest.select("path", "base").repartition(max(1, manifest.count()), "path")
     return files.mapInPandas(run, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
