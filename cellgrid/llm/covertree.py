@@ -34,7 +34,8 @@ CENTRES = 512     # centres of a label at most
 SAMPLE = 20_000   # points of large labels that centres are drawn from
 LEAF = 24         # points of a leaf
 ROWS = 512        # rows compared at a time
-_SLACK = 1e-9
+_SLACK = 1e-9     # of cosines that are compared again pair by pair
+_WIDE = 1e-7      # of distances: rounding of a product of unit vectors is 1.5e-8 near zero
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -94,7 +95,7 @@ class Links:
 
     def __init__(self, x: np.ndarray, many: np.ndarray, cosine: float):
         self.x, self.u, self.many, self.cosine = x, _unit(x), many, cosine
-        self.t = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + _SLACK
+        self.t = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + _WIDE
         self.count, self.label = np.zeros(len(x), np.int64), np.arange(len(x))
 
     def exact(self, i: int, j: np.ndarray) -> np.ndarray:
@@ -176,7 +177,7 @@ def near_pairs(points: DataFrame, cosine: float, shard: int = SHARD, sample: int
     """``(node, links, root)`` for points ``(node, label, vec, many)``: counts of
     linked rows and links that span the components, both to be added up."""
     spark = with_workers(points.sparkSession)
-    t = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + _SLACK
+    t = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + _WIDE
     # labels beyond one block: at most points / shard of them
     large = {r["label"]: r["n"] for r in points.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard).collect()}
     centres = _cells(points, large, sample, shard)
