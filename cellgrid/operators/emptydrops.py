@@ -117,17 +117,39 @@ def log_likelihoods(cd: CellData, props: DataFrame, alpha: float, cells: DataFra
 
 
 # ------------------------------------------------------------------ E6
+LIKELIHOOD_DIGITS = 6  # log-likelihoods that agree to here are ties (rounding of sums in another order)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 32-bit integer hash (numbers below 2 ** 32 held in uint64)."""
+    low = np.uint64(0xFFFFFFFF)
+    x = x ^ (x >> np.uint64(16))
+    x = (x * np.uint64(0x7FEB352D)) & low
+    x = x ^ (x >> np.uint64(15))
+    x = (x * np.uint64(0x846CA68B)) & low
+    return x ^ (x >> np.uint64(16))
+
+
+def uniforms(seed: int, iteration: int, n: int) -> np.ndarray:
+    """``n`` numbers in (0, 1) that depend on (seed, iteration, position) alone:
+    counter-based, so any engine with integers can repeat them."""
+    low = np.uint64(0xFFFFFFFF)
+    start = _mix((_mix(np.array([seed & 0xFFFFFFFF], np.uint64)) + np.uint64(iteration)) & low)
+    turn = _mix((start + np.uint64(0x9E3779B9)) & low)
+    x = _mix(_mix((start + np.arange(1, n + 1, dtype=np.uint64)) & low) ^ turn)
+    return (x.astype(np.float64) + 0.5) / 4294967296.0
+
+
 def _simulate(props: np.ndarray, alpha: float, totals: np.ndarray, seed: int, iteration: int) -> np.ndarray:
     """Log-likelihood of one simulated draw path read at each total (sorted)."""
-    rng = np.random.default_rng([seed, iteration])
     t_max = int(totals[-1])
     g = props.size
     if math.isinf(alpha):
         q = props / props.sum()
     else:
-        q = rng.dirichlet(alpha * props)
+        q = np.random.default_rng([seed, iteration]).dirichlet(alpha * props)
         q = q / q.sum()
-    draws = rng.choice(g, size=t_max, p=q)
+    draws = np.minimum(np.searchsorted(np.cumsum(q), uniforms(seed, iteration, t_max), side="left"), g - 1)
     order = np.argsort(draws, kind="stable")
     sd = draws[order]
     starts = np.r_[0, np.flatnonzero(sd[1:] != sd[:-1]) + 1]
@@ -197,11 +219,13 @@ def monte_carlo_pvalues(cd: CellData, props: DataFrame, alpha: float, tested: Da
         return ll.withColumn("pvalue", F.lit(None).cast("double"))
     if (totals != np.floor(totals)).any() or totals[0] < 1:
         raise ValueError("emptyDrops needs whole counts: a tested barcode has a fractional total")
-    observed = ll.select("total", "loglik").distinct()
-    below = count_at_most(observed, materialize(simulate_paths(spark, prof, alpha, totals, iters, seed)))
+    ll = ll.withColumn("level", F.round("loglik", LIKELIHOOD_DIGITS))
+    observed = ll.select("total", F.col("level").alias("loglik")).distinct()
+    sims = simulate_paths(spark, prof, alpha, totals, iters, seed).withColumn("sim", F.round("sim", LIKELIHOOD_DIGITS))
+    below = count_at_most(observed, materialize(sims)).withColumnRenamed("loglik", "level")
     # written once: BH, the filter and the dispersion test all read it, and the
     # simulation must not run again for each of them
-    return materialize(ll.join(below, ["total", "loglik"]).select(
+    return materialize(ll.join(below, ["total", "level"]).select(
         "cell_idx", "total", "loglik", ((F.col("below") + 1) / F.lit(iters + 1.0)).alias("pvalue")))
 
 

@@ -54,9 +54,7 @@ def a04(spark, sf_dir) -> DataFrame:
 
 @query("a05_classic")
 def a05(spark, sf_dir) -> DataFrame:
-    cd = _m1_totals(spark, sf_dir)
-    thr = totals.cr_thresholds_frame(cd.cells).select("retain").scalar()
-    return cd.cells.where(F.col("total_umis") >= thr).select("cell_id", "total_umis")
+    return totals.filter_classic(fx.m1(spark, sf_dir)).cells.select("cell_id", "total_umis")
 
 
 @query("a06_default_drops")
@@ -89,19 +87,17 @@ def _f_data(spark, sf_dir):
 
 def _f_cells(expr: str, lists=None, anchor: str = "full"):
     def run(spark, sf_dir) -> DataFrame:
-        from cellgrid.functions.predicate import apply_predicate
-        cd = _f_data(spark, sf_dir)
+        from cellgrid.operators.select import select_cells
         lst = {k: v(spark, sf_dir) for k, v in (lists or {}).items()}
-        return apply_predicate(cd.cells, expr, "cell", lst, anchor).select("cell_id")
+        return select_cells(_f_data(spark, sf_dir), expr, lst, anchor, record=False).cells.select("cell_id")
     return run
 
 
 def _f_genes(expr: str, lists=None):
     def run(spark, sf_dir) -> DataFrame:
-        from cellgrid.functions.predicate import apply_predicate
-        cd = fx.m1(spark, sf_dir)
+        from cellgrid.operators.select import select_genes
         lst = {k: v(spark, sf_dir) for k, v in (lists or {}).items()}
-        return apply_predicate(cd.genes, expr, "gene", lst).select("gene_idx", "gene_id")
+        return select_genes(fx.m1(spark, sf_dir), expr, lst, record=False).genes.select("gene_idx", "gene_id")
     return run
 
 
@@ -117,7 +113,7 @@ F_CELL_EXPRS = {
     "f13_and": "score > 100 and batch == 'B0' and urgent == True",
     "f14_or": "score > 300 or batch == B3 or total_umis < 10",
     "f15_not": "not (score > 100)",
-    "f16_negative": "score > -1 and not (score >= -0.5e3)",
+    "f16_negative": "score > -1 and not (score <= -0.5e3) and not (score > 150)",
     "f18_quoted_name": "'total_umis' > 150 and status == F",
     "f19_bool_number": "urgent == 1 or (urgent == 0.5 and score < 10)",
     "f19b_bool_text": "urgent == 'TRUE' and not (urgent == 'no')",
@@ -132,7 +128,7 @@ QUERIES["f09b_regex_prefix"] = _f_cells('batch is "B"', anchor="start")
 QUERIES["f11_in_list"] = _f_cells('status in "statuses"', {"statuses": fx.m2_status_list})
 QUERIES["f12_not_in_list"] = _f_cells('status not in "statuses" or score > 400',
                                       {"statuses": fx.m2_status_list})
-QUERIES["f02_select_genes"] = _f_genes("retail > 1500 and brand != 'Brand#13'")
+QUERIES["f02_select_genes"] = _f_genes("retail > 950 and brand != 'Brand#13'")
 QUERIES["f17_gene_name"] = _f_genes('gene is "(red|hot) .*" and not (gene is ".*-[0-9]+")')
 QUERIES["f11b_in_list_genes"] = _f_genes('brand in "small_brands" and size > 20',
                                          {"small_brands": fx.m2_small_brands})
@@ -449,7 +445,7 @@ def e04(spark, sf_dir) -> DataFrame:
     cd = fx.m1(spark, sf_dir)
     props = ambient_proportions(cd, lower=50)
     a = estimate_alpha(cd, props, lower=50)
-    return props.agg(F.count(F.lit(1)).alias("n_genes")).select("n_genes", F.lit(a).alias("alpha"))
+    return props.agg(F.count(F.lit(1)).alias("n_genes")).select("n_genes", F.round(F.lit(a), 6).alias("alpha"))
 
 
 @query("e06_monte_carlo_pvalues")
@@ -458,27 +454,55 @@ def e06(spark, sf_dir) -> DataFrame:
     cd = fx.m1(spark, sf_dir)
     props = ambient_proportions(cd, lower=50)
     tested = totals.cell_totals(cd).where(F.col("total") > 50)
-    return monte_carlo_pvalues(cd, props, float("inf"), tested, iters=1000, seed=1)
+    return monte_carlo_pvalues(cd, props, float("inf"), tested, iters=10000, seed=1)
 
 
 @query("e09_emptydrops")
 def e09(spark, sf_dir) -> DataFrame:
     cd = fx.m1(spark, sf_dir)
-    cd = cd.filter_emptydrops(lower=50, iters=1000, alpha=float("inf"), seed=1)
+    cd = cd.filter_emptydrops(lower=50, iters=10000, alpha=float("inf"), seed=1)
     return cd.cells.select("cell_id", "emptydrops_fdr")
 
 
 @query("e10_cellranger")
 def e10(spark, sf_dir) -> DataFrame:
     cd = fx.m1(spark, sf_dir)
-    cd = cd.filter_emptydrops(cellranger=True, iters=1000, seed=1, keep_all=True)
-    return cd.cells.select("cell_id", "emptydrops_fdr")
+    cd = cd.filter_emptydrops(cellranger=True, iters=10000, seed=1, keep_all=True)
+    return cd.cells.select("cell_id", "total_umis", "emptydrops_fdr")
 
 
 @query("e12_ambient_pvalues")
 def e12(spark, sf_dir) -> DataFrame:
     from cellgrid.operators.emptydrops import ambient_pvalues
-    return ambient_pvalues(fx.m1(spark, sf_dir), lower=50, alpha=float("inf"), iters=1000, seed=1)
+    return ambient_pvalues(fx.m1(spark, sf_dir), lower=50, alpha=float("inf"), iters=10000, seed=1)
+
+
+# The caller with few iterations: the same code, small enough for SQL to repeat every draw.
+FEW = 40
+
+
+@query("e06b_monte_carlo_few")
+def e06b(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.emptydrops import ambient_proportions, monte_carlo_pvalues
+    cd = fx.m1(spark, sf_dir)
+    props = ambient_proportions(cd, lower=50)
+    tested = totals.cell_totals(cd).where(F.col("total") > 50)
+    p = monte_carlo_pvalues(cd, props, float("inf"), tested, iters=FEW, seed=1)
+    return p.select("cell_idx", "total", F.round("loglik", 4).alias("loglik"), F.round("pvalue", 9).alias("pvalue"))
+
+
+@query("e09b_emptydrops_few")
+def e09b(spark, sf_dir) -> DataFrame:
+    """E1-E9 with retain = 150: call at an FDR that few iterations can reach."""
+    cd = fx.m1(spark, sf_dir).filter_emptydrops(lower=50, iters=FEW, alpha=float("inf"), seed=1, retain=150.0, fdr=0.2)
+    return cd.cells.select("cell_id", F.round("emptydrops_fdr", 9).alias("emptydrops_fdr"))
+
+
+@query("e12b_ambient_pvalues_few")
+def e12b(spark, sf_dir) -> DataFrame:
+    from cellgrid.operators.emptydrops import ambient_pvalues
+    p = ambient_pvalues(fx.m1(spark, sf_dir), lower=50, alpha=float("inf"), iters=FEW, seed=1)
+    return p.select("cell_idx", "total", F.round("pvalue", 9).alias("pvalue"))
 
 
 # ------------------------------------------------------- D: dispersion test
@@ -539,15 +563,15 @@ def k02(spark, sf_dir) -> DataFrame:
     path = _scratch(spark, "mex")
     fx.m1(spark, sf_dir).export_mex(path)
     cd = read_10x_mtx(spark, path)
-    return cd.x.groupBy("cell_idx").agg(F.sum("value").alias("total")).join(cd.cells, "cell_idx") \
-        .select("cell_id", "total")
+    per = cd.x.groupBy("cell_idx").agg(F.sum("value").alias("total"))
+    return cd.cells.join(per, "cell_idx", "left").select("cell_id", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
 @query("k02b_mex_roundtrip_genes")
 def k02b(spark, sf_dir) -> DataFrame:
     from cellgrid.sources.mtx import read_10x_mtx
     path = _scratch(spark, "mex")
-    fx.m1(spark, sf_dir).export_mex(path, single_file=True)
+    fx.m1(spark, sf_dir).export_mex(path)
     cd = read_10x_mtx(spark, path)
     per = cd.x.groupBy("gene_idx").agg(F.sum("value").alias("umis"))
     return cd.genes.join(per, "gene_idx", "left").select("gene_id", "gene_ids", "feature_types", "umis")
@@ -558,16 +582,20 @@ def k03(spark, sf_dir) -> DataFrame:
     """Cell metadata exported as TSV, read back as an annotation table."""
     from cellgrid.sources.tables import read_annotations
     path = _scratch(spark, "cells") + ".tsv.gz"
-    cd = _f_data(spark, sf_dir)
-    cd = cd.replace(cells=cd.cells.drop("ordered_at"))
-    cd.export_cells(path)
-    return read_annotations(spark, path).select("barcode", "status", "urgent", "total_umis", "batch", "score")
+    _f_data(spark, sf_dir).export_cells(path)
+    back = read_annotations(spark, path)
+    return back.select("barcode", "status", "price", F.col("ordered_at").cast("string").alias("ordered_at"), "urgent",
+                       "total_umis", "batch", "score")
 
 
 @query("k04_gene_table")
 def k04(spark, sf_dir) -> DataFrame:
-    from cellgrid.sinks.text import metadata_frame
-    return metadata_frame(fx.m1(spark, sf_dir), "gene").drop("gene_idx")
+    """Gene metadata exported as TSV and read back."""
+    from cellgrid.sinks.text import export_table
+    from cellgrid.sources.tables import read_annotations
+    path = _scratch(spark, "genes") + ".tsv.gz"
+    export_table(fx.m1(spark, sf_dir), "gene", path)
+    return read_annotations(spark, path).select("gene", "gene_ids", "brand", "type", "size", "retail")
 
 
 @query("k05_wide_matrix")
@@ -579,12 +607,30 @@ def k05(spark, sf_dir) -> DataFrame:
 
 @query("s04_native_roundtrip")
 def s04(spark, sf_dir) -> DataFrame:
+    """Cells and, from the matrix read back, their totals."""
     from cellgrid.sources.native import load
     path = _scratch(spark, "native")
-    cd = _f_data(spark, sf_dir)
-    cd.save(path, force=True)
+    _f_data(spark, sf_dir).save(path, force=True)
     back = load(spark, path)
-    return back.cells.select("cell_id", "status", "urgent", "total_umis", "batch", "score")
+    per = back.x.groupBy("cell_idx").agg(F.sum("value").alias("total"))
+    return back.cells.join(per, "cell_idx", "left").select(
+        "cell_idx", "cell_id", "status", "price", F.col("ordered_at").cast("string").alias("ordered_at"), "urgent", "total_umis", "batch",
+        "score", F.coalesce("total", F.lit(0.0)).alias("total"))
+
+
+@query("s04b_native_genes_layers_params")
+def s04b(spark, sf_dir) -> DataFrame:
+    """Genes with sums over the matrix and over a layer read back, and the saved parameter."""
+    from cellgrid.sources.native import load
+    path = _scratch(spark, "native")
+    cd = fx.m1(spark, sf_dir).set_parameter("classic_filter", "threshold", 12.5)
+    cd = cd.replace(layers={"twice": cd.x_raw.withColumn("value", F.col("value") * 2)})
+    back = load(spark, cd.save(path, force=True).source_path)
+    per = back.x.groupBy("gene_idx").agg(F.sum("value").alias("umis"))
+    twice = back.layer("twice").groupBy("gene_idx").agg(F.sum("value").alias("twice"))
+    return back.genes.join(per, "gene_idx", "left").join(twice, "gene_idx", "left").select(
+        "gene_idx", "gene_id", "gene_ids", "brand", "type", "size", "retail", "umis", "twice",
+        F.lit(back.get_parameter("classic_filter", "threshold")).alias("threshold"))
 
 
 @query("s01_mtx_read")
@@ -602,7 +648,9 @@ def s01(spark, sf_dir) -> DataFrame:
                                     F.col("value").cast("string")).alias("value"))
     head.union(body).write.text(path)
     back = read_mtx(spark, path)
-    return back.x.groupBy("cell_idx").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("nnz"))
+    per = back.x.groupBy("cell_idx").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("nnz"))
+    return back.cells.join(per, "cell_idx", "left").select(
+        "cell_idx", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("nnz", F.lit(0)).alias("nnz"))
 
 
 @query("w04_rank_plot_emptydrops")
@@ -637,4 +685,5 @@ def s03(spark, sf_dir) -> DataFrame:
     cells.orderBy("r").select(F.concat_ws("\t", "cell_id", "status").alias("value")).write.text(f"{base}.barcodes.txt")
     back = read_bustools(spark, base)
     per = back.x.groupBy("cell_idx").agg(F.sum("value").alias("total"))
-    return back.cells.join(per, "cell_idx").select("cell_id", F.col("_c1").alias("status"), "total")
+    return back.cells.join(per, "cell_idx", "left").select("cell_id", F.col("_c1").alias("status"),
+                                                           F.coalesce("total", F.lit(0.0)).alias("total"))

@@ -108,7 +108,7 @@ F_SQL = {
     "f13_and": "score > 100 AND batch = 'B0' AND urgent = true",
     "f14_or": f"{_c('score > 300')} OR {_c(chr(98) + 'atch = ' + chr(39) + 'B3' + chr(39))} OR {_c('total_umis < 10')}",
     "f15_not": "NOT " + _c("score > 100"),
-    "f16_negative": "score > -1 AND NOT " + _c("score >= -500"),
+    "f16_negative": "score > -1 AND NOT " + _c("score <= -500") + " AND NOT " + _c("score > 150"),
     "f18_quoted_name": "total_umis > 150 AND status = 'F'",
     "f19_bool_number": f"{_c('urgent = true')} OR ({_c('urgent = false')} AND {_c('score < 10')})",
     "f19b_bool_text": "urgent = true AND NOT " + _c("urgent = false"),
@@ -123,7 +123,7 @@ for _k, _p in F_SQL.items():
     ORACLE[_k] = FBASE + f"\nSELECT cell_id FROM fcells WHERE {_p}"
 
 ORACLE["f02_select_genes"] = BASE + """
-SELECT gene_idx, gene_id FROM m1_genes WHERE retail > 1500 AND NOT coalesce(brand = 'Brand#13', false)"""
+SELECT gene_idx, gene_id FROM m1_genes WHERE retail > 950 AND NOT coalesce(brand = 'Brand#13', false)"""
 
 ORACLE["f17_gene_name"] = BASE + """
 SELECT gene_idx, gene_id FROM m1_genes
@@ -413,6 +413,72 @@ SELECT cell_idx, total, round({const} + s, 4) AS loglik FROM pc"""
 ORACLE["e05_loglik_multinomial"] = _ll_sql("inf")
 ORACLE["e05b_loglik_dirichlet"] = _ll_sql("25.0")
 
+def _alpha_sql(rounds: int = 4, grid: int = 24) -> str:
+    """The same grid search for the concentration, one CTE per refinement."""
+    sql = BASE + GT + """,
+ent AS (SELECT x.value, gt.prop, count(*) AS n FROM m1_x x JOIN gt USING (gene_idx)
+        WHERE x.cell_idx IN (SELECT cell_idx FROM xt WHERE total <= 50) GROUP BY 1, 2),
+tt AS (SELECT total, count(*) AS n FROM xt WHERE total <= 50 GROUP BY 1),
+b0 AS (SELECT ln(0.01) AS lo, ln(10000.0) AS hi)"""
+    for r in range(1, rounds + 1):
+        sql += f""",
+g{r} AS (SELECT lo, hi, exp(lo + (hi - lo) * k / {grid - 1}.0) AS a FROM b{r - 1}, range(0, {grid}) AS t(k)),
+e{r} AS (SELECT a, sum(n * (lgamma(value + a * prop) - lgamma(a * prop))) AS s FROM g{r}, ent GROUP BY a),
+t{r} AS (SELECT a, sum(n * lgamma(total + a)) AS s FROM g{r}, tt GROUP BY a),
+m{r} AS (SELECT arg_max(g.a, (SELECT sum(n) FROM tt) * lgamma(g.a) - t{r}.s + e{r}.s) AS a, min(lo) AS lo, min(hi) AS hi
+         FROM g{r} g JOIN e{r} USING (a) JOIN t{r} USING (a)),
+b{r} AS (SELECT greatest(ln(a) - (hi - lo) / {grid - 1}.0, ln(0.01)) AS lo, least(ln(a) + (hi - lo) / {grid - 1}.0, ln(10000.0)) AS hi, a
+         FROM m{r})"""
+    return sql + f"\nSELECT (SELECT count(*) FROM gt) AS n_genes, round(a, 6) AS alpha FROM b{rounds}"
+
+
+ORACLE["e04_alpha_mle"] = _alpha_sql()
+
+
+def _mixed(x: str, step: str, source: str) -> str:
+    """CTEs that hash the 32-bit integer ``x`` of ``source`` into ``h`` (table ``step``)."""
+    return f""",
+{step}a AS (SELECT *, xor({x}, ({x}) >> 16) AS h1 FROM {source}),
+{step}b AS (SELECT * EXCLUDE (h1), (h1 * 2146121005) % 4294967296 AS h2 FROM {step}a),
+{step}c AS (SELECT * EXCLUDE (h2), xor(h2, h2 >> 15) AS h3 FROM {step}b),
+{step}d AS (SELECT * EXCLUDE (h3), CAST((h3::HUGEINT * 2221713035) % 4294967296 AS BIGINT) AS h4 FROM {step}c),
+{step} AS (SELECT * EXCLUDE (h4), xor(h4, h4 >> 16) AS h FROM {step}d)"""
+
+
+def _mc_sql(tested: str, iters: int = 40, seed: int = 1) -> str:
+    """E6 draw by draw: uniforms from the integer hash, genes by the cumulative
+    proportions, the likelihood along each path, counted against each barcode."""
+    return BASE + GT + f""",
+sd AS (SELECT {seed}::BIGINT AS seed)""" + _mixed("seed", "k0", "sd") + f""",
+it AS (SELECT (h + i) % 4294967296 AS x0, i FROM k0, range(0, {iters}) AS r(i))""" + _mixed("x0", "k1", "it") + """,
+st AS (SELECT i, h AS start, (h + 2654435769) % 4294967296 AS x1 FROM k1)""" + _mixed("x1", "k2", "st") + f""",
+tst AS (SELECT cell_idx, total FROM xt WHERE {tested}),
+dr AS (SELECT i, j, h AS turn, (start + j) % 4294967296 AS x2 FROM k2, range(1, (SELECT max(total)::BIGINT + 1 FROM tst)) AS r(j))"""         + _mixed("x2", "k3", "dr") + """,
+tw AS (SELECT i, j, xor(h, turn) AS x3 FROM k3)""" + _mixed("x3", "k4", "tw") + f""",
+cum AS (SELECT gene_idx, prop, sum(prop) OVER (ORDER BY gene_idx) / (SELECT sum(prop) FROM gt) AS upto,
+               coalesce(sum(prop) OVER (ORDER BY gene_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)
+               / (SELECT sum(prop) FROM gt) AS since FROM gt),
+dw AS (SELECT k4.i, k4.j, cum.gene_idx, cum.prop FROM k4 ASOF JOIN cum ON (k4.h + 0.5) / 4294967296.0 > cum.since),
+inc AS (SELECT i, j, ln(j) - ln(row_number() OVER (PARTITION BY i, gene_idx ORDER BY j)) + ln(prop) AS d FROM dw),
+path AS (SELECT i, j AS total, round(sum(d) OVER (PARTITION BY i ORDER BY j), 6) AS sim FROM inc),
+pc AS (SELECT x.cell_idx, sum(x.value * ln(gt.prop) - lgamma(x.value + 1)) AS s, sum(x.value) AS total
+       FROM m1_x x JOIN gt USING (gene_idx) WHERE x.cell_idx IN (SELECT cell_idx FROM tst) GROUP BY x.cell_idx),
+lls AS (SELECT cell_idx, total, lgamma(total + 1) + s AS loglik FROM pc),
+mc AS (SELECT l.cell_idx, l.total, l.loglik,
+              (1 + (SELECT count(*) FROM path p WHERE p.total = l.total AND p.sim <= round(l.loglik, 6))) / ({iters} + 1.0) AS pvalue FROM lls l)"""
+
+
+ORACLE["e06b_monte_carlo_few"] = _mc_sql("total > 50") + """
+SELECT cell_idx, total, round(loglik, 4) AS loglik, round(pvalue, 9) AS pvalue FROM mc"""
+ORACLE["e12b_ambient_pvalues_few"] = _mc_sql("total > 0 AND total <= 50") + """
+SELECT cell_idx, total, round(pvalue, 9) AS pvalue FROM mc"""
+ORACLE["e09b_emptydrops_few"] = _mc_sql("total > 50 AND total < 150") + """,
+pv AS (SELECT cell_idx, pvalue FROM mc UNION ALL SELECT cell_idx, 0.0 FROM xt WHERE total >= 150),
+rk AS (SELECT pvalue, count(*) OVER (ORDER BY pvalue RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM pv),
+q AS (SELECT DISTINCT pvalue, least(1.0, min(pvalue * (SELECT count(*) FROM pv) / r) OVER (ORDER BY pvalue DESC)) AS fdr FROM rk)
+SELECT c.cell_id, round(q.fdr, 9) AS emptydrops_fdr
+FROM pv JOIN q USING (pvalue) JOIN m1_cells c USING (cell_idx) WHERE q.fdr <= 0.2"""
+
 ORACLE["e08_bh_adjust"] = """
 WITH p AS (SELECT o_orderkey AS cell_idx,
                   CASE WHEN o_orderstatus = 'P' THEN NULL
@@ -452,16 +518,24 @@ SELECT round(regr_slope(ordered, theoretical), 9) AS slope, round(regr_intercept
 ORACLE["d04b_probplot_points"] = PPALL + "\nSELECT i, round(theoretical, 12) AS theoretical, ordered FROM t2"
 
 # ----------------------------------------------------------------- S / K
-ORACLE["k02_mex_roundtrip_cells"] = BASE + XT + "\nSELECT c.cell_id, xt.total FROM xt JOIN m1_cells c USING (cell_idx)"
+ORACLE["k02_mex_roundtrip_cells"] = BASE + "\nSELECT cell_id, total_umis AS total FROM m1_totals"
 ORACLE["k02b_mex_roundtrip_genes"] = BASE + """
 SELECT g.gene_id, g.gene_ids, 'Gene Expression' AS feature_types, t.umis
 FROM m1_genes g LEFT JOIN (SELECT gene_idx, sum(value) AS umis FROM m1_x GROUP BY gene_idx) t USING (gene_idx)"""
 ORACLE["k03_cell_table_roundtrip"] = FBASE + """
-SELECT cell_id AS barcode, status, urgent, total_umis, batch, score FROM fcells"""
+SELECT cell_id AS barcode, status, price, CAST(ordered_at AS VARCHAR) AS ordered_at, urgent, total_umis, batch, score FROM fcells"""
 ORACLE["k04_gene_table"] = BASE + "\nSELECT gene_id AS gene, gene_ids, brand, type, size, retail FROM m1_genes"
-ORACLE["s04_native_roundtrip"] = FBASE + "\nSELECT cell_id, status, urgent, total_umis, batch, score FROM fcells"
+ORACLE["s04_native_roundtrip"] = FBASE + """
+SELECT cell_idx, cell_id, status, price, CAST(ordered_at AS VARCHAR) AS ordered_at, urgent, total_umis, batch, score, total_umis AS total
+FROM fcells"""
+ORACLE["s04b_native_genes_layers_params"] = BASE + """
+SELECT g.*, t.umis, 2 * t.umis AS twice, 12.5 AS threshold
+FROM m1_genes g LEFT JOIN (SELECT gene_idx, sum(value) AS umis FROM m1_x GROUP BY gene_idx) t USING (gene_idx)"""
 ORACLE["s01_mtx_read"] = BASE + """
-SELECT cell_idx, sum(value) AS total, count(*) AS nnz FROM m1_x GROUP BY cell_idx"""
+,
+idx AS (SELECT unnest(range((SELECT max(o_orderkey) + 1 FROM orders))) AS cell_idx),
+per AS (SELECT cell_idx, sum(value) AS total, count(*) AS nnz FROM m1_x GROUP BY cell_idx)
+SELECT cell_idx, coalesce(total, 0.0) AS total, coalesce(nnz, 0) AS nnz FROM idx LEFT JOIN per USING (cell_idx)"""
 
 ORACLE["k05_wide_matrix"] = BASE + """,
 b AS (SELECT DISTINCT p_brand AS brand FROM part),
@@ -469,7 +543,8 @@ v AS (SELECT l.l_orderkey AS cell_idx, p.p_brand AS brand, sum(l.l_quantity) AS
       FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY ALL),
 full_grid AS (SELECT c.cell_idx, c.cell_id AS barcode, b.brand, coalesce(v.value, 0.0) AS value
               FROM m1_cells c CROSS JOIN b LEFT JOIN v ON v.cell_idx = c.cell_idx AND v.brand = b.brand)
-SELECT * EXCLUDE (cell_idx) FROM (PIVOT full_grid ON brand USING sum(value) GROUP BY cell_idx, barcode)"""
+SELECT * EXCLUDE (cell_idx) FROM (PIVOT full_grid ON brand IN (""" + ", ".join(
+    f"'Brand#{i}'" for i in range(1, 26)) + """) USING sum(value) GROUP BY cell_idx, barcode)"""
 
 ORACLE["w04_rank_plot_emptydrops"] = BASE + _knee_ctes(50, 50) + """,
 rk AS (SELECT c.cell_id, xt.total,
@@ -481,4 +556,4 @@ SELECT cell_id, total, rank, 'middle' FROM rk WHERE total <= (SELECT knee FROM k
 UNION ALL
 SELECT cell_id, total, rank, 'ambient' FROM rk WHERE total <= 50"""
 
-ORACLE["s03_bustools_read"] = BASE + XT + "\nSELECT c.cell_id, c.status, xt.total FROM xt JOIN m1_cells c USING (cell_idx)"
+ORACLE["s03_bustools_read"] = BASE + "\nSELECT cell_id, status, total_umis AS total FROM m1_totals"

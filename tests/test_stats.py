@@ -152,7 +152,7 @@ def test_simulated_path_matches_direct_likelihood(mixture):
         rng = np.random.default_rng([9, 0])
         q = rng_props / rng_props.sum() if math.isinf(alpha) else rng.dirichlet(alpha * rng_props)
         q = q / q.sum()
-        draws = rng.choice(10, size=12, p=q)
+        draws = np.searchsorted(np.cumsum(q), ed.uniforms(9, 0, 12))
         for t, v in zip((5, 12), vals):
             x = np.bincount(draws[:t], minlength=10)
             if math.isinf(alpha):
