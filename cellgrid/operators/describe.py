@@ -25,24 +25,23 @@ def _is_numeric(dt) -> bool:
     return isinstance(dt, _NUMERIC)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """One row ``q0, q1, ...``: linear-interpolation quantiles (pandas style)."""
-    h = (df.where(F.col(f"`{col}`").isNotNull()).groupBy(F.col(f"`{col}`").cast("double").alias("v"))
-         .agg(F.count(F.lit(1)).alias("n")))
-    h = materialize(running_sums(h, [F.col("v")], {"cum": F.col("n")}))
-    total = h.agg(F.sum("n")).scalar()
-    cols, aggs = [], []
+def exact_quantiles(df: DataFrame, columns: list[str], probs=(0.25, 0.5, 0.75)) -> DataFrame:
+    """``(annotation, q0, q1, ...)``: linear-interpolation quantiles (pandas style)
+    of every column, from one histogram of (column, value) and one running count."""
+    each = F.array(*[F.struct(F.lit(c).alias("annotation"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
+    h = (df.select(F.inline(each)).where(F.col("v").isNotNull())
+         .groupBy("annotation", "v").agg(F.count(F.lit(1)).alias("n")))
+    h = materialize(running_sums(h, [F.col("annotation"), F.col("v")], {"cum": F.col("n")}))
+    per = h.groupBy("annotation").agg(F.min(F.col("cum") - F.col("n")).alias("base"), F.sum("n").alias("total"))
+    marked = h.join(per, "annotation").withColumn("cum", F.col("cum") - F.col("base"))
+    aggs, out = [], []
     for j, p in enumerate(probs):
-        pos = (total - 1) * F.lit(float(p))
-        cols += [F.floor(pos).alias(f"lo{j}"), F.ceil(pos).alias(f"hi{j}"), (pos - F.floor(pos)).alias(f"f{j}")]
-    marked = h.select("v", "cum", *cols)
-    for j in range(len(probs)):
-        aggs += [F.min(F.when(F.col("cum") > F.col(f"lo{j}"), F.col("v"))).alias(f"vlo{j}"),
-                 F.min(F.when(F.col("cum") > F.col(f"hi{j}"), F.col("v"))).alias(f"vhi{j}"),
-                 F.max(f"f{j}").alias(f"f{j}")]
-    r = marked.agg(*aggs)
-    return r.select(*[(F.col(f"vlo{j}") + (F.col(f"vhi{j}") - F.col(f"vlo{j}")) * F.col(f"f{j}")).alias(f"q{j}")
-                      for j in range(len(probs))])
+        pos = (F.col("total") - 1) * F.lit(float(p))
+        aggs += [F.min(F.when(F.col("cum") > F.floor(pos), F.col("v"))).alias(f"lo{j}"),
+                 F.min(F.when(F.col("cum") > F.ceil(pos), F.col("v"))).alias(f"hi{j}"),
+                 F.max(pos - F.floor(pos)).alias(f"f{j}")]
+        out.append((F.col(f"lo{j}") + (F.col(f"hi{j}") - F.col(f"lo{j}")) * F.col(f"f{j}")).alias(f"q{j}"))
+    return marked.groupBy("annotation").agg(*aggs).select("annotation", *out)
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -52,24 +51,15 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
         return df.sparkSession.createDataFrame(
             [], "annotation string, count bigint, min double, max double, mean double, sd double, "
                 "median double, q1 double, q3 double")
-    aggs = []
+    stats = []
     for c in cols:
         v = F.col(f"`{c}`").cast("double")
-        aggs += [F.count(v).alias(f"{c}__count"), F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"),
-                 F.avg(v).alias(f"{c}__mean"), F.stddev_samp(v).alias(f"{c}__sd")]
-    one = df.agg(*aggs)
-    parts = []
-    for c in cols:
-        q = exact_quantiles(df, c)
-        parts.append(one.select(
-            F.lit(c).alias("annotation"), F.col(f"`{c}__count`").alias("count"), F.col(f"`{c}__min`").alias("min"),
-            F.col(f"`{c}__max`").alias("max"), F.col(f"`{c}__mean`").alias("mean"),
-            F.col(f"`{c}__sd`").alias("sd"), q.select("q1").scalar().alias("median"),
-            q.select("q0").scalar().alias("q1"), q.select("q2").scalar().alias("q3")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        stats.append(F.struct(F.lit(c).alias("annotation"), F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"),
+                              F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")))
+    one = df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+    q = exact_quantiles(df, cols)
+    return one.join(q, "annotation", "left").select("annotation", "count", "min", "max", "mean", "sd", F.col("q1").alias("median"),
+                                                    F.col("q0").alias("q1"), F.col("q2").alias("q3"))
 
 
 def categorical_summary(df: DataFrame, columns: list[str] | None = None, top: int = 5) -> DataFrame:
