@@ -22,6 +22,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int = 16 << 20) -> DataFrame:
+    """A stored table as a join side: broadcast if its files hold at most
+    ``most`` bytes, else left to an ordinary (skew-splitting) join."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most else df
+
+
 def with_workers(spark: SparkSession) -> SparkSession:
     """Make this package importable in Python workers."""
     ship_package(spark)
