@@ -71,15 +71,15 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "so
     Columns of ``docs`` that have one of the added names are replaced.
     """
     names = [c for c in docs.columns if c not in (copy_name, place_name)]
+    src, draws, cdf, key, times = (fresh(docs, stem) for stem in ("rate_of", "draws", "cdf", "key", "times"))
     rates = stored(repetition_rates(docs, weights, source_col, alpha, total), "rates").select(
-        F.col("source").alias("_source_of_rate"), F.col("draws").alias("_draws_of_rate"), F.col("cdf").alias("_cdf_of_rate"))
-    key, times = fresh(docs, "key"), fresh(docs, "times")
+        F.col("source").alias(src), F.col("draws").alias(draws), F.col("cdf").alias(cdf))
     text = F.md5(F.coalesce(ref(docs, text_col).cast("string"), F.lit("")))
-    mine = docs.select(*[ref(docs, c) for c in names],
+    mine = docs.select(*[ref(docs, c) for c in names], ref(docs, source_col).alias(fresh(docs, "source")),
                        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(ref(docs, id_col).cast("string"), F.lit("null")), text)).alias(key))
-    mine = mine.join(rates, ref(mine, source_col).eqNullSafe(rates["_source_of_rate"]))
-    one = lambda i: F.size(F.filter("_cdf_of_rate", lambda p: p <= uniform(F.concat_ws(":", F.col(key), i))))
-    drawn = F.aggregate(F.sequence(F.lit(0), F.col("_draws_of_rate") - 1), F.lit(0), lambda a, i: a + one(i))
+    mine = mine.join(rates, mine[fresh(docs, "source")].eqNullSafe(rates[src]))
+    one = lambda i: F.size(F.filter(cdf, lambda p: p <= uniform(F.concat_ws(":", F.col(key), i))))
+    drawn = F.aggregate(F.sequence(F.lit(0), F.col(draws) - 1), F.lit(0), lambda a, i: a + one(i))
     mine = mine.withColumn(times, drawn).where(F.col(times) > 0)
     mine = mine.select(*[ref(mine, c) for c in names], key,
                        F.explode(F.sequence(F.lit(0), F.col(times) - 1)).alias(copy_name))
