@@ -363,6 +363,37 @@ def _calls(spark, sf_dir):
     return tag_calls(cd.cells, _reads(spark, sf_dir), fx.r1_lib14(spark, sf_dir), fx.r1_lib30(spark, sf_dir))
 
 
+@query("s07_fastq_files_to_tags")
+def s07(spark, sf_dir) -> DataFrame:
+    """R1 written as FASTQ lanes and tag-library files, read back and assigned."""
+    from cellgrid.functions.positions import materialize
+    from cellgrid.operators.tags import assign, tag_calls
+    from cellgrid.sources.fastq import read_fastq_pairs, read_tag_library
+    from cellgrid.sources.paths import data_files
+    place = _scratch(spark, "lanes")
+    reads = materialize(_reads(spark, sf_dir).select("read_no", "r1", "r2").repartitionByRange(3, "read_no").sortWithinPartitions("read_no"))
+    for side in ("r1", "r2"):  # both from the same stored partitions, so record k of a lane is the same read
+        record = F.array(F.concat(F.lit("@"), F.col("read_no").cast("string")), F.col(side), F.lit("+"), F.repeat(F.lit("I"), F.length(side)))
+        reads.select(F.explode(record).alias("value")).write.option("compression", "gzip").text(f"{place}/{side}")
+    for name, lib in (("lib14", fx.r1_lib14(spark, sf_dir)), ("lib30", fx.r1_lib30(spark, sf_dir))):
+        (lib.coalesce(1).sortWithinPartitions("pos").select(F.concat_ws("\t", "tag_id", "seq").alias("value"))
+         .write.text(f"{place}/{name}"))
+    back = read_fastq_pairs(spark, list(zip(data_files(spark, f"{place}/r1"), data_files(spark, f"{place}/r2"))))
+    cells = fx.r1_cells(spark, sf_dir).cells
+    calls = tag_calls(cells, back, read_tag_library(spark, f"{place}/lib14"), read_tag_library(spark, f"{place}/lib30"))
+    return assign(cells, calls, "-1").select("cell_id", "doublet", "tags")
+
+
+@query("s06_value_file")
+def s06(spark, sf_dir) -> DataFrame:
+    """F11 with its list written to a text file and read back."""
+    from cellgrid.operators.select import select_cells
+    from cellgrid.sources.tables import read_values
+    place = _scratch(spark, "values")
+    fx.m2_status_list(spark, sf_dir).select("value").write.text(place)
+    return select_cells(_f_data(spark, sf_dir), 'status in "statuses"', {"statuses": read_values(spark, place)}, record=False).cells.select("cell_id")
+
+
 @query("t07_tag_counts")
 def t07(spark, sf_dir) -> DataFrame:
     from cellgrid.operators.tags import parse_pairs, tag_counts, whitelist

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cellgrid.functions.positions import dense_positions
-from cellgrid.sources.paths import require_exists
+from cellgrid.sources.paths import qualified, require_exists
 
 BATCH_ROWS = 65536
 
@@ -118,13 +118,18 @@ class FastqPairDataSource(DataSource):
         return _PairReader(pairs)
 
 
+def _uri(spark: SparkSession, path: str) -> str:
+    require_exists(spark, path)
+    uri = qualified(spark, path)
+    return "file://" + uri[len("file:"):] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def read_fastq_pairs(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
     """``(file_no, read_no, r1, r2)`` from one or more (R1, R2) file pairs."""
     from cellgrid.session import ship_package
 
-    for a, b in pairs:
-        require_exists(spark, a)
-        require_exists(spark, b)
+    # tasks must open the files that are checked here: one spelling with its file system
+    pairs = [(_uri(spark, a), _uri(spark, b)) for a, b in pairs]
     ship_package(spark)
     spark.dataSource.register(FastqPairDataSource)
     return (spark.read.format("fastq_pair").option("pairs", ";".join(f"{a},{b}" for a, b in pairs)).load())
