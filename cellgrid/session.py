@@ -50,11 +50,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cellgrid-io/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never machine-local
     on a cluster)."""
     import uuid
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cellgrid-io/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables and files this application stored.  Call it when its
+    results have been written: frames that read them are of no use after."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set = set()

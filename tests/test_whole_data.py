@@ -147,3 +147,15 @@ def test_non_local_master_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_scratch_can_be_cleared(spark, monkeypatch, tmpdir_path):
+    import os
+
+    from cellgrid import session
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda _: tmpdir_path)  # a folder of its own: others stay
+    path = session.scratch_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    assert spark.sparkContext.applicationId in path and os.path.isdir(path)
+    session.clear_scratch(spark)
+    assert not os.path.exists(path) and os.path.isdir(tmpdir_path)
