@@ -198,7 +198,9 @@ def read_records(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTE
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length")
     starts = F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(split_bytes).cast("bigint"))
     ranges = files.where("length > 0").select("path", "length", F.explode(starts).alias("start"))
-    ranges = ranges.repartition(F.xxhash64("path", "start"))
+    # rows are few and short and would be merged into one task: say how many tasks there are
+    tasks = min(ranges.count(), 8 * spark.sparkContext.defaultParallelism)
+    ranges = ranges.repartition(max(1, tasks), "path", "start")
     number = id_type in ("bigint", "int", "smallint", "tinyint")
     kind = pa.int64() if number else pa.string()
     schema = pa.schema([("page_id", kind), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", kind),
