@@ -45,8 +45,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, i
         enc, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
         for b in batches:
             rows: list[tuple] = []
-            for i, text in enumerate(b["text"]):
-                ids = enc.ids(text) + end
+            for i, ids in enumerate(enc.many(b["text"])):
+                ids += end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, size)):
                     rows.append((i, k, start, length, zlib.crc32(ids[4 * start:4 * (start + length)])))
             t = pd.DataFrame(rows, columns=["at", "piece", "start", "length", "ids_crc32"])

@@ -162,8 +162,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
                                               schema=schema)
 
         for b in batches:
-            for i, text in enumerate(b.column("text")):
-                one = enc.ids(text.as_py()) + end
+            for i, one in enumerate(enc.many(b.column("text").to_pylist())):
+                one += end
                 names.append(b.column("doc_id").slice(i, 1))
                 ids.append(one)
                 held += len(one) // 4

@@ -14,26 +14,33 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-REMEMBERED = 1_000_000   # chunks a worker remembers
+REMEMBERED = 1_500_000   # chunks a worker remembers
+TOGETHER = 200_000     # characters whose new chunks are encoded together
 LONGEST = 48           # longer chunks are not remembered
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# any text: runs of white space start (byte) or separate (word) the chunks
 _RULES = {"byte": re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"), "word": re.compile(f"[^{_SPACE}]+")}
+# ASCII text: the vocabulary's own pieces, of which there are far fewer kinds
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_ASCII = {"byte": re.compile(_SHORT + r"| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"),
+          "word": re.compile(_SHORT + r"|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")}
 
 
-def _rule(path: str) -> re.Pattern | None:
+def _rule(path: str) -> str | None:
     """How texts may be cut into independent chunks; None: not at all."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
-        return _RULES["byte"]
+        return "byte"
     steps = pre.get("pretokenizers") or [{}]
     parts = [n.get("type") for n in (norm or {}).get("normalizers", [])]
     if (parts == ["NFC", "Replace", "Lowercase"] and steps[0].get("type") == "Split" and steps[0].get("invert")
             and steps[0].get("behavior") == "Removed" and r"[^\s" in steps[0]["pattern"].get("Regex", "")):
-        return _RULES["word"]
+        return "word"
     return None
 
 
@@ -62,23 +69,43 @@ class Encoder:
         call = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         return [_bytes(e.ids) for e in call(texts, add_special_tokens=False)]
 
-    def ids(self, text: str | None) -> bytes:
-        text = text or ""
+    def _chunks(self, text: str) -> list[str]:
+        if not text.isascii():
+            return _RULES[self.rule].findall(text)
+        return _ASCII[self.rule].findall(text.lower() if self.rule == "word" else text)
+
+    def many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text in turn; new chunks of about ``TOGETHER`` characters of
+        text go through the library in one call."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= TOGETHER:
+                yield from self._some(held)
+                held, size = [], 0
+        yield from self._some(held)
+
+    def _some(self, texts: list[str]) -> list[bytes]:
         if self.rule is None:
-            return self._library([text])[0]
-        chunks = self.rule.findall(text)
+            return self._library(texts) if texts else []
         known = self.known
-        parts = list(map(known.get, chunks))
-        if None in parts:
-            at = [i for i, p in enumerate(parts) if p is None]
-            new = list({chunks[i] for i in at})
+        cut = [self._chunks(t) for t in texts]
+        parts = [list(map(known.get, chunks)) for chunks in cut]
+        missing = [[i for i, p in enumerate(ps) if p is None] if None in ps else [] for ps in parts]
+        new = list({chunks[i] for chunks, at in zip(cut, missing) for i in at})
+        if new:
             ids = dict(zip(new, self._library(new)))
-            for i in at:
-                parts[i] = ids[chunks[i]]
+            for chunks, ps, at in zip(cut, parts, missing):
+                for i in at:
+                    ps[i] = ids[chunks[i]]
             if len(known) > REMEMBERED:
                 known.clear()
             known.update((c, v) for c, v in ids.items() if len(c) <= LONGEST)
-        return b"".join(parts)
+        return [b"".join(ps) for ps in parts]
+
+    def ids(self, text: str | None) -> bytes:
+        return self._some([text or ""])[0]
 
 
 @lru_cache(maxsize=4)
