@@ -577,7 +577,7 @@ def d04b(spark, sf_dir) -> DataFrame:
 @query("d05_dispersion_test")
 def d05(spark, sf_dir) -> DataFrame:
     from cellgrid.operators.dispersion import dispersion_test
-    summary, _, _ = dispersion_test(fx.m1(spark, sf_dir), alpha="non-dirichlet", lower=50, iters=500, seed=3)
+    summary, _, _ = dispersion_test(fx.m1(spark, sf_dir), alpha="non-dirichlet", lower=50, iters=10000, seed=3)
     return summary
 
 
