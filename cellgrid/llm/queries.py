@@ -33,7 +33,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one, exactly or nearly."""
-    return lines.dedup_lines(_table(spark, sf_dir, "documents"), min_words=1, fuzzy_chars=10, max_bits=3, similarity=0.8,
+    return lines.dedup_lines(_table(spark, sf_dir, "documents"), min_words=1, fuzzy_chars=10, max_bits=3, sketch=True, similarity=0.8,
                              length_col="n_chars")
 
 
