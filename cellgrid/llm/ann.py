@@ -13,7 +13,8 @@ nearest vector is the one of largest inner product.
   to the centroid, opened until enough leaves are visited.  How many is
   calibrated: for a sample of queries the exact neighbours are found by brute
   force, and the number of visits widens until ``target`` of them are in
-  visited leaves.
+  visited leaves.  A query goes on beyond that until its leaves hold enough rows for
+  ``k`` neighbours, so small outlier leaves do not shorten its result.
 * Visits meet their leaf part in a grouped task, which returns one row a query
   with its best ``k``; these are merged a query at a time.
 """
@@ -98,14 +99,16 @@ class Tree:
             todo += [(kids[i], rows[own == i]) for i in np.unique(own)]
         return out
 
-    def walk(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves of one query, best bin first."""
+    def walk(self, q: np.ndarray, visits: int, held: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first ``visits`` leaves of one query, best bin first, and more
+        until they hold ``least`` rows (``held`` has the rows of each leaf)."""
         far = ((self.centres - q) ** 2).sum(axis=1)
-        queue, out = [(far[0], 0)], []
-        while queue and len(out) < visits:
+        queue, out, rows = [(far[0], 0)], [], 0
+        while queue and (len(out) < visits or rows < least):
             _, node = heapq.heappop(queue)
             if not self.children[node]:
                 out.append(self.leaf_of[node])
+                rows += (held or {}).get(out[-1], 0)
             for kid in self.children[node]:
                 heapq.heappush(queue, (far[kid], kid))
         return out
@@ -168,8 +171,9 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col
 
     index = stored(rows.select("id", "vec").mapInPandas(place, "id bigint, vec array<double>, leaf bigint"), "index")
     held = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a leaf
-    parts = {int(i): max(1, -(-int(n) // part)) for i, n in held.items()}
-    queries = index.where(is_query(F.col("id"))).groupBy("id").agg(F.min("vec").alias("vec"))
+    held = {int(i): int(n) for i, n in held.items()}
+    parts = {i: max(1, -(-n // part)) for i, n in held.items()}
+    queries = index.where(is_query(F.col("id"))).groupBy("id").agg(F.min("vec").alias("vec"), F.count(F.lit(1)).alias("own"))
 
     # calibration: exact neighbours of a few queries, and where the walk meets their leaves
     probe = queries.orderBy(F.xxhash64("id", F.lit(37)), "id").limit(calibration).toPandas()
@@ -206,7 +210,11 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col
         for b in batches:
             if not len(b):
                 continue
-            got = [(i, n, p) for i, q in enumerate(flat(_matrix(b["vec"]))) for n in tree.walk(q, visits) if n in parts for p in range(parts[n])]
+            # its own rows are no candidates of a query
+            got = [(i, n, p) for i, (q, own) in enumerate(zip(flat(_matrix(b["vec"])), b["own"]))
+                   for n in tree.walk(q, visits, held, k + int(own)) if n in parts for p in range(parts[n])]
+            if not got:
+                continue
             at, leaves, sub = (np.array(v, dtype=np.int64) for v in zip(*got))
             yield pd.DataFrame({"leaf": leaves, "part": sub, "id": b["id"].to_numpy()[at], "vec": b["vec"].to_numpy()[at]})
 
@@ -215,7 +223,7 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "ids": [], "scores": []})
+            return pd.DataFrame({"q": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "scores": pd.Series(dtype=object)})
         found = best(_matrix(q["vec"]), q["id"].to_numpy(), _matrix(x["vec"]), x["id"].to_numpy(), k)
         return pd.DataFrame({"q": q["id"].to_numpy(), "ids": [f[0] for f in found], "scores": [f[1] for f in found]})
 
