@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import ann, covertree, lines, mixing, packing, quality, simhash, tokenfile, toxicity, warc
+from cellgrid.llm import ann, audit, covertree, exact, lines, mixing, packing, quality, simhash, tokenfile, toxicity, warc
 from cellgrid.session import scratch_path
 
 
@@ -82,6 +82,16 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source in each of their 120 orders."""
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are equal but for A-Z in lower case; the largest id stays."""
+    return exact.duplicates(_table(spark, sf_dir, "documents"), largest=True)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -93,4 +103,6 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_neighbours": op9_neighbours,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_exact_dedup": op12_exact_dedup,
 }
