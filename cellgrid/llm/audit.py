@@ -11,18 +11,18 @@
 4. Every cell folds across the array of all orders (a literal of the plan, 120 rows of
    five): ``transform`` goes through the orders, ``aggregate`` applies the filters of one
    from left to right and writes a struct for each step, weighted with the cell's
-   documents.  The cells of a part, 600 structs each, are merged by elementwise
-   sums.  Documents are not touched again, so an order more costs nothing per document.
+   documents.  The 600 structs of each cell of a part are merged by elementwise sums,
+   in every task before they are shuffled.  Documents are not touched again, so an order more costs nothing per document.
 """
 
 from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import ref, stored
+from cellgrid.llm.common import ref, shuffle_parts, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 200       # A: fewer words
@@ -112,23 +112,13 @@ def interactions(cells: DataFrame) -> DataFrame:
     """One row per part, order and step from ``mask_cells``.
 
     ``shapley`` is the filter's ``removed`` summed over all orders.  No cells: no rows."""
-    # bounded: a part has at most 32 masks x 4 label pairs
-    parts = cells.groupBy("part").agg(F.collect_list(F.struct(F.col("mask"), F.col("n"), F.col("good").cast("bigint").alias("good"),
-                                                              F.col("toxic").cast("bigint").alias("toxic"))).alias("cells"))
-
-    def add(a: Column, b: Column) -> Column:
-        return F.struct(a["filter_order"].alias("filter_order"), a["step"].alias("step"), a["letter"].alias("letter"),
-                        *[(a[c] + b[c]).alias(c) for c in COUNTS])
-
-    every = orders()
-    rest = F.slice("cells", 2, 1 << 20)
-    merged = F.aggregate(rest, folded(F.get("cells", F.lit(0)), every), lambda acc, c: F.zip_with(acc, folded(c, every), add))
-    parts = stored(parts.select("part", merged.alias("rows")), "folded")
-    total = F.transform(F.array(*[F.lit(f) for f in FILTERS]), lambda f: F.aggregate(
-        "rows", F.lit(0).cast("bigint"), lambda s, r: s + F.when(r["letter"] == f, r["removed"]).otherwise(F.lit(0).cast("bigint"))))
-    shapley = F.map_from_arrays(F.array(*[F.lit(f) for f in FILTERS]), total)
-    rows = parts.withColumn("shapley", shapley).select("part", "shapley", F.explode("rows").alias("r"))
-    return rows.select("part", "r.filter_order", "r.step", *[f"r.{c}" for c in COUNTS], F.element_at("shapley", F.col("r.letter")).alias("shapley"))
+    cell = F.struct("mask", "n", F.col("good").cast("bigint").alias("good"), F.col("toxic").cast("bigint").alias("toxic"))
+    dealt = cells.select("part", cell.alias("cell")).repartition(shuffle_parts(cells.sparkSession), "cell", "part")
+    rows = dealt.select("part", F.explode(folded(F.col("cell"), orders())).alias("r"))
+    # elementwise: the structs of one order and step, summed in every task first
+    merged = rows.groupBy("part", "r.filter_order", "r.step", "r.letter").agg(*[F.sum(f"r.{c}").alias(c) for c in COUNTS])
+    every_order = Window.partitionBy("part", "letter")   # 120 rows
+    return merged.select("part", "filter_order", "step", *COUNTS, F.sum("removed").over(every_order).alias("shapley"))
 
 
 def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
