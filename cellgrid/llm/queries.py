@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import ann, audit, covertree, exact, lines, mixing, packing, quality, simhash, tokenfile, toxicity, warc
+from cellgrid.llm import align, ann, audit, covertree, exact, lines, mixing, packing, quality, simhash, tokenfile, toxicity, warc
 from cellgrid.session import scratch_path
 
 
@@ -92,6 +92,12 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicates(_table(spark, sf_dir, "documents"), largest=True)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-BPE and sentencepiece tokens of every text aligned, with corpus counts of id pairs."""
+    return align.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                       public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -105,4 +111,5 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_filter_audit": op11_filter_audit,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_alignment": op13_alignment,
 }
