@@ -45,7 +45,8 @@ from cellgrid.llm.exact import SAME, attach, digested, runs_of
 BLOCK = 4_000_000      # characters of texts in a block; a longer text is a block of its own
 REMEMBERED = 150_000   # chunks a worker remembers from block to block
 LONGEST = 48           # longer chunks are forgotten after their block
-_CHUNK = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
+# a lone last blank stays with its chunk: B puts no blank before an empty text
+_CHUNK = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*(?: \Z)?")
 _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 
 
