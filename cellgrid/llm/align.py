@@ -27,10 +27,9 @@ import hashlib
 import os
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,8 +41,9 @@ from pyspark.sql import functions as F
 from cellgrid.llm.common import ref, stored, with_workers
 from cellgrid.llm.exact import SAME, attach, digested, runs_of
 
-BLOCK = 4_000_000      # characters of texts in a block; a longer text is a block of its own
-REMEMBERED = 150_000   # chunks a worker remembers from block to block
+BLOCK = 2_500_000      # characters of texts in a block; a longer text is a block of its own
+REMEMBERED = 250_000   # chunks a worker remembers from block to block
+LARGE = 1024           # links of a group beyond which ids are counted before they are paired
 LONGEST = 48           # longer chunks are forgotten after their block
 # a lone last blank stays with its chunk: B puts no blank before an empty text
 _CHUNK = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*(?: \Z)?")
@@ -75,6 +75,13 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(_BYTE.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
+        self.a_sizes = np.zeros(max(self.a_bytes, default=0) + 1, np.int64)
+        for i, x in self.a_bytes.items():
+            self.a_sizes[i] = len(x)
+        self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        # ids as text with the mark that follows them in a written group
+        every = range(max(len(self.a_sizes), len(pieces)))
+        self.listed, self.last_a, self.last_b = (np.array([f"{i}{mark}" for i in every], object) for mark in ",|;")
         # chunks stand alone only if no piece reaches over a blank and nothing is normalised away
         probe = " a  béﬁ　 "
         same = b"".join(self.b_bytes[i] for i in self.b.encode(probe)) == (" " + probe).encode()
@@ -86,25 +93,20 @@ class Pair:
         return ([e.ids for e in call(chunks, add_special_tokens=False)],
                 self.b.encode([c[1:] for c in chunks], num_threads=1))
 
-    def groups(self, text: str, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """Groups of a text; None if a joined side differs from it."""
-        whole = text.encode("utf-8", "surrogatepass")
-        xs, ys = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(xs) != whole or b"".join(ys) != whole:
-            return None
-        ends_a, ends_b = list(accumulate(map(len, xs))), list(accumulate(map(len, ys)))
-        both = set(ends_a).intersection(ends_b)
-        return list(zip(_cut(a, ends_a, both), _cut(b, ends_b, both)))
-
-
-def _cut(ids: list[int], ends: list[int], places: set[int]) -> list[list[int]]:
-    out, now = [], []
-    for i, e in zip(ids, ends):
-        now.append(i)
-        if e in places:
-            out.append(now)
-            now = []
-    return out
+    def fitting(self, chunks: list[str], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Which chunks are what their joined tokens are, on both sides."""
+        texts = [c.encode("utf-8", "surrogatepass") for c in chunks]
+        fine = np.ones(len(chunks), bool)
+        for ids, names in ((a, self.a_bytes), (b, self.b_bytes)):
+            joined = [b"".join([names[i] for i in one]) for one in ids]
+            if joined != texts:
+                fine &= [x == y for x, y in zip(joined, texts)]
+        return fine
+
+
+def _expanded(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """``first[i], first[i] + 1 ... `` (``many[i]`` of them) for every i in turn."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
 
 
 @lru_cache(maxsize=2)
@@ -122,33 +124,67 @@ class Chunks:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.facts = array("q")                  # ok, tokens of A, tokens of B, groups, links of each chunk
-        self.parts: list[str] = []               # its groups, written out
+        self.parts: list[str] = []               # its groups, written out, each with a mark at its end
         self.starts, self.pairs, self.times = array("q", [0]), array("q"), array("q")
         self.numbers: dict[int, int] = {}        # number of an id pair
         self.codes = array("q")                  # id pair of a number: A id << 32 | B id
 
-    def _add(self, chunk: str, a: list[int], b: list[int]) -> int:
-        groups = self.pair.groups(chunk, a, b)
-        links: Counter = Counter()
-        for ga, gb in groups or ():
-            if len(ga) == len(gb) == 1:
-                links[ga[0] << 32 | gb[0]] += 1
-                continue
-            cb = Counter(gb).items()
-            for x, n in Counter(ga).items():
-                for y, m in cb:
-                    links[x << 32 | y] += n * m
-        for code, n in links.items():
-            number = self.numbers.get(code)
-            if number is None:
-                number = self.numbers[code] = len(self.codes)
+    def _number(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of id pairs, new ones in turn."""
+        kinds, back = np.unique(codes, return_inverse=True)
+        for code in kinds.tolist():
+            if code not in self.numbers:
+                self.numbers[code] = len(self.codes)
                 self.codes.append(code)
-            self.pairs.append(number)
-            self.times.append(n)
-        self.starts.append(len(self.pairs))
-        self.facts.extend((groups is not None, len(a), len(b), len(groups or ()), sum(links.values())))
-        self.parts.append(";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in groups or ()))
-        return len(self.parts) - 1
+        return np.array([self.numbers[c] for c in kinds.tolist()], np.int64)[back]
+
+    def _add(self, chunks: list[str]) -> range:
+        """Align new chunks, all at once: laid end to end, the place where one ends is
+        an end on both sides, so groups never reach over it."""
+        pair, n = self.pair, len(chunks)
+        a, b = pair.encode(chunks)
+        fine = pair.fitting(chunks, a, b)
+        a, b = ([x if ok else [] for x, ok in zip(ids, fine.tolist())] for ids in (a, b))
+        many_a, many_b = (np.fromiter(map(len, ids), np.int64, n) for ids in (a, b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a, b))
+        ends_a, ends_b = np.cumsum(pair.a_sizes[flat_a]), np.cumsum(pair.b_sizes[flat_b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        in_a, in_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        size_a, size_b = np.bincount(in_a, minlength=len(common)), np.bincount(in_b, minlength=len(common))
+        first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        chunk_of = np.repeat(np.arange(n), many_a)[first_a] if len(common) else np.zeros(0, np.int64)
+
+        # every A token with every B token of its group; of large groups each pair of ids once
+        large = size_a * size_b > LARGE
+        token = np.flatnonzero(~large[in_a])
+        partners = size_b[in_a[token]]
+        codes = np.repeat(flat_a[token] << 32, partners) | flat_b[_expanded(first_b[in_a[token]], partners)]
+        owner, times = np.repeat(chunk_of[in_a[token]], partners), np.ones(len(codes), np.int64)
+        for g in np.flatnonzero(large).tolist():
+            xs, nx = np.unique(flat_a[first_a[g]:first_a[g] + size_a[g]], return_counts=True)
+            ys, ny = np.unique(flat_b[first_b[g]:first_b[g] + size_b[g]], return_counts=True)
+            codes = np.concatenate([codes, (xs[:, None] << 32 | ys).ravel()])
+            times = np.concatenate([times, (nx[:, None] * ny).ravel()])
+            owner = np.concatenate([owner, np.full(len(xs) * len(ys), chunk_of[g])])
+        if large.any():
+            order = np.argsort(owner, kind="stable")
+            codes, times, owner = codes[order], times[order], owner[order]
+        self.pairs.frombytes(self._number(codes).tobytes())
+        self.times.frombytes(times.tobytes())
+        self.starts.frombytes((self.starts[-1] + np.cumsum(np.bincount(owner, minlength=n))).tobytes())
+        facts = np.stack([fine, many_a, many_b, np.bincount(chunk_of, minlength=n),
+                          np.bincount(chunk_of, size_a * size_b, n)], axis=1).astype(np.int64)
+        self.facts.frombytes(facts.tobytes())
+
+        # written out: tokens in the order of group, side and place, each with the mark that follows it
+        out = np.empty(len(flat_a) + len(flat_b), object)
+        out[np.arange(len(flat_a)) + first_b[in_a]] = np.where(np.diff(in_a, append=-1) == 0, pair.listed[flat_a], pair.last_a[flat_a])
+        out[np.arange(len(flat_b)) + (first_a + size_a)[in_b]] = np.where(np.diff(in_b, append=-1) == 0, pair.listed[flat_b], pair.last_b[flat_b])
+        out, at, base = out.tolist(), 0, len(self.parts)
+        for k in (many_a + many_b).tolist():
+            self.parts.append("".join(out[at:at + k]))
+            at += k
+        return range(base, base + n)
 
     def numbers_of(self, texts: list[str]) -> list[list[int]]:
         """The chunks of every text, by number."""
@@ -159,7 +195,7 @@ class Chunks:
         new = {c for chunks, ns in zip(cut, found) if None in ns for c, n in zip(chunks, ns) if n is None}
         if new:
             new = list(new)
-            here = {c: self._add(c, x, y) for c, x, y in zip(new, *self.pair.encode(new))}
+            here = dict(zip(new, self._add(new)))
             for chunks, ns in zip(cut, found):
                 if None in ns:
                     ns[:] = [here[c] if n is None else n for c, n in zip(chunks, ns)]
@@ -177,12 +213,12 @@ class Chunks:
         fine[at[facts[chunk, 0] == 0]] = False
         at, chunk = at[fine[at]], chunk[fine[at]]
         sums = [np.bincount(at, facts[chunk, k], len(texts)).astype(np.int64) for k in range(1, 5)]
-        shas = [hashlib.sha256(";".join([self.parts[n] for n in f]).encode()).hexdigest() if ok and f else ""
+        shas = [hashlib.sha256("".join([self.parts[n] for n in f])[:-1].encode()).hexdigest() if ok and f else ""
                 for f, ok in zip(found, fine.tolist())]
         # every (text, pair) once, with its links
         starts = np.frombuffer(self.starts, np.int64)
         many = starts[chunk + 1] - starts[chunk]
-        place = np.repeat(starts[chunk] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        place = _expanded(starts[chunk], many)
         pair, times = np.frombuffer(self.pairs, np.int64)[place], np.frombuffer(self.times, np.int64)[place]
         key, back = np.unique(np.repeat(at, many) * (len(self.codes) + 1) + pair, return_inverse=True)
         links = np.bincount(back, times, len(key)).astype(np.int64)
