@@ -23,6 +23,7 @@ import json
 import os
 import platform
 import sys
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,10 +57,23 @@ def history_record(parameters: Any, description: str) -> dict:
     return dict(zip(HISTORY_FIELDS, values))
 
 
+class Deferred:
+    """A table that is made when it is first read (unique names need jobs of their own);
+    all datasets derived from one share it."""
+
+    def __init__(self, make: Callable[[], DataFrame]):
+        self._make, self._made = make, None
+
+    def get(self) -> DataFrame:
+        if self._made is None:
+            self._made = self._make()
+        return self._made
+
+
 @dataclasses.dataclass(frozen=True)
 class CellData:
     cells: DataFrame
-    genes: DataFrame
+    genes: DataFrame | Deferred
     x_raw: DataFrame
     layers: dict = dataclasses.field(default_factory=dict)
     params: dict = dataclasses.field(default_factory=dict)
@@ -74,15 +88,20 @@ class CellData:
     def spark(self) -> SparkSession:
         return self.cells.sparkSession
 
+    def __getattribute__(self, name: str) -> Any:
+        value = object.__getattribute__(self, name)
+        return value.get() if isinstance(value, Deferred) else value
+
     def replace(self, **kw) -> "CellData":
-        return dataclasses.replace(self, **kw)
+        """A copy with other slots; a deferred table stays so."""
+        slots = {f.name: object.__getattribute__(self, f.name) for f in dataclasses.fields(self)}
+        return CellData(**{**slots, **kw})
 
     def _restrict(self, m: DataFrame) -> DataFrame:
         if self.cells_filtered:
             m = m.join(self.cells.select("cell_idx"), "cell_idx", "left_semi")
         if self.genes_filtered:
-            from cellgrid.functions.joins import small_or_none
-            m = m.join(small_or_none(self.genes.select("gene_idx")), "gene_idx", "left_semi")
+            m = m.join(self.genes.select("gene_idx"), "gene_idx", "left_semi")
         return m.select("cell_idx", "gene_idx", "value")
 
     @property

@@ -1,17 +1,17 @@
-"""Join helpers.
-
-Dimension-like sides (gene lists, value lists, tag libraries, per-total
-tables) are not hinted: a stored table has its true size, so Spark broadcasts
-it where its threshold allows, and adaptive execution measures the others'
-finished shuffle stages against
-``spark.sql.adaptive.autoBroadcastJoinThreshold``.
-"""
+"""Join sides of a checked size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 64 << 20
+
 
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table (or columns of one) as a join side: broadcast if its files hold at
+    most ``most`` bytes, else left to an ordinary join, whose hot keys adaptive execution splits.
 
-def small_or_none(df: DataFrame) -> DataFrame:
-    """``df`` as a join side that is broadcast only if its size allows it."""
-    return df
+    Only for stored tables: a table's files have a true size, a plan only a guess."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most else df

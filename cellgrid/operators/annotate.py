@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellgrid.data import CellData, nan_to_null
-from cellgrid.functions.joins import small_or_none
 from cellgrid.functions.positions import dense_positions
 
 log = logging.getLogger("cellgrid")
@@ -59,7 +58,7 @@ def annotate(cd: CellData, axis: str, annots: DataFrame, names, columns=None, id
             raise ValueError(f"{axis} id {dup[0][key]!r} appears more than once in the annotations")
     table = cd.cells if axis == "cell" else cd.genes
     kept = [c for c in table.columns if c not in names]
-    out = table.select(*kept).join(small_or_none(frame), key, "left")
+    out = table.select(*kept).join(frame, key, "left")
     out = out.select(*kept, *names)
     desc = f"New {axis} columns: {', '.join(map(str, names))}" + (f" (read from {source})" if source else "")
     cd = cd.replace(cells=out) if axis == "cell" else cd.replace(genes=out)

@@ -7,13 +7,14 @@ E3  Good-Turing proportions of the profile
 E4  Dirichlet-multinomial concentration alpha: given, infinite, or the MLE
 E5  log-likelihood of each tested barcode under the profile
 E6  Monte-Carlo p-value per barcode: simulated likelihood paths, one random
-    stream per iteration id (same answer for any partitioning)
+    stream per iteration id (same answer for any partitioning), counted in the
+    tasks that simulate them
 E7  retain: barcodes at or above it get p = 0 (default: the knee)
 E8  Benjamini-Hochberg over tested barcodes
 E9  emptydrops_fdr annotation, parameters, filter
 
-Shuffles: totals; ambient profile; likelihood per cell; simulation reduce.
-The driver only sees scalars and per-gene / per-distinct-total vectors.
+Shuffles: totals; ambient profile; likelihood per cell; counters of the simulation.
+The driver only sees scalars and one number per gene (up to ``MAX_GENES``).
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellgrid.data import CellData
-from cellgrid.functions.joins import small_or_none
-from cellgrid.functions.positions import materialize, running_sums
+from cellgrid.functions.joins import sized
+from cellgrid.functions.positions import materialize
 from cellgrid.functions.stats import bh_adjust, good_turing_proportions, lgamma
 from cellgrid.operators.totals import cell_totals
 
@@ -59,47 +60,79 @@ def ambient_proportions(cd: CellData, lower: float = 100, conf: float = 1.96,
 
 
 # ------------------------------------------------------------------ E4
+ALPHA_RANGE = (0.01, 10000.0)
+ALPHA_DIGITS = 6   # decimals of an estimate; sums in another order agree to far more
+
+
+def tail_counts(cd: CellData, props: DataFrame, ambient: DataFrame) -> DataFrame:
+    """Stored ``(p, j, w)``: the Dirichlet-multinomial log-likelihood of the barcodes
+    ``ambient`` (cell_idx, total) is the sum of ``w * ln(alpha * p + j)``, but for a constant.
+
+    ``lnGamma(x + a) - lnGamma(a)`` is the sum of ``ln(a + j)`` over ``j < x``, so only
+    tail counts matter: ``w`` is the number of barcodes with more than ``j`` counts of a
+    gene of proportion ``p``, and minus the number with a total above ``j`` for ``p = 1``.
+    Counts are made into a histogram first, so there are at most as many rows as genes
+    times the largest ambient count, whatever the number of barcodes."""
+    genes = (cd.x.join(ambient.select("cell_idx"), "cell_idx", "left_semi")
+             .groupBy("gene_idx", "value").agg(F.count(F.lit(1)).alias("n")))
+    genes = genes.join(sized(props.select("gene_idx", "prop")), "gene_idx").select(F.col("prop").alias("p"), F.col("value").alias("x"), "n")
+    cells = ambient.groupBy(F.col("total").alias("x")).agg((-F.count(F.lit(1))).alias("n")).select(F.lit(1.0).alias("p"), "x", "n")
+    both = genes.unionByName(cells).where("x > 0")
+    whole = F.when(F.col("x") == F.floor("x"), F.col("x").cast("bigint")).otherwise(
+        F.raise_error(F.lit("alpha needs whole counts: an ambient barcode has a fractional count")).cast("bigint"))
+    # genes of one proportion (all unseen ones, say) add up: terms depend on p and j alone
+    hist = both.groupBy("p", whole.alias("x")).agg(F.sum("n").alias("n"))
+    steps = hist.select("p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("x") - 1)).alias("j"), "n")
+    return materialize(steps.groupBy("p", "j").agg(F.sum("n").cast("double").alias("w")))
+
+
+def _slopes(tails: DataFrame, alphas: list[float], second: bool) -> list[float]:
+    """Derivative of the log-likelihood by alpha at each of ``alphas``, and the second one
+    if asked for, from one aggregation."""
+    at = [F.col("p") / (F.lit(a) * F.col("p") + F.col("j")) for a in alphas]
+    sums = [F.sum(F.col("w") * d) for d in at] + ([F.sum(-F.col("w") * d * d) for d in at] if second else [])
+    return list(tails.agg(*[c.alias(f"s{k}") for k, c in enumerate(sums)]).first())
+
+
 def estimate_alpha(cd: CellData, props: DataFrame, lower: float = 100,
-                   totals: DataFrame | None = None, interval=(0.01, 10000.0), grid: int = 24,
-                   rounds: int = 4) -> float:
+                   totals: DataFrame | None = None, interval=ALPHA_RANGE, grid: int = 9, steps: int = 12) -> float:
     """MLE of the Dirichlet-multinomial concentration over ambient barcodes.
 
-    The data are compressed first to ``(gene, count, n_cells)`` and
-    ``(total, n_cells)``; the log-likelihood of a whole grid of alphas is then
-    one aggregation (array column, lgamma per element).  The grid is refined
-    around the best point a few times on a log scale.
+    The sign of the derivative at ``grid`` points (log scale, one aggregation) brackets
+    the maximum; Newton steps in ln(alpha), each one aggregation of two plain sums over
+    ``tail_counts``, then settle it (halving the bracket where a step would leave it).
+    A likelihood that rises (falls) over the whole interval gives its upper (lower) end.
     """
     tot = totals if totals is not None else cell_totals(cd)
-    amb_cells = tot.where(F.col("total") <= lower)
-    entries = materialize(cd.x.join(amb_cells.select("cell_idx"), "cell_idx", "left_semi")
-                          .groupBy("gene_idx", "value").agg(F.count(F.lit(1)).alias("n"))
-                          .join(small_or_none(props.select("gene_idx", "prop")), "gene_idx"))
-    totals = amb_cells.groupBy("total").agg(F.count(F.lit(1)).alias("n"))
-    n_cells = amb_cells.count()
+    tails = tail_counts(cd, props, tot.where(F.col("total") <= lower))
     lo, hi = math.log(interval[0]), math.log(interval[1])
-    best = None
-    for _ in range(rounds):
-        alphas = [math.exp(lo + (hi - lo) * k / (grid - 1)) for k in range(grid)]
-        arr = F.array(*[F.lit(a) for a in alphas])
-        e = entries.select(F.transform(arr, lambda a: F.col("n") * (lgamma(F.col("value") + a * F.col("prop"))
-                                                                   - lgamma(a * F.col("prop")))).alias("v"))
-        t = totals.select(F.transform(arr, lambda a: F.col("n") * lgamma(F.col("total") + a)).alias("v"))
-        se = e.agg(F.array(*[F.sum(F.col("v")[k]) for k in range(grid)]).alias("s")).first()["s"]
-        st = t.agg(F.array(*[F.sum(F.col("v")[k]) for k in range(grid)]).alias("s")).first()["s"]
-        ll = [n_cells * math.lgamma(a) - (st[k] or 0.0) + (se[k] or 0.0) for k, a in enumerate(alphas)]
-        k = int(np.argmax(ll))
-        best = alphas[k]
-        step = (hi - lo) / (grid - 1)
-        lo, hi = math.log(best) - step, math.log(best) + step
-        lo, hi = max(lo, math.log(interval[0])), min(hi, math.log(interval[1]))
-    return float(min(max(best, interval[0]), interval[1]))
+    points = [lo + (hi - lo) * k / (grid - 1) for k in range(grid)]
+    slopes = _slopes(tails, [math.exp(s) for s in points], second=False)
+    if slopes[0] is None or slopes[-1] >= 0:
+        return float(interval[1])
+    if slopes[0] <= 0:
+        return float(interval[0])
+    k = next(i for i, d in enumerate(slopes) if d <= 0)
+    lo, hi = points[k - 1], points[k]
+    s = (lo + hi) / 2
+    for _ in range(steps):
+        a = math.exp(s)
+        d1, d2 = _slopes(tails, [a], second=True)
+        lo, hi = (s, hi) if d1 > 0 else (lo, s)
+        slope, bend = a * d1, a * d1 + a * a * d2   # by ln(alpha)
+        new = s - slope / bend if bend < 0 else (lo + hi) / 2
+        new = new if lo <= new <= hi else (lo + hi) / 2
+        done, s = abs(new - s) < 1e-11, new
+        if done:
+            break
+    return round(min(max(math.exp(s), interval[0]), interval[1]), ALPHA_DIGITS)
 
 
 # ------------------------------------------------------------------ E5
 def log_likelihoods(cd: CellData, props: DataFrame, alpha: float, cells: DataFrame) -> DataFrame:
     """E5: ``(cell_idx, total, loglik)`` for the barcodes in ``cells``."""
     entries = (cd.x.join(cells.select("cell_idx"), "cell_idx", "left_semi")
-               .join(small_or_none(props.select("gene_idx", "prop")), "gene_idx"))
+               .join(sized(props.select("gene_idx", "prop")), "gene_idx"))
     x = F.col("value")
     p = F.when(F.col("prop") > 0, F.col("prop")).otherwise(
         F.raise_error(F.concat(F.lit("gene without a positive proportion: "), F.col("gene_idx").cast("string"))).cast("double"))
@@ -130,26 +163,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(16))
 
 
-def uniforms(seed: int, iteration: int, n: int) -> np.ndarray:
-    """``n`` numbers in (0, 1) that depend on (seed, iteration, position) alone:
-    counter-based, so any engine with integers can repeat them."""
+TURNS = (0x9E3779B9, 0x85EBCA6B)  # fixed values: what sets the streams of an iteration apart
+MAX_GENES = 1 << 24   # proportions that are sent to every task (8 bytes each)
+LEVELS = 100_000      # observed likelihoods that one task counts against
+CHUNK = 1 << 20       # simulated values held at a time
+
+
+def uniforms(seed: int, iteration: int, n: int, stream: int = 0) -> np.ndarray:
+    """``n`` numbers in (0, 1) that depend on (seed, iteration, stream, position)
+    alone: counter-based, so any engine with integers can repeat them."""
     low = np.uint64(0xFFFFFFFF)
     start = _mix((_mix(np.array([seed & 0xFFFFFFFF], np.uint64)) + np.uint64(iteration)) & low)
-    turn = _mix((start + np.uint64(0x9E3779B9)) & low)
+    turn = _mix((start + np.uint64(TURNS[stream])) & low)
     x = _mix(_mix((start + np.arange(1, n + 1, dtype=np.uint64)) & low) ^ turn)
     return (x.astype(np.float64) + 0.5) / 4294967296.0
 
 
+def urn_draws(upto: np.ndarray, alpha: float, n: int, seed: int, iteration: int) -> np.ndarray:
+    """``n`` draws from genes with cumulative proportions ``upto``.
+
+    Finite ``alpha``: a Polya urn.  Draw ``j`` (from 1) repeats one of the ``j - 1``
+    earlier draws, each alike, with probability ``(j - 1) / (j - 1 + alpha)``, else it is a
+    fresh draw from the proportions.  Counts of such draws are Dirichlet-multinomial,
+    and uniforms are all it takes.  Infinite ``alpha``: every draw is fresh."""
+    fresh = np.minimum(np.searchsorted(upto, uniforms(seed, iteration, n), side="left"), upto.size - 1)
+    if math.isinf(alpha):
+        return fresh
+    earlier = np.arange(n)
+    at = uniforms(seed, iteration, n, stream=1) * (earlier + alpha)
+    of = np.where(at < earlier, at.astype(np.int64), earlier)   # the draw repeated, or itself
+    while True:   # draws point to earlier ones: as many rounds as the logarithm of the longest chain
+        further = of[of]
+        if (further == of).all():
+            return fresh[of]
+        of = further
+
+
 def _simulate(props: np.ndarray, alpha: float, totals: np.ndarray, seed: int, iteration: int) -> np.ndarray:
     """Log-likelihood of one simulated draw path read at each total (sorted)."""
     t_max = int(totals[-1])
-    g = props.size
-    if math.isinf(alpha):
-        q = props / props.sum()
-    else:
-        q = np.random.default_rng([seed, iteration]).dirichlet(alpha * props)
-        q = q / q.sum()
-    draws = np.minimum(np.searchsorted(np.cumsum(q), uniforms(seed, iteration, t_max), side="left"), g - 1)
+    draws = urn_draws(np.cumsum(props / props.sum()), alpha, t_max, seed, iteration)
     order = np.argsort(draws, kind="stable")
     sd = draws[order]
     starts = np.r_[0, np.flatnonzero(sd[1:] != sd[:-1]) + 1]
@@ -166,63 +219,70 @@ def _simulate(props: np.ndarray, alpha: float, totals: np.ndarray, seed: int, it
     return path[totals.astype(np.int64) - 1]
 
 
-def simulate_paths(spark, props: np.ndarray, alpha: float, totals: np.ndarray, iters: int,
-                   seed: int = 0, n_parts: int | None = None) -> DataFrame:
-    """``(total, sim)``: ``iters`` simulated log-likelihoods per distinct total.
-
-    Iterations are spread over tasks with ``spark.range(iters)``.  The two
-    vectors that every task needs hold a number per gene and one per distinct
-    total (whole counts, so at most as many as the largest tested total)."""
+def _counted(levels: pd.DataFrame, props: np.ndarray, alpha: float, iterations: range, seed: int) -> pd.DataFrame:
+    """``(total, level, below)``: simulated values of each total that are at most the level."""
+    levels = levels.sort_values(["total", "level"], ignore_index=True)
+    totals, first = np.unique(levels["total"].to_numpy(), return_index=True)
+    ends, level = np.r_[first[1:], len(levels)], levels["level"].to_numpy()
+    hits = np.zeros(len(levels), np.int64)   # values that come just below a level, or equal it
+    step = max(1, CHUNK // len(totals))
+    for begin in range(0, len(iterations), step):
+        sims = np.stack([_simulate(props, alpha, totals, seed, i) for i in iterations[begin:begin + step]]).round(LIKELIHOOD_DIGITS)
+        for k, (lo, hi) in enumerate(zip(first.tolist(), ends.tolist())):
+            place = np.searchsorted(level[lo:hi], sims[:, k], side="left")
+            hits[lo:hi] += np.bincount(place, minlength=hi - lo + 1)[:hi - lo]
+    upto = np.cumsum(hits)
+    levels["below"] = upto - np.repeat(np.r_[0, upto][first], ends - first)
+    return levels
+
+
+def simulated_below(observed: DataFrame, props: np.ndarray, alpha: float, iters: int, seed: int = 0,
+                    shares: int | None = None, most: int = LEVELS) -> DataFrame:
+    """``(total, level, below)`` for the distinct observed ``(total, level)``: how many of
+    ``iters`` simulated likelihoods of that total are at most the level.
+
+    Observed levels are cut, in order of (total, level), into blocks of about ``most`` rows, and
+    iterations into ``shares``; a task simulates its iterations up to the largest total
+    of its block and counts them against the block's sorted levels.  It returns one
+    counter per level, so what leaves the simulation does not grow with ``iters``, and
+    a total with any number of levels is split like all others."""
     from cellgrid.session import ship_package
 
+    spark = observed.sparkSession
     ship_package(spark)
-    sc = spark.sparkContext
-    b_props = sc.broadcast(props.astype(np.float64))
-    b_totals = sc.broadcast(totals.astype(np.float64))
-    n_parts = n_parts or max(1, min(iters, sc.defaultParallelism))
-
-    def run(batches):
-        p, t = b_props.value, b_totals.value
-        for b in batches:
-            for i in b["id"].to_numpy():
-                yield pd.DataFrame({"total": t, "sim": _simulate(p, alpha, t, seed, int(i))})
-
-    return spark.range(0, iters, 1, n_parts).mapInPandas(run, "total double, sim double")
-
+    if props.size > MAX_GENES:
+        raise ValueError(f"{props.size} genes with a proportion; every task gets all of them, up to {MAX_GENES}")
+    b_props = spark.sparkContext.broadcast(props.astype(np.float64))   # bounded by MAX_GENES
+    blocks = max(1, -(-observed.count() // most))
+    # several shares a core: groups are dealt by hash, so cores get unequal numbers of them
+    shares = shares or max(1, min(iters, -(-4 * spark.sparkContext.defaultParallelism // blocks)))
+    obs = observed.select("total", "level")
+    if blocks > 1:
+        obs = materialize(obs.repartitionByRange(blocks, "total", "level").withColumn("block", F.spark_partition_id()))
+    else:
+        obs = obs.withColumn("block", F.lit(0))
+    work = obs.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    # a task a group: left to itself Spark would merge these few rows into one task
+    work = work.repartition(blocks * shares, "block", "share")
 
-def count_at_most(observed: DataFrame, sims: DataFrame) -> DataFrame:
-    """``(total, loglik, below)``: for each observed pair the simulated values of
-    its total that are at most ``loglik``.
+    def run(key: tuple, levels: pd.DataFrame) -> pd.DataFrame:
+        return _counted(levels[["total", "level"]], b_props.value, alpha, range(int(key[1]), iters, shares), seed)
 
-    One running count over both, ordered by (total, value), less the count
-    where the total begins: no array per total and no join on a hot total."""
-    both = (sims.select("total", F.col("sim").alias("v"), F.lit(1).alias("drawn"))
-            .unionByName(observed.select("total", F.col("loglik").alias("v"), F.lit(0).alias("drawn"))))
-    # at equal values draws come first, so they count
-    run = materialize(running_sums(both, [F.col("total"), F.col("v"), F.col("drawn").desc()], {"c": F.col("drawn")})
-                      .where("drawn = 0").select("total", "v", "c"))
-    # a total has as many draws as any other, so those of smaller totals are a multiple
-    per = sims.groupBy("total").agg(F.count(F.lit(1)).alias("n"))
-    before = running_sums(per, [F.col("total")], {"upto": F.col("n")}).select("total", (F.col("upto") - F.col("n")).alias("before"))
-    return run.join(before, "total").select("total", F.col("v").alias("loglik"), (F.col("c") - F.col("before")).alias("below"))
+    part = work.groupBy("block", "share").applyInPandas(run, "total double, level double, below bigint")
+    return part.groupBy("total", "level").agg(F.sum("below").alias("below"))
 
 
 def monte_carlo_pvalues(cd: CellData, props: DataFrame, alpha: float, tested: DataFrame,
                         iters: int = 10000, seed: int = 0) -> DataFrame:
     """``(cell_idx, total, loglik, pvalue)`` for the barcodes in ``tested``.
     The model draws whole counts: fractional totals are refused."""
-    spark = cd.spark
-    ll = materialize(log_likelihoods(cd, props, alpha, tested))
-    prof = props.orderBy("gene_idx").select("prop").toPandas()["prop"].to_numpy()  # one value per gene
-    totals = np.sort(ll.select("total").distinct().toPandas()["total"].to_numpy())  # distinct totals
-    if totals.size == 0:
-        return ll.withColumn("pvalue", F.lit(None).cast("double"))
-    if (totals != np.floor(totals)).any() or totals[0] < 1:
+    ll = materialize(log_likelihoods(cd, props, alpha, tested).withColumn("level", F.round("loglik", LIKELIHOOD_DIGITS)))
+    bad = (F.col("total") != F.floor("total")) | (F.col("total") < 1)
+    if not ll.where(bad).isEmpty():
         raise ValueError("emptyDrops needs whole counts: a tested barcode has a fractional total")
-    ll = ll.withColumn("level", F.round("loglik", LIKELIHOOD_DIGITS))
-    observed = ll.select("total", F.col("level").alias("loglik")).distinct()
-    sims = simulate_paths(spark, prof, alpha, totals, iters, seed).withColumn("sim", F.round("sim", LIKELIHOOD_DIGITS))
-    below = count_at_most(observed, materialize(sims)).withColumnRenamed("loglik", "level")
+    prof = props.orderBy("gene_idx").select("prop").toPandas()["prop"].to_numpy()  # one value per gene
+    observed = materialize(ll.select(F.col("total").cast("double").alias("total"), "level").distinct())
+    below = simulated_below(observed, prof, float(alpha), iters, seed)
     # written once: BH, the filter and the dispersion test all read it, and the
     # simulation must not run again for each of them
     return materialize(ll.join(below, ["total", "level"]).select(

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.data import CellData
-from cellgrid.functions.joins import small_or_none
 from cellgrid.functions.positions import materialize, running_sums
 from cellgrid.operators.totals import cell_totals
 
@@ -31,7 +30,7 @@ def barcode_ranks(cd: CellData) -> DataFrame:
     """``(cell_idx, cell_id, total, rank)`` for cells with counts."""
     tot = materialize(cell_totals(cd))  # used twice: histogram and join back
     hist = rank_histogram(tot)
-    ranked = tot.join(small_or_none(hist.select("total", "rank")), "total")
+    ranked = tot.join(hist.select("total", "rank"), "total")
     return ranked.join(cd.cells.select("cell_idx", "cell_id"), "cell_idx").select(
         "cell_idx", "cell_id", "total", "rank")
 

@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.data import CellData
-from cellgrid.functions.joins import small_or_none
 from cellgrid.functions.positions import materialize
 
 log = logging.getLogger("cellgrid")
@@ -94,16 +93,15 @@ def _pieces(seq: Column) -> Column:
 def match_tags(observed: DataFrame, lib: DataFrame) -> DataFrame:
     """T4 + T5: distinct ``seq`` -> ``(seq, tag_id, exact)``; unmatched absent."""
     lib = library(lib)
-    small_lib = small_or_none(lib)
     seqs = observed.select("seq").where(F.col("seq").isNotNull()).distinct()
-    exact = seqs.join(small_lib, "seq").select("seq", "tag_id", F.lit(True).alias("exact"))
-    rest = seqs.join(small_lib.select("seq"), "seq", "left_anti")
+    exact = seqs.join(lib, "seq").select("seq", "tag_id", F.lit(True).alias("exact"))
+    rest = seqs.join(lib.select("seq"), "seq", "left_anti")
     obs_p = rest.select("seq", F.length("seq").alias("len"), F.explode(_pieces(F.col("seq"))).alias("p")) \
         .select("seq", "len", "p.k", "p.piece")
     lib_p = lib.select(F.col("seq").alias("lib_seq"), "pos", "tag_id", F.length("seq").alias("len"),
                        F.explode(_pieces(F.col("seq"))).alias("p")).select("lib_seq", "pos", "tag_id", "len",
                                                                            "p.k", "p.piece")
-    cand = (obs_p.join(small_or_none(lib_p), ["len", "k", "piece"])
+    cand = (obs_p.join(lib_p, ["len", "k", "piece"])
             .select("seq", "lib_seq", "pos", "tag_id").distinct())
     near = cand.where(hamming(F.col("seq"), F.col("lib_seq")) <= MAX_DISTANCE)
     corrected = near.groupBy("seq").agg(F.min_by("tag_id", "pos").alias("tag_id")) \
@@ -231,7 +229,7 @@ def tag_summary(calls: DataFrame) -> DataFrame:
 
 def tag_calls(cells: DataFrame, reads: DataFrame, bc14: DataFrame, bc30: DataFrame) -> DataFrame:
     """T1-T8 + J8: per-cell confident calls from raw read pairs."""
-    pairs = parse_pairs(reads).join(small_or_none(whitelist(cells)), "cell", "left_semi")
+    pairs = parse_pairs(reads).join(whitelist(cells), "cell", "left_semi")
     return cell_calls(confident(tag_counts(pairs, bc14, bc30)))
 
 

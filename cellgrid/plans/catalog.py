@@ -491,7 +491,7 @@ def e06(spark, sf_dir) -> DataFrame:
 @query("e09_emptydrops")
 def e09(spark, sf_dir) -> DataFrame:
     cd = fx.m1(spark, sf_dir)
-    cd = cd.filter_emptydrops(lower=50, iters=10000, alpha=float("inf"), seed=1)
+    cd = cd.filter_emptydrops(lower=50, iters=10000, seed=1)  # the default call: alpha from the data
     return cd.cells.select("cell_id", "emptydrops_fdr")
 
 
@@ -529,6 +529,30 @@ def e09b(spark, sf_dir) -> DataFrame:
     return cd.cells.select("cell_id", F.round("emptydrops_fdr", 9).alias("emptydrops_fdr"))
 
 
+@query("e06c_monte_carlo_dirichlet_few")
+def e06c(spark, sf_dir) -> DataFrame:
+    """Finite alpha: Polya-urn draws."""
+    from cellgrid.operators.emptydrops import ambient_proportions, monte_carlo_pvalues
+    cd = fx.m1(spark, sf_dir)
+    props = ambient_proportions(cd, lower=50)
+    tested = totals.cell_totals(cd).where(F.col("total") > 50)
+    p = monte_carlo_pvalues(cd, props, 25.0, tested, iters=FEW, seed=1)
+    return p.select("cell_idx", "total", F.round("loglik", 4).alias("loglik"), F.round("pvalue", 9).alias("pvalue"))
+
+
+@query("e09c_emptydrops_default_few")
+def e09c(spark, sf_dir) -> DataFrame:
+    """The default caller (alpha from the data, Polya-urn draws) at an FDR that few iterations can reach."""
+    cd = fx.m1(spark, sf_dir).filter_emptydrops(lower=50, iters=FEW, seed=1, retain=150.0, fdr=0.2)
+    return cd.cells.select("cell_id", F.round("emptydrops_fdr", 9).alias("emptydrops_fdr"))
+
+
+@query("e10b_cellranger_few")
+def e10b(spark, sf_dir) -> DataFrame:
+    cd = fx.m1(spark, sf_dir).filter_emptydrops(cellranger=True, iters=FEW, seed=1, keep_all=True)
+    return cd.cells.select("cell_id", "total_umis", F.round("emptydrops_fdr", 9).alias("emptydrops_fdr"))
+
+
 @query("e12b_ambient_pvalues_few")
 def e12b(spark, sf_dir) -> DataFrame:
     from cellgrid.operators.emptydrops import ambient_pvalues
@@ -581,6 +605,18 @@ def d05(spark, sf_dir) -> DataFrame:
     return summary
 
 
+def _dispersion_few(alpha):
+    def run(spark, sf_dir) -> DataFrame:
+        from cellgrid.operators.dispersion import dispersion_test
+        summary, _, _ = dispersion_test(fx.m1(spark, sf_dir), alpha=alpha, lower=50, iters=FEW, seed=3)
+        return summary.select("n", F.round("d", 9).alias("d"), F.round("ks_pvalue", 9).alias("ks_pvalue"), "suitable", "n_ambient")
+    return run
+
+
+QUERIES["d05b_dispersion_few"] = _dispersion_few("non-dirichlet")
+QUERIES["d05c_dispersion_dirichlet_few"] = _dispersion_few("40")
+
+
 # ------------------------------------------------------- S/K: sources and sinks (round trips)
 def _scratch(spark, name):
     from cellgrid.session import scratch_path

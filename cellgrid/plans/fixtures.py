@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.data import CellData
+from cellgrid.data import CellData, Deferred
 from cellgrid.functions.names import make_unique
 
 
@@ -54,7 +54,7 @@ def m1_x(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m1(spark: SparkSession, sf_dir: str) -> CellData:
-    return CellData(cells=m1_cells(spark, sf_dir), genes=m1_genes(spark, sf_dir), x_raw=m1_x(spark, sf_dir))
+    return CellData(cells=m1_cells(spark, sf_dir), genes=Deferred(lambda: m1_genes(spark, sf_dir)), x_raw=m1_x(spark, sf_dir))
 
 
 def m1_brands(spark: SparkSession, sf_dir: str) -> CellData:

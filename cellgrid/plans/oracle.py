@@ -415,26 +415,29 @@ SELECT cell_idx, total, round({const} + s, 4) AS loglik FROM pc"""
 ORACLE["e05_loglik_multinomial"] = _ll_sql("inf")
 ORACLE["e05b_loglik_dirichlet"] = _ll_sql("25.0")
 
-def _alpha_sql(rounds: int = 4, grid: int = 24) -> str:
-    """The same grid search for the concentration, one CTE per refinement."""
-    sql = BASE + GT + """,
+def _alpha_ctes(grid: int = 24, steps: int = 8) -> str:
+    """Concentration: the best of a grid by the log-gamma likelihood, then Newton
+    steps in its logarithm on draw-by-draw sums (one CTE a step)."""
+    sql = f""",
 ent AS (SELECT x.value, gt.prop, count(*) AS n FROM m1_x x JOIN gt USING (gene_idx)
         WHERE x.cell_idx IN (SELECT cell_idx FROM xt WHERE total <= 50) GROUP BY 1, 2),
 tt AS (SELECT total, count(*) AS n FROM xt WHERE total <= 50 GROUP BY 1),
-b0 AS (SELECT ln(0.01) AS lo, ln(10000.0) AS hi)"""
-    for r in range(1, rounds + 1):
+ga AS (SELECT exp(ln(0.01) + (ln(10000.0) - ln(0.01)) * k / {grid - 1}.0) AS a FROM range(0, {grid}) AS t(k)),
+ge AS (SELECT a, sum(n * (lgamma(value + a * prop) - lgamma(a * prop))) AS s FROM ga, ent GROUP BY a),
+gc AS (SELECT a, sum(n * lgamma(total + a)) AS s FROM ga, tt GROUP BY a),
+al0 AS (SELECT arg_max(ga.a, (SELECT sum(n) FROM tt) * lgamma(ga.a) - gc.s + ge.s) AS a FROM ga JOIN ge USING (a) JOIN gc USING (a)),
+tails AS (SELECT prop AS p, j, n::DOUBLE AS w FROM ent, range(0, 51) AS r(j) WHERE j < value
+          UNION ALL SELECT 1.0, j, -n::DOUBLE FROM tt, range(0, 51) AS r(j) WHERE j < total)"""
+    for k in range(1, steps + 1):
         sql += f""",
-g{r} AS (SELECT lo, hi, exp(lo + (hi - lo) * k / {grid - 1}.0) AS a FROM b{r - 1}, range(0, {grid}) AS t(k)),
-e{r} AS (SELECT a, sum(n * (lgamma(value + a * prop) - lgamma(a * prop))) AS s FROM g{r}, ent GROUP BY a),
-t{r} AS (SELECT a, sum(n * lgamma(total + a)) AS s FROM g{r}, tt GROUP BY a),
-m{r} AS (SELECT arg_max(g.a, (SELECT sum(n) FROM tt) * lgamma(g.a) - t{r}.s + e{r}.s) AS a, min(lo) AS lo, min(hi) AS hi
-         FROM g{r} g JOIN e{r} USING (a) JOIN t{r} USING (a)),
-b{r} AS (SELECT greatest(ln(a) - (hi - lo) / {grid - 1}.0, ln(0.01)) AS lo, least(ln(a) + (hi - lo) / {grid - 1}.0, ln(10000.0)) AS hi, a
-         FROM m{r})"""
-    return sql + f"\nSELECT (SELECT count(*) FROM gt) AS n_genes, round(a, 6) AS alpha FROM b{rounds}"
+dv{k} AS (SELECT a, sum(w * p / (a * p + j)) AS d1, -sum(w * p * p / pow(a * p + j, 2)) AS d2 FROM al{k - 1}, tails GROUP BY a),
+al{k} AS (SELECT least(greatest(CASE WHEN a * d1 + a * a * d2 < 0 THEN a * exp(-(a * d1) / (a * d1 + a * a * d2))
+                 WHEN d1 > 0 THEN a * 2 ELSE a / 2 END, 0.01), 10000.0) AS a FROM dv{k})"""
+    return sql + f""",
+alpha AS (SELECT round(a, 6) AS a FROM al{steps})"""
 
 
-ORACLE["e04_alpha_mle"] = _alpha_sql()
+ORACLE["e04_alpha_mle"] = BASE + GT + _alpha_ctes() + "\nSELECT (SELECT count(*) FROM gt) AS n_genes, a AS alpha FROM alpha"
 
 
 def _mixed(x: str, step: str, source: str) -> str:
@@ -447,39 +450,88 @@ def _mixed(x: str, step: str, source: str) -> str:
 {step} AS (SELECT * EXCLUDE (h4), xor(h4, h4 >> 16) AS h FROM {step}d)"""
 
 
-def _mc_sql(tested: str, iters: int = 40, seed: int = 1) -> str:
+def _mc_sql(tested: str, iters: int = 40, seed: int = 1, alpha: str | None = None, profile: str = GT) -> str:
     """E6 draw by draw: uniforms from the integer hash, genes by the cumulative
-    proportions, the likelihood along each path, counted against each barcode."""
-    return BASE + GT + f""",
+    proportions, the likelihood along each path, counted against each barcode.
+    With ``alpha`` draw ``j`` repeats an earlier one with probability (j - 1) / (j - 1 + alpha)."""
+    sql = (BASE + profile).replace("WITH", "WITH RECURSIVE", 1) + f""",
 sd AS (SELECT {seed}::BIGINT AS seed)""" + _mixed("seed", "k0", "sd") + f""",
-it AS (SELECT (h + i) % 4294967296 AS x0, i FROM k0, range(0, {iters}) AS r(i))""" + _mixed("x0", "k1", "it") + """,
-st AS (SELECT i, h AS start, (h + 2654435769) % 4294967296 AS x1 FROM k1)""" + _mixed("x1", "k2", "st") + f""",
-tst AS (SELECT cell_idx, total FROM xt WHERE {tested}),
-dr AS (SELECT i, j, h AS turn, (start + j) % 4294967296 AS x2 FROM k2, range(1, (SELECT max(total)::BIGINT + 1 FROM tst)) AS r(j))"""         + _mixed("x2", "k3", "dr") + """,
-tw AS (SELECT i, j, xor(h, turn) AS x3 FROM k3)""" + _mixed("x3", "k4", "tw") + f""",
-cum AS (SELECT gene_idx, prop, sum(prop) OVER (ORDER BY gene_idx) / (SELECT sum(prop) FROM gt) AS upto,
-               coalesce(sum(prop) OVER (ORDER BY gene_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)
+it AS (SELECT (h + i) % 4294967296 AS x0, i FROM k0, range(0, {iters}) AS r(i))""" + _mixed("x0", "k1", "it") + f""",
+tst AS (SELECT cell_idx, total FROM xt WHERE {tested})"""
+
+    def stream(name: str, turn: int) -> str:
+        return f""",
+{name}st AS (SELECT i, h AS start, (h + {turn}) % 4294967296 AS x1 FROM k1)""" + _mixed("x1", f"{name}2", f"{name}st") + f""",
+{name}dr AS (SELECT i, j, h AS turn, (start + j) % 4294967296 AS x2 FROM {name}2, range(1, (SELECT max(total)::BIGINT + 1 FROM tst)) AS r(j))""" \
+            + _mixed("x2", f"{name}3", f"{name}dr") + f""",
+{name}tw AS (SELECT i, j, xor(h, turn) AS x3 FROM {name}3)""" + _mixed("x3", f"{name}4", f"{name}tw") + f""",
+{name} AS (SELECT i, j, (h + 0.5) / 4294967296.0 AS u FROM {name}4)"""
+
+    sql += stream("ua", 2654435769) + """,
+cum AS (SELECT gene_idx, prop, coalesce(sum(prop) OVER (ORDER BY gene_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)
                / (SELECT sum(prop) FROM gt) AS since FROM gt),
-dw AS (SELECT k4.i, k4.j, cum.gene_idx, cum.prop FROM k4 ASOF JOIN cum ON (k4.h + 0.5) / 4294967296.0 > cum.since),
-inc AS (SELECT i, j, ln(j) - ln(row_number() OVER (PARTITION BY i, gene_idx ORDER BY j)) + ln(prop) AS d FROM dw),
+fr AS (SELECT ua.i, ua.j, cum.gene_idx, cum.prop FROM ua ASOF JOIN cum ON ua.u > cum.since)"""
+    if alpha is None:
+        return sql + f""",
+inc AS (SELECT i, j, ln(j) - ln(row_number() OVER (PARTITION BY i, gene_idx ORDER BY j)) + ln(prop) AS d FROM fr),
 path AS (SELECT i, j AS total, round(sum(d) OVER (PARTITION BY i ORDER BY j), 6) AS sim FROM inc),
 pc AS (SELECT x.cell_idx, sum(x.value * ln(gt.prop) - lgamma(x.value + 1)) AS s, sum(x.value) AS total
        FROM m1_x x JOIN gt USING (gene_idx) WHERE x.cell_idx IN (SELECT cell_idx FROM tst) GROUP BY x.cell_idx),
-lls AS (SELECT cell_idx, total, lgamma(total + 1) + s AS loglik FROM pc),
+lls AS (SELECT cell_idx, total, lgamma(total + 1) + s AS loglik FROM pc)""" + _below_sql(iters)
+    return sql + stream("ub", 2246822507) + f""",
+va AS (SELECT i, j, u * (j - 1 + {alpha}) AS v FROM ub),
+pa AS (SELECT i, j, CASE WHEN v < j - 1 THEN floor(v)::BIGINT + 1 ELSE j END AS p FROM va),
+rt AS (SELECT i, j, p FROM pa UNION ALL SELECT rt.i, rt.j, pa.p FROM rt JOIN pa ON pa.i = rt.i AND pa.j = rt.p WHERE pa.p < rt.p),
+ro AS (SELECT i, j, min(p) AS p FROM rt GROUP BY i, j),
+dw AS (SELECT ro.i, ro.j, fr.gene_idx, fr.prop FROM ro JOIN fr ON fr.i = ro.i AND fr.j = ro.p),
+nb AS (SELECT *, row_number() OVER (PARTITION BY i, gene_idx ORDER BY j) - 1 AS before FROM dw),
+inc AS (SELECT i, j, ln(j) - ln(j - 1 + {alpha}) + ln(before + {alpha} * prop) - ln(before + 1) AS d FROM nb),
+path AS (SELECT i, j AS total, round(sum(d) OVER (PARTITION BY i ORDER BY j), 6) AS sim FROM inc),
+pc AS (SELECT x.cell_idx, sum(lgamma(x.value + {alpha} * gt.prop) - lgamma(x.value + 1) - lgamma({alpha} * gt.prop)) AS s, sum(x.value) AS total
+       FROM m1_x x JOIN gt USING (gene_idx) WHERE x.cell_idx IN (SELECT cell_idx FROM tst) GROUP BY x.cell_idx),
+lls AS (SELECT cell_idx, total, lgamma(total + 1) + lgamma({alpha}) - lgamma(total + {alpha}) + s AS loglik FROM pc)""" + _below_sql(iters)
+
+
+def _below_sql(iters: int) -> str:
+    return f""",
 mc AS (SELECT l.cell_idx, l.total, l.loglik,
               (1 + (SELECT count(*) FROM path p WHERE p.total = l.total AND p.sim <= round(l.loglik, 6))) / ({iters} + 1.0) AS pvalue FROM lls l)"""
 
 
+def _fdr_sql(retain: str) -> str:
+    """Benjamini-Hochberg over ``mc`` and the barcodes at or above ``retain`` (p = 0)."""
+    return f""",
+pv AS (SELECT cell_idx, pvalue FROM mc UNION ALL SELECT cell_idx, 0.0 FROM xt WHERE total >= {retain}),
+rk AS (SELECT pvalue, count(*) OVER (ORDER BY pvalue RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM pv),
+q AS (SELECT DISTINCT pvalue, least(1.0, min(pvalue * (SELECT count(*) FROM pv) / r) OVER (ORDER BY pvalue DESC)) AS fdr FROM rk)"""
+
+
 ORACLE["e06b_monte_carlo_few"] = _mc_sql("total > 50") + """
 SELECT cell_idx, total, round(loglik, 4) AS loglik, round(pvalue, 9) AS pvalue FROM mc"""
 ORACLE["e12b_ambient_pvalues_few"] = _mc_sql("total > 0 AND total <= 50") + """
 SELECT cell_idx, total, round(pvalue, 9) AS pvalue FROM mc"""
-ORACLE["e09b_emptydrops_few"] = _mc_sql("total > 50 AND total < 150") + """,
-pv AS (SELECT cell_idx, pvalue FROM mc UNION ALL SELECT cell_idx, 0.0 FROM xt WHERE total >= 150),
-rk AS (SELECT pvalue, count(*) OVER (ORDER BY pvalue RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM pv),
-q AS (SELECT DISTINCT pvalue, least(1.0, min(pvalue * (SELECT count(*) FROM pv) / r) OVER (ORDER BY pvalue DESC)) AS fdr FROM rk)
+CALLED = """
 SELECT c.cell_id, round(q.fdr, 9) AS emptydrops_fdr
 FROM pv JOIN q USING (pvalue) JOIN m1_cells c USING (cell_idx) WHERE q.fdr <= 0.2"""
+ORACLE["e09b_emptydrops_few"] = _mc_sql("total > 50 AND total < 150") + _fdr_sql("150") + CALLED
+ORACLE["e06c_monte_carlo_dirichlet_few"] = _mc_sql("total > 50", alpha="25.0") + """
+SELECT cell_idx, total, round(loglik, 4) AS loglik, round(pvalue, 9) AS pvalue FROM mc"""
+ORACLE["e09c_emptydrops_default_few"] = _mc_sql("total > 50 AND total < 150", alpha="(SELECT a FROM alpha)", profile=GT + _alpha_ctes()) \
+    + _fdr_sql("150") + CALLED
+
+# Thresholds from the 30th and the 45 000th total; a profile of few distinct counts gets add-one smoothing
+_CR = SORTED + """,
+crt AS (SELECT (SELECT total_umis FROM sorted WHERE pos = 30) * 0.1 AS retain,
+               CASE WHEN (SELECT count(*) FROM sorted) >= 45000 THEN (SELECT total_umis FROM sorted WHERE pos = 44999) ELSE 1.0 END AS lower)"""
+_CR_GT = _CR + GT.replace("xt.total <= 50", "xt.total <= (SELECT lower FROM crt)").replace("gt AS (", "smooth AS (") + """,
+gt AS (SELECT gene_idx, count, CASE WHEN (SELECT count(*) FROM ff) < 5
+              THEN (count + 1) / (SELECT sum(count) + count(*) FROM prof)
+              WHEN count = 0 AND (SELECT n1 FROM cst) = 0 THEN (1 / (SELECT big_n FROM cst)) / (SELECT n0 FROM cst)
+              WHEN (SELECT n1 FROM cst) = 0 AND (SELECT n0 FROM cst) > 0 THEN prop * (1 - 1 / (SELECT big_n FROM cst)) ELSE prop END AS prop FROM smooth)"""
+ORACLE["e10b_cellranger_few"] = _mc_sql("total > (SELECT lower FROM crt) AND total < (SELECT retain FROM crt)", profile=_CR_GT) \
+    + _fdr_sql("(SELECT retain FROM crt)") + """
+SELECT c.cell_id, c.total_umis, round(q.fdr, 9) AS emptydrops_fdr
+FROM m1_totals c LEFT JOIN pv USING (cell_idx) LEFT JOIN q USING (pvalue)"""
 
 ORACLE["e08_bh_adjust"] = """
 WITH p AS (SELECT o_orderkey AS cell_idx,
@@ -508,6 +560,24 @@ ks AS (SELECT least(1.0, greatest(0.0, 2 * sum(CASE WHEN j % 2 = 1 THEN 1.0 ELSE
          AS p FROM lam, range(1, 101) t(j))
 SELECT CAST(100 AS BIGINT) AS n, round((SELECT d FROM d), 9) AS d, round(p, 9) AS ks_pvalue, p >= 0.05 AS suitable FROM ks"""
 
+
+
+def _dispersion_sql(alpha: str | None) -> str:
+    return _mc_sql("total > 0 AND total <= 50", seed=3, alpha=alpha) + """,
+amp AS (SELECT c.cell_id, mc.pvalue FROM mc JOIN m1_cells c USING (cell_idx)),
+smp AS (SELECT cell_id, pvalue FROM amp ORDER BY md5('3' || cell_id), cell_id LIMIT 100),
+o AS (SELECT pvalue, row_number() OVER (ORDER BY pvalue) AS i FROM smp),
+d AS (SELECT max(greatest(i / 100.0 - pvalue, pvalue - (i - 1) / 100.0)) AS d FROM o),
+lam AS (SELECT (sqrt(100) + 0.12 + 0.11 / sqrt(100)) * d AS l, d FROM d),
+ks AS (SELECT least(1.0, greatest(0.0, 2 * sum(CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * j * j * l * l))))
+         AS p FROM lam, range(1, 101) t(j))
+SELECT CAST(100 AS BIGINT) AS n, round((SELECT d FROM d), 9) AS d, round(p, 9) AS ks_pvalue, p >= 0.05 AS suitable,
+       (SELECT count(*) FROM amp) AS n_ambient FROM ks"""
+
+
+ORACLE["d05b_dispersion_few"] = _dispersion_sql(None)
+ORACLE["d05c_dispersion_dirichlet_few"] = _dispersion_sql("40.0")
+
 PPALL = PP + """,
 n AS (SELECT count(*) AS n FROM pp),
 t AS (SELECT row_number() OVER (ORDER BY pvalue, cell_idx) AS i, pvalue AS ordered FROM pp),

@@ -133,42 +133,104 @@ def test_ambient_false_positives_are_rare(spark, mixture):
     assert n_tested > 0 and n_called <= 0.01 * n_tested
 
 
-def test_monte_carlo_independent_of_partitioning(spark, mixture):
-    cd, _ = mixture
-    props = ed.ambient_proportions(cd, lower=100)
-    prof = props.orderBy("gene_idx").select("prop").toPandas()["prop"].to_numpy()
-    totals = np.array([150.0, 400.0, 2000.0])
-    a = ed.simulate_paths(spark, prof, float("inf"), totals, iters=64, seed=5, n_parts=1)
-    b = ed.simulate_paths(spark, prof, float("inf"), totals, iters=64, seed=5, n_parts=8)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-
-
-def test_simulated_path_matches_direct_likelihood(mixture):
-    # the incremental path equals lnGamma formula evaluated on the drawn counts
-    cd, _ = mixture
-    rng_props = np.full(10, 0.1)
+def observed_levels(spark, totals, per_total, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = [(float(t), round(float(-rng.exponential(t ** 0.5) * 4), 6)) for t in totals for _ in range(per_total)]
+    return spark.createDataFrame(sorted(set(rows)), "total double, level double")
+
+
+@pytest.mark.parametrize("alpha", [float("inf"), 3.0])
+def test_counts_do_not_depend_on_blocks_or_shares(spark, alpha):
+    """Any cut of levels and iterations gives the counts of plain simulated paths."""
+    prof = np.arange(1, 21) / 210.0
+    obs = observed_levels(spark, (3, 15, 40), 60)
+    levels = [tuple(r) for r in obs.collect()]
+    totals = np.array([3.0, 15.0, 40.0])
+    sims = np.round([ed._simulate(prof, alpha, totals, 5, i) for i in range(64)], ed.LIKELIHOOD_DIGITS)
+    want = sorted((t, v, int((sims[:, (3, 15, 40).index(int(t))] <= v).sum())) for t, v in levels)
+    assert any(0 < w[2] < 64 for w in want)
+    for shares, most in ((1, 10 ** 6), (8, 10 ** 6), (5, 25)):   # the last cuts one total's levels as well
+        got = ed.simulated_below(obs, prof, alpha, 64, seed=5, shares=shares, most=most)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_rows_of_the_simulation_do_not_grow_with_iterations(spark, monkeypatch):
+    obs, prof = observed_levels(spark, (4, 9), 20), np.full(10, 0.1)
+    rows, real = [], ed._counted
+    for iters in (16, 4096):
+        got = ed.simulated_below(obs, prof, 2.0, iters, shares=4)
+        rows.append(got.count())
+        one = real(obs.toPandas(), prof, 2.0, range(0, iters, 4), 0)
+        assert len(one) == obs.count()   # what a task returns
+    assert rows == [obs.count()] * 2
+
+
+def test_urn_draws_are_dirichlet_multinomial():
+    """Mean, variance (inflated by (n + alpha) / (1 + alpha)) and covariance of counts."""
+    p, alpha, n = np.array([0.5, 0.3, 0.2]), 4.0, 12
+    x = np.array([np.bincount(ed.urn_draws(np.cumsum(p), alpha, n, 17, i), minlength=3) for i in range(40_000)])
+    more = (n + alpha) / (1 + alpha)
+    assert np.allclose(x.mean(axis=0), n * p, atol=0.05)
+    assert np.allclose(np.cov(x.T), more * n * (np.diag(p) - np.outer(p, p)), atol=0.2)
+    # the exact probability of one composition
+    def prob(c):
+        return math.exp(math.lgamma(n + 1) + math.lgamma(alpha) - math.lgamma(n + alpha) + sum(
+            math.lgamma(k + alpha * q) - math.lgamma(k + 1) - math.lgamma(alpha * q) for k, q in zip(c, p)))
+    for c in ((12, 0, 0), (6, 4, 2), (0, 6, 6)):
+        assert abs((x == c).all(axis=1).mean() - prob(c)) < 4 * math.sqrt(prob(c) / 40_000) + 1e-4
+
+
+def test_urn_of_tiny_alpha_repeats_one_gene():
+    draws = ed.urn_draws(np.cumsum([0.25] * 4), 1e-9, 500, 1, 2)
+    assert len(set(draws.tolist())) == 1   # a chain of repeats is followed to its first draw
+
+
+def test_simulated_path_matches_direct_likelihood():
+    # the incremental path equals the lnGamma formula evaluated on the drawn counts
+    prof = np.full(10, 0.1)
     for alpha in (float("inf"), 3.0):
-        vals = ed._simulate(rng_props, alpha, np.array([5.0, 12.0]), 9, 0)
-        rng = np.random.default_rng([9, 0])
-        q = rng_props / rng_props.sum() if math.isinf(alpha) else rng.dirichlet(alpha * rng_props)
-        q = q / q.sum()
-        draws = np.searchsorted(np.cumsum(q), ed.uniforms(9, 0, 12))
+        vals = ed._simulate(prof, alpha, np.array([5.0, 12.0]), 9, 0)
+        draws = ed.urn_draws(np.cumsum(prof / prof.sum()), alpha, 12, 9, 0)
         for t, v in zip((5, 12), vals):
             x = np.bincount(draws[:t], minlength=10)
             if math.isinf(alpha):
-                want = math.lgamma(t + 1) + sum(xi * math.log(pi) - math.lgamma(xi + 1) for xi, pi in zip(x, rng_props))
+                want = math.lgamma(t + 1) + sum(xi * math.log(pi) - math.lgamma(xi + 1) for xi, pi in zip(x, prof))
             else:
                 want = (math.lgamma(t + 1) + math.lgamma(alpha) - math.lgamma(t + alpha)
                         + sum(math.lgamma(xi + alpha * pi) - math.lgamma(xi + 1) - math.lgamma(alpha * pi)
-                              for xi, pi in zip(x, rng_props)))
+                              for xi, pi in zip(x, prof)))
             assert abs(v - want) < 1e-9
 
 
-def test_alpha_mle_is_finite_and_positive(mixture):
-    cd, _ = mixture
+def test_alpha_mle_is_the_best_of_the_lgamma_likelihood(mixture):
+    """Tail counts: their derivative is that of the log-gamma likelihood, which no neighbour beats."""
+    cd, mat = mixture
     props = ed.ambient_proportions(cd, lower=100)
-    a = ed.estimate_alpha(cd, props, lower=100, rounds=2)
-    assert 0.01 <= a <= 10000
+    a = ed.estimate_alpha(cd, props, lower=100)
+    p = {r.gene_idx: r.prop for r in props.collect()}
+    amb = mat[mat.sum(axis=1) <= 100]
+    pv = np.array([p.get(j, 0.0) for j in range(amb.shape[1])])
+    lg = np.vectorize(math.lgamma)
+
+    def ll(alpha):
+        out = 0.0
+        for x in amb[amb.sum(axis=1) > 0]:
+            k = np.flatnonzero(x)
+            out += math.lgamma(alpha) - math.lgamma(x.sum() + alpha) + (lg(x[k] + alpha * pv[k]) - lg(alpha * pv[k])).sum()
+        return out
+
+    if 0.01 < a < 10000:
+        assert ll(a) >= max(ll(a * 1.01), ll(a / 1.01))
+    else:
+        assert ll(a) >= ll(a / 1.1 if a > 1 else a * 1.1)
+
+
+def test_alpha_needs_whole_counts(spark):
+    x = spark.createDataFrame([(0, 0, 1.5), (1, 1, 2.0)], "cell_idx bigint, gene_idx bigint, value double")
+    cells = spark.createDataFrame([(0, "a"), (1, "b")], "cell_idx bigint, cell_id string")
+    cd = CellData(cells=cells, genes=cells.toDF("gene_idx", "gene_id"), x_raw=x)
+    with pytest.raises(Exception, match="whole counts"):
+        ed.estimate_alpha(cd, ed.ambient_proportions(cd, lower=100), lower=100)
 
 
 def test_alpha_mle_recovers_dirichlet(spark):
@@ -187,7 +249,11 @@ def test_alpha_mle_recovers_dirichlet(spark):
     cd = CellData(cells=cells, genes=genes, x_raw=x)
     props = ed.ambient_proportions(cd, lower=100)
     a = ed.estimate_alpha(cd, props, lower=100)
-    assert 20 < a < 80, a
+    assert 30 < a < 55, a
+    called = cd.filter_emptydrops(lower=60, iters=50, seed=1, retain=1e9, fdr=0.01, keep_all=True)   # the default: alpha from the data
+    assert 30 < called.get_parameter("emptydrops", "alpha") < 60
+    p = called.cells.where("emptydrops_fdr <= 0.01").count()
+    assert p <= 0.02 * 1500   # all barcodes are ambient: the estimate explains their spread
 
 
 def test_kmer_nearest_blocks_agree(spark):
