@@ -68,9 +68,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "so
     ordered by); a document with no copies does not appear.  Null ids and texts
     are hashed as such.  Rows that agree in id and text draw the same number.
     A source of weight 0 disappears.  An empty table gives an empty result.
-    Columns of ``docs`` that have one of the added names are replaced.
+    Columns of ``docs`` that have one of the added names, in any case, are replaced.
     """
-    names = [c for c in docs.columns if c not in (copy_name, place_name)]
+    names = [c for c in docs.columns if c.lower() not in (copy_name.lower(), place_name.lower())]
     src, draws, cdf, key, times = (fresh(docs, stem) for stem in ("rate_of", "draws", "cdf", "key", "times"))
     rates = stored(repetition_rates(docs, weights, source_col, alpha, total), "rates").select(
         F.col("source").alias(src), F.col("draws").alias(draws), F.col("cdf").alias(cdf))

@@ -5,18 +5,19 @@ from __future__ import annotations
 _MIX = """
 WITH sources AS (SELECT source, count(*) AS n, sqrt(count(*)) AS weight FROM documents GROUP BY source),
 rates AS (SELECT source, weight / sum(weight) OVER () * sum(n) OVER () / n AS rate FROM sources),
-terms AS (SELECT source, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
-          FROM rates, range(0, 97) AS r(k)),
+means AS (SELECT source, greatest(ceil(rate / 16), 1) AS draws, rate / greatest(ceil(rate / 16), 1) AS mean FROM rates),
+terms AS (SELECT source, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) AS p FROM means, range(0, 97) AS r(k)),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
 keyed AS (SELECT *, md5(concat_ws(':', '7', coalesce(CAST(doc_id AS VARCHAR), 'null'), md5(coalesce(text, '')))) AS key
           FROM documents),
-drawn AS (SELECT DISTINCT key, source AS src, CAST('0x' || substr(md5(key || ':0'), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
-          FROM keyed),
-times AS (SELECT key, count(*) FILTER (WHERE c <= u) AS n
-          FROM drawn JOIN cdf ON cdf.source IS NOT DISTINCT FROM src GROUP BY key)
+drawn AS (SELECT DISTINCT key, keyed.source AS src, i, CAST('0x' || substr(md5(key || ':' || i), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+          FROM keyed JOIN means ON means.source IS NOT DISTINCT FROM keyed.source, range(0, (SELECT max(draws)::BIGINT FROM means)) AS r(i) WHERE i < draws),
+times AS (SELECT key, src, count(*) FILTER (WHERE c <= u) AS n
+          FROM drawn JOIN cdf ON cdf.source IS NOT DISTINCT FROM src GROUP BY key, src)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(r.copy AS INTEGER) AS copy,
        md5(d.key || ':place:' || r.copy) AS place
-FROM keyed d JOIN times t ON d.key = t.key, range(0, 200) AS r(copy) WHERE r.copy < t.n
+FROM keyed d JOIN times t ON d.key = t.key AND d.source IS NOT DISTINCT FROM t.src,
+     range(0, (SELECT max(n) FROM times)) AS r(copy) WHERE r.copy < t.n
 """
 
 _AUDIT = r"""

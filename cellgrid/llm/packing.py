@@ -19,7 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,21 +41,23 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, i
     """``(doc_id, piece, start, length, ids_crc32)`` of every document."""
     with_workers(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
         for b in batches:
             rows: list[tuple] = []
-            for i, ids in enumerate(enc.many(b["text"])):
+            for i, ids in enumerate(enc.many(b.column("text").to_pylist())):
                 ids += end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, size)):
                     rows.append((i, k, start, length, zlib.crc32(ids[4 * start:4 * (start + length)])))
-            t = pd.DataFrame(rows, columns=["at", "piece", "start", "length", "ids_crc32"])
-            t.insert(0, "doc_id", b["doc_id"].take(t["at"]).to_numpy())
-            yield t.drop(columns="at")
+            if rows:   # ids are taken in Arrow, so they stay as they are beside nulls too
+                at, *columns = zip(*rows)
+                columns = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *columns],
+                                                 ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     src = docs.select(ref(docs, id_col).alias("doc_id"), ref(docs, text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInPandas(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return src.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
@@ -130,12 +132,13 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_
     found = stored(pieces(docs, tokenizer, size, end_id, id_col, text_col), "pieces")
     groups = max(1, -(-found.count() // group))
 
-    def solve(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("row", ignore_index=True)
+    def solve(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("row")
         sequence, offset = pack_lengths(t["length"].to_numpy(), size)
-        return t.drop(columns=["row", "bin"]).assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)
+        t = t.drop_columns(["row", "bin"])
+        return t.append_column("sequence_id", pa.array((key[0].as_py() << 32) + sequence)).append_column("offset", pa.array(offset))
 
     kind = found.schema["doc_id"].dataType.simpleString()
     dealt = found.withColumn("row", F.monotonically_increasing_id()).withColumn("bin", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    return dealt.groupBy("bin").applyInPandas(
+    return dealt.groupBy("bin").applyInArrow(
         solve, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

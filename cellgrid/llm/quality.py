@@ -24,6 +24,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -239,10 +240,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     spark = with_workers(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = sent.value.scorer()
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": [one(t) for t in b["text"]]})
+        for b in batches:   # Arrow: ids pass through as they are, beside nulls too
+            scores = pa.array([one(t) for t in b.column("text").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), scores], ["doc_id", "score"])
 
     src = docs.select(ref(docs, id_col).alias("doc_id"), ref(docs, text_col).cast("string").alias("text"))
-    return src.mapInPandas(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double")

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,15 +70,15 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
     view and ``h`` a hash of the whole text."""
     with_workers(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"],
-                                "fp": _signed([fingerprint(t, shingle) for t in b["text"]])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:   # Arrow: ids pass through as they are, beside nulls too
+            fp = _signed([fingerprint(t, shingle) for t in b.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(fp)], ["doc_id", "h", "fp"])
 
     src = docs.select(ref(docs, id_col).alias("doc_id"), ref(docs, text_col).cast("string").alias("text"))
     src = src.withColumn("h", F.xxhash64("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInPandas(run, f"doc_id {kind}, h bigint, fp bigint")
+    return src.mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint")
 
 
 # ---------------------------------------------------------------- the tree

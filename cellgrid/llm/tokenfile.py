@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -188,18 +187,18 @@ def read_documents(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document in the files."""
     with_workers(manifest.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, base in zip(b["path"], b["base"]):
+            for path, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist()):
                 f = _open(path)
                 names, offsets = f.documents()
                 crc = [zlib.crc32(f.tokens(s, e).tobytes()) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pd.DataFrame({"doc_id": names.to_pandas(), "start": offsets[:-1] + base,
-                                    "n_tokens": np.diff(offsets), "ids_crc32": np.array(crc, dtype=np.int64)})
+                columns = [names.combine_chunks(), pa.array(offsets[:-1] + base), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # a task per file: rows are few and short, so they would be merged into one task
     files = manifest.select("path", "base").repartition(max(1, manifest.count()), "path")
-    return files.mapInPandas(run, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.mapInArrow(run, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_folder(spark: SparkSession) -> str:

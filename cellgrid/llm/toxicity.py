@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -192,13 +193,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     alike; an empty table gives an empty result; extra columns are ignored."""
     with_workers(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = model.scorer()
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], name: [one(t) for t in b["text"]]})
+        for b in batches:   # Arrow: ids pass through as they are, beside nulls too
+            scores = pa.array([one(t) for t in b.column("text").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), scores], ["doc_id", name])
 
     src = docs.select(ref(docs, id_col).alias("doc_id"), ref(docs, text_col).cast("string").alias("text"))
-    return src.mapInPandas(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, {name} double")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, {name} double")
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", cutoff: float = 0.3) -> DataFrame:
