@@ -229,10 +229,11 @@ def test_packing_is_whole_gapless_and_tight(spark, docs, corpus, group):
 def test_encoder_equals_the_library(path, corpus):
     rng = random.Random(8)
     spaces = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "　", " "]
-    parts = ["It's", "'s", "x'll", "Hello,", "12ab3", "ÀÉ", "é", "́", "ΑΣ", "日本語", "😀!", "<|endoftext|>", "a" * 300, "²3", "_", "İ"]
-    texts = ["".join(rng.choice(parts) + rng.choice(spaces) * rng.randint(0, 2) for _ in range(rng.randint(0, 30))) for _ in range(150)]
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    latin = ["It's", "'s", "x'LL", "Hello,", "12ab3", "ÀÉ", "é", "a" * 300, "²3", "_", "×ßŒ÷", "ªµºŉǅ", "¼½", "\xad", "\x1f", "S'ſ", "ɏ"]
+    parts = latin + ["́", "ΑΣ", "日本語", "😀!", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "İ", "ɐ"]
+    texts = ["".join(rng.choice(some) + rng.choice(blanks) * rng.randint(0, 2) for _ in range(rng.randint(0, 30)))
+             for some, blanks in ((parts, spaces), (latin, spaces[:-2])) for _ in range(250)]
+    tok = Tokenizer.from_file(path)   # as it is loaded
     enc = tokens.Encoder(path)
     assert enc.rule is not None
     for t in [None, "", " ", *texts, *[r[1] for r in corpus]] * 2:
