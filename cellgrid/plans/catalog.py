@@ -363,6 +363,26 @@ def _calls(spark, sf_dir):
     return tag_calls(cd.cells, _reads(spark, sf_dir), fx.r1_lib14(spark, sf_dir), fx.r1_lib30(spark, sf_dir))
 
 
+@query("s07b_fastq_blocked_lanes")
+def s07b(spark, sf_dir) -> DataFrame:
+    """R1 written as blocked gzip lanes, each read by several tasks (64 KB ranges; R1 and R2 differ in
+    size, so their ranges pair by record number), and assigned."""
+    from cellgrid.functions.positions import materialize
+    from cellgrid.operators.tags import assign, tag_calls
+    from cellgrid.sources.blocked import write_blocked
+    from cellgrid.sources.fastq import read_fastq_pairs
+    place = _scratch(spark, "blocked")
+    reads = materialize(_reads(spark, sf_dir).select("read_no", "r1", "r2").repartitionByRange(3, "read_no").sortWithinPartitions("read_no"))
+    lanes = []
+    for side in ("r1", "r2"):
+        record = F.array(F.concat(F.lit("@"), F.col("read_no").cast("string")), F.col(side), F.lit("+"), F.repeat(F.lit("I"), F.length(side)))
+        lanes.append(write_blocked(reads.select(F.explode(record).alias("value")), f"{place}/{side}"))
+    back = read_fastq_pairs(spark, list(zip(*lanes)), range_bytes=1 << 16)
+    cells = fx.r1_cells(spark, sf_dir).cells
+    calls = tag_calls(cells, back, fx.r1_lib14(spark, sf_dir), fx.r1_lib30(spark, sf_dir))
+    return assign(cells, calls, "-1").select("cell_id", "doublet", "tags")
+
+
 @query("s07_fastq_files_to_tags")
 def s07(spark, sf_dir) -> DataFrame:
     """R1 written as FASTQ lanes and tag-library files, read back and assigned."""

@@ -362,6 +362,7 @@ SELECT c.cell_id, coalesce(k.n_tags > 1, false) AS doublet,
        coalesce(CASE WHEN k.n_tags = 1 THEN k.tag END, '') AS tags
 FROM cells c LEFT JOIN calls k ON k.cell || '-1' = c.cell_id"""
 ORACLE["s07_fastq_files_to_tags"] = ORACLE["t09_assign"]
+ORACLE["s07b_fastq_blocked_lanes"] = ORACLE["t09_assign"]
 ORACLE["s06_value_file"] = ORACLE["f11_in_list"]
 ORACLE["t10_tag_summary"] = R1 + """
 SELECT count(*) FILTER (WHERE n_tags = 1) AS assigned, count(*) FILTER (WHERE n_tags > 1) AS doublets FROM calls"""

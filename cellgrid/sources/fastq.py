@@ -1,27 +1,34 @@
 """Paired FASTQ reads (S7) and tag libraries.
 
-``fastq_pair`` is a Python data source: one input partition per file pair
-(gzip is not splittable), both files read in lockstep inside the task, only
+``read_fastq_pairs`` cuts files above ``RANGE_BYTES`` into byte ranges (``blocked``): plain text,
+blocked gzip and other files of many gzip members.  Line counts of the ranges pair the two files by
+record number, and each range of R1 is read with its counterpart in R2 by a task of
+its own.  A gzip file of one member cannot be cut: it stays one task, however large.
+
+``fastq_pair`` is the Python data source for lanes below that size, and for direct use: one input
+partition per file pair, both files read in lockstep inside the task, only
 the sequence line of each 4-line record kept, stopping at the shorter file.
-Rows come out as Arrow record batches.  Many lane pairs give many tasks;
-downstream work repartitions as Spark sees fit.
 
     spark.dataSource.register(FastqPairDataSource)
-    spark.read.format("fastq_pair").option("pairs", "r1.fq.gz,r2.fq.gz;r1b.fq.gz,r2b.fq.gz").load()
+    spark.read.format("fastq_pair").option("pairs", '[["r1.fq.gz", "r2.fq.gz"], ["r1b.fq.gz", "r2b.fq.gz"]]').load()
 """
 
 from __future__ import annotations
 
 import gzip
+import json
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from cellgrid.functions.positions import dense_positions
-from cellgrid.sources.paths import qualified, require_exists
+from cellgrid.functions.positions import dense_positions, materialize
+from cellgrid.sources.blocked import every_fourth, line_ranges, lines_from, locate
+from cellgrid.sources.paths import file_size, qualified, require_exists
 
 BATCH_ROWS = 65536
+RANGE_BYTES = 64 << 20   # files above this size are cut into ranges of it
 
 
 def _open(path: str):
@@ -33,10 +40,8 @@ def _open(path: str):
     import io
 
     if "://" in path:
-        from pyarrow import fs as pafs
-
-        filesystem, inner = pafs.FileSystem.from_uri(path)
-        raw = filesystem.open_input_stream(inner)
+        filesystem, inner = locate(path)
+        raw = filesystem.open_input_stream(inner, compression=None)   # told by its magic bytes below
     else:
         raw = open(path, "rb")
     buf = io.BufferedReader(raw) if not isinstance(raw, io.BufferedReader) else raw
@@ -104,18 +109,13 @@ class FastqPairDataSource(DataSource):
         return "file_no int, read_no bigint, r1 string, r2 string"
 
     def reader(self, schema):
-        spec = self.options.get("pairs", "")
-        pairs = []
-        for item in spec.split(";"):
-            if not item.strip():
-                continue
-            parts = [p.strip() for p in item.split(",")]
-            if len(parts) != 2:
+        pairs = json.loads(self.options.get("pairs") or "[]")   # JSON: file names may hold any character
+        for item in pairs:
+            if len(item) != 2:
                 raise ValueError(f"a FASTQ pair needs two files, got {item!r}")
-            pairs.append((parts[0], parts[1]))
         if not pairs:
-            raise ValueError("option 'pairs' must list at least one 'r1,r2' pair")
-        return _PairReader(pairs)
+            raise ValueError("option 'pairs' must list at least one [r1, r2] pair")
+        return _PairReader([(a, b) for a, b in pairs])
 
 
 def _uri(spark: SparkSession, path: str) -> str:
@@ -124,15 +124,56 @@ def _uri(spark: SparkSession, path: str) -> str:
     return "file://" + uri[len("file:"):] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
-def read_fastq_pairs(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
-    """``(file_no, read_no, r1, r2)`` from one or more (R1, R2) file pairs."""
+def read_fastq_pairs(spark: SparkSession, pairs: list[tuple[str, str]], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``(file_no, read_no, r1, r2)`` from one or more (R1, R2) file pairs; of a pair as many
+    records as the shorter file has."""
     from cellgrid.session import ship_package
 
     # tasks must open the files that are checked here: one spelling with its file system
     pairs = [(_uri(spark, a), _uri(spark, b)) for a, b in pairs]
+    sizes = [(file_size(spark, a), file_size(spark, b)) for a, b in pairs]
+    if max((n for two in sizes for n in two), default=0) > range_bytes:
+        return _paired_ranges(spark, [(k, side, path, size) for k, two in enumerate(zip(pairs, sizes))
+                                      for side, path, size in zip(("r1", "r2"), *two)], range_bytes)
     ship_package(spark)
     spark.dataSource.register(FastqPairDataSource)
-    return (spark.read.format("fastq_pair").option("pairs", ";".join(f"{a},{b}" for a, b in pairs)).load())
+    return spark.read.format("fastq_pair").option("pairs", json.dumps(pairs)).load()
+
+
+def _paired_ranges(spark: SparkSession, files: list[tuple], range_bytes: int) -> DataFrame:
+    """Every range of R1 with the place in R2 where its first record is."""
+    import pyarrow as pa
+
+    ranges = materialize(line_ranges(spark, files, range_bytes))
+    of_file = Window.partitionBy("file_no")
+    # a record of four lines belongs to the range in which its first line starts
+    ranges = ranges.withColumn("a", F.ceil(F.col("first_line") / 4)).withColumn("b", F.ceil(F.col("next_line") / 4))
+    ranges = ranges.withColumn("records2", F.max(F.when(F.col("side") == "r2", F.col("b"))).over(of_file))
+    # the last range of R2 whose own lines begin at or before the record's first line (a few rows per file)
+    place = F.when(F.col("side") == "r2", F.struct("path", "first", "before"))
+    line = F.when(F.col("side") == "r2", F.col("first_line")).otherwise(4 * F.col("a"))
+    upto = of_file.orderBy(line, F.col("side").desc(), "first").rowsBetween(Window.unboundedPreceding, 0)
+    work = (ranges.withColumn("other", F.last(place, ignorenulls=True).over(upto)).where("side = 'r1'")
+            .withColumn("b", F.least("b", F.coalesce("records2", F.lit(0)))).where("a < b AND other IS NOT NULL")
+            .select("file_no", "a", "b", "path", "first", (4 * F.col("a") - F.col("before")).alias("skip"),
+                    F.col("other.path").alias("path2"), F.col("other.first").alias("first2"), (4 * F.col("a") - F.col("other.before")).alias("skip2")))
+    work = materialize(work)
+    schema = pa.schema([("file_no", pa.int32()), ("read_no", pa.int64()), ("r1", pa.string()), ("r2", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            for w in batch.to_pylist():
+                n, at = w["b"] - w["a"], w["a"]
+                both = zip(every_fourth(lines_from(w["path"], w["first"], w["skip"]), n),
+                           every_fourth(lines_from(w["path2"], w["first2"], w["skip2"]), n))
+                while rows := list(islice(both, BATCH_ROWS)):
+                    r1, r2 = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([w["file_no"]] * len(rows), pa.int32()),
+                                                      pa.array(range(at, at + len(rows)), pa.int64()), pa.array(r1), pa.array(r2)], schema=schema)
+                    at += len(rows)
+
+    # a task per range
+    return work.repartition(max(1, work.count())).mapInArrow(run, "file_no int, read_no bigint, r1 string, r2 string")
 
 
 def read_tag_library(spark: SparkSession, path: str) -> DataFrame:

@@ -34,6 +34,11 @@ def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:
     return None
 
 
+def file_size(spark: SparkSession, path: str) -> int:
+    fs, p = _fs_path(spark, path)
+    return fs.getFileStatus(p).getLen()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs_path(spark, path)
     if fs.exists(p):
