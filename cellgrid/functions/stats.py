@@ -54,17 +54,18 @@ def good_turing_proportions(counts: DataFrame, key: str = "gene_idx", count: str
     ff = materialize(running_sums(ff, [F.col("r")], {"i": F.lit(1)}))  # distinct counts, read many times
     prev = ff.select((F.col("i") + 1).alias("i"), F.col("r").alias("q"))
     nxt = ff.select((F.col("i") - 1).alias("i"), F.col("r").alias("t"), F.col("n").alias("n_next"))
-    z = (ff.join(prev, "i", "left").join(nxt, "i", "left")
-         .withColumn("q", F.coalesce("q", F.lit(0.0)))
-         .withColumn("t_", F.coalesce("t", 2 * F.col("r") - F.col("q")))
-         .withColumn("lz", F.log(2 * F.col("n") / (F.col("t_") - F.col("q"))))
-         .withColumn("lr", F.log("r")))
-    n_rows, few = ff.count(), counts.agg(F.count(F.lit(1)), F.sum(F.col(count).cast("double"))).first()
-    if n_rows < MIN_FREQUENCIES:
-        return counts.select(key, count, ((F.col(count) + 1) / F.lit(float(few[1] or 0.0) + few[0])).alias("prop"))
+    # written once, with its neighbours: every scalar below reads it
+    z = materialize(ff.join(prev, "i", "left").join(nxt, "i", "left")
+                    .withColumn("q", F.coalesce("q", F.lit(0.0)))
+                    .withColumn("t_", F.coalesce("t", 2 * F.col("r") - F.col("q")))
+                    .withColumn("lz", F.log(2 * F.col("n") / (F.col("t_") - F.col("q"))))
+                    .withColumn("lr", F.log("r")))
     # scalars of the small frequency table: one single-row aggregation each step
     row = z.agg(F.regr_slope("lz", "lr").alias("b"), F.sum(F.col("r") * F.col("n")).alias("n_tot"),
-                F.sum(F.when(F.col("r") == 1, F.col("n"))).alias("n1")).first()
+                F.sum(F.when(F.col("r") == 1, F.col("n"))).alias("n1"), F.count(F.lit(1)).alias("rows")).first()
+    size = counts.agg(F.count(F.lit(1)).alias("genes"), F.sum(F.col(count).cast("double")).alias("umis"), F.count_if(F.col(count) == 0).alias("n0")).first()
+    if row["rows"] < MIN_FREQUENCIES:
+        return counts.select(key, count, ((F.col(count) + 1) / F.lit(float(size["umis"] or 0.0) + size["genes"])).alias("prop"))
     b = row["b"] if row["b"] is not None else -1.0  # one distinct count: Zipf-like default
     n_tot, n1 = float(row["n_tot"]), float(row["n1"] or 0.0)
     est = z.select(
@@ -80,7 +81,7 @@ def good_turing_proportions(counts: DataFrame, key: str = "gene_idx", count: str
     rstar = est.select("r", "n", F.when(F.col("i") < F.lit(switch_at), F.col("x"))
                        .otherwise(F.col("y")).alias("rstar"))
     norm = float(rstar.agg(F.sum(F.col("n") * F.col("rstar"))).first()[0])
-    n0 = counts.agg(F.count_if(F.col(count) == 0)).first()[0]
+    n0 = size["n0"]
     p0 = (n1 or (1.0 if n0 else 0.0)) / n_tot
     props = rstar.select("r", ((1 - p0) * F.col("rstar") / norm).alias("p_seen"))
     p_unseen = p0 / n0 if n0 else 0.0
