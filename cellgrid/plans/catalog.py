@@ -720,6 +720,35 @@ def s04b(spark, sf_dir) -> DataFrame:
         F.lit(back.get_parameter("classic_filter", "threshold")).alias("threshold"))
 
 
+@query("a01b_total_umis_saved")
+def a01b(spark, sf_dir) -> DataFrame:
+    """A1 over a saved dataset: buckets by cell, so neither the sums nor the join shuffle."""
+    from cellgrid.operators.totals import with_total_umis
+    cd = fx.m1(spark, sf_dir).save(_scratch(spark, "native"), force=True)
+    return with_total_umis(cd, materialized=False).cells.select("cell_id", "total_umis")
+
+
+@query("p07_history_after_saves")
+def p07(spark, sf_dir) -> DataFrame:
+    """Steps in order with three saves; history (newest first), parameters and the
+    snapshots as they are read back."""
+    from cellgrid.plans import run
+    from cellgrid.sources.native import load, snapshots
+    place = _scratch(spark, "native")
+    steps = [[("select_cells", {"expr": 'status != "P"'})], [("filter_classic", {})], [("select_genes", {"expr": "size < 25"})]]
+    cd = fx.m1(spark, sf_dir)
+    for chain in steps:
+        cd = run(cd, chain).save(place)
+    back = load(spark, place)
+    none = F.lit(None).cast("double").alias("value")
+    history = back.history_frame().select(F.lit("history").alias("kind"), "seq", F.col("description").alias("text"), none)
+    params = spark.createDataFrame([(f"{a}.{k}", float(v)) for a, kv in back.params.items() for k, v in kv.items()], "text string, value double")
+    held = snapshots(spark, place).where("slot IN ('cells', 'genes')")
+    return (history.unionByName(params.select(F.lit("parameter").alias("kind"), F.lit(0).cast("bigint").alias("seq"), "text", "value"))
+            .unionByName(held.select(F.lit("snapshot").alias("kind"), F.col("number").cast("bigint").alias("seq"),
+                                     F.col("slot").alias("text"), F.col("rows").cast("double").alias("value"))))
+
+
 @query("s01_mtx_read")
 def s01(spark, sf_dir) -> DataFrame:
     """Matrix Market body written from M1 (cells x genes), read with ``read_mtx``."""

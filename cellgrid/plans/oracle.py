@@ -604,6 +604,25 @@ FROM fcells"""
 ORACLE["s04b_native_genes_layers_params"] = BASE + """
 SELECT g.*, t.umis, 2 * t.umis AS twice, 12.5 AS threshold
 FROM m1_genes g LEFT JOIN (SELECT gene_idx, sum(value) AS umis FROM m1_x GROUP BY gene_idx) t USING (gene_idx)"""
+ORACLE["a01b_total_umis_saved"] = ORACLE["a01_total_umis"]
+ORACLE["p07_history_after_saves"] = BASE + """,
+kept AS (SELECT * FROM m1_totals WHERE status <> 'P'),
+pos AS (SELECT total_umis, row_number() OVER (ORDER BY total_umis DESC) - 1 AS pos FROM kept),
+thr AS (SELECT total_umis * 0.1 AS t FROM pos WHERE pos = 30),
+n AS (SELECT (SELECT count(*) FROM m1_cells) AS cells, (SELECT count(*) FROM kept) AS kept,
+             (SELECT count(*) FROM kept WHERE total_umis >= (SELECT t FROM thr)) AS called,
+             (SELECT count(*) FROM m1_genes) AS genes, (SELECT count(*) FROM m1_genes WHERE size < 25) AS small)
+SELECT 'history' AS kind, CAST(0 AS BIGINT) AS seq,
+       format('Selection ''size < 25'' on genes: {} of {} stay, {} go', small, genes, genes - small) AS text, CAST(NULL AS DOUBLE) AS value FROM n
+UNION ALL SELECT 'history', 1, format('Selection ''total_umis >= {}'' on cells: {} of {} stay, {} go', CAST((SELECT t FROM thr) AS VARCHAR),
+                                     called, kept, kept - called), NULL FROM n
+UNION ALL SELECT 'history', 2, format('Barcodes with at least {:g} counts are called cells', (SELECT t FROM thr)), NULL
+UNION ALL SELECT 'history', 3, format('Selection ''status != "P"'' on cells: {} of {} stay, {} go', kept, cells, cells - kept), NULL FROM n
+UNION ALL SELECT 'parameter', 0, 'classic_filter.' || k, v
+    FROM (VALUES ('expect_cells', 3000.0), ('upper_quant', 0.99), ('lower_prop', 0.1), ('threshold', (SELECT t FROM thr))) AS p(k, v)
+UNION ALL SELECT 'snapshot', number, slot, rows FROM (
+    SELECT 1 AS number, 'cells' AS slot, kept AS rows FROM n UNION ALL SELECT 2, 'cells', called FROM n UNION ALL SELECT 3, 'cells', called FROM n
+    UNION ALL SELECT 1, 'genes', genes FROM n UNION ALL SELECT 2, 'genes', genes FROM n UNION ALL SELECT 3, 'genes', small FROM n)"""
 ORACLE["s01_mtx_read"] = BASE + """
 ,
 idx AS (SELECT unnest(range((SELECT max(o_orderkey) + 1 FROM orders))) AS cell_idx),

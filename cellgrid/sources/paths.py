@@ -52,6 +52,40 @@ def rename(spark: SparkSession, src: str, dst: str) -> None:
         raise OSError(f"could not move {src} to {dst}")
 
 
+def rename_new(spark: SparkSession, src: str, dst: str) -> None:
+    """One atomic rename; an error if the target exists."""
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    _, p = _fs_path(spark, src)
+    _, q = _fs_path(spark, dst)
+    context = hadoop.FileContext.getFileContext(q.toUri(), sc._jsc.hadoopConfiguration())
+    context.rename(p, q, sc._gateway.new_array(hadoop.Options.Rename, 0))
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs_path(spark, path)
+    return sorted(st.getPath().getName() for st in fs.listStatus(p))
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    fs, p = _fs_path(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs_path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def data_files(spark: SparkSession, path: str) -> list[str]:
     """The data files a read of ``path`` covers, in name order (a folder of
     part files reads like their concatenation)."""
