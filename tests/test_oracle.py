@@ -15,7 +15,8 @@ FAST = ["a02_totals_histogram", "a05_classic", "a06_default_drops", "s10_make_un
         "f12_not_in_list", "f21_nested", "j02_annotate_genes", "j04_replace_cells", "j07_promote",
         "w01_barcode_ranks", "w02_knee_inflection", "p02_numeric_summary", "p03_categorical_summary",
         "t05_corrected_match", "t09_assign", "e03_good_turing", "e05b_loglik_dirichlet", "e08_bh_adjust",
-        "d02_ks_uniform", "k05_wide_matrix"]
+        "d02_ks_uniform", "k05_wide_matrix", "e04_alpha_mle", "e09c_emptydrops_default_few",
+        "p07_history_after_saves", "a01b_total_umis_saved"]
 
 
 @pytest.fixture(scope="module")

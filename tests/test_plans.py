@@ -1,5 +1,5 @@
-"""Plan shape: no cartesian products, no row-at-a-time Python, no cell-level
-single-partition windows in the registered queries' physical plans."""
+"""Plan shape of some registered queries: no cartesian products, no nested-loop
+joins, no row-at-a-time Python."""
 
 import os
 import sys
