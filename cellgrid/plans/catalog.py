@@ -781,6 +781,13 @@ def w04(spark, sf_dir) -> DataFrame:
     return rank_plot_table(cd)
 
 
+@query("w04b_rank_plot_after_call")
+def w04b(spark, sf_dir) -> DataFrame:
+    """W4 and W7 after a real call: the algorithm and its thresholds are what the caller stored."""
+    from cellgrid.operators.ranks import rank_plot_table
+    return rank_plot_table(fx.m1(spark, sf_dir).filter_emptydrops(lower=50, iters=FEW, alpha=float("inf"), seed=1, keep_all=True))
+
+
 @query("s03_bustools_read")
 def s03(spark, sf_dir) -> DataFrame:
     """M1 written in the bustools layout (cells x genes .mtx, .genes.txt,

@@ -648,4 +648,6 @@ SELECT cell_id, total, rank, 'middle' FROM rk WHERE total <= (SELECT knee FROM k
 UNION ALL
 SELECT cell_id, total, rank, 'ambient' FROM rk WHERE total <= 50"""
 
+ORACLE["w04b_rank_plot_after_call"] = ORACLE["w04_rank_plot_emptydrops"]
+
 ORACLE["s03_bustools_read"] = BASE + "\nSELECT cell_id, status, total_umis AS total FROM m1_totals"
