@@ -11,16 +11,19 @@ distinct fingerprints:
    inequality a pair within ``max_bits`` is either on one side of ``r``, or both
    are within ``max_bits`` of ``r``: the two boundary strips go to a cross shard
    of their own, cut further in the same way.  So every close pair meets in
-   some shard, and no shard is a whole table;
+   some shard.  A tight cluster that no pivot cuts well is dealt by hash into
+   parts, and every two parts are a shard, so a shard is bounded in any data;
 3. inside a shard the same cuts continue down to small blocks that are
    compared bit by bit.  Only a spanning set of links leaves the shard, and
    parts that are one component already are not compared again, so a large
-   group of near copies costs rows in proportion to its size;
+   group of near copies costs rows in proportion to its size.  Dealt clusters come
+   after all other shards and start with the components found there;
 4. components of the links (``common.components``) go back to the documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,25 +91,32 @@ def _distance(x: np.ndarray, pivot: np.uint64) -> np.ndarray:
 
 
 def grow(sample: np.ndarray, total: int, bits: int, shard: int = SHARD) -> dict:
-    """Routing tree from a sample of distinct fingerprints.  Leaves hold a
-    shard number; a node holds pivot, radius and children.  ``self`` nodes hold
-    one set, ``cross`` nodes two sides A and B."""
+    """Routing tree from a sample of distinct fingerprints.  A node holds pivot, radius
+    and children; ``own`` nodes hold one set, ``cross`` nodes two sides A and B.  Leaves hold
+    their first shard number; ``deal`` is the number of parts of each side, so that two
+    parts together are expected to fill one shard."""
     rng = np.random.default_rng(7)
     scale = total / max(1, len(sample))
-    leaves = iter(range(1 << 60))
+    used = 0
 
-    def leaf() -> dict:
-        return {"shard": next(leaves)}
+    def leaf(*sides: np.ndarray) -> dict:
+        nonlocal used
+        whole = sum(map(len, sides)) * scale <= shard
+        deal = [1 if whole else max(1, math.ceil(2 * len(a) * scale / shard)) for a in sides]
+        first, used = used, used + deal[0] * deal[-1]
+        return {"shard": first, "deal": deal}
 
     def cut(a: np.ndarray) -> tuple[np.uint64, int] | None:
-        pivot = a[rng.integers(len(a))]
-        r = int(np.median(_distance(a, pivot)))
-        return (pivot, r) if 0 < (_distance(a, pivot) <= r).sum() < len(a) else None
+        for pivot in a[rng.integers(len(a), size=8)]:
+            r = int(np.median(_distance(a, pivot)))
+            if 0 < (_distance(a, pivot) <= r).sum() < len(a):
+                return pivot, r
+        return None
 
     def own(a: np.ndarray, depth: int) -> dict:
         c = cut(a) if len(a) * scale > shard and len(a) > 8 and depth < 40 else None
         if not c:
-            return leaf()
+            return leaf(a)
         d = _distance(a, c[0])
         i = d <= c[1]
         low, high = a[i & (d > c[1] - bits)], a[~i & (d <= c[1] + bits)]
@@ -116,41 +126,71 @@ def grow(sample: np.ndarray, total: int, bits: int, shard: int = SHARD) -> dict:
     def cross(a: np.ndarray, b: np.ndarray, depth: int) -> dict:
         c = cut(np.concatenate([a, b])) if (len(a) + len(b)) * scale > shard and len(a) + len(b) > 8 and depth < 40 else None
         if not c:
-            return leaf()
+            return leaf(a, b)
         da, db = _distance(a, c[0]), _distance(b, c[0])
         ia, ib = da <= c[1], db <= c[1]
         la, ha = a[ia & (da > c[1] - bits)], a[~ia & (da <= c[1] + bits)]
         lb, hb = b[ib & (db > c[1] - bits)], b[~ib & (db <= c[1] + bits)]
         if len(la) + len(hb) + len(ha) + len(lb) > 0.9 * (len(a) + len(b)):
-            return leaf()  # a tight cluster: cutting it would only copy it
+            return leaf(a, b)  # a tight cluster: cutting it would only copy it
         return {"pivot": c[0], "r": c[1], "in": cross(a[ia], b[ib], depth + 1), "out": cross(a[~ia], b[~ib], depth + 1),
                 "edge": cross(la, hb, depth + 1), "edge2": cross(ha, lb, depth + 1)}
 
     return own(sample, 0)
 
 
-def walk(node: dict, x: np.ndarray, bits: int, side: int = 0, two: bool = False) -> list[tuple[int, int, np.ndarray]]:
-    """``(shard, side, fingerprints)`` of every shard that ``x`` belongs to."""
+def _dealt(node: dict, x: np.ndarray, side: int, two: bool) -> list[tuple[int, int, np.ndarray]]:
+    """``walk`` at a leaf of several shards: one for every two parts."""
+    first, mine, others = node["shard"], node["deal"][side], node["deal"][-1 - side]
+    part = (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(mine)
+    out = []
+    for i in range(mine):
+        rows = x[part == i]
+        for j in range(others) if len(rows) else ():
+            if two:
+                out.append((first + (i * others + j if side == 0 else j * mine + i), side + 1, rows))
+            else:  # a part with itself, or with another one, the smaller number as side A
+                out.append((first + min(i, j) * mine + max(i, j), 0 if i == j else 1 if i < j else 2, rows))
+    return out
+
+
+def dealt(node: dict) -> bool:
+    """Does the tree hold leaves of several shards?"""
+    if "shard" in node:
+        return max(node["deal"]) > 1
+    return any(dealt(node[k]) for k in ("in", "out", "edge", "edge2") if k in node)
+
+
+def walk(node: dict, x: np.ndarray, bits: int, side: int = 0, two: bool = False,
+         late: bool | None = None) -> list[tuple[int, int, np.ndarray]]:
+    """``(shard, side, fingerprints)`` of every shard that ``x`` belongs to; with ``late``
+    only of dealt leaves (true) or of all others (false)."""
     if not len(x):
         return []
     if "shard" in node:
-        return [(node["shard"], side + 1 if two else 0, x)]
+        if late is not None and late != (max(node["deal"]) > 1):
+            return []
+        return _dealt(node, x, side, two) if max(node["deal"]) > 1 else [(node["shard"], side + 1 if two else 0, x)]
     d, r = _distance(x, node["pivot"]), node["r"]
     i = d <= r
     low, high = x[i & (d > r - bits)], x[~i & (d <= r + bits)]
-    out = walk(node["in"], x[i], bits, side, two) + walk(node["out"], x[~i], bits, side, two)
+    out = walk(node["in"], x[i], bits, side, two, late) + walk(node["out"], x[~i], bits, side, two, late)
     if not two:
-        return out + walk(node["edge"], low, bits, 0, True) + walk(node["edge"], high, bits, 1, True)
+        return out + walk(node["edge"], low, bits, 0, True, late) + walk(node["edge"], high, bits, 1, True, late)
     first, second = (low, high) if side == 0 else (high, low)
-    return out + walk(node["edge"], first, bits, side, True) + walk(node["edge2"], second, bits, side, True)
+    return out + walk(node["edge"], first, bits, side, True, late) + walk(node["edge2"], second, bits, side, True, late)
 
 
 class _Shard:
     """Exact links of one shard as component labels of its fingerprints."""
 
-    def __init__(self, x: np.ndarray, bits: int):
+    def __init__(self, x: np.ndarray, bits: int, known: np.ndarray | None = None):
         self.x, self.bits = x, bits
         self.label = np.arange(len(x))
+        if known is not None:  # rows of one known component start as one
+            _, first, place = np.unique(known, return_index=True, return_inverse=True)
+            self.label = first[place]
+        self.start = self.label.copy()
         self.rng = np.random.default_rng(11)
 
     def merge(self, labels: np.ndarray) -> None:
@@ -211,15 +251,16 @@ class _Shard:
         self.cross(ha, lb)
 
 
-def shard_links(fps: np.ndarray, side: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(fps: np.ndarray, side: np.ndarray, bits: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links ``(fp, fp)`` of one shard.  Side 0: all against all;
-    sides 1 and 2: one side against the other."""
-    s = _Shard(fps, bits)
+    sides 1 and 2: one side against the other.  ``known``: components found before,
+    whose links are not given again."""
+    s = _Shard(fps, bits, known)
     if (side == 0).any():
         s.own(np.arange(len(fps)))
     else:
         s.cross(np.flatnonzero(side == 1), np.flatnonzero(side == 2))
-    moved = np.flatnonzero(s.label != np.arange(len(fps)))
+    moved = np.unique(s.start[s.label != s.start])
     return fps[moved], fps[s.label[moved]]
 
 
@@ -231,19 +272,32 @@ def links(distinct: DataFrame, bits: int, shard: int = SHARD, sample: int = SAMP
     seen = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy()
     tree = grow(seen.astype(np.int64).view(np.uint64), total, bits, shard)
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = b["fp"].to_numpy().astype(np.int64).view(np.uint64)
-            for number, side, part in walk(tree, x, bits):
-                yield pd.DataFrame({"shard": np.full(len(part), number, dtype=np.int64),
-                                    "side": np.full(len(part), side, dtype=np.int32), "fp": part.view(np.int64)})
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = shard_links(pdf["fp"].to_numpy().view(np.uint64), pdf["side"].to_numpy(), bits)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    routed = distinct.select("fp").mapInPandas(route, "shard bigint, side int, fp bigint")
-    return routed.groupBy("shard").applyInPandas(solve, "a bigint, b bigint")
+    def spanning(rows: DataFrame, late: bool) -> DataFrame:
+        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x = b["fp"].to_numpy().astype(np.int64).view(np.uint64)
+                for number, side, part in walk(tree, x, bits, late=late):
+                    yield pd.DataFrame({"shard": np.full(len(part), number, dtype=np.int64),
+                                        "side": np.full(len(part), side, dtype=np.int32), "fp": part.view(np.int64)})
+
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            known = pdf["root"].to_numpy() if late else None
+            a, b = shard_links(pdf["fp"].to_numpy().view(np.uint64), pdf["side"].to_numpy(), bits, known)
+            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+        routed = rows.select("fp").mapInPandas(route, "shard bigint, side int, fp bigint")
+        if late:
+            routed = routed.join(rows, "fp").select("shard", "side", "fp", "root")
+        return routed.groupBy("shard").applyInPandas(solve, "a bigint, b bigint")
+
+    early = spanning(distinct, False)
+    if not dealt(tree):
+        return early
+    early = stored(early, "early-links")
+    comp = components(early, "a", "b")
+    known = stored(distinct.join(comp, distinct["fp"] == comp["node"], "left")
+                   .select(distinct["fp"], F.coalesce("root", distinct["fp"]).alias("root")), "known")
+    return early.unionByName(spanning(known, True))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int,

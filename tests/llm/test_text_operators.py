@@ -108,6 +108,31 @@ def slow_line_fp(norm):
     return sum(1 << b for b in range(63) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
+def tight_cluster(n=6000, spread=9):
+    """Distinct fingerprints in a ball that no pivot cuts, some far from all others."""
+    rng = np.random.default_rng(8)
+    picks = np.argsort(rng.random((n, 64)), axis=1)[:, :spread]
+    x = np.bitwise_or.reduce(np.uint64(1) << picks.astype(np.uint64), axis=1)
+    return np.unique(np.concatenate([x, rng.integers(0, 1 << 63, 40, dtype=np.uint64)]))
+
+
+@pytest.mark.parametrize("spread", [2, 5, 9])
+def test_simhash_tight_cluster_is_dealt_into_bounded_shards(spark, spread):
+    x = tight_cluster(3000, spread)
+    near = [(i, j) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x[:i] ^ x[i]) <= 3)]
+    want = groups(len(x), near)
+    shard = 256
+    tree = simhash.grow(x, len(x), 3, shard)
+    sizes = {}
+    for number, side, part in simhash.walk(tree, x, 3):
+        sizes[number] = sizes.get(number, 0) + len(part)
+    assert simhash.dealt(tree) and max(sizes.values()) <= 2 * shard
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp bigint").repartition(4)
+    found = simhash.links(df, 3, shard=shard).collect()
+    place = {v: i for i, v in enumerate(x.view(np.int64).tolist())}
+    assert groups(len(x), [(place[r.a], place[r.b]) for r in found]) == want
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
