@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.data import CellData
+from cellgrid.functions.joins import hot_keys, salted_join
 from cellgrid.functions.positions import materialize
 
 log = logging.getLogger("cellgrid")
@@ -189,14 +190,16 @@ def tag_counts(pairs: DataFrame, bc14: DataFrame, bc30: DataFrame) -> DataFrame:
     ``(cell, bc14, bc30)`` (partial aggregation on the map side, so a cell
     holding a large share of the reads is pre-reduced in every task).  That
     much smaller table is written once and feeds both tag matchings and the
-    final count.
+    final count.  Tags that most combinations hold are dealt to several tasks
+    with copies of their match.
     """
     combos = materialize(pairs.groupBy("cell", "bc14", "bc30").agg(F.count(F.lit(1)).alias("n")))
     m14 = match_tags(combos.select(F.col("bc14").alias("seq")), bc14).select(
         F.col("seq").alias("bc14"), F.col("tag_id").alias("id14"))
     m30 = match_tags(combos.select(F.col("bc30").alias("seq")), bc30).select(
         F.col("seq").alias("bc30"), F.col("tag_id").alias("id30"))
-    matched = combos.join(m14, "bc14").join(m30, "bc30")
+    matched = salted_join(combos, m14, "bc14", hot_keys(combos, "bc14"))
+    matched = salted_join(matched, m30, "bc30", hot_keys(combos, "bc30"))
     return (matched.groupBy("cell", F.concat_ws(":", "id14", "id30").alias("tag"))
             .agg(F.sum("n").alias("n_reads")))
 
