@@ -199,10 +199,18 @@ def urn_draws(upto: np.ndarray, alpha: float, n: int, seed: int, iteration: int)
         of = further
 
 
-def _simulate(props: np.ndarray, alpha: float, totals: np.ndarray, seed: int, iteration: int) -> np.ndarray:
-    """Log-likelihood of one simulated draw path read at each total (sorted)."""
+def _cumulative(props: np.ndarray) -> np.ndarray:
+    return np.cumsum(props / props.sum())
+
+
+def _simulate(props: np.ndarray, alpha: float, totals: np.ndarray, seed: int, iteration: int,
+              upto: np.ndarray | None = None) -> np.ndarray:
+    """Log-likelihood of one simulated draw path read at each total (sorted).
+
+    ``upto`` (cumulative proportions) is as long as there are genes: callers with many
+    iterations make it once, so that a path costs its draws and not the genes."""
     t_max = int(totals[-1])
-    draws = urn_draws(np.cumsum(props / props.sum()), alpha, t_max, seed, iteration)
+    draws = urn_draws(_cumulative(props) if upto is None else upto, alpha, t_max, seed, iteration)
     order = np.argsort(draws, kind="stable")
     sd = draws[order]
     starts = np.r_[0, np.flatnonzero(sd[1:] != sd[:-1]) + 1]
@@ -226,8 +234,9 @@ def _counted(levels: pd.DataFrame, props: np.ndarray, alpha: float, iterations:
     ends, level = np.r_[first[1:], len(levels)], levels["level"].to_numpy()
     hits = np.zeros(len(levels), np.int64)   # values that come just below a level, or equal it
     step = max(1, CHUNK // len(totals))
+    cumulative = _cumulative(props)
     for begin in range(0, len(iterations), step):
-        sims = np.stack([_simulate(props, alpha, totals, seed, i) for i in iterations[begin:begin + step]]).round(LIKELIHOOD_DIGITS)
+        sims = np.stack([_simulate(props, alpha, totals, seed, i, cumulative) for i in iterations[begin:begin + step]]).round(LIKELIHOOD_DIGITS)
         for k, (lo, hi) in enumerate(zip(first.tolist(), ends.tolist())):
             place = np.searchsorted(level[lo:hi], sims[:, k], side="left")
             hits[lo:hi] += np.bincount(place, minlength=hi - lo + 1)[:hi - lo]

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,14 @@ def test_rows_of_the_simulation_do_not_grow_with_iterations(spark, monkeypatch):
     assert rows == [obs.count()] * 2
 
 
+def test_iterations_share_the_cumulative_proportions(monkeypatch):
+    """A path costs its draws: the genes-long running sum is made once, not for every iteration."""
+    levels, prof, seen, real = pd.DataFrame({"total": [4.0, 9.0], "level": [-5.0, -9.0]}), np.full(1000, 0.001), [], ed.urn_draws
+    monkeypatch.setattr(ed, "urn_draws", lambda upto, *rest: seen.append(upto) or real(upto, *rest))
+    ed._counted(levels, prof, 2.0, range(16), 0)
+    assert len(seen) == 16 and all(u is seen[0] for u in seen)
+
+
 def test_urn_draws_are_dirichlet_multinomial():
     """Mean, variance (inflated by (n + alpha) / (1 + alpha)) and covariance of counts."""
     p, alpha, n = np.array([0.5, 0.3, 0.2]), 4.0, 12
