@@ -2,6 +2,7 @@
 joins, no row-at-a-time Python."""
 
 import os
+import re
 import sys
 
 import pytest
@@ -61,3 +62,19 @@ def test_cell_selection_prunes_matrix_with_bloom_filter(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_promoted_genes_are_not_dealt_by_gene(spark):
+    """A promoted gene has an entry for nearly every cell: its rows stay where they are,
+    also where Spark takes no side for small by itself."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        df = E.queries()["j07_promote"](spark, SF_SMALL)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert re.findall(r"(\w+) \[gene_idx#\d+L\], \[gene_idx#\d+L\], Inner", plan.split("Initial Plan")[0]) == ["BroadcastHashJoin"]
