@@ -248,3 +248,19 @@ def test_replace_from_file_keeps_file_order(spark, tmpdir_path):
     cd = CellData(cells=cells, genes=genes, x_raw=x).replace_cells(ann)
     got = sorted((r.cell_idx, r.cell_id, r.group) for r in cd.cells.collect())
     assert got == [(10, "z9", "g1"), (20, "a1", "g2"), (30, "m5", "g3")]
+
+
+def test_type_check_of_texts_agrees_with_the_cast(spark):
+    from cellgrid.sources import tables
+    texts = ["1", " 1.5 ", "+.5", "-1e-3", "1E5", "1f", "2.5D", "0x1.8p3", "-0X1P-2", "NaN", "nan", "Infinity", "-infinity", "+INF", "inf", "1.",
+             "\t7\n", "\x7f3", "3\x00", "", " ", ".", "+", "e5", "1995-01-02", "1995-01-02 00:00:00", "C0001-1", "True", "in", "1 2", "0x", "1e", "--1",
+             "\u0663", "\u00a05", "1_0", "1,5", "abc", "9223372036854775807", "9223372036854775808", "+12", "t", "T", "yes", " No\t", "0", "y", "TRUE", "fals", "\u017f", None]
+    df = spark.createDataFrame([(x,) for x in texts], "v string")
+    v = F.col("v")
+    for kind in ("bigint", "double", "boolean"):
+        got = df.select("v", tables._fits(v, kind).alias("fits"), v.try_cast(kind).isNotNull().alias("casts")).collect()
+        assert [r for r in got if r.fits != r.casts] == []
+    # names and dates never reach a cast, which throws for each of them
+    for kind, looks in tables._LOOKS.items():
+        may = {r.v for r in df.where(v.rlike(looks)).collect()}
+        assert may.isdisjoint({"1995-01-02 00:00:00", "C0001-1", "abc"}) and may
