@@ -366,16 +366,25 @@ def _calls(spark, sf_dir):
     return tag_calls(cd.cells, _reads(spark, sf_dir), fx.r1_lib14(spark, sf_dir), fx.r1_lib30(spark, sf_dir))
 
 
+READS_PER_LANE = 250_000
+
+
+def _stored_reads(spark, sf_dir) -> DataFrame:
+    """R1 stored in lanes in the order of ``read_no``: three, or more so that none holds far more than ``READS_PER_LANE``."""
+    from cellgrid.functions.positions import materialize
+    lanes = max(3, -(-fx.table(spark, sf_dir, "events").count() // READS_PER_LANE))
+    return materialize(_reads(spark, sf_dir).select("read_no", "r1", "r2").repartitionByRange(lanes, "read_no").sortWithinPartitions("read_no"))
+
+
 @query("s07b_fastq_blocked_lanes")
 def s07b(spark, sf_dir) -> DataFrame:
     """R1 written as blocked gzip lanes, each read by several tasks (64 KB ranges; R1 and R2 differ in
     size, so their ranges pair by record number), and assigned."""
-    from cellgrid.functions.positions import materialize
     from cellgrid.operators.tags import assign, tag_calls
     from cellgrid.sources.blocked import write_blocked
     from cellgrid.sources.fastq import read_fastq_pairs
     place = _scratch(spark, "blocked")
-    reads = materialize(_reads(spark, sf_dir).select("read_no", "r1", "r2").repartitionByRange(3, "read_no").sortWithinPartitions("read_no"))
+    reads = _stored_reads(spark, sf_dir)
     lanes = []
     for side in ("r1", "r2"):
         record = F.array(F.concat(F.lit("@"), F.col("read_no").cast("string")), F.col(side), F.lit("+"), F.repeat(F.lit("I"), F.length(side)))
@@ -389,12 +398,11 @@ def s07b(spark, sf_dir) -> DataFrame:
 @query("s07_fastq_files_to_tags")
 def s07(spark, sf_dir) -> DataFrame:
     """R1 written as FASTQ lanes and tag-library files, read back and assigned."""
-    from cellgrid.functions.positions import materialize
     from cellgrid.operators.tags import assign, tag_calls
     from cellgrid.sources.fastq import read_fastq_pairs, read_tag_library
     from cellgrid.sources.paths import data_files
     place = _scratch(spark, "lanes")
-    reads = materialize(_reads(spark, sf_dir).select("read_no", "r1", "r2").repartitionByRange(3, "read_no").sortWithinPartitions("read_no"))
+    reads = _stored_reads(spark, sf_dir)
     for side in ("r1", "r2"):  # both from the same stored partitions, so record k of a lane is the same read
         record = F.array(F.concat(F.lit("@"), F.col("read_no").cast("string")), F.col(side), F.lit("+"), F.repeat(F.lit("I"), F.length(side)))
         reads.select(F.explode(record).alias("value")).write.option("compression", "gzip").text(f"{place}/{side}")

@@ -2,7 +2,7 @@
 
 A blocked gzip file (and any file made of gzip members laid end to end, and plain text)
 is cut into byte ranges; a range owns the members that start in it.  Every range
-is its own task, in two steps:
+is read on its own (small ones several to a task), in two steps:
 
 1. ``line_ranges`` inflates what a range owns and counts its line ends.  Sums over the ranges
    before it tell the number of its first line, so line k of one file can be found
@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 MAGIC = b"\x1f\x8b"
 MEMBER = b"\x1f\x8b\x08"       # with the one method there is (deflate)
 CHUNK = 1 << 20                # bytes read at a time
+READ = 1 << 17                 # bytes read at a time while inflating: a range may be far smaller than CHUNK
+TASK_BYTES = 1 << 20           # bytes of ranges that a task takes, where there are more than FEW ranges
+FEW = 64
 PROVEN = 4 << 20               # bytes that a candidate member has to inflate to, if it does not end before
 BLOCK_TEXT = 0xFF00            # bytes of text in a block that is written
 
@@ -72,7 +75,7 @@ class _File:
             one, used = zlib.decompressobj(31), 0
             while not one.eof:
                 if not raw:
-                    raw = self.at(pos + used, CHUNK)
+                    raw = self.at(pos + used, READ)
                     if not raw:
                         raise EOFError("a gzip member is cut off")
                 text = one.decompress(raw)
@@ -114,6 +117,11 @@ class _File:
         return None
 
 
+def range_tasks(n: int, range_bytes: int) -> int:
+    """Tasks for ``n`` ranges: beyond ``FEW`` small ranges go several to a task, which costs more to start than they to read."""
+    return max(1, min(n, FEW), -(-n // max(1, TASK_BYTES // range_bytes)))
+
+
 def _count(uri: str, start: int, end: int) -> tuple:
     """``(first, ends, bytes, whole)``: first member, line ends, text size, whether
     the last byte is a line end; of a range without members ``first`` is None."""
@@ -155,7 +163,7 @@ def line_ranges(spark: SparkSession, files: list[tuple[int, str, str, int]], ran
                 row = dict(zip([f for f, _ in fields], (r["file_no"], r["side"], r["path"], first, *rest)))
                 yield pa.RecordBatch.from_pylist([row], schema=pa.schema(fields))
 
-    counted = materialize(cut.repartition(n).mapInArrow(
+    counted = materialize(cut.repartition(range_tasks(n, range_bytes)).mapInArrow(
         run, "file_no int, side string, path string, first bigint, ends bigint, bytes bigint, whole boolean")).where("bytes > 0")
     of_file = Window.partitionBy("file_no", "side").orderBy("first")   # one row per range of a file
     upto = of_file.rowsBetween(Window.unboundedPreceding, -1)

@@ -2,8 +2,7 @@
 
 ``read_fastq_pairs`` cuts files above ``RANGE_BYTES`` into byte ranges (``blocked``): plain text,
 blocked gzip and other files of many gzip members.  Line counts of the ranges pair the two files by
-record number, and each range of R1 is read with its counterpart in R2 by a task of
-its own.  A gzip file of one member cannot be cut: it stays one task, however large.
+record number, and each range of R1 is read with its counterpart in R2 by one task.  A gzip file of one member cannot be cut: it stays one task, however large.
 
 ``fastq_pair`` is the Python data source for lanes below that size, and for direct use: one input
 partition per file pair, both files read in lockstep inside the task, only
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cellgrid.functions.positions import dense_positions, materialize
-from cellgrid.sources.blocked import every_fourth, line_ranges, lines_from, locate
+from cellgrid.sources.blocked import every_fourth, line_ranges, lines_from, locate, range_tasks
 from cellgrid.sources.paths import file_size, qualified, require_exists
 
 BATCH_ROWS = 65536
@@ -172,8 +171,7 @@ def _paired_ranges(spark: SparkSession, files: list[tuple], range_bytes: int) ->
                                                       pa.array(range(at, at + len(rows)), pa.int64()), pa.array(r1), pa.array(r2)], schema=schema)
                     at += len(rows)
 
-    # a task per range
-    return work.repartition(max(1, work.count())).mapInArrow(run, "file_no int, read_no bigint, r1 string, r2 string")
+    return work.repartition(range_tasks(work.count(), range_bytes)).mapInArrow(run, "file_no int, read_no bigint, r1 string, r2 string")
 
 
 def read_tag_library(spark: SparkSession, path: str) -> DataFrame:
