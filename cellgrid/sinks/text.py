@@ -107,8 +107,9 @@ def export_mex(cd: CellData, path: str, overwrite: bool = False, single_file: bo
     n_genes = genes.count()
     entries = (cd.x.join(cells.select("cell_idx", F.col("_pos").alias("_c")), "cell_idx")
                .join(genes.select("gene_idx", F.col("_pos").alias("_g")), "gene_idx"))
-    body = entries.select(F.format_string("%d %d %s", F.col("_g") + 1, F.col("_c") + 1,
-                                          F.regexp_replace(F.col("value").cast("string"), r"\.0$", "")).alias("value"))
+    text = entries.select("_g", "_c", F.coalesce(F.col("value").cast("string"), F.lit("null")).alias("_v"))
+    number = F.when(F.col("_v").endswith(".0"), F.expr("left(_v, length(_v) - 2)")).otherwise(F.col("_v"))
+    body = text.select(F.concat_ws(" ", (F.col("_g") + 1).cast("string"), (F.col("_c") + 1).cast("string"), number).alias("value"))
     target = f"{path}/matrix.mtx.gz"
     if single_file:
         nnz = entries.count()

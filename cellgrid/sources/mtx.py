@@ -61,7 +61,10 @@ def read_mtx_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, int, i
         text = text.unionByName(spark.read.text(others))
     body = text.select(F.trim("value").alias("line")).where(
         (F.length("line") > 0) & ~F.col("line").startswith("%"))
-    parts = F.split("line", r"\s+")
+    # one blank between fields is the rule; a pattern costs several times a plain split
+    plain = ~F.col("line").contains("  ") & ~F.col("line").rlike(r"[\t\n\x0B\f\r]")
+    body = body.select("line", F.when(plain, F.split("line", " ")).otherwise(F.split("line", r"\s+")).alias("_parts"))
+    parts = F.col("_parts")
     row = F.get(parts, 0).try_cast("bigint")
     col = F.get(parts, 1).try_cast("bigint")
     # a line without a third field is an entry of a pattern file (value 1)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellgrid.data import nan_to_null
-from cellgrid.functions.positions import dense_positions
+from cellgrid.functions.positions import dense_positions, materialize
 from cellgrid.sources.mtx_lines import drop_line as _drop_line
 from cellgrid.sources.paths import data_files, head_line, require_exists
 
@@ -100,13 +100,17 @@ def numbered_lines(spark: SparkSession, path: str, name: str = "line_no") -> Dat
     """Lines of a text file (or folder of part files) with a 0-based number in
     file order: ``(line_no bigint, value string)``.
 
-    Order = (file, block offset, row inside the block); the number is a
-    distributed dense position, never a single-partition window.
+    Order = (file, block offset, row inside the block).  A block is read by one
+    task in file order, so its lines only need the number of lines in the
+    blocks before it: one row a block, nothing is sorted but these.
     """
     require_exists(spark, path)
-    raw = (spark.read.text(path)
-           .select("value", F.col("_metadata.file_path").alias("_f"),
-                   F.col("_metadata.file_block_start").alias("_b"),
-                   F.monotonically_increasing_id().alias("_r")))
-    out = dense_positions(raw, [F.col("_f"), F.col("_b"), F.col("_r")], name=name)
-    return out.select(name, "value")
+    raw = materialize(spark.read.text(path)
+                      .select("value", F.col("_metadata.file_path").alias("_f"),
+                              F.col("_metadata.file_block_start").alias("_b"),
+                              F.monotonically_increasing_id().alias("_r")))
+    blocks = raw.groupBy("_f", "_b").agg(F.min("_r").alias("_r0"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_f", "_b", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_r0")).alias("_off"))
+    out = raw.join(F.broadcast(blocks), ["_f", "_b"])   # one row per block
+    return out.select((F.col("_off") + F.col("_r")).alias(name), "value")
