@@ -89,14 +89,21 @@ class Model:
         return score
 
 
+def _held(rows: list[np.ndarray]) -> np.ndarray:
+    """How often each feature is held; rows are counted one by one, with no copy of them all."""
+    n = np.zeros(DIM, np.int64)
+    for r in rows:
+        np.add.at(n, r, 1)
+    return n
+
+
 def select(pos: list[np.ndarray], unl: list[np.ndarray], most: int = 1500, least_z: float = 4.0) -> np.ndarray:
     """Features that confirmed toxic documents hold clearly more often than
     unlabelled ones (two-proportion z score), the clearest first.  A feature
     must be in three toxic documents at least."""
     if not pos or not unl:
         return np.empty(0, np.int64)
-    p = np.bincount(np.concatenate(pos), minlength=DIM)
-    u = np.bincount(np.concatenate(unl), minlength=DIM)
+    p, u = _held(pos), _held(unl)
     share = (p + u) / (len(pos) + len(unl))
     z = (p / len(pos) - u / len(unl)) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / len(pos) + 1 / len(unl)))
     z[p < 3] = 0
@@ -164,8 +171,9 @@ def _sample(docs: DataFrame, ids: DataFrame, most: int) -> list[np.ndarray]:
             yield pd.DataFrame({"f": [features(t, of_word).tobytes() for t in b["text"]]})
 
     rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(most)
-    got = rows.mapInPandas(run, "f binary").toPandas()
-    return [np.frombuffer(f, np.int32) for f in got["f"]]
+    # Arrow buffers go back whole; an object a row leaves the driver's heap in pieces that it keeps
+    got = rows.mapInPandas(run, "f binary").toArrow()["f"].chunks
+    return [np.frombuffer(f.as_buffer(), np.int32) for chunk in got for f in chunk]
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: int = 2, mod: int = 4, id_col: str = "doc_id",

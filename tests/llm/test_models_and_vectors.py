@@ -5,6 +5,7 @@ import hashlib
 import importlib.util
 import io
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -59,6 +60,22 @@ def test_toxicity_learns_and_keeps_clean(spark, labelled):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_sample_is_not_copied_on_the_driver(spark):
+    """Features of 200 long documents: the driver's Python heap never holds them twice."""
+    words = "transform(sequence(1, 6000), i -> left(md5(concat(id, ' ', i)), 6))"
+    docs = spark.range(0, 200, 1, 4).selectExpr("id AS doc_id", f"concat_ws(' ', {words}) AS text")
+    toxicity._sample(docs.limit(1), docs.select("doc_id"), 1)
+    tracemalloc.start()  # the sample itself is read into this heap
+    try:
+        rows = toxicity._sample(docs, docs.select("doc_id"), 200)
+        toxicity.select(rows[:50], rows[50:])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(rows) == 200 and all(r.dtype == np.int32 and (np.diff(r) > 0).all() for r in rows)
+    assert peak < 2 * sum(r.nbytes for r in rows)
+
+
 def test_toxicity_never_reads_held_out_labels(spark, labelled):
     docs, labels = labelled
     out = toxicity.fold(F.col("doc_id"), 4) == 2
