@@ -16,7 +16,9 @@ nearest vector is the one of largest inner product.
   visited leaves.  A query goes on beyond that until its leaves hold enough rows for
   ``k`` neighbours, so small outlier leaves do not shorten its result.
 * Visits meet their leaf part in a grouped task, which returns one row a query
-  with its best ``k``; these are merged a query at a time.
+  with its best ``k``; these are merged a query at a time.  The queries of a leaf are
+  dealt in blocks of ``ASKED``, and its rows are copied to each block, so that a
+  task holds one part and one block, however many queries visit a leaf.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.llm.common import stored, with_workers
@@ -39,6 +41,8 @@ LEAF = 1024           # rows that a leaf is expected to hold
 PART = 4096           # rows of a leaf part (expected)
 MOST_LEAVES = 1000    # so that a leaf has sample rows enough
 BLOCK = 256           # queries compared at a time
+ASKED = 16_384        # queries that meet a leaf part in one task (expected)
+WALKED = 1024         # queries whose leaves are held at a time
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -134,8 +138,19 @@ def best(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: in
     return out
 
 
+def walked(batches: Iterator[pd.DataFrame], tree: Tree, visits: int, held: dict[int, int], k: int, flat) -> Iterator[pd.DataFrame]:
+    """``(id, vec, leaves)``: the leaves that each query visits, ``WALKED`` queries at a time.
+
+    A query's own rows are no candidates of it; leaves without rows are left out."""
+    for b in batches:
+        for at in range(0, len(b), WALKED):
+            c = b.iloc[at:at + WALKED]
+            leaves = [[n for n in tree.walk(q, visits, held, k + int(own)) if n in held] for q, own in zip(flat(_matrix(c["vec"])), c["own"])]
+            yield pd.DataFrame({"id": c["id"].to_numpy(), "vec": c["vec"].to_numpy(), "leaves": leaves})
+
+
 def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", target: float = 0.95,
-           sample: int = SAMPLE, leaf: int = LEAF, part: int = PART, calibration: int = CALIBRATION) -> DataFrame:
+           sample: int = SAMPLE, leaf: int = LEAF, part: int = PART, calibration: int = CALIBRATION, asked_at_once: int = ASKED) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for every row
     where ``is_query(id)`` holds, among all other rows.
 
@@ -206,20 +221,24 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col
     share = np.cumsum(hits) / max(1, hits.sum())
     visits = int(np.argmax(share >= min(target, share[-1]))) + 1
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            # its own rows are no candidates of a query
-            got = [(i, n, p) for i, (q, own) in enumerate(zip(flat(_matrix(b["vec"])), b["own"]))
-                   for n in tree.walk(q, visits, held, k + int(own)) if n in parts for p in range(parts[n])]
-            if not got:
-                continue
-            at, leaves, sub = (np.array(v, dtype=np.int64) for v in zip(*got))
-            yield pd.DataFrame({"leaf": leaves, "part": sub, "id": b["id"].to_numpy()[at], "vec": b["vec"].to_numpy()[at]})
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return walked(batches, tree, visits, held, k, flat)
+
+    # a row a query: pairs of queries and leaf parts are only made by Spark, which does not hold them
+    walks = stored(queries.mapInPandas(walk, "id bigint, vec array<double>, leaves array<bigint>"), "walks")
+    visitors = walks.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a leaf
+    blocks = {int(r["leaf"]): -(-int(r["n"]) // asked_at_once) for r in visitors}
+
+    def of_leaf(values: dict[int, int]) -> Column:
+        return F.get(F.expr("array(" + ", ".join(f"{values.get(i, 0)}L" for i in range(tree.leaves)) + ")"), F.col("leaf").cast("int"))
+
+    def numbered(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
 
-    asked = queries.mapInPandas(spread, "leaf bigint, part bigint, id bigint, vec array<double>")
-    kept = index.withColumn("part", F.pmod(F.xxhash64("id", F.lit(41)), F.get(F.array(*[F.lit(parts.get(i, 1)) for i in range(tree.leaves)]), F.col("leaf").cast("int"))))
+    asked = (walks.select("id", "vec", F.explode("leaves").alias("leaf")).withColumn("part", numbered(of_leaf(parts)))
+             .withColumn("block", F.pmod(F.xxhash64("id", F.lit(43)), of_leaf(blocks))))
+    kept = (index.where(of_leaf(blocks) > 0).withColumn("part", F.pmod(F.xxhash64("id", F.lit(41)), of_leaf(parts)))
+            .withColumn("block", numbered(of_leaf(blocks))))
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -227,7 +246,8 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col
         found = best(_matrix(q["vec"]), q["id"].to_numpy(), _matrix(x["vec"]), x["id"].to_numpy(), k)
         return pd.DataFrame({"q": q["id"].to_numpy(), "ids": [f[0] for f in found], "scores": [f[1] for f in found]})
 
-    got = asked.groupBy("leaf", "part").cogroup(kept.groupBy("leaf", "part")).applyInPandas(meet, "q bigint, ids array<bigint>, scores array<double>")
+    group = ["leaf", "part", "block"]
+    got = asked.groupBy(*group).cogroup(kept.groupBy(*group)).applyInPandas(meet, "q bigint, ids array<bigint>, scores array<double>")
 
     def finish(g: pd.DataFrame) -> pd.DataFrame:
         ids, scores = (np.concatenate([np.asarray(v, t) for v in g[c]]) for c, t in (("ids", np.int64), ("scores", float)))
