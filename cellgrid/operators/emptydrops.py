@@ -75,7 +75,7 @@ def tail_counts(cd: CellData, props: DataFrame, ambient: DataFrame) -> DataFrame
     times the largest ambient count, whatever the number of barcodes."""
     genes = (cd.x.join(ambient.select("cell_idx"), "cell_idx", "left_semi")
              .groupBy("gene_idx", "value").agg(F.count(F.lit(1)).alias("n")))
-    genes = genes.join(sized(props.select("gene_idx", "prop")), "gene_idx").select(F.col("prop").alias("p"), F.col("value").alias("x"), "n")
+    genes = genes.join(sized(props.select("gene_idx", "prop"), PROPS_BYTES), "gene_idx").select(F.col("prop").alias("p"), F.col("value").alias("x"), "n")
     cells = ambient.groupBy(F.col("total").alias("x")).agg((-F.count(F.lit(1))).alias("n")).select(F.lit(1.0).alias("p"), "x", "n")
     both = genes.unionByName(cells).where("x > 0")
     whole = F.when(F.col("x") == F.floor("x"), F.col("x").cast("bigint")).otherwise(
@@ -132,7 +132,7 @@ def estimate_alpha(cd: CellData, props: DataFrame, lower: float = 100,
 def log_likelihoods(cd: CellData, props: DataFrame, alpha: float, cells: DataFrame) -> DataFrame:
     """E5: ``(cell_idx, total, loglik)`` for the barcodes in ``cells``."""
     entries = (cd.x.join(cells.select("cell_idx"), "cell_idx", "left_semi")
-               .join(sized(props.select("gene_idx", "prop")), "gene_idx"))
+               .join(sized(props.select("gene_idx", "prop"), PROPS_BYTES), "gene_idx"))
     x = F.col("value")
     p = F.when(F.col("prop") > 0, F.col("prop")).otherwise(
         F.raise_error(F.concat(F.lit("gene without a positive proportion: "), F.col("gene_idx").cast("string"))).cast("double"))
@@ -165,6 +165,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 TURNS = (0x9E3779B9, 0x85EBCA6B)  # fixed values: what sets the streams of an iteration apart
 MAX_GENES = 1 << 24   # proportions that are sent to every task (8 bytes each)
+PROPS_BYTES = 16 << 20   # files of proportions up to which they are a broadcast join side: tables of genes take many times that in the driver
 LEVELS = 100_000      # observed likelihoods that one task counts against
 CHUNK = 1 << 20       # simulated values held at a time
 
@@ -261,7 +262,7 @@ def simulated_below(observed: DataFrame, props: np.ndarray, alpha: float, iters:
     ship_package(spark)
     if props.size > MAX_GENES:
         raise ValueError(f"{props.size} genes with a proportion; every task gets all of them, up to {MAX_GENES}")
-    b_props = spark.sparkContext.broadcast(props.astype(np.float64))   # bounded by MAX_GENES
+    b_props = spark.sparkContext.broadcast(props.astype(np.float64, copy=False))   # bounded by MAX_GENES
     blocks = max(1, -(-observed.count() // most))
     # several shares a core: groups are dealt by hash, so cores get unequal numbers of them
     shares = shares or max(1, min(iters, -(-4 * spark.sparkContext.defaultParallelism // blocks)))
@@ -281,6 +282,11 @@ def simulated_below(observed: DataFrame, props: np.ndarray, alpha: float, iters:
     return part.groupBy("total", "level").agg(F.sum("below").alias("below"))
 
 
+def _ordered_proportions(props: DataFrame) -> np.ndarray:
+    """Proportions by ``gene_idx``, 8 bytes a gene: without Arrow every gene would be a row object of the driver's."""
+    return props.orderBy("gene_idx").select("prop").toArrow()["prop"].to_numpy()
+
+
 def monte_carlo_pvalues(cd: CellData, props: DataFrame, alpha: float, tested: DataFrame,
                         iters: int = 10000, seed: int = 0) -> DataFrame:
     """``(cell_idx, total, loglik, pvalue)`` for the barcodes in ``tested``.
@@ -289,7 +295,7 @@ def monte_carlo_pvalues(cd: CellData, props: DataFrame, alpha: float, tested: Da
     bad = (F.col("total") != F.floor("total")) | (F.col("total") < 1)
     if not ll.where(bad).isEmpty():
         raise ValueError("emptyDrops needs whole counts: a tested barcode has a fractional total")
-    prof = props.orderBy("gene_idx").select("prop").toPandas()["prop"].to_numpy()  # one value per gene
+    prof = _ordered_proportions(props)
     observed = materialize(ll.select(F.col("total").cast("double").alias("total"), "level").distinct())
     below = simulated_below(observed, prof, float(alpha), iters, seed)
     # written once: BH, the filter and the dispersion test all read it, and the
